@@ -125,7 +125,8 @@ def fraud_detection_score(df: DataFrame, weights: dict | None = None) -> DataFra
     for f in avail:
         term = F.col(f) * F.lit(weights[f] / total)
         score = term if score is None else score + term
-    return (df.withColumn("fraud_risk_score", score * 100)
+    # rounded to 6 dp before banding, so a score of exactly 75 is not 75.00000000000001
+    return (df.withColumn("fraud_risk_score", F.round(score * 100, 6))
               .withColumn("risk_category", cut("fraud_risk_score", [0, 25, 50, 75, 100], RISK_CATEGORY_LABELS,
                                                include_lowest=True)))
 

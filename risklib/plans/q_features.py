@@ -246,3 +246,114 @@ def agg7_temporal_patterns(spark, sf):
     return rounded(df.select("transaction_id", "hour", "day", "day_of_week", "is_weekend", "period_of_day",
                              "hour_frequency", "unusual_hour", "dow_frequency", "unusual_day",
                              "temporal_risk_score", "high_risk_time_pattern"))
+
+
+# --------------------------------------------------------------------------- FE2
+def _body(sql: str) -> str:
+    return sql[len(EV):]
+
+
+_FE2_SQL = (EV + _body(_VEL_SQL) + _body(_BEH_SQL) + _body(_TP_SQL)
+            + """, f AS (SELECT c.transaction_id, c.tx_count_1h, c.tx_count_6h, c.tx_count_24h,
+    CAST(c.tx_count_1h > q.p1 AS INTEGER) AS high_velocity_1h, CAST(c.tx_count_6h > q.p6 AS INTEGER) AS high_velocity_6h,
+    CAST(c.tx_count_24h > q.p24 AS INTEGER) AS high_velocity_24h,
+    b.z AS amount_zscore, CAST(abs(b.z) > 2.5 AS INTEGER) AS unusual_amount, coalesce(b.f, 0.0) AS mcc_frequency,
+    CASE WHEN b.f IS NULL THEN 1 ELSE CAST(b.f < 0.1 AS INTEGER) END AS unusual_mcc,
+    tp.hour, tp.day, tp.day_of_week, tp.is_weekend, tp.period_of_day, tp.hour_frequency,
+    CAST(tp.hour_frequency < 0.05 AS INTEGER) AS unusual_hour, tp.dow_frequency,
+    CAST(tp.dow_frequency < 0.05 AS INTEGER) AS unusual_day,
+    CAST(tp.period_of_day IN ('madrugada', 'noite') AND tp.is_weekend = 1 AS INTEGER) AS high_risk_time_pattern
+  FROM c, q, b, tp WHERE c.transaction_id = b.transaction_id AND c.transaction_id = tp.transaction_id),
+s AS (SELECT *, unusual_amount * 0.6 + unusual_mcc * 0.4 AS behavior_risk_score,
+    unusual_hour * 0.7 + unusual_day * 0.3 AS temporal_risk_score,
+    ROUND((unusual_amount * 0.25 + unusual_mcc * 0.15 + unusual_hour * 0.20 + unusual_day * 0.10
+     + high_risk_time_pattern * 0.15 + high_velocity_24h * 0.15) * 100, 6) AS fraud_risk_score FROM f)
+SELECT transaction_id, CAST(tx_count_1h AS BIGINT) AS tx_count_1h, CAST(tx_count_6h AS BIGINT) AS tx_count_6h,
+  CAST(tx_count_24h AS BIGINT) AS tx_count_24h, high_velocity_1h, high_velocity_6h, high_velocity_24h,
+  ROUND(amount_zscore, 6) AS amount_zscore, unusual_amount, ROUND(mcc_frequency, 6) AS mcc_frequency, unusual_mcc,
+  ROUND(behavior_risk_score, 6) AS behavior_risk_score, hour, day, day_of_week, is_weekend, period_of_day,
+  ROUND(hour_frequency, 6) AS hour_frequency, unusual_hour, ROUND(dow_frequency, 6) AS dow_frequency, unusual_day,
+  ROUND(temporal_risk_score, 6) AS temporal_risk_score, high_risk_time_pattern,
+  ROUND(fraud_risk_score, 6) AS fraud_risk_score,
+  CASE WHEN fraud_risk_score >= 0 AND fraud_risk_score <= 25 THEN 'baixo' WHEN fraud_risk_score > 25 AND fraud_risk_score <= 50 THEN 'medio'
+       WHEN fraud_risk_score > 50 AND fraud_risk_score <= 75 THEN 'alto' WHEN fraud_risk_score > 75 AND fraud_risk_score <= 100 THEN 'muito_alto' END AS risk_category
+FROM s""")
+
+FE2_COLS = ["transaction_id", "tx_count_1h", "tx_count_6h", "tx_count_24h", "high_velocity_1h", "high_velocity_6h",
+            "high_velocity_24h", "amount_zscore", "unusual_amount", "mcc_frequency", "unusual_mcc",
+            "behavior_risk_score", "hour", "day", "day_of_week", "is_weekend", "period_of_day", "hour_frequency",
+            "unusual_hour", "dow_frequency", "unusual_day", "temporal_risk_score", "high_risk_time_pattern",
+            "fraud_risk_score", "risk_category"]
+
+
+@reg("fe2_advanced_features", _FE2_SQL)
+def fe2_advanced_features(spark, sf):
+    return rounded(A.create_all_advanced_features(tx_events(spark, sf)).select(*FE2_COLS))
+
+
+@reg("sco3_fraud_risk_score", EV + _body(_FE2_SQL).rsplit("SELECT transaction_id, CAST(tx_count_1h", 1)[0]
+     + """SELECT transaction_id, ROUND(fraud_risk_score, 6) AS fraud_risk_score,
+  CASE WHEN fraud_risk_score >= 0 AND fraud_risk_score <= 25 THEN 'baixo' WHEN fraud_risk_score > 25 AND fraud_risk_score <= 50 THEN 'medio'
+       WHEN fraud_risk_score > 50 AND fraud_risk_score <= 75 THEN 'alto' WHEN fraud_risk_score > 75 AND fraud_risk_score <= 100 THEN 'muito_alto' END AS risk_category
+FROM s""")
+def sco3_fraud_risk_score(spark, sf):
+    return rounded(A.create_all_advanced_features(tx_events(spark, sf)).select(
+        "transaction_id", "fraud_risk_score", "risk_category"))
+
+
+# --------------------------------------------------------------------------- FE1 (on tx_orders)
+def _seq_ctes(src: str) -> str:
+    return f""", v AS (SELECT *, epoch_us(transaction_ts) AS us FROM {src}),
+s AS (SELECT transaction_id, amount, card_number, transaction_ts, us,
+  lag(us) OVER (PARTITION BY card_number ORDER BY us, transaction_id) AS prev_us,
+  lag(amount) OVER (PARTITION BY card_number ORDER BY us, transaction_id) AS prev_amount,
+  row_number() OVER (PARTITION BY card_number ORDER BY us, transaction_id) AS rn,
+  count(*) OVER (PARTITION BY card_number) AS card_rows,
+  count(transaction_id) OVER (PARTITION BY card_number) AS card_cnt,
+  avg(amount) OVER (PARTITION BY card_number) AS card_avg,
+  avg(hour(transaction_ts)) OVER (PARTITION BY card_number) AS card_avg_hour,
+  count(*) OVER (PARTITION BY card_number ORDER BY us RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW) AS c24
+  FROM v)"""
+
+
+_FE1_SQL = (ORD.rstrip() + ",\n" + _loc_sql("merchant_city", 5, "city_fraud_rate") + ",\n"
+            + _loc_sql("merchant_state", 10, "state_fraud_rate") + _seq_ctes("tx_orders") + """
+SELECT s.transaction_id, CAST(hour(s.transaction_ts) AS INTEGER) AS hour_of_day,
+  CAST(isodow(s.transaction_ts) - 1 AS INTEGER) AS day_of_week, CAST(isodow(s.transaction_ts) >= 6 AS INTEGER) AS is_weekend,
+  CAST(month(s.transaction_ts) AS INTEGER) AS month, CAST(day(s.transaction_ts) AS INTEGER) AS day_of_month,
+  CASE WHEN hour(s.transaction_ts) <= 6 THEN 'early_morning' WHEN hour(s.transaction_ts) <= 12 THEN 'morning'
+       WHEN hour(s.transaction_ts) <= 18 THEN 'afternoon' WHEN hour(s.transaction_ts) <= 24 THEN 'evening' END AS period_of_day,
+  CAST(hour(s.transaction_ts) < 6 OR hour(s.transaction_ts) >= 22 AS INTEGER) AS is_night_time,
+  ROUND(ln(1 + s.amount), 6) AS amount_log,
+  CASE WHEN s.amount > 0 AND s.amount <= 10 THEN 'very_small' WHEN s.amount > 10 AND s.amount <= 50 THEN 'small'
+       WHEN s.amount > 50 AND s.amount <= 100 THEN 'medium' WHEN s.amount > 100 AND s.amount <= 500 THEN 'large'
+       WHEN s.amount > 500 AND s.amount <= 1000 THEN 'very_large' WHEN s.amount > 1000 THEN 'huge' END AS amount_category,
+  ROUND(c.city_fraud_rate, 6) AS city_fraud_rate, c.cat AS city_risk_category,
+  ROUND(st.state_fraud_rate, 6) AS state_fraud_rate, st.cat AS state_risk_category,
+  CAST(coalesce(c.cat = 'high_risk', false) AS INTEGER) AS high_risk_location,
+  CAST(s.card_cnt AS BIGINT) AS customer_transaction_count, ROUND(s.card_avg, 6) AS customer_avg_amount,
+  ROUND(CASE WHEN s.card_avg <> 0 THEN s.amount / s.card_avg END, 6) AS amount_deviation_from_avg,
+  ROUND(s.amount - s.prev_amount, 6) AS amount_diff_last_transaction, CAST(s.rn = 1 AS INTEGER) AS is_first_transaction,
+  ROUND(coalesce((s.us - s.prev_us) / 60000000.0, 99999.0), 6) AS time_since_last_transaction,
+  CAST(coalesce((s.us - s.prev_us) / 60000000.0, 99999.0) < 30 AS INTEGER) AS is_quick_transaction,
+  CAST(CASE WHEN s.card_rows > 1 THEN s.c24 ELSE 0 END AS BIGINT) AS transaction_count_last_24h,
+  ROUND(CASE WHEN s.prev_amount <> 0 THEN s.amount / s.prev_amount END, 6) AS amount_ratio_to_previous,
+  CAST(coalesce(CASE WHEN s.prev_amount <> 0 THEN s.amount / s.prev_amount END > 5
+       OR (s.prev_amount = 0 AND s.amount > 0), false) AS INTEGER) AS high_amount_increase,
+  CAST(least(abs(hour(s.transaction_ts) - s.card_avg_hour), 24 - abs(hour(s.transaction_ts) - s.card_avg_hour)) > 6
+       AS INTEGER) AS unusual_hour_for_customer
+FROM s JOIN city_fraud_rate_cat c ON s.transaction_id = c.transaction_id
+       JOIN state_fraud_rate_cat st ON s.transaction_id = st.transaction_id""")
+
+FE1_COLS = ["transaction_id", "hour_of_day", "day_of_week", "is_weekend", "month", "day_of_month", "period_of_day",
+            "is_night_time", "amount_log", "amount_category", "city_fraud_rate", "city_risk_category",
+            "state_fraud_rate", "state_risk_category", "high_risk_location", "customer_transaction_count",
+            "customer_avg_amount", "amount_deviation_from_avg", "amount_diff_last_transaction",
+            "is_first_transaction", "time_since_last_transaction", "is_quick_transaction",
+            "transaction_count_last_24h", "amount_ratio_to_previous", "high_amount_increase",
+            "unusual_hour_for_customer"]
+
+
+@reg("fe1_all_features", _FE1_SQL)
+def fe1_all_features(spark, sf):
+    return rounded(FT.create_all_features(tx_orders(spark, sf)).select(*FE1_COLS))
