@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_features"]
+MODULES = ["q_features", "q_eval"]
 
 
 def _load():
