@@ -254,7 +254,7 @@ def _psi_sql(col: str) -> str:
       * ln(greatest(c / CC, 0.0001) / greatest(r / RR, 0.0001))), 6) AS psi FROM (
   SELECT b, r, c, sum(r) OVER () AS RR, sum(c) OVER () AS CC FROM (
     SELECT b, sum(CASE WHEN NOT cur THEN 1 ELSE 0 END) AS r, sum(CASE WHEN cur THEN 1 ELSE 0 END) AS c FROM (
-      SELECT cur, len(list_filter(e, t -> x.v > t)) AS b FROM (
+      SELECT cur, len(list_filter(e, lambda t: x.v > t)) AS b FROM (
         SELECT CAST({col} AS DOUBLE) AS v, transaction_ts >= TIMESTAMP '2024-01-16' AS cur FROM scored WHERE {col} IS NOT NULL) x,
         (SELECT quantile_cont(CAST({col} AS DOUBLE), [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e
            FROM scored WHERE transaction_ts < TIMESTAMP '2024-01-16') q) GROUP BY b))"""
