@@ -106,7 +106,7 @@ def trend(df: DataFrame, freq: str = "daily", label: str = LABEL) -> DataFrame:
         periods = bounds.select(F.explode(seq).alias("period"))
     else:
         seq = F.sequence(F.trunc("lo", "month"), F.trunc("hi", "month"), F.expr("INTERVAL 1 MONTH"))
-        periods = bounds.select(F.last_day(F.explode(seq)).alias("period"))
+        periods = bounds.select(F.explode(seq).alias("m")).select(F.last_day("m").alias("period"))
     out = periods.join(g, "period", "left").select(
         "period", F.coalesce("total", F.lit(0)).cast("long").alias("total"),
         F.coalesce("fraud", F.lit(0)).cast("long").alias("fraud"))
@@ -255,3 +255,17 @@ def hash_sample(df: DataFrame, key: str, fraction: float, seed: int = 42) -> Dat
     """Deterministic sample: keep rows whose md5(key || seed) falls under the fraction."""
     u = F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long")
     return df.where(u < F.lit(int(fraction * (1 << 32))))
+
+
+# ---------------------------------------------------------------- AGG24
+def customer_history(df: DataFrame, key: str = "card_number", ts: str = TS, id_col: str = "transaction_id",
+                     value: str = AMOUNT, bucket_hours: int = 168) -> DataFrame:
+    """Mean of the card's earlier amounts, ratio of the amount to it, days per earlier transaction."""
+    from risklib.operators.keyed import running_history
+    h = running_history(df, [key], ts, id_col, value, bucket_hours)
+    mean = safe_div("prior_sum", "prior_values")
+    days = (F.col("_us") - F.col("first_us")) / F.lit(86_400_000_000.0)
+    return (h.withColumn("history_mean_amount", mean)
+             .withColumn("amount_to_history_ratio", safe_div(F.col(value), F.col("history_mean_amount")))
+             .withColumn("days_per_transaction", safe_div(days, F.col("prior_count")))
+             .drop("_us", "first_us", "prior_sum", "prior_values"))
