@@ -121,3 +121,27 @@ def running_history(df: DataFrame, keys: Sequence[str], ts_col: str, id_col: str
                .withColumn("prior_sum", F.when(F.col("_us").isNotNull(), F.col("_os") + F.col("_rs")))
                .withColumn("prior_values", F.when(F.col("_us").isNotNull(), F.col("_ov") + F.col("_rv")))
                .drop("_b", "_rc", "_rs", "_rv", "_oc", "_os", "_ov"))
+
+
+def hash_rank(df: DataFrame, part_cols: Sequence[str], key_col: str, seed: int = 42,
+              buckets: int = 4096) -> DataFrame:
+    """0-based rank of each row inside ``part_cols`` by md5(key || seed), ties by key.
+
+    Equivalent to ``row_number() over (partition by part order by md5) - 1``
+    but a class holding most rows is spread over ``buckets`` ranges of the
+    hash: per-(part, bucket) counts (small) give each range's offset and a
+    window partitioned by (part, bucket) ranks inside it. The md5 form is
+    reproducible in other engines.
+    """
+    part = list(part_cols)
+    h = F.md5(F.concat(F.col(key_col).cast("string"), F.lit(str(seed))))
+    d = (df.withColumn("_h", h)
+           .withColumn("_hb", F.floor(F.conv(F.substring("_h", 1, 6), 16, 10).cast("long") * buckets / F.lit(1 << 24)).cast("int")))
+    bc = d.groupBy(*part, "_hb").agg(F.count(F.lit(1)).alias("_bc"))
+    wb = Window.partitionBy(*part).orderBy("_hb").rowsBetween(Window.unboundedPreceding, -1)
+    bc = bc.select(*part, "_hb", F.coalesce(F.sum("_bc").over(wb), F.lit(0)).alias("_off"))
+    wr = Window.partitionBy(*part, "_hb").orderBy("_h", key_col)
+    r = d.withColumn("_rn", F.row_number().over(wr))
+    return (r.join(bc, part + ["_hb"], "left" if part else "inner")
+             .withColumn("hash_rank", F.col("_off") + F.col("_rn") - 1)
+             .drop("_h", "_hb", "_rn", "_off"))
