@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_features", "q_eval", "q_eda", "q_prep", "q_stream"]
+MODULES = ["q_features", "q_eval", "q_eda", "q_prep", "q_stream", "q_ml"]
 
 
 def _load():

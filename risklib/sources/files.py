@@ -16,8 +16,21 @@ def validate_schema(df: DataFrame, required=REQUIRED_COLUMNS) -> DataFrame:
     return df
 
 
-def read_transactions_csv(spark: SparkSession, path: str, schema: T.StructType = TRANSACTIONS) -> DataFrame:
-    """SRC1: header CSV with a declared schema (no inference pass over the data)."""
+def schema_for(columns, base: T.StructType = TRANSACTIONS) -> T.StructType:
+    """The declared schema restricted to ``columns`` in file order (CSV columns bind by position)."""
+    by_name = {f.name: f for f in base.fields}
+    return T.StructType([by_name.get(c, T.StructField(c, T.StringType(), True)) for c in columns])
+
+
+def read_transactions_csv(spark: SparkSession, path: str, schema: T.StructType = TRANSACTIONS,
+                          columns=None) -> DataFrame:
+    """SRC1: header CSV with a declared schema (no inference pass over the data).
+
+    ``columns`` gives the file's column order when it holds a subset of the
+    canonical columns.
+    """
+    if columns is not None:
+        schema = schema_for(columns, schema)
     df = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
     return validate_schema(df)
 
