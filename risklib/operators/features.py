@@ -79,23 +79,30 @@ def temporal_features(df: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- AGG1/AGG2/WIN10/WIN11
-def _rate_table(df: DataFrame, key: str, min_count: int, rate_name: str) -> DataFrame:
+def _rate_table(df: DataFrame, key: str, min_count: int, rate_name: str, global_mean: float | None) -> DataFrame:
     """Per-key rate of the label (groups under ``min_count`` labelled rows -> global mean)."""
-    global_mean = df.select(F.avg(LABEL)).scalar()
     st = df.groupBy(key).agg(F.avg(LABEL).alias("_r"), F.count(LABEL).alias("_n"),
                              F.count(F.lit(1)).alias("_rows"))
     rate = F.when(F.col(key).isNotNull() & (F.col("_n") >= min_count), F.col("_r"))
-    return st.select(key, "_rows", F.coalesce(rate, global_mean).alias(rate_name))
+    return st.select(key, "_rows", F.coalesce(rate, F.lit(global_mean).cast("double")).alias(rate_name))
+
+
+def _quartile_edges(stats: DataFrame, rate_col: str) -> list:
+    """Row-weighted quartile edges of a per-group rate (one small aggregate over the group table)."""
+    row = stats.agg(F.percentile(rate_col, F.array(*[F.lit(q) for q in QUARTILES]), F.col("_rows")).alias("e")).first()
+    return list(row["e"]) if row and row["e"] is not None else [None] * 5
 
 
 def _qcut4_or_fixed(rate_col: str, stats: DataFrame) -> "F.Column":
-    """qcut(rate, quartiles) over rows; when an edge repeats, fixed edges (as the reference's fallback)."""
-    e = stats.select(F.percentile(rate_col, F.array(*[F.lit(q) for q in QUARTILES]), F.col("_rows"))).scalar()
-    edges = [e[i] for i in range(5)]
-    strict = (edges[0] < edges[1]) & (edges[1] < edges[2]) & (edges[2] < edges[3]) & (edges[3] < edges[4])
-    q = cut(rate_col, edges, RISK_LABELS_4, include_lowest=True)
-    fixed = cut(rate_col, LOCATION_FALLBACK_EDGES, RISK_LABELS_4)
-    return F.when(strict, q).otherwise(fixed)
+    """qcut(rate, quartiles) over rows; when an edge repeats, fixed edges (as the reference's fallback).
+
+    The edges are fitted from the (small) per-group table and bound as
+    literals, so the branch is chosen once, at plan time.
+    """
+    e = _quartile_edges(stats, rate_col)
+    if all(x is not None for x in e) and all(e[i] < e[i + 1] for i in range(4)):
+        return cut(rate_col, e, RISK_LABELS_4, include_lowest=True)
+    return cut(rate_col, LOCATION_FALLBACK_EDGES, RISK_LABELS_4)
 
 
 def location_features(df: DataFrame, city: str = "merchant_city", state: str = "merchant_state",
@@ -103,9 +110,10 @@ def location_features(df: DataFrame, city: str = "merchant_city", state: str = "
     if not _has(df, city, state):
         return df
     if LABEL in df.columns:
-        cs = _rate_table(df, city, city_min, "city_fraud_rate")
+        global_mean = df.agg(F.avg(LABEL)).first()[0]
+        cs = _rate_table(df, city, city_min, "city_fraud_rate", global_mean)
         cs = cs.withColumn("city_risk_category", _qcut4_or_fixed("city_fraud_rate", cs)).drop("_rows")
-        ss = _rate_table(df, state, state_min, "state_fraud_rate")
+        ss = _rate_table(df, state, state_min, "state_fraud_rate", global_mean)
         ss = ss.withColumn("state_risk_category", _qcut4_or_fixed("state_fraud_rate", ss)).drop("_rows")
         df = attach_stats(attach_stats(df, cs, [city], null_safe=True), ss, [state], null_safe=True)
     if _has(df, "customer_zip", "merchant_zip"):
@@ -182,22 +190,22 @@ def merchant_features(df: DataFrame, merchant: str = "merchant_id") -> DataFrame
     if LABEL in df.columns:
         r = F.least(F.greatest(F.col("merchant_fraud_rate"), F.lit(0.0)), F.lit(1.0))
         st = st.withColumn("_rc", r)
-        # one scalar subquery: quartile edges (row-weighted) and number of distinct rates
-        one = st.select(F.struct(
-            F.percentile("_rc", F.array(*[F.lit(q) for q in QUARTILES]), F.col("_rows")).alias("e"),
-            F.count_distinct("_rc").alias("u"))).scalar()
-        e = [one["e"][i] for i in range(5)]
-        med = st.select(F.percentile("_rc", F.lit(0.5), F.col("_rows"))).scalar()
-        n_unique = one["u"]
+        # fitted once from the per-merchant table: row-weighted quartiles, median, distinct rates
+        one = st.agg(F.percentile("_rc", F.array(*[F.lit(q) for q in QUARTILES]), F.col("_rows")).alias("e"),
+                     F.percentile("_rc", F.lit(0.5), F.col("_rows")).alias("med"),
+                     F.count_distinct("_rc").alias("u")).first()
+        e, med, n_unique = list(one["e"] or [None] * 5), one["med"], one["u"]
         x = F.col("_rc")
-        strict = (e[0] < e[1]) & (e[1] < e[2]) & (e[2] < e[3]) & (e[3] < e[4])
-        q = cut(x, e, RISK_LABELS_4, include_lowest=True)
-        ladder = (F.when(x <= med / 2, "low_risk").when(x <= med, "medium_low_risk")
-                  .when(x <= med * 1.5, "medium_high_risk").otherwise("high_risk"))
-        two = F.when(x <= med, "low_risk").otherwise("high_risk")
-        three = F.when(x <= med * 0.5, "low_risk").when(x <= med * 1.5, "medium_risk").otherwise("high_risk")
-        cat = (F.when(n_unique >= 4, F.when(strict, q).otherwise(ladder))
-               .when(n_unique <= 2, two).otherwise(three))
+        m = F.lit(med).cast("double")
+        ladder = (F.when(x <= m / 2, "low_risk").when(x <= m, "medium_low_risk")
+                  .when(x <= m * 1.5, "medium_high_risk").otherwise("high_risk"))
+        if n_unique >= 4:
+            strict = all(v is not None for v in e) and all(e[i] < e[i + 1] for i in range(4))
+            cat = cut(x, e, RISK_LABELS_4, include_lowest=True) if strict else ladder
+        elif n_unique <= 2:
+            cat = F.when(x <= m, "low_risk").otherwise("high_risk")
+        else:
+            cat = F.when(x <= m * 0.5, "low_risk").when(x <= m * 1.5, "medium_risk").otherwise("high_risk")
         st = st.withColumn("merchant_risk_category", cat).drop("_rc")
     return attach_stats(df, st.drop("_rows"), [merchant])
 
