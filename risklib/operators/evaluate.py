@@ -80,11 +80,12 @@ def score_table(df: DataFrame, group_cols: Sequence[str] = (), y: str = Y, p: st
     s = s.withColumn("_bk", b)
     bt = s.groupBy(*g, "_bk").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
     wb = Window.partitionBy(*g).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    wg = Window.partitionBy(*g)  # bucket table: at most ``buckets`` rows per group
     bt = bt.select(*g, "_bk", F.coalesce(F.sum("_bp").over(wb), F.lit(0)).alias("_op"),
-                   F.coalesce(F.sum("_bn").over(wb), F.lit(0)).alias("_on"))
-    tot = s.groupBy(*g).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+                   F.coalesce(F.sum("_bn").over(wb), F.lit(0)).alias("_on"),
+                   F.sum("_bp").over(wg).alias("P"), F.sum("_bn").over(wg).alias("N"))
     wi = Window.partitionBy(*g, "_bk").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    s = s.join(bt, g + ["_bk"]).join(tot, g)
+    s = s.join(bt, g + ["_bk"])
     return (s.withColumn("pos_below", F.col("_op") + F.coalesce(F.sum("pos").over(wi), F.lit(0)))
              .withColumn("neg_below", F.col("_on") + F.coalesce(F.sum("neg").over(wi), F.lit(0)))
              .drop("_bk", "_op", "_on"))
@@ -99,14 +100,16 @@ def ranking_metrics(df: DataFrame, group_cols: Sequence[str] = (), y: str = Y, p
     st = score_table(df, g, y, p)
     tp = F.col("P") - F.col("pos_below")          # positives with score >= s
     fp = F.col("N") - F.col("neg_below")
+    sc = F.col("score")
     agg = st.groupBy(*g, "P", "N").agg(
         F.sum(F.col("pos") * (F.col("neg_below") + 0.5 * F.col("neg"))).alias("_u"),
-        F.sum(F.col("pos") * tp / (tp + fp)).alias("_ap"))
+        F.sum(F.col("pos") * tp / (tp + fp)).alias("_ap"),
+        # Brier from the same (score, pos, neg) table: positives add (1 - s)^2, negatives s^2
+        F.sum(F.col("pos") * F.pow(1 - sc, 2) + F.col("neg") * F.pow(sc, 2)).alias("_b"))
     auc = F.when((F.col("P") > 0) & (F.col("N") > 0), F.col("_u") / (F.col("P") * F.col("N")))
     ap = F.when(F.col("P") > 0, F.col("_ap") / F.col("P"))
-    brier = df.groupBy(*g).agg(F.avg(F.pow(F.col(p) - F.col(y), 2)).alias("brier_score"))
-    out = agg.select(*g, auc.alias("roc_auc"), ap.alias("average_precision"))
-    return out.join(brier, g)
+    brier = F.col("_b") / (F.col("P") + F.col("N"))
+    return agg.select(*g, auc.alias("roc_auc"), ap.alias("average_precision"), brier.alias("brier_score"))
 
 
 # ---------------------------------------------------------------- EVA6/EVA7

@@ -470,12 +470,13 @@ def sco10_risk_factor_table(spark, sf):
 
 
 # ---------------------------------------------------------------- SCO6
-_RC_CONTRIB = {
-    "Transaction Amount": F.lit(0.32),
-    "Merchant Category": F.lit(0.12),
-    "Previous Transactions": F.when(F.col("customer_transaction_count") > 10, -0.18).otherwise(0.22),
-    "Unusual Hour": F.when((F.hour("transaction_ts") < 5) | (F.hour("transaction_ts") > 22), 0.15).otherwise(-0.05),
-}
+def _rc_contrib():
+    return {
+        "Transaction Amount": F.lit(0.32),
+        "Merchant Category": F.lit(0.12),
+        "Previous Transactions": F.when(F.col("customer_transaction_count") > 10, -0.18).otherwise(0.22),
+        "Unusual Hour": F.when((F.hour("transaction_ts") < 5) | (F.hour("transaction_ts") > 22), 0.15).otherwise(-0.05),
+    }
 
 
 @reg("sco6_reason_codes", EV + """, c AS (SELECT transaction_id, card_number, transaction_ts,
@@ -490,7 +491,7 @@ SELECT transaction_id,
 FROM w GROUP BY transaction_id""")
 def sco6_reason_codes(spark, sf):
     t = FT.customer_behavior_features(tx_events(spark, sf))
-    return SCO.reason_codes(t, _RC_CONTRIB).select("transaction_id", "top_positive", "top_negative")
+    return SCO.reason_codes(t, _rc_contrib()).select("transaction_id", "top_positive", "top_negative")
 
 
 # ---------------------------------------------------------------- SCO9

@@ -98,9 +98,12 @@ def eva18_evaluation_bundle(spark, sf):
     tr, te = _prepared(spark, sf, balance="weights")
     m = M.create_model("logistic", {"class_weight": "balanced"}, weight="weight").fit(tr)
     s = M.score(m, te, keep=["label"]).withColumnRenamed("label", "true_label").persist()
-    mt = EV_.classification_metrics(s, 0.5).withColumn("_g", F.lit(0))
-    rk = EV_.ranking_metrics(s).withColumn("_g", F.lit(0))
-    return rounded(mt.join(rk, "_g").drop("_g"))
+    cols = ["accuracy", "precision", "recall", "f1", "specificity", "false_positive_rate", "balanced_accuracy"]
+    mt = EV_.classification_metrics(s, 0.5).select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in cols])).alias("x"))
+    rk = EV_.ranking_metrics(s).select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in ("roc_auc", "average_precision", "brier_score")])).alias("x"))
+    return rounded(mt.unionByName(rk).select("x.metric", "x.value"))
 
 
 # ---------------------------------------------------------------- MOD3/MOD7/REG*
