@@ -160,7 +160,7 @@ def box_stats(df: DataFrame, col: str, by: str = LABEL) -> DataFrame:
     x = F.col(col).cast("double")
     q = df.groupBy(by).agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
     q = q.select(by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
-    j = df.select(by, x.alias("_x")).join(q, by)
+    j = df.select(by, x.alias("_x")).join(F.broadcast(q), by)  # one row per class
     iqr = F.col("q3") - F.col("q1")
     lo_f, hi_f = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr
     return j.groupBy(by, "q1", "median", "q3").agg(

@@ -142,6 +142,7 @@ def hash_rank(df: DataFrame, part_cols: Sequence[str], key_col: str, seed: int =
     bc = bc.select(*part, "_hb", F.coalesce(F.sum("_bc").over(wb), F.lit(0)).alias("_off"))
     wr = Window.partitionBy(*part, "_hb").orderBy("_h", key_col)
     r = d.withColumn("_rn", F.row_number().over(wr))
-    return (r.join(bc, part + ["_hb"], "left" if part else "inner")
+    # bc has at most (#partitions of ``part``) x buckets rows: a proven bound, so it is broadcast
+    return (r.join(F.broadcast(bc), part + ["_hb"], "inner")
              .withColumn("hash_rank", F.col("_off") + F.col("_rn") - 1)
              .drop("_h", "_hb", "_rn", "_off"))

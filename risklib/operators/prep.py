@@ -80,7 +80,7 @@ def stratified_split(df: DataFrame, key: str, label: str = LABEL, test_size: flo
     """Adds ``is_test``: per class, the first round(n_c * test_size) rows by md5(key || seed)."""
     r = hash_rank(df, [label], key, seed)
     n = r.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    r = r.join(n, label)
+    r = r.join(F.broadcast(n), label)  # one row per class
     ntest = F.round(F.col("_n") * F.lit(test_size)).cast("long")
     return r.withColumn("is_test", (F.col("hash_rank") < ntest).cast("int")).drop("_n", "hash_rank")
 
@@ -124,5 +124,5 @@ def random_undersample(df: DataFrame, key: str, label: str = LABEL, seed: int =
 def class_weights(df: DataFrame, label: str = LABEL, out: str = "weight") -> DataFrame:
     """'balanced' weights n / (2 * n_c) as a column (for ``weightCol``)."""
     n = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-    total = df.select(F.count(F.lit(1))).scalar()
-    return df.join(n, label).withColumn(out, total / (F.lit(2.0) * F.col("_nc"))).drop("_nc")
+    n = n.withColumn("_w", F.sum("_nc").over(Window.partitionBy()) / (F.lit(2.0) * F.col("_nc")))  # one row per class
+    return df.join(F.broadcast(n.select(label, F.col("_w").alias(out))), label)
