@@ -205,7 +205,7 @@ def linear_attribution(model, df: DataFrame, feature_names: Sequence[str], key:
     """Closed-form attribution of a linear model: coef_j * (x_j - mean_j), long form per row."""
     coefs = [float(c) for c in model.coefficients.toArray()]
     arr = vector_to_array(F.col(features))
-    means = df.select(F.struct(*[F.avg(arr[i]).alias(f"m{i}") for i in range(len(coefs))])).scalar()
-    rows = F.array(*[F.struct(F.lit(n).alias("feature"), (F.lit(coefs[i]) * (arr[i] - means[f"m{i}"])).alias("contribution"))
+    means = df.agg(*[F.avg(arr[i]).alias(f"m{i}") for i in range(len(coefs))]).first()
+    rows = F.array(*[F.struct(F.lit(n).alias("feature"), (F.lit(coefs[i]) * (arr[i] - F.lit(means[f"m{i}"]))).alias("contribution"))
                      for i, n in enumerate(feature_names)])
     return df.select(key, F.explode(rows).alias("x")).select(key, "x.feature", "x.contribution")

@@ -47,15 +47,13 @@ def transaction_velocity_features(df: DataFrame, time_windows=(1, 6, 24), key_co
         return df
     ranges = {f"tx_count_{w}h": (-int(w * HOUR_US), -1) for w in time_windows}
     out = sequence_stage(df, list(key_columns), TS, ID, ranges=ranges, bucket_hours=bucket_hours)
-    out = out.drop("_prev", "_us")
-    for w in time_windows:
-        c = f"tx_count_{w}h"
-        out = out.withColumn(c, F.col(c).cast("long"))
-    p95 = out.select(F.struct(*[F.percentile(f"tx_count_{w}h", VELOCITY_QUANTILE).alias(str(w))
-                                for w in time_windows])).scalar()
-    for w in time_windows:
-        out = out.withColumn(f"high_velocity_{w}h", flag(F.col(f"tx_count_{w}h") > p95[str(w)]))
-    return out
+    out = out.drop("_prev", "_us").withColumns({f"tx_count_{w}h": F.col(f"tx_count_{w}h").cast("long")
+                                               for w in time_windows})
+    # p95 of each count, fitted by one aggregate (column-pruned: only keys, time and the counts are
+    # read) and bound as literals; percentile's buffer is bounded by the number of distinct counts
+    p95 = out.agg(*[F.percentile(f"tx_count_{w}h", VELOCITY_QUANTILE).alias(str(w)) for w in time_windows]).first()
+    return out.withColumns({f"high_velocity_{w}h": flag(F.col(f"tx_count_{w}h") > F.lit(p95[str(w)]))
+                            for w in time_windows})
 
 
 def _freq_map(df: DataFrame, key: str, value_col, name: str) -> DataFrame:
@@ -65,22 +63,41 @@ def _freq_map(df: DataFrame, key: str, value_col, name: str) -> DataFrame:
                               F.sum("_c").alias(f"{name}_total"))
 
 
+def _hour_dow_maps(df: DataFrame) -> DataFrame:
+    hm = _freq_map(df, CARD, F.hour(TS), "_hour")
+    dm = (df.where(F.col(TS).isNotNull()).groupBy(CARD, weekday(TS).alias("_v"))
+            .agg(F.count(F.lit(1)).alias("_c"))
+            .groupBy(CARD).agg(F.map_from_entries(F.collect_list(F.struct("_v", "_c"))).alias("__dow_map")))
+    return hm.join(dm, CARD, "left")
+
+
+def card_profile(df: DataFrame, mcc: str = "mcc") -> DataFrame:
+    """All card-level statistics of FE2 in one card-keyed table (aggregates joined on the same key,
+    so they are co-partitioned): amount mean/sd, MCC / hour / weekday count maps."""
+    st = df.groupBy(CARD).agg(F.avg(AMOUNT).alias("_m"), F.stddev_samp(AMOUNT).alias("_sd"))
+    parts = [st, _hour_dow_maps(df)]
+    if mcc in df.columns:
+        parts.append(_freq_map(df, CARD, F.col(mcc), "_mcc"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(p, CARD, "left")
+    return out
+
+
 # ---------------------------------------------------------------- AGG10/AGG6/JN3/SCO1
 def behavioral_pattern_features(df: DataFrame, mcc: str = "mcc") -> DataFrame:
     df = resolve_timestamp(df)
     if not _has(df, TS, CARD, AMOUNT, mcc):
         return df
-    st = df.groupBy(CARD).agg(F.avg(AMOUNT).alias("_m"), F.stddev_samp(AMOUNT).alias("_sd"))
-    mm = _freq_map(df, CARD, F.col(mcc), "_mcc")
-    stats = st.join(mm, CARD, "left")
-    df = attach_stats(df, stats, [CARD])
+    if "_mcc_map" not in df.columns:  # not pre-joined by create_all_advanced_features
+        st = df.groupBy(CARD).agg(F.avg(AMOUNT).alias("_m"), F.stddev_samp(AMOUNT).alias("_sd"))
+        df = attach_stats(df, st.join(_freq_map(df, CARD, F.col(mcc), "_mcc"), CARD, "left"), [CARD])
     z = F.when(F.col("_sd") > 0, (F.col(AMOUNT) - F.col("_m")) / F.col("_sd")).otherwise(F.lit(0.0))
     freq = F.try_divide(F.try_element_at(F.col("_mcc_map"), F.col(mcc)).cast("double"), F.col("_mcc_total"))
-    return (df.withColumn("amount_zscore", z)
-              .withColumn("unusual_amount", flag(F.abs("amount_zscore") > Z_UNUSUAL))
-              .withColumn("mcc_frequency", F.coalesce(freq, F.lit(0.0)))
-              .withColumn("unusual_mcc", F.when(freq.isNull(), F.lit(1)).otherwise(flag(freq < MCC_UNUSUAL)))
-              .withColumn("behavior_risk_score", F.col("unusual_amount") * 0.6 + F.col("unusual_mcc") * 0.4)
+    ua = flag(F.abs(z) > Z_UNUSUAL)
+    um = F.when(freq.isNull(), F.lit(1)).otherwise(flag(freq < MCC_UNUSUAL))
+    return (df.withColumns({"amount_zscore": z, "unusual_amount": ua, "mcc_frequency": F.coalesce(freq, F.lit(0.0)),
+                            "unusual_mcc": um, "behavior_risk_score": ua * 0.6 + um * 0.4})
               .drop("_m", "_sd", "_mcc_map", "_mcc_total"))
 
 
@@ -89,25 +106,19 @@ def temporal_pattern_features(df: DataFrame) -> DataFrame:
     df = resolve_timestamp(df)
     if TS not in df.columns:
         return df
-    df = (df.withColumn("hour", F.hour(TS))
-            .withColumn("day", F.dayofmonth(TS))
-            .withColumn("day_of_week", weekday(TS))
-            .withColumn("is_weekend", flag(F.col("day_of_week") >= 5))
-            .withColumn("period_of_day", period_of_day_a("hour", PERIOD_LABELS_PT)))
+    h = F.hour(TS)
+    df = df.withColumns({"hour": h, "day": F.dayofmonth(TS), "day_of_week": weekday(TS),
+                         "is_weekend": flag(weekday(TS) >= 5), "period_of_day": period_of_day_a(h, PERIOD_LABELS_PT)})
     if CARD in df.columns:
-        hm = _freq_map(df, CARD, F.col("hour"), "_hour")
-        dm = (df.where(F.col("day_of_week").isNotNull()).groupBy(CARD, F.col("day_of_week").alias("_v"))
-                .agg(F.count(F.lit(1)).alias("_c"))
-                .groupBy(CARD).agg(F.map_from_entries(F.collect_list(F.struct("_v", "_c"))).alias("__dow_map")))
-        df = attach_stats(df, hm.join(dm, CARD, "left"), [CARD])
+        if "_hour_map" not in df.columns:  # not pre-joined by create_all_advanced_features
+            df = attach_stats(df, _hour_dow_maps(df), [CARD])
         # the weekday share is divided by the card's hour-count total, as in the reference
         hf = F.try_divide(F.try_element_at("_hour_map", F.col("hour")).cast("double"), F.col("_hour_total"))
         dfq = F.try_divide(F.try_element_at("__dow_map", F.col("day_of_week")).cast("double"), F.col("_hour_total"))
-        df = (df.withColumn("hour_frequency", F.coalesce(hf, F.lit(0.0)))
-                .withColumn("unusual_hour", flag(F.col("hour_frequency") < HOUR_UNUSUAL))
-                .withColumn("dow_frequency", F.coalesce(dfq, F.lit(0.0)))
-                .withColumn("unusual_day", flag(F.col("dow_frequency") < DAY_UNUSUAL))
-                .withColumn("temporal_risk_score", F.col("unusual_hour") * 0.7 + F.col("unusual_day") * 0.3)
+        hfc, dfc = F.coalesce(hf, F.lit(0.0)), F.coalesce(dfq, F.lit(0.0))
+        uh, ud = flag(hfc < HOUR_UNUSUAL), flag(dfc < DAY_UNUSUAL)
+        df = (df.withColumns({"hour_frequency": hfc, "unusual_hour": uh, "dow_frequency": dfc, "unusual_day": ud,
+                              "temporal_risk_score": uh * 0.7 + ud * 0.3})
                 .drop("_hour_map", "_hour_total", "__dow_map"))
     return df.withColumn("high_risk_time_pattern",
                          flag(F.col("period_of_day").isin("madrugada", "noite") & (F.col("is_weekend") == 1)))
@@ -126,14 +137,25 @@ def fraud_detection_score(df: DataFrame, weights: dict | None = None) -> DataFra
         term = F.col(f) * F.lit(weights[f] / total)
         score = term if score is None else score + term
     # rounded to 6 dp before banding, so a score of exactly 75 is not 75.00000000000001
-    return (df.withColumn("fraud_risk_score", F.round(score * 100, 6))
-              .withColumn("risk_category", cut("fraud_risk_score", [0, 25, 50, 75, 100], RISK_CATEGORY_LABELS,
-                                               include_lowest=True)))
+    sc = F.round(score * 100, 6)
+    return df.withColumns({"fraud_risk_score": sc,
+                           "risk_category": cut(sc, [0, 25, 50, 75, 100], RISK_CATEGORY_LABELS, include_lowest=True)})
 
 
 # ---------------------------------------------------------------- FE2
 def create_all_advanced_features(df: DataFrame, bucket_hours: int = 168) -> DataFrame:
+    """velocity -> behaviour -> temporal patterns -> score.
+
+    The row table is shuffled twice: once by (card, time bucket) for the
+    velocity windows and once by card for the single card-profile join.
+    """
+    df = resolve_timestamp(df)
+    if not all(c in df.columns for c in (CARD, TS, AMOUNT)):
+        df = transaction_velocity_features(df, bucket_hours=bucket_hours)
+        return fraud_detection_score(temporal_pattern_features(behavioral_pattern_features(df)))
+    profile = card_profile(df)            # from the input rows, not from the windowed output
     df = transaction_velocity_features(df, bucket_hours=bucket_hours)
+    df = attach_stats(df, profile, [CARD])
     df = behavioral_pattern_features(df)
     df = temporal_pattern_features(df)
-    return fraud_detection_score(df)
+    return fraud_detection_score(df).drop(*[c for c in df.columns if c.startswith("_")])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from risklib.functions.exprs import cut, flag, period_of_day_b, weekday
+from risklib.functions.fitted import fit_row, lit
 from risklib.operators.features import AMOUNT_EDGES_5, AMOUNT_LABELS_5, resolve_timestamp
 from risklib.schema import AMOUNT, LABEL, TS, numeric_columns, string_columns
 
@@ -30,13 +31,14 @@ def impute(df: DataFrame, numeric: Sequence[str] | None = None, strings: Sequenc
         return df
     fills = [F.median(F.col(c)).alias(f"n{i}") for i, c in enumerate(numeric)]
     fills += [F.mode(F.col(c), True).alias(f"s{i}") for i, c in enumerate(strings)]
-    one = df.select(F.struct(*fills)).scalar()
+    one = fit_row(df, *fills)
+    types = dict(df.dtypes)
     out = []
     for c in df.columns:
         if c in numeric:
-            out.append(F.coalesce(F.col(c), one[f"n{numeric.index(c)}"].cast(dict(df.dtypes)[c])).alias(c))
+            out.append(F.coalesce(F.col(c), F.lit(one[f"n{numeric.index(c)}"]).cast(types[c])).alias(c))
         elif c in strings:
-            out.append(F.coalesce(F.col(c), one[f"s{strings.index(c)}"]).alias(c))
+            out.append(F.coalesce(F.col(c), F.lit(one[f"s{strings.index(c)}"]).cast("string")).alias(c))
         else:
             out.append(F.col(c))
     return df.select(*out)
@@ -72,9 +74,9 @@ def datetime_extractor(df: DataFrame) -> DataFrame:
 def custom_extractor(df: DataFrame) -> DataFrame:
     """SCL3/AGG11/SCL9: 5-band amount, global z-score (sample sd), outlier flag, weekend early-morning flag."""
     if AMOUNT in df.columns:
-        st = df.select(F.struct(F.avg(AMOUNT).alias("m"), F.stddev_samp(AMOUNT).alias("s"))).scalar()
+        st = fit_row(df, F.avg(AMOUNT).alias("m"), F.stddev_samp(AMOUNT).alias("s"))
         df = (df.withColumn("amount_band5", cut(AMOUNT, AMOUNT_EDGES_5, AMOUNT_LABELS_5))
-                .withColumn("amount_zscore_global", F.try_divide(F.col(AMOUNT) - st["m"], st["s"]))
+                .withColumn("amount_zscore_global", F.try_divide(F.col(AMOUNT) - lit(st["m"]), lit(st["s"])))
                 .withColumn("is_amount_outlier", flag(F.abs("amount_zscore_global") > 3)))
     if "is_weekend" in df.columns and "period_of_day_b" in df.columns:
         df = df.withColumn("high_risk_time", flag((F.col("is_weekend") == 1) & (F.col("period_of_day_b") == "early_morning")))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from risklib.functions.exprs import safe_div, weekday
+from risklib.functions.fitted import fit_row, lit
 from risklib.schema import AMOUNT, LABEL, TS, numeric_columns
 
 # Day names in weekday order (Monday = 0).
@@ -146,10 +147,10 @@ def pair_rate_pivot(df: DataFrame, row: str, col: str, values: Sequence, min_cou
 def histogram(df: DataFrame, col: str, bins: int = 20, by: str | None = LABEL) -> DataFrame:
     """Equal-width bins over [min, max] (last bin closed), counts per bin and class."""
     x = F.col(col).cast("double")
-    mm = df.select(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"))).scalar()
-    lo, hi = mm["lo"], mm["hi"]
+    mm = fit_row(df, F.min(x).alias("lo"), F.max(x).alias("hi"))
+    lo, hi = lit(mm["lo"]), lit(mm["hi"])
     w = (hi - lo) / bins
-    b = F.when(hi == lo, F.lit(0)).otherwise(F.least(F.floor((x - lo) / w), F.lit(bins - 1))).cast("int")
+    b = (F.lit(0) if mm["lo"] == mm["hi"] else F.least(F.floor((x - lo) / w), F.lit(bins - 1))).cast("int")
     keys = [b.alias("bin")] + ([F.col(by)] if by else [])
     g = df.where(x.isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("count"))
     return g.withColumn("bin_lo", lo + F.col("bin") * w).withColumn("bin_hi", lo + (F.col("bin") + 1) * w)
@@ -246,7 +247,7 @@ def hotspots(df: DataFrame, city: str, state: str, label: str = LABEL) -> DataFr
 # ---------------------------------------------------------------- FLT3
 def look_back(df: DataFrame, period: str = "7 days", anchor=None) -> DataFrame:
     """Rows in (anchor - period, anchor]; anchor defaults to max(event time) (scalar subquery)."""
-    a = anchor if anchor is not None else df.select(F.max(TS)).scalar()
+    a = anchor if anchor is not None else F.lit(fit_row(df, F.max(TS))[0])
     return df.where((F.col(TS) > a - F.expr(f"INTERVAL {period}")) & (F.col(TS) <= a))
 
 

@@ -257,14 +257,15 @@ def psi(df: DataFrame, features: Sequence[str], split, bins: int = 10, eps: floa
     out = []
     for f in features:
         x = F.col(f).cast("double")
-        edges = df.where(~is_cur).select(F.percentile(x, F.array(*[F.lit(q) for q in qs]))).scalar()
-        b = sum(F.when(x > edges[i], 1).otherwise(0) for i in range(len(qs)))
+        edges = df.where(~is_cur).agg(F.percentile(x, F.array(*[F.lit(q) for q in qs]))).first()[0]
+        b = sum(F.when(x > F.lit(edges[i]), 1).otherwise(0) for i in range(len(qs)))
         g = (df.where(x.isNotNull()).groupBy(b.alias("bin"))
                .agg(F.sum(F.when(~is_cur, 1).otherwise(0)).alias("_r"), F.sum(F.when(is_cur, 1).otherwise(0)).alias("_c")))
-        tot = g.select(F.struct(F.sum("_r").alias("R"), F.sum("_c").alias("C"))).scalar()
-        ref = F.greatest(F.col("_r") / tot["R"], F.lit(eps))
-        cur = F.greatest(F.col("_c") / tot["C"], F.lit(eps))
-        out.append(g.agg(F.sum((cur - ref) * F.log(cur / ref)).alias("psi")).select(F.lit(f).alias("feature"), "psi"))
+        wa = Window.partitionBy()  # g has at most ``bins`` rows
+        ref = F.greatest(F.col("_r") / F.sum("_r").over(wa), F.lit(eps))
+        cur = F.greatest(F.col("_c") / F.sum("_c").over(wa), F.lit(eps))
+        terms = g.select(((cur - ref) * F.log(cur / ref)).alias("t"))
+        out.append(terms.agg(F.sum("t").alias("psi")).select(F.lit(f).alias("feature"), "psi"))
     res = out[0]
     for o in out[1:]:
         res = res.unionByName(o)

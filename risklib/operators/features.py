@@ -69,13 +69,9 @@ def temporal_features(df: DataFrame) -> DataFrame:
     if TS not in df.columns:
         return df
     h = F.hour(TS)
-    return (df.withColumn("hour_of_day", h)
-              .withColumn("day_of_week", weekday(TS))
-              .withColumn("is_weekend", flag(F.col("day_of_week").isin(5, 6)))
-              .withColumn("month", F.month(TS))
-              .withColumn("day_of_month", F.dayofmonth(TS))
-              .withColumn("period_of_day", period_of_day_a("hour_of_day"))
-              .withColumn("is_night_time", flag(((h >= 0) & (h < 6)) | (h >= 22))))
+    return df.withColumns({"hour_of_day": h, "day_of_week": weekday(TS), "is_weekend": flag(weekday(TS).isin(5, 6)),
+                           "month": F.month(TS), "day_of_month": F.dayofmonth(TS), "period_of_day": period_of_day_a(h),
+                           "is_night_time": flag(((h >= 0) & (h < 6)) | (h >= 22))})
 
 
 # ---------------------------------------------------------------- AGG1/AGG2/WIN10/WIN11
@@ -168,11 +164,11 @@ def customer_behavior_features(df: DataFrame) -> DataFrame:
         return df
     df, own = _with_context(df)
     p = f"{CTX_PREFIX}"
-    df = (df.withColumn("customer_transaction_count", F.col(f"{p}cnt"))
-            .withColumn("customer_avg_amount", F.col(f"{p}avg_amount"))
-            .withColumn("amount_deviation_from_avg", safe_div(AMOUNT, f"{p}avg_amount"))
-            .withColumn("amount_diff_last_transaction", F.col(AMOUNT) - F.col(f"{p}prev.{AMOUNT}"))
-            .withColumn("is_first_transaction", F.col(f"{p}prev").isNull().cast("int")))
+    df = df.withColumns({"customer_transaction_count": F.col(f"{p}cnt"),
+                         "customer_avg_amount": F.col(f"{p}avg_amount"),
+                         "amount_deviation_from_avg": safe_div(AMOUNT, f"{p}avg_amount"),
+                         "amount_diff_last_transaction": F.col(AMOUNT) - F.col(f"{p}prev.{AMOUNT}"),
+                         "is_first_transaction": F.col(f"{p}prev").isNull().cast("int")})
     return drop_context(df) if own else df
 
 
@@ -240,11 +236,10 @@ def velocity_features(df: DataFrame) -> DataFrame:
         return df
     df, own = _with_context(df)
     p = CTX_PREFIX
-    gap = (F.col(f"{p}us") - F.col(f"{p}prev._us")) / F.lit(60_000_000.0)
-    df = (df.withColumn("time_since_last_transaction", F.coalesce(gap, F.lit(float(NO_PREVIOUS_MINUTES))))
-            .withColumn("is_quick_transaction", flag(F.col("time_since_last_transaction") < QUICK_MINUTES))
-            .withColumn("transaction_count_last_24h",
-                        F.when(F.col(f"{p}rows") > 1, F.col(f"{p}cnt24_incl")).otherwise(F.lit(0)).cast("long")))
+    gap = F.coalesce((F.col(f"{p}us") - F.col(f"{p}prev._us")) / F.lit(60_000_000.0), F.lit(float(NO_PREVIOUS_MINUTES)))
+    df = df.withColumns({"time_since_last_transaction": gap, "is_quick_transaction": flag(gap < QUICK_MINUTES),
+                         "transaction_count_last_24h":
+                             F.when(F.col(f"{p}rows") > 1, F.col(f"{p}cnt24_incl")).otherwise(F.lit(0)).cast("long")})
     return drop_context(df) if own else df
 
 
@@ -256,9 +251,9 @@ def fraud_pattern_features(df: DataFrame) -> DataFrame:
     p = CTX_PREFIX
     if AMOUNT in df.columns:
         prev = F.col(f"{p}prev.{AMOUNT}")
-        df = (df.withColumn("amount_ratio_to_previous", safe_div(AMOUNT, prev))
-                .withColumn("high_amount_increase",
-                            flag((F.col("amount_ratio_to_previous") > 5) | ((prev == 0) & (F.col(AMOUNT) > 0)))))
+        ratio = safe_div(AMOUNT, prev)
+        df = df.withColumns({"amount_ratio_to_previous": ratio,
+                             "high_amount_increase": flag((ratio > 5) | ((prev == 0) & (F.col(AMOUNT) > 0)))})
     if "hour_of_day" in df.columns:
         d = cyclic_distance("hour_of_day", f"{p}avg_hour")
         df = df.withColumn("unusual_hour_for_customer", flag(d > 6))

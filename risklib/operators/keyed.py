@@ -61,25 +61,22 @@ def sequence_stage(df: DataFrame, keys: Sequence[str], ts_col: str, id_col: str,
     max_back = max([-lo for lo, _ in ranges.values()] + [0])
     if max_back > bucket_us:
         bucket_us = max_back
-    base = (df.withColumn("_us", F.unix_micros(F.col(ts_col)))
-              .withColumn("_b", F.floor(F.col("_us") / F.lit(bucket_us)))
-              .withColumn("_own", F.lit(True)))
+    us = F.unix_micros(F.col(ts_col))
+    base = df.withColumns({"_us": us, "_b": F.floor(us / F.lit(bucket_us)), "_own": F.lit(True)})
     prev_fields = [F.col(c) for c in prev_cols] + [F.col("_us")]
     ctx_cols = list(dict.fromkeys(keys + [id_col, "_us", "_b"] + list(prev_cols)))
     u = base
     if max_back > 0:
         ctx = (base.where(F.col("_us") >= (F.col("_b") + 1) * F.lit(bucket_us) - F.lit(max_back))
-                   .select(*ctx_cols)
-                   .withColumn("_b", F.col("_b") + 1)
-                   .withColumn("_own", F.lit(False)))
+                   .select(*ctx_cols).withColumns({"_b": F.col("_b") + 1, "_own": F.lit(False)}))
         u = base.unionByName(ctx, allowMissingColumns=True)
     part = keys + ["_b"]
     w_row = Window.partitionBy(*part).orderBy("_us", id_col)
-    out = u.withColumn("_lag", F.lag(F.struct(*prev_fields)).over(w_row))
+    cols = {"_lag": F.lag(F.struct(*prev_fields)).over(w_row)}
     for name, (lo, hi) in ranges.items():
         w = Window.partitionBy(*part).orderBy("_us").rangeBetween(lo, hi)
-        out = out.withColumn(name, F.when(F.col("_us").isNotNull(), F.count(F.lit(1)).over(w)).otherwise(F.lit(0)))
-    out = out.where("_own")
+        cols[name] = F.when(F.col("_us").isNotNull(), F.count(F.lit(1)).over(w)).otherwise(F.lit(0))
+    out = u.withColumns(cols).where("_own")
     # previous row for the first row of a bucket: last row of the previous non-empty bucket
     last = (base.where(F.col("_us").isNotNull()).groupBy(*part)
                 .agg(F.max_by(F.struct(*prev_fields), F.struct("_us", id_col)).alias("_last")))

@@ -48,7 +48,7 @@ def target_encode_oof(df: DataFrame, col: str, fold_col: str = "fold", label: st
     """Out-of-fold mean of the label per level: statistics of the other folds only, smoothed
     towards the global rate with weight ``smoothing``. Levels unseen outside the fold get the prior."""
     out = out or f"{col}_te"
-    prior = df.select(F.avg(F.col(label).cast("double"))).scalar()
+    prior = F.lit(df.agg(F.avg(F.col(label).cast("double"))).first()[0]).cast("double")
     per = df.groupBy(col, fold_col).agg(F.sum(label).alias("_sf"), F.count(label).alias("_nf"))
     tot = per.groupBy(col).agg(F.sum("_sf").alias("_sa"), F.sum("_nf").alias("_na"))
     st = per.join(tot, col)
@@ -62,14 +62,14 @@ def target_encode_oof(df: DataFrame, col: str, fold_col: str = "fold", label: st
 def standard_scale(df: DataFrame, cols: Sequence[str] | None = None, target: str = LABEL) -> DataFrame:
     """z = (x - mean) / population sd (sd 0 -> divisor 1), all statistics from one aggregate."""
     cols = [c for c in (cols or numeric_columns(df)) if c != target]
-    st = df.select(F.struct(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(f"c{i}")
-                              for i, c in enumerate(cols)])).scalar()
+    st = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
+                *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)]).first()
     sel = []
     for c in df.columns:
         if c in cols:
-            s = st[f"c{cols.index(c)}"]
-            sd = F.when(s["s"] == 0, F.lit(1.0)).otherwise(s["s"])
-            sel.append(((F.col(c) - s["m"]) / sd).alias(c))
+            i = cols.index(c)
+            sd = st[f"s{i}"] if st[f"s{i}"] else 1.0
+            sel.append(((F.col(c) - F.lit(st[f"m{i}"])) / F.lit(sd)).alias(c))
         else:
             sel.append(F.col(c))
     return df.select(*sel)
@@ -93,12 +93,9 @@ def kfold(df: DataFrame, key: str, k: int = 5, label: str | None = LABEL, seed:
 
 # ---------------------------------------------------------------- BAL3/BAL4/BAL5
 def _class_counts(df: DataFrame, label: str):
-    c = df.select(F.struct(F.sum(F.col(label).cast("long")).alias("pos"),
-                           F.sum(1 - F.col(label).cast("long")).alias("neg"))).scalar()
-    minority = F.when(c["pos"] <= c["neg"], F.lit(1)).otherwise(F.lit(0))
-    n_min = F.least(c["pos"], c["neg"])
-    n_maj = F.greatest(c["pos"], c["neg"])
-    return minority, n_min, n_maj
+    c = df.agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg")).first()
+    pos, neg = c["pos"] or 0, c["neg"] or 0
+    return F.lit(1 if pos <= neg else 0), F.lit(min(pos, neg)), F.lit(max(pos, neg))
 
 
 def random_oversample(df: DataFrame, key: str, label: str = LABEL, seed: int = 42) -> DataFrame:

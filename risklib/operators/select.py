@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from risklib.functions.fitted import fit_row
 from risklib.operators.eda import correlation_long
 from risklib.schema import LABEL
 
@@ -82,12 +83,12 @@ def chi2(df: DataFrame, cols: Sequence[str], label: str = LABEL, k: int | None =
 def mutual_information(df: DataFrame, cols: Sequence[str], label: str = LABEL, bins: int = 10, k: int | None = None) -> DataFrame:
     """MI (nats) between each feature cut at its deciles (right-closed) and the class."""
     qs = [i / bins for i in range(1, bins)]
-    edges = df.select(F.struct(*[F.percentile(F.col(c).cast("double"), F.array(*[F.lit(q) for q in qs])).alias(c)
-                                 for c in cols])).scalar()
+    edges = fit_row(df, *[F.percentile(F.col(c).cast("double"), F.array(*[F.lit(q) for q in qs])).alias(c)
+                          for c in cols])
     outs = []
     for c in cols:
         x = F.col(c).cast("double")
-        b = sum(F.when(x > edges[c][i], 1).otherwise(0) for i in range(len(qs)))
+        b = sum(F.when(x > F.lit(edges[c][i]), 1).otherwise(0) for i in range(len(qs)))
         j = df.where(x.isNotNull()).groupBy(b.alias("b"), F.col(label).alias("y")).agg(F.count(F.lit(1)).alias("n"))
         wb, wy, wa = Window.partitionBy("b"), Window.partitionBy("y"), Window.partitionBy()
         j = (j.withColumn("pb", F.sum("n").over(wb)).withColumn("py", F.sum("n").over(wy))
