@@ -38,6 +38,19 @@ def _has(df: DataFrame, *cols: str) -> bool:
     return all(c in df.columns for c in cols)
 
 
+def write_and_read(df: DataFrame, name: str) -> DataFrame:
+    """Write the rows once as Parquet in the shared checkpoint folder and read them back.
+
+    Cuts the lineage (a lost executor re-reads files instead of recomputing
+    the upstream joins) and keeps vectorised, column-pruned Parquet scans
+    for every branch that reads the table.
+    """
+    from risklib.session import scratch_path
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 # ---------------------------------------------------------------- CLN4/CLN5
 def resolve_timestamp(df: DataFrame, out: str = TS) -> DataFrame:
     """Pick the event time from the first available source, bad strings -> null."""
@@ -261,8 +274,17 @@ def fraud_pattern_features(df: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- FE1
-def create_all_features(df: DataFrame, bucket_hours: int = 168) -> DataFrame:
-    """temporal -> amount -> location -> customer -> merchant -> payment -> velocity -> pattern."""
+def create_all_features(df: DataFrame, bucket_hours: int = 168, materialize: bool = True) -> DataFrame:
+    """temporal -> amount -> location -> customer -> merchant -> payment -> velocity -> pattern.
+
+    The input feeds about a dozen branches (location, merchant and card
+    aggregates, the sequence stage and its context rows). With
+    ``materialize`` the input rows (typically a star-schema join) are
+    written once to the shared checkpoint folder and every branch reads
+    them, instead of re-running the scan and joins per branch.
+    """
+    if materialize:
+        df = write_and_read(df, "fe1-input")
     df = temporal_features(df)
     df = amount_features(df)
     df = location_features(df)
