@@ -11,7 +11,7 @@ from risklib.operators import features as FT
 from risklib.operators import scores as SCO
 from risklib.plans.common import rounded
 from risklib.plans.sqlviews import EV, LINES, ORD, SC, TX_EVENTS, TX_ORDERS, with_
-from risklib.sources.tables import scored, tx_events, tx_lines, tx_orders
+from risklib.sources.tables import scored, tx_events, tx_line_locations, tx_lines, tx_orders
 
 Q, SQL = {}, {}
 
@@ -541,3 +541,14 @@ UNION ALL SELECT 'rf_new_merchant', CAST(n3 AS BIGINT), ROUND(coalesce(t3 / P, 0
 def agg30_pattern_detection(spark, sf):
     r = _rule(spark, sf)
     return rounded(ED.pattern_detection(r, ["rf_high_amount", "rf_unusual_time", "rf_new_merchant"]))
+
+
+# ---------------------------------------------------------------- SCL11
+@reg("scl11_different_location", """SELECT l.l_orderkey AS order_id, l.l_linenumber AS line, l.l_extendedprice AS amount,
+  CAST(NOT (CAST(c.c_nationkey AS VARCHAR) IS NOT DISTINCT FROM CAST(s.s_nationkey AS VARCHAR))
+       OR (c.c_nationkey IS NULL AND s.s_nationkey IS NULL) AS INTEGER) AS different_zip
+FROM lineitem l LEFT JOIN orders o ON l.l_orderkey = o.o_orderkey LEFT JOIN customer c ON o.o_custkey = c.c_custkey
+LEFT JOIN supplier s ON l.l_suppkey = s.s_suppkey""")
+def scl11_different_location(spark, sf):
+    d = FT.location_features(tx_line_locations(spark, sf), city="customer_zip", state="merchant_zip")
+    return d.select("order_id", "line", "amount", "different_zip")

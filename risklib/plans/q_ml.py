@@ -247,3 +247,10 @@ def snk4_save_load_model(spark, sf):
     a = M.score(m, te, out="p_saved", keep=["transaction_id"])
     b = M.score(back, te, out="p_loaded", keep=["transaction_id"])
     return rounded(a.join(b, "transaction_id").withColumn("same", (F.col("p_saved") == F.col("p_loaded")).cast("int")))
+
+
+@reg("eva19_permutation_importance")
+def eva19_permutation_importance(spark, sf):
+    tr, te = _prepared(spark, sf)
+    m, _ = M.train_model(tr, "logistic")
+    return rounded(M.permutation_importance(m, te, ML_FEATURES, "transaction_id"))

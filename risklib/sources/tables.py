@@ -117,3 +117,18 @@ def scored_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = t.select(F.lit("amount_hour").alias("model"), *base,
                  _score_b(F.col("amount"), F.col("transaction_ts")).alias("fraud_probability"))
     return a.unionByName(b)
+
+
+def tx_line_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem rows with the customer's nation (via orders) and the supplier's nation as
+    customer / merchant location codes (the zip pair of the different-location flag)."""
+    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    s = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    oc = o.join(c, o.o_custkey == c.c_custkey, "left")
+    x = li.join(oc, li.l_orderkey == oc.o_orderkey, "left").join(s, li.l_suppkey == s.s_suppkey, "left")
+    return x.select(F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line"),
+                    F.col("l_extendedprice").alias("amount"),
+                    F.col("c_nationkey").cast("string").alias("customer_zip"),
+                    F.col("s_nationkey").cast("string").alias("merchant_zip"))
