@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from risklib.functions.exprs import cut, flag, period_of_day_a, PERIOD_LABELS_PT, weekday
 from risklib.operators.features import resolve_timestamp
-from risklib.operators.keyed import HOUR_US, attach_stats, sequence_stage
+from risklib.operators.keyed import HOUR_US, attach_stats, range_counts_probe, sequence_stage
 from risklib.schema import AMOUNT, CARD, ID, TS
 
 # Weights and thresholds of the composite scores.
@@ -39,15 +39,25 @@ def _has(df, *cols):
 
 # ---------------------------------------------------------------- WIN6/WIN7/JN6
 def transaction_velocity_features(df: DataFrame, time_windows=(1, 6, 24), key_columns=(CARD,),
-                                  bucket_hours: int = 168) -> DataFrame:
+                                  bucket_hours: float = 168, method: str = "context") -> DataFrame:
     """tx_count_{w}h = rows of the same key in [t - w h, t) (self and ties excluded),
-    high_velocity_{w}h = count > global 95th percentile of that count."""
+    high_velocity_{w}h = count > global 95th percentile of that count.
+
+    method "context": (key, bucket) windows with copied look-back rows, one
+    shuffle (buckets at least as long as the longest window). method "probe":
+    probe rows and prefix sums, buckets of any length (for keys so hot that
+    one look-back period of them exceeds a task); see keyed.range_counts_probe.
+    """
     df = resolve_timestamp(df)
     if TS not in df.columns:
         return df
     ranges = {f"tx_count_{w}h": (-int(w * HOUR_US), -1) for w in time_windows}
-    out = sequence_stage(df, list(key_columns), TS, ID, ranges=ranges, bucket_hours=bucket_hours)
-    out = out.drop("_prev", "_us").withColumns({f"tx_count_{w}h": F.col(f"tx_count_{w}h").cast("long")
+    if method == "probe":
+        out = range_counts_probe(df, list(key_columns), TS, ID, ranges, bucket_hours=bucket_hours)
+    else:
+        out = sequence_stage(df, list(key_columns), TS, ID, ranges=ranges, bucket_hours=bucket_hours)
+        out = out.drop("_prev", "_us")
+    out = out.withColumns({f"tx_count_{w}h": F.col(f"tx_count_{w}h").cast("long")
                                                for w in time_windows})
     # p95 of each count, fitted by one aggregate (column-pruned: only keys, time and the counts are
     # read) and bound as literals; percentile's buffer is bounded by the number of distinct counts

@@ -47,6 +47,14 @@ def win6_velocity_windows(spark, sf):
                      "high_velocity_1h", "high_velocity_6h", "high_velocity_24h")
 
 
+@reg("win6_velocity_windows_probe", SQL["win6_velocity_windows"])
+def win6_velocity_windows_probe(spark, sf):
+    """Same counts through probe rows and 1-hour buckets (extreme-skew plan)."""
+    df = A.transaction_velocity_features(tx_events(spark, sf), method="probe", bucket_hours=1)
+    return df.select("transaction_id", "tx_count_1h", "tx_count_6h", "tx_count_24h",
+                     "high_velocity_1h", "high_velocity_6h", "high_velocity_24h")
+
+
 # --------------------------------------------------------------------------- SCL1/SCL2
 @reg("scl2_amount_features", EV + """SELECT transaction_id, ROUND(ln(1 + amount), 6) AS amount_log,
   CASE WHEN amount > 0 AND amount <= 10 THEN 'very_small' WHEN amount > 10 AND amount <= 50 THEN 'small'

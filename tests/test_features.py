@@ -65,6 +65,11 @@ def test_window_equals_self_join_with_hot_card_and_bucket_edges(spark):
     ref = j.groupBy(F.col("a.transaction_id").alias("transaction_id")).agg(F.count(F.col("b.transaction_id")).alias("c"))
     bad = got.join(ref, "transaction_id").where(F.col("tx_count_24h") != F.col("c")).count()
     assert bad == 0
+    probe = A.transaction_velocity_features(df, [1, 6, 24], method="probe", bucket_hours=0.5)
+    bad_p = probe.join(got, "transaction_id").where(
+        (probe.tx_count_1h != got.tx_count_1h) | (probe.tx_count_6h != got.tx_count_6h)
+        | (probe.tx_count_24h != got.tx_count_24h)).count()
+    assert bad_p == 0
     # previous-row carry across buckets equals lag over the whole card
     s = FT.customer_behavior_features(df.withColumn("x", F.lit(1)))
     from pyspark.sql import Window
