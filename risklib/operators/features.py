@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from risklib.functions.exprs import cut, cyclic_distance, flag, period_of_day_a, safe_div, weekday
-from risklib.operators.keyed import HOUR_US, attach_stats, sequence_stage
+from risklib.operators.keyed import HOUR_US, attach_stats, range_counts_probe, sequence_stage
 from risklib.schema import AMOUNT, CARD, ID, LABEL, PAYMENT_COLUMNS, TS
 
 # Band edges and labels.
@@ -135,10 +135,15 @@ def location_features(df: DataFrame, city: str = "merchant_city", state: str = "
 
 
 # ---------------------------------------------------------------- card context
-def add_card_context(df: DataFrame, windows_excl_hours=(), bucket_hours: int = 168) -> DataFrame:
+def add_card_context(df: DataFrame, windows_excl_hours=(), bucket_hours: float = 168,
+                     method: str = "context") -> DataFrame:
     """Previous row, 24 h inclusive count, [t-w, t) counts and card stats, in one pass.
 
     Adds columns prefixed ``_ctx_``; later feature functions reuse them.
+    ``method="probe"`` computes the range counts with probe rows
+    (``keyed.range_counts_probe``) and the previous row with context-free
+    buckets, so ``bucket_hours`` may be shorter than the 24 h look-back
+    (for cards too hot for one look-back period per task).
     """
     if not _has(df, CARD) or f"{CTX_PREFIX}cnt" in df.columns:
         return df
@@ -156,7 +161,11 @@ def add_card_context(df: DataFrame, windows_excl_hours=(), bucket_hours: int = 1
         for w in windows_excl_hours:
             ranges[f"{CTX_PREFIX}cnt_{w}h"] = (-int(w * HOUR_US), -1)
         prev_cols = [AMOUNT] if AMOUNT in df.columns else []
-        df = sequence_stage(df, [CARD], TS, ID, prev_cols=prev_cols, ranges=ranges, bucket_hours=bucket_hours)
+        if method == "probe":
+            df = range_counts_probe(df, [CARD], TS, ID, ranges, bucket_hours=bucket_hours)
+            df = sequence_stage(df, [CARD], TS, ID, prev_cols=prev_cols, ranges={}, bucket_hours=bucket_hours)
+        else:
+            df = sequence_stage(df, [CARD], TS, ID, prev_cols=prev_cols, ranges=ranges, bucket_hours=bucket_hours)
         df = df.withColumnRenamed("_prev", f"{CTX_PREFIX}prev").withColumnRenamed("_us", f"{CTX_PREFIX}us")
     return attach_stats(df, stats, [CARD])
 
@@ -274,7 +283,8 @@ def fraud_pattern_features(df: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- FE1
-def create_all_features(df: DataFrame, bucket_hours: int = 168, materialize: bool = True) -> DataFrame:
+def create_all_features(df: DataFrame, bucket_hours: float = 168, materialize: bool = True,
+                        method: str = "context") -> DataFrame:
     """temporal -> amount -> location -> customer -> merchant -> payment -> velocity -> pattern.
 
     The input feeds about a dozen branches (location, merchant and card
@@ -288,7 +298,7 @@ def create_all_features(df: DataFrame, bucket_hours: int = 168, materialize: boo
     df = temporal_features(df)
     df = amount_features(df)
     df = location_features(df)
-    df = add_card_context(df, bucket_hours=bucket_hours)
+    df = add_card_context(df, bucket_hours=bucket_hours, method=method)
     df = customer_behavior_features(df)
     df = merchant_features(df)
     df = payment_method_features(df)

@@ -97,3 +97,24 @@ def test_repeated_quantiles_fall_back_to_fixed_edges(spark):
     out = FT.location_features(df)
     # rates 0 repeat -> quartile edges repeat -> fixed edges, rate 0 -> null category
     assert out.where("city_risk_category IS NULL").count() == 40
+
+
+def test_fe1_probe_method_equals_context_method(spark):
+    from tests.conftest import SF0001
+    from risklib.sources.tables import tx_orders
+    cols = ["transaction_id", "transaction_count_last_24h", "time_since_last_transaction", "amount_diff_last_transaction",
+            "is_first_transaction", "customer_transaction_count"]
+    a = FT.create_all_features(tx_orders(spark, SF0001)).select(*cols)
+    b = FT.create_all_features(tx_orders(spark, SF0001), method="probe", bucket_hours=6).select(*cols)
+    diff = a.exceptAll(b).count() + b.exceptAll(a).count()
+    assert diff == 0
+
+
+def test_probe_inclusive_ranges_with_ties(spark):
+    from risklib.operators.keyed import HOUR_US, range_counts_probe
+    rows = [(1, 7, 1.0, T0, 0), (2, 7, 1.0, T0, 0), (3, 7, 1.0, T0 + dt.timedelta(hours=24), 0),
+            (4, 7, 1.0, T0 + dt.timedelta(hours=24, microseconds=1), 0), (5, 8, 1.0, T0, 0)]
+    df = _tx(spark, rows)
+    r = {x.transaction_id: x.c for x in range_counts_probe(
+        df, ["card_number"], "transaction_ts", "transaction_id", {"c": (-24 * HOUR_US, 0)}, bucket_hours=0.25).collect()}
+    assert r == {1: 2, 2: 2, 3: 3, 4: 2, 5: 1}
