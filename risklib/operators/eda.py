@@ -211,7 +211,9 @@ def kpi_deltas(df: DataFrame, label: str = LABEL) -> DataFrame:
     out = t
     for c in ("total", "fraud", "fraud_pct"):
         prev = F.lag(c).over(w)
-        out = out.withColumn(f"{c}_delta", F.col(c) - prev).withColumn(f"{c}_change", safe_div(F.col(c) - prev, prev))
+        # deltas are doubles (null for the first day), as a pandas diff() gives
+        out = (out.withColumn(f"{c}_delta", (F.col(c) - prev).cast("double"))
+                  .withColumn(f"{c}_change", safe_div(F.col(c) - prev, prev)))
     return out
 
 
@@ -264,9 +266,9 @@ def customer_history(df: DataFrame, key: str = "card_number", ts: str = TS, id_c
     """Mean of the card's earlier amounts, ratio of the amount to it, days per earlier transaction."""
     from risklib.operators.keyed import running_history
     h = running_history(df, [key], ts, id_col, value, bucket_hours)
-    mean = safe_div("prior_sum", "prior_values")
+    mean = safe_div(F.col("prior_sum_cents").cast("double") / F.lit(100.0), F.col("prior_values"))
     days = (F.col("_us") - F.col("first_us")) / F.lit(86_400_000_000.0)
     return (h.withColumn("history_mean_amount", mean)
              .withColumn("amount_to_history_ratio", safe_div(F.col(value), F.col("history_mean_amount")))
              .withColumn("days_per_transaction", safe_div(days, F.col("prior_count")))
-             .drop("_us", "first_us", "prior_sum", "prior_values"))
+             .drop("_us", "first_us", "prior_sum_cents", "prior_values"))

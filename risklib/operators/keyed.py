@@ -100,22 +100,24 @@ def running_history(df: DataFrame, keys: Sequence[str], ts_col: str, id_col: str
     base = (df.withColumn("_us", F.unix_micros(F.col(ts_col)))
               .withColumn("_b", F.floor(F.col("_us") / F.lit(bucket_us))))
     part = keys + ["_b"]
+    # money is summed in whole cents (exact, order-independent; any engine gives the same bits)
+    cents = F.round(F.col(value_col) * 100).cast("long")
     bt = base.where(F.col("_us").isNotNull()).groupBy(*part).agg(
-        F.count(F.lit(1)).alias("_bc"), F.sum(F.col(value_col)).alias("_bs"), F.count(F.col(value_col)).alias("_bv"),
+        F.count(F.lit(1)).alias("_bc"), F.sum(cents).alias("_bs"), F.count(F.col(value_col)).alias("_bv"),
         F.min("_us").alias("_bmin"))
     wk = Window.partitionBy(*keys).orderBy("_b")
     prior = wk.rowsBetween(Window.unboundedPreceding, -1)
     bt = bt.select(*part, F.coalesce(F.sum("_bc").over(prior), F.lit(0)).alias("_oc"),
-                   F.coalesce(F.sum("_bs").over(prior), F.lit(0.0)).alias("_os"),
+                   F.coalesce(F.sum("_bs").over(prior), F.lit(0)).alias("_os"),
                    F.coalesce(F.sum("_bv").over(prior), F.lit(0)).alias("_ov"),
                    F.min("_bmin").over(Window.partitionBy(*keys)).alias("first_us"))
     wr = Window.partitionBy(*part).orderBy("_us", id_col).rowsBetween(Window.unboundedPreceding, -1)
     out = (base.withColumn("_rc", F.coalesce(F.count(F.lit(1)).over(wr), F.lit(0)))
-               .withColumn("_rs", F.coalesce(F.sum(value_col).over(wr), F.lit(0.0)))
+               .withColumn("_rs", F.coalesce(F.sum(cents).over(wr), F.lit(0)))
                .withColumn("_rv", F.coalesce(F.count(F.col(value_col)).over(wr), F.lit(0))))
     out = out.join(bt, part, "left")
     return (out.withColumn("prior_count", F.when(F.col("_us").isNotNull(), F.col("_oc") + F.col("_rc")))
-               .withColumn("prior_sum", F.when(F.col("_us").isNotNull(), F.col("_os") + F.col("_rs")))
+               .withColumn("prior_sum_cents", F.when(F.col("_us").isNotNull(), F.col("_os") + F.col("_rs")))
                .withColumn("prior_values", F.when(F.col("_us").isNotNull(), F.col("_ov") + F.col("_rv")))
                .drop("_b", "_rc", "_rs", "_rv", "_oc", "_os", "_ov"))
 

@@ -116,8 +116,8 @@ def agg26_daily_fraud_pct(spark, sf):
 l AS (SELECT *, lag(total) OVER (ORDER BY period) AS pt, lag(fraud) OVER (ORDER BY period) AS pf,
    lag(fraud_pct) OVER (ORDER BY period) AS pp FROM k)
 SELECT strftime(period, '%Y-%m-%d') AS period, total, fraud, ROUND(fraud_pct, 6) AS fraud_pct,
-  total - pt AS total_delta, ROUND(CASE WHEN pt <> 0 THEN (total - pt) / pt END, 6) AS total_change,
-  fraud - pf AS fraud_delta, ROUND(CASE WHEN pf <> 0 THEN (fraud - pf) / pf END, 6) AS fraud_change,
+  CAST(total - pt AS DOUBLE) AS total_delta, ROUND(CASE WHEN pt <> 0 THEN (total - pt) / pt END, 6) AS total_change,
+  CAST(fraud - pf AS DOUBLE) AS fraud_delta, ROUND(CASE WHEN pf <> 0 THEN (fraud - pf) / pf END, 6) AS fraud_change,
   ROUND(fraud_pct - pp, 6) AS fraud_pct_delta, ROUND(CASE WHEN pp <> 0 THEN (fraud_pct - pp) / pp END, 6) AS fraud_pct_change
 FROM l""")
 def agg27_kpi_deltas(spark, sf):
@@ -194,7 +194,7 @@ def _corr_sql() -> str:
     for i, a in enumerate(_CORR_COLS):
         for j, b in enumerate(_CORR_COLS):
             if i < j:
-                e = f"(SELECT ROUND(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 6) FROM tx_events)"
+                e = f"(SELECT ROUND(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 6) + 0.0 FROM tx_events)"
                 parts.append(f"SELECT '{a}' AS col_a, '{b}' AS col_b, {e} AS r")
                 parts.append(f"SELECT '{b}' AS col_a, '{a}' AS col_b, {e} AS r")
     return EV + " UNION ALL ".join(parts)
@@ -217,18 +217,18 @@ def agg23_target_correlation_top3(spark, sf):
 
 # ---------------------------------------------------------------- AGG24
 @reg("agg24_customer_history", EV + """, h AS (SELECT transaction_id, amount, epoch_us(transaction_ts) AS us,
-   count(*) OVER w AS prior_count, sum(amount) OVER w AS s, count(amount) OVER w AS n,
+   count(*) OVER w AS prior_count, sum(CAST(round(amount * 100) AS BIGINT)) OVER w AS s, count(amount) OVER w AS n,
    min(epoch_us(transaction_ts)) OVER (PARTITION BY card_number) AS first_us
    FROM tx_events WINDOW w AS (PARTITION BY card_number ORDER BY epoch_us(transaction_ts), transaction_id
                                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT transaction_id, prior_count, ROUND(CASE WHEN n > 0 THEN s / n END, 6) AS history_mean_amount,
-  ROUND(CASE WHEN n > 0 AND s <> 0 THEN amount / (s / n) END, 6) AS amount_to_history_ratio,
-  ROUND(CASE WHEN prior_count > 0 THEN (us - first_us) / 86400000000.0 / prior_count END, 6) AS days_per_transaction
+SELECT transaction_id, prior_count, CASE WHEN n > 0 THEN CAST(s AS DOUBLE) / 100.0 / n END AS history_mean_amount,
+  CASE WHEN n > 0 AND s <> 0 THEN amount / (CAST(s AS DOUBLE) / 100.0 / n) END AS amount_to_history_ratio,
+  CASE WHEN prior_count > 0 THEN (us - first_us) / 86400000000.0 / prior_count END AS days_per_transaction
 FROM h""")
 def agg24_customer_history(spark, sf):
     h = ED.customer_history(tx_events(spark, sf))
-    return rounded(h.select("transaction_id", "prior_count", "history_mean_amount", "amount_to_history_ratio",
-                            "days_per_transaction"))
+    return h.select("transaction_id", "prior_count", "history_mean_amount", "amount_to_history_ratio",
+                    "days_per_transaction")
 
 
 # ---------------------------------------------------------------- AGG25

@@ -41,14 +41,16 @@ _M = """coalesce(CASE WHEN tp + fp + tn + fn > 0 THEN (tp + tn) / (tp + fp + tn
 
 
 # ---------------------------------------------------------------- EVA1/EVA2
-@reg("eva1_classification_metrics", SC + ", c AS (" + _counts_sql(0.5) + """)
-SELECT tp, fp, tn, fn, """ + _M + """,
+@reg("eva1_classification_metrics", SC + ", c AS (" + _counts_sql(0.5) + "), m AS (SELECT tp, fp, tn, fn, " + _M + """,
   coalesce(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END, 0.0) AS true_positive_rate,
   (coalesce(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END, 0.0) + coalesce(CASE WHEN tn + fp > 0 THEN tn / (tn + fp) END, 0.0)) / 2
-    AS balanced_accuracy,
+    AS balanced_accuracy FROM c)
+SELECT tp, fp, tn, fn, ROUND(accuracy, 6) AS accuracy, ROUND(precision, 6) AS precision, ROUND(recall, 6) AS recall,
+  ROUND(f1, 6) AS f1, ROUND(false_positive_rate, 6) AS false_positive_rate, ROUND(specificity, 6) AS specificity,
+  ROUND(true_positive_rate, 6) AS true_positive_rate, ROUND(balanced_accuracy, 6) AS balanced_accuracy,
   CAST(fn * 100 AS BIGINT) AS fraud_cost, CAST((tp + fp) * 10 AS BIGINT) AS investigation_cost,
   CAST(fn * 100 + (tp + fp) * 10 AS BIGINT) AS total_cost
-FROM c""")
+FROM m""")
 def eva1_classification_metrics(spark, sf):
     return rounded(EV_.classification_metrics(scored(spark, sf), 0.5))
 

@@ -68,15 +68,15 @@ def str3_card_sessions(spark, sf):
 s AS (SELECT transaction_id, card_number, amount, us,
    lag(us) OVER w AS pu, lag(amount) OVER w AS pa,
    count(*) OVER (PARTITION BY card_number ORDER BY us, transaction_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS nb,
-   sum(amount) OVER (PARTITION BY card_number ORDER BY us, transaction_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS sb,
+   sum(CAST(round(amount * 100) AS BIGINT)) OVER (PARTITION BY card_number ORDER BY us, transaction_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS sb,
    count(*) OVER (PARTITION BY card_number ORDER BY us RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW) AS c24
    FROM v WINDOW w AS (PARTITION BY card_number ORDER BY us, transaction_id))
-SELECT transaction_id, card_number, ROUND(coalesce((us - pu) / 60000000.0, 99999.0), 6) AS minutes_since_last,
-  ROUND(amount - pa, 6) AS amount_diff, ROUND(CASE WHEN nb > 0 THEN sb / nb END, 6) AS history_mean_amount,
+SELECT transaction_id, card_number, coalesce((us - pu) / 60000000.0, 99999.0) AS minutes_since_last,
+  amount - pa AS amount_diff, CASE WHEN nb > 0 THEN CAST(sb AS DOUBLE) / 100.0 / nb END AS history_mean_amount,
   c24 AS tx_count_24h FROM s""")
 def str4_stateful_card_features(spark, sf):
     p = S.run_to_parquet(S.stateful_card_features(S.event_stream(spark, sf)), "str4")
-    return rounded(spark.read.parquet(p))
+    return spark.read.parquet(p)
 
 
 @reg("str5_stream_alerts", EV + """, prof AS (SELECT card_number, avg(amount) AS pa FROM tx_events GROUP BY 1),

@@ -126,9 +126,10 @@ def _card_state_fn(key, pdfs, state):
     prev_us = np.concatenate([[last_us if last_us is not None else np.nan], us[:-1]]).astype("float64")
     prev_amt = np.concatenate([[last_amount if last_amount is not None else np.nan], amt[:-1]])
     minutes = np.where(np.isnan(prev_us), 99999.0, (us - prev_us) / 60_000_000.0)
+    cents = np.round(amt * 100).astype("int64")   # money in whole cents: exact running sums
     cnt_before = n + np.arange(len(us))
-    sum_before = total + np.concatenate([[0.0], np.cumsum(amt)[:-1]])
-    hist_mean = np.where(cnt_before > 0, sum_before / np.maximum(cnt_before, 1), np.nan)
+    sum_before = int(total) + np.concatenate([[0], np.cumsum(cents)[:-1]])
+    hist_mean = np.where(cnt_before > 0, (sum_before.astype("float64") / 100.0) / np.maximum(cnt_before, 1), np.nan)
     all_us = np.sort(np.concatenate([recent, us]))
     c24 = np.searchsorted(all_us, us, side="right") - np.searchsorted(all_us, us - DAY_US, side="left")
     out = pd.DataFrame({"transaction_id": pdf["transaction_id"].to_numpy(), "card_number": key[0],
@@ -136,7 +137,7 @@ def _card_state_fn(key, pdfs, state):
                         "history_mean_amount": hist_mean, "tx_count_24h": c24.astype("int64")})
     new_last = int(us[-1])
     keep = all_us[all_us >= new_last - DAY_US]
-    state.update((new_last, float(amt[-1]), int(n + len(us)), float(total + amt.sum()), keep.tolist()))
+    state.update((new_last, float(amt[-1]), int(n + len(us)), float(int(total) + int(cents.sum())), keep.tolist()))
     state.setTimeoutTimestamp(new_last // 1000 + DAY_US // 1000)
     yield out
 
