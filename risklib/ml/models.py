@@ -245,3 +245,19 @@ def permutation_importance(model, df: DataFrame, feature_names: Sequence[str], k
     spark = df.sparkSession
     out = spark.createDataFrame(rows, "feature string, auc double, auc_permuted double")
     return out.withColumn("importance", F.col("auc") - F.col("auc_permuted"))
+
+
+def tune_all_models(train: DataFrame, registry, model_types: Sequence[str] = ("logistic", "random_forest", "gradient_boosting"),
+                    param_grids: dict | None = None, fold_col: str = "fold", features: Sequence[str] = ()) -> DataFrame:
+    """MOD7: tune every model type on the fold column, register each best model with its CV score
+    and parameters (the registry row replaces the best-params JSON file), return the score table."""
+    spark = train.sparkSession
+    n_rows = train.count()  # C -> regParam = 1 / (C * n)
+    rows = []
+    for t in model_types:
+        best, res = tune_hyperparameters(train, t, (param_grids or {}).get(t), fold_col=fold_col, n_rows=n_rows)
+        top = res.orderBy(F.desc("roc_auc")).first()
+        mid = registry.register_model(best, f"{t}_tuned", t, {"cv_roc_auc": top["roc_auc"]}, list(features),
+                                      {"params": top["params"]}, "best of cross-validated search")
+        rows.append((t, mid, top["params"], float(top["roc_auc"])))
+    return spark.createDataFrame(rows, "model_type string, model_id string, params string, cv_roc_auc double")

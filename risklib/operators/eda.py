@@ -272,3 +272,33 @@ def customer_history(df: DataFrame, key: str = "card_number", ts: str = TS, id_c
              .withColumn("amount_to_history_ratio", safe_div(F.col(value), F.col("history_mean_amount")))
              .withColumn("days_per_transaction", safe_div(days, F.col("prior_count")))
              .drop("_us", "first_us", "prior_sum_cents", "prior_values"))
+
+
+# ---------------------------------------------------------------- SCL18
+# Keyword rules of the two feature-catalogue views.
+FEATURE_KEYWORDS_APP = {
+    "Temporal": ["time", "hour", "day", "week", "month", "period"],
+    "Amount": ["amount", "value"],
+    "Location": ["city", "state", "location"],
+    "Behavior": ["customer", "behavior", "transaction"],
+    "Fraud Patterns": ["risk", "fraud", "unusual"],
+}
+FEATURE_KEYWORDS_PAGE = {
+    "Temporal": ["time", "hour", "day", "date"],
+    "Value": ["amount", "value", "price"],
+    "Location": ["location", "city", "country", "merchant"],
+}
+
+
+def tag_features(catalogue: DataFrame, name_col: str = "feature", rules: dict | None = None,
+                 lowercase: bool = False, other: str | None = None) -> DataFrame:
+    """One row per (feature, category) whose keyword occurs in the name (substring match);
+    features matching no rule get ``other`` when given."""
+    rules = rules or FEATURE_KEYWORDS_APP
+    name = F.lower(F.col(name_col)) if lowercase else F.col(name_col)
+    cats = F.array(*[F.when(F.exists(F.array(*[F.lit(k) for k in kws]), lambda k: name.contains(k)), F.lit(c))
+                     for c, kws in rules.items()])
+    tagged = catalogue.withColumn("_cats", F.filter(cats, lambda c: c.isNotNull()))
+    if other is not None:
+        tagged = tagged.withColumn("_cats", F.when(F.size("_cats") == 0, F.array(F.lit(other))).otherwise(F.col("_cats")))
+    return tagged.select(F.col(name_col), F.explode("_cats").alias("category"))

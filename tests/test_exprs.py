@@ -31,3 +31,11 @@ def test_flag_null_is_zero_and_safe_div(spark):
     r = df.select(flag(F.col("a") > 0).alias("f"), safe_div("a", "b").alias("d")).collect()
     assert [x.f for x in r] == [0, 1, 1]
     assert r[0].d is None and r[1].d is None and math.isclose(r[2].d, 2.0)
+
+
+def test_feature_tagging_multi_label_and_other(spark):
+    from risklib.operators.eda import FEATURE_KEYWORDS_PAGE, tag_features
+    cat = spark.createDataFrame([("amount_per_day",), ("merchant_risk",), ("is_weekend",)], "feature string")
+    got = {(r.feature, r.category) for r in tag_features(cat, rules=FEATURE_KEYWORDS_PAGE, lowercase=True, other="Other").collect()}
+    assert got == {("amount_per_day", "Temporal"), ("amount_per_day", "Value"), ("merchant_risk", "Location"),
+                   ("is_weekend", "Other")}
