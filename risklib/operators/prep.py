@@ -15,14 +15,20 @@ from risklib.schema import LABEL, numeric_columns, string_columns
 def label_encode(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Lexicographic integer codes; null is the string 'nan' (as astype(str) gives).
 
-    The vocabulary of each column (one row per distinct value) is ranked
-    and joined back; its size is the column's cardinality, not the row count.
+    The vocabulary (distinct values) is ranked without a single-partition
+    window: values are bucketed by their first two characters (a prefix
+    keeps the lexicographic order), a small per-prefix count table gives each
+    bucket's offset, and a window per prefix ranks inside it.
     """
     cols = list(cols or string_columns(df))
     for c in cols:
         v = F.coalesce(F.col(c).cast("string"), F.lit("nan"))
-        vocab = df.select(v.alias("_v")).distinct()
-        vocab = vocab.withColumn(f"_code", (F.dense_rank().over(Window.orderBy("_v")) - 1).cast("int"))
+        vocab = df.select(v.alias("_v")).distinct().withColumn("_p", F.substring("_v", 1, 2))
+        pc = vocab.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+        before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row per prefix
+        pc = pc.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+        code = F.col("_off") + F.row_number().over(Window.partitionBy("_p").orderBy("_v")) - 1
+        vocab = vocab.join(F.broadcast(pc), "_p").select("_v", code.cast("int").alias("_code"))
         df = df.withColumn("_v", v).join(vocab, "_v", "left").drop("_v", c).withColumnRenamed("_code", c)
     return df
 

@@ -40,3 +40,12 @@ def test_kfold_balanced(spark):
     f = PR.kfold(t, "transaction_id", 5)
     sizes = [r["count"] for r in f.groupBy("fold").count().collect()]
     assert max(sizes) - min(sizes) <= 2
+
+
+def test_label_encode_prefix_buckets_keep_lexicographic_order(spark):
+    vals = ["b", "a", "ab", "abc", "B", "zz", "z", None, "nana", "a", "Zeta", "é", ""]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "id int, s string")
+    got = {r.id: r.s for r in PR.label_encode(df, ["s"]).collect()}
+    vocab = sorted({("nan" if v is None else v) for v in vals}, key=lambda x: x.encode("utf-8"))
+    want = {i: vocab.index("nan" if v is None else v) for i, v in enumerate(vals)}
+    assert got == want
