@@ -41,3 +41,24 @@ def test_timestamp_source_priority(spark):
     assert resolve_timestamp(b).first().transaction_ts.day == 7
     c = spark.createDataFrame([("2024-01-05", "11:00:00", "2024-09-09")], "transaction_date string, transaction_time string, date string")
     assert resolve_timestamp(c).first().transaction_ts.hour == 11         # date + time before 'date'
+
+
+def test_api_names_run(spark):
+    import datetime as dt
+    from risklib import api
+    rows = [(i, i % 3, float(10 + i), dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), i % 2) for i in range(30)]
+    df = spark.createDataFrame(rows, "transaction_id long, card_number long, amount double, transaction_ts timestamp, fraud_indicator int")
+    assert api.create_all_advanced_features(df).count() == 30
+    assert api.handle_class_imbalance(df, "transaction_id").groupBy("fraud_indicator").count().count() == 2
+    sel = api.select_features_univariate(df, ["amount", "card_number"], k=1).collect()
+    assert len(sel) == 1
+    import pytest
+    with pytest.raises(NotImplementedError):
+        api.handle_class_imbalance(df, "transaction_id", method="smote")
+
+
+def test_api_calculate_metrics_one_row(spark):
+    from risklib import api
+    df = spark.createDataFrame([(0.9, 1), (0.2, 0), (0.6, 0), (0.4, 1)], "fraud_probability double, true_label int")
+    rows = api.calculate_metrics(df).collect()
+    assert len(rows) == 1 and rows[0].roc_auc == 0.75 and rows[0].tp == 1
