@@ -94,7 +94,7 @@ _TREND_SEL = """SELECT strftime(period, '%Y-%m-%d') AS period, total, fraud,
 
 def _trend_q(freq):
     def fn(spark, sf):
-        t = ED.trend(tx_orders(spark, sf), freq)
+        t = ED.trend(tx_orders(spark, sf, with_location=False), freq)
         return rounded(t.withColumn("period", _day("period")))
     return fn
 
@@ -107,7 +107,7 @@ Q["agg16_trend_monthly"], SQL["agg16_trend_monthly"] = _trend_q("monthly"), _MON
 @reg("agg26_daily_fraud_pct", _DAILY + """SELECT strftime(period, '%Y-%m-%d') AS period,
   ROUND(coalesce(CASE WHEN total > 0 THEN fraud / total END, 0.0) * 100, 6) AS fraud_pct FROM t""")
 def agg26_daily_fraud_pct(spark, sf):
-    t = ED.trend(tx_orders(spark, sf), "daily")
+    t = ED.trend(tx_orders(spark, sf, with_location=False), "daily")
     return rounded(t.select(_day("period").alias("period"), (F.col("fraud_rate") * 100).alias("fraud_pct")))
 
 
@@ -121,7 +121,7 @@ SELECT strftime(period, '%Y-%m-%d') AS period, total, fraud, ROUND(fraud_pct, 6)
   ROUND(fraud_pct - pp, 6) AS fraud_pct_delta, ROUND(CASE WHEN pp <> 0 THEN (fraud_pct - pp) / pp END, 6) AS fraud_pct_change
 FROM l""")
 def agg27_kpi_deltas(spark, sf):
-    k = ED.kpi_deltas(tx_orders(spark, sf)).drop("fraud_rate")
+    k = ED.kpi_deltas(tx_orders(spark, sf, with_location=False)).drop("fraud_rate")
     return rounded(k.withColumn("period", _day("period")))
 
 

@@ -37,14 +37,24 @@ def tx_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def tx_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tx_orders(spark: SparkSession, sf_dir: str, with_location: bool = True) -> DataFrame:
     """orders x customer x nation x region -> transactions (location, payment).
 
+    ``with_location=False`` reads orders alone (for time/label-only queries:
+    Catalyst cannot drop a left join it cannot prove unique, so not asking
+    for it saves a shuffle join).
+
     nation (25 rows) and region (5 rows) are fixed-size dimensions, so they
     are broadcast. customer grows with the data and is left to the planner
     (AQE turns it into a broadcast only if its measured size is small).
     """
     o = read_table(spark, sf_dir, "orders")
+    if not with_location:
+        return o.select(
+            F.col("o_orderkey").alias("transaction_id"), F.col("o_custkey").alias("card_number"),
+            F.col("o_totalprice").alias("amount"), F.col("o_orderdate").cast("timestamp").alias("transaction_ts"),
+            F.col("o_orderpriority").alias("payment_method"),
+            (F.col("o_orderstatus") == "F").cast("int").alias("fraud_indicator"))
     c = read_table(spark, sf_dir, "customer")
     n = read_table(spark, sf_dir, "nation")
     r = read_table(spark, sf_dir, "region")
