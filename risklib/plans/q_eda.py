@@ -135,7 +135,7 @@ def agg17_group_fraud_min5(spark, sf):
 @reg("flt2_min_count_filter", LINES + """SELECT merchant_id, count(*) AS total, CAST(sum(fraud_indicator) AS BIGINT) AS fraud,
   ROUND(sum(fraud_indicator) / count(*), 6) AS fraud_rate FROM tx_lines GROUP BY 1 HAVING count(*) >= 600""")
 def flt2_min_count_filter(spark, sf):
-    return rounded(ED.group_fraud(tx_lines(spark, sf), "merchant_id", 600))
+    return rounded(ED.group_fraud(tx_lines(spark, sf, with_location=False), "merchant_id", 600))
 
 
 @reg("agg28_category_shares", EV + """SELECT merchant_category, count(*) AS count,
@@ -242,14 +242,14 @@ def agg25_kpis(spark, sf):
 @reg("top1_top_merchants_by_volume", LINES + """SELECT merchant_id, count(*) AS total FROM tx_lines GROUP BY 1
   ORDER BY total DESC, merchant_id LIMIT 10""")
 def top1_top_merchants_by_volume(spark, sf):
-    return ED.top_by_volume(tx_lines(spark, sf), "merchant_id")
+    return ED.top_by_volume(tx_lines(spark, sf, with_location=False), "merchant_id")
 
 
 @reg("top2_top_merchants_by_fraud_rate", LINES + """SELECT merchant_id, count(*) AS total, CAST(sum(fraud_indicator) AS BIGINT) AS fraud,
   ROUND(sum(fraud_indicator) / count(*), 6) AS fraud_rate FROM tx_lines GROUP BY 1 HAVING count(*) >= 5
   ORDER BY sum(fraud_indicator) / count(*) DESC, total DESC, merchant_id LIMIT 10""")
 def top2_top_merchants_by_fraud_rate(spark, sf):
-    return rounded(ED.top_by_fraud_rate(tx_lines(spark, sf), "merchant_id"))
+    return rounded(ED.top_by_fraud_rate(tx_lines(spark, sf, with_location=False), "merchant_id"))
 
 
 # ---------------------------------------------------------------- SET1 / SMP1

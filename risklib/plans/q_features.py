@@ -184,7 +184,7 @@ SELECT merchant_id, ROUND(amount, 6) AS amount, CAST(cnt AS BIGINT) AS merchant_
   END AS merchant_risk_category
 FROM rows_, e""")
 def agg3_merchant_features(spark, sf):
-    df = tx_lines(spark, sf)
+    df = tx_lines(spark, sf, with_location=False)
     out = FT.merchant_features(df).select("merchant_id", "amount", "merchant_transaction_count",
                                           "merchant_avg_amount", "merchant_fraud_rate", "merchant_risk_category")
     return rounded(out)

@@ -74,9 +74,16 @@ def tx_orders(spark: SparkSession, sf_dir: str, with_location: bool = True) -> D
     )
 
 
-def tx_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem x supplier x nation -> merchant-level rows (group operators only)."""
+def tx_lines(spark: SparkSession, sf_dir: str, with_location: bool = True) -> DataFrame:
+    """lineitem x supplier x nation -> merchant-level rows (group operators only).
+
+    ``with_location=False`` reads lineitem alone (merchant, amount, time, label)."""
     li = read_table(spark, sf_dir, "lineitem")
+    if not with_location:
+        return li.select(F.col("l_suppkey").alias("merchant_id"), F.col("l_extendedprice").alias("amount"),
+                         F.col("l_shipdate").cast("timestamp").alias("transaction_ts"),
+                         F.col("l_linestatus").alias("capture_method"),
+                         (F.col("l_returnflag") == "R").cast("int").alias("fraud_indicator"))
     s = read_table(spark, sf_dir, "supplier")
     n = read_table(spark, sf_dir, "nation")
     sup = s.join(F.broadcast(n.select("n_nationkey", "n_name")), s.s_nationkey == n.n_nationkey).select(
