@@ -118,3 +118,19 @@ def test_probe_inclusive_ranges_with_ties(spark):
     r = {x.transaction_id: x.c for x in range_counts_probe(
         df, ["card_number"], "transaction_ts", "transaction_id", {"c": (-24 * HOUR_US, 0)}, bucket_hours=0.25).collect()}
     assert r == {1: 2, 2: 2, 3: 3, 4: 2, 5: 1}
+
+
+def test_running_history_carry_across_many_buckets(spark):
+    import random
+    from pyspark.sql import Window
+    from risklib.operators.keyed import running_history
+    rnd = random.Random(11)
+    rows = [(i, 1 if i % 2 == 0 else rnd.randint(2, 6), round(rnd.uniform(1, 99), 2),
+             T0 + dt.timedelta(minutes=rnd.randint(0, 60 * 24 * 10)), 0) for i in range(400)]
+    df = _tx(spark, rows)
+    got = running_history(df, ["card_number"], "transaction_ts", "transaction_id", "amount", bucket_hours=5)
+    w = Window.partitionBy("card_number").orderBy("transaction_ts", "transaction_id").rowsBetween(Window.unboundedPreceding, -1)
+    ref = df.select("transaction_id", F.count(F.lit(1)).over(w).alias("n"),
+                    F.sum(F.round(F.col("amount") * 100).cast("long")).over(w).alias("s"))
+    j = got.join(ref, "transaction_id")
+    assert j.where((F.col("prior_count") != F.col("n")) | ~F.col("prior_sum_cents").eqNullSafe(F.coalesce("s", F.lit(0)))).count() == 0
