@@ -49,6 +49,19 @@ def op6_licence_rules(spark, sf_dir):
         "licenses", F.concat_ws(",", "licenses"))
 
 
+def op8_simhash_decontamination(spark, sf_dir):
+    from risklib.llm.simhash_decontam import matches
+    _arrow(spark)
+    return matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).withColumn(
+        "similarity", F.round("similarity", 6))
+
+
+def op9_lpf_dedup(spark, sf_dir):
+    from risklib.llm.lpf_dedup import digests
+    _arrow(spark)
+    return digests(documents(spark, sf_dir))
+
+
 def op10_line_dedup(spark, sf_dir):
     from risklib.llm.line_dedup import apply_bitmaps, keep_bitmaps
     docs = documents(spark, sf_dir)
@@ -58,7 +71,7 @@ def op10_line_dedup(spark, sf_dir):
 
 def queries():
     return {f.__name__: f for f in (op1_crf_language, op2_quality_rules, op3_bpe_counts, op4_shard_tree, op5_raking,
-                                    op6_licence_rules, op10_line_dedup)}
+                                    op6_licence_rules, op8_simhash_decontamination, op9_lpf_dedup, op10_line_dedup)}
 
 
 def oracle_sql():
