@@ -50,10 +50,11 @@ def line_index(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, th (hash of the text), n_dropped, keep_words of the documents that lose a line."""
     order = ["k1", "k2", "doc_id", "pos"]
-    index = stored(line_index(docs, min_chars).repartitionByRange(*order).sortWithinPartitions(*order), "line-index")
+    lines = stored(line_index(docs, min_chars), "lines")  # the range bounds are sampled from this, not from the texts
+    index = stored(lines.repartitionByRange(*order).sortWithinPartitions(*order), "line-index")
     first = index.select("k1", "k2", "doc_id").distinct()
-    shared = first.groupBy("k1", "k2").agg(
-        F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keep_doc")).filter(F.col("n_docs") >= min_docs)
+    shared = stored(first.groupBy("k1", "k2").agg(
+        F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keep_doc")).filter(F.col("n_docs") >= min_docs), "shared-lines")
     dropped = index.join(shared, ["k1", "k2"]).filter(~F.col("doc_id").eqNullSafe(F.col("keep_doc")))
     bit = F.expr("shiftleft(1L, cast(pos % 64 as int))")
     words = dropped.groupBy("doc_id", "th", F.expr("cast(pos div 64 as int)").alias("word")).agg(

@@ -145,7 +145,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
                        F.xxhash64(text).alias("th"), text.alias("text"))
 
 
-RUNS = "d long, th long, s long, m long, g long, digest long"
+RUNS = "d long, th long, s long, m long, g long, digest long, known boolean, multi boolean"
 MARKS = "g long, d long, th long, s long, m long, copy boolean, single boolean"
 CONTEXTS = "g long, d long, th long, s long, m long, single boolean, bytes binary"
 STARTS = "d long, th long, lo long, hi long"
@@ -160,20 +160,26 @@ def runs(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
                 ids, offs = np.array([p[0] for p in part]), np.array([p[1] for p in part])
                 buf = np.frombuffer(b"".join(p[2] for p in part), np.uint8)
                 text, s, m, g, digest = window_runs(buf, np.array([len(p[2]) for p in part]), length, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (
-                    d[ids[text]], th[ids[text]], s + offs[text], m, g.view(np.int64), digest.view(np.int64))],
-                    names=["d", "th", "s", "m", "g", "digest"])
+                d_, th_, s_, g_, dg = d[ids[text]], th[ids[text]], s + offs[text], g.view(np.int64), digest.view(np.int64)
+                # what repeats within the slice is settled here; one row of it goes on
+                order = np.lexsort((s_, th_, d_, dg, g_))
+                same = np.append((g_[order][1:] == g_[order][:-1]) & (dg[order][1:] == dg[order][:-1]), False)
+                known, multi = np.zeros(len(s_), bool), np.zeros(len(s_), bool)
+                known[order[1:]] = same[:-1]
+                multi[order] = same & ~known[order]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (d_, th_, s_, m, g_, dg, known, multi)],
+                                                 names=["d", "th", "s", "m", "g", "digest", "known", "multi"])
 
     return rows.select("d", "th", "text").mapInArrow(make, RUNS)
 
 
 def marks(found: DataFrame, keep: str) -> DataFrame:
-    """Of runs sorted by (g, digest, place): ``copy`` rows repeat as a whole; the others are one row for each kind of
-    run of an anchor with several kinds, ``single`` if the kind occurs once. State: two rows, however large a group is."""
-    names = ["g", "digest", "d", "th", "s", "m"]
+    """Of runs sorted by (known, g, digest, place): ``copy`` rows repeat as a whole; the others are one row for each kind
+    of run of an anchor with several kinds, ``single`` if the kind occurs once. State: two rows, however large a group is."""
+    names = ["g", "digest", "d", "th", "s", "m", "multi", "known"]
 
     def make(batches):
-        tail = np.zeros((6, 0), np.int64)   # the last row, not yet judged
+        tail = np.zeros((7, 0), np.int64)   # the last row, not yet judged
         prev = None                         # (g, digest) of the row before it
         head = None                         # first row of the anchor's first kind, and whether it occurs once; not yet emitted
 
@@ -190,7 +196,7 @@ def marks(found: DataFrame, keep: str) -> DataFrame:
             g, dg = x[0], x[1]
             before_g = np.concatenate([[prev is not None and prev[0] == g[0]], g[1:] == g[:-1]])
             before = np.concatenate([[prev is not None and prev == (g[0], dg[0])], (g[1:] == g[:-1]) & (dg[1:] == dg[:-1])])
-            after = np.append(before[1:], False)
+            after = np.append(before[1:], False) | (x[6] > 0)
             copies = (before | after)[:n] if keep == "none" else before[:n]
             if copies.any():
                 yield out(x[:, :n][:, copies], True, np.zeros(int(copies.sum()), bool))
@@ -215,7 +221,13 @@ def marks(found: DataFrame, keep: str) -> DataFrame:
             prev = (int(g[n - 1]), int(dg[n - 1]))
 
         for batch in batches:
-            new = np.stack([np.asarray(batch.column(i)) for i in range(6)]) if batch.num_rows else np.zeros((6, 0), np.int64)
+            if not batch.num_rows:
+                continue
+            new = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(7)])
+            known = batch.column(7).to_numpy(zero_copy_only=False)
+            if known.any():
+                yield out(new[:, known], True, np.zeros(int(known.sum()), bool))
+                new = new[:, ~known]
             x = np.concatenate([tail, new], axis=1)
             if x.shape[1]:
                 yield from judge(x, False)
@@ -333,8 +345,9 @@ def removed_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
     if keep not in ("none", "first") or not 0 < gram < length or length - gram + 1 > 256:
         raise ValueError("keep is 'none' or 'first'; gram < length < gram + 256")
     rows = _keyed(docs)
-    order = ["g", "digest", "d", "th", "s"]
-    found = runs(rows, length, gram).repartition(F.col("g")).sortWithinPartitions(*order)
+    order = ["known", "g", "digest", "d", "th", "s"]
+    deal = F.when(F.col("known"), F.xxhash64("d", "s")).otherwise(F.col("g"))  # settled rows go anywhere
+    found = runs(rows, length, gram).repartition(deal).sortWithinPartitions(*order)
     marked = stored(marks(found, keep), "lpf-marks")
     wanted = marked.filter(~F.col("copy"))
     large = wanted.groupBy(F.col("g").alias("lg")).agg(F.count(F.lit(1)).alias("kinds")).filter(F.col("kinds") > group_max)

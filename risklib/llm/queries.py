@@ -4,19 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from risklib.llm.common import documents
-
-#: Arrow batches by size as well as by rows: long texts must not fill a worker.
-BATCH_BYTES = 16 << 20
-
-
-def _arrow(spark):
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-
+from risklib.llm.common import bounded_batches, documents
 
 def op1_crf_language(spark, sf_dir):
     from risklib.llm.crf_language import identify
-    _arrow(spark)
+    bounded_batches(spark)
     return identify(documents(spark, sf_dir))
 
 
@@ -29,7 +21,7 @@ def op3_bpe_counts(spark, sf_dir):
     import public_tokenizers
 
     from risklib.llm.bpe_count import token_counts
-    _arrow(spark)
+    bounded_batches(spark)
     return token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
@@ -49,16 +41,22 @@ def op6_licence_rules(spark, sf_dir):
         "licenses", F.concat_ws(",", "licenses"))
 
 
+def op7_bagminhash(spark, sf_dir):
+    from risklib.llm.bagminhash import classes
+    bounded_batches(spark)
+    return classes(documents(spark, sf_dir))
+
+
 def op8_simhash_decontamination(spark, sf_dir):
     from risklib.llm.simhash_decontam import matches
-    _arrow(spark)
+    bounded_batches(spark)
     return matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).withColumn(
         "similarity", F.round("similarity", 6))
 
 
 def op9_lpf_dedup(spark, sf_dir):
     from risklib.llm.lpf_dedup import digests
-    _arrow(spark)
+    bounded_batches(spark)
     return digests(documents(spark, sf_dir))
 
 
@@ -71,7 +69,7 @@ def op10_line_dedup(spark, sf_dir):
 
 def queries():
     return {f.__name__: f for f in (op1_crf_language, op2_quality_rules, op3_bpe_counts, op4_shard_tree, op5_raking,
-                                    op6_licence_rules, op8_simhash_decontamination, op9_lpf_dedup, op10_line_dedup)}
+                                    op6_licence_rules, op7_bagminhash, op8_simhash_decontamination, op9_lpf_dedup, op10_line_dedup)}
 
 
 def oracle_sql():
