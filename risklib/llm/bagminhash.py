@@ -16,12 +16,16 @@ nodes that agree in a band share a bucket. Links are the pairs in a bucket with
 weighted Jaccard similarity of at least 0.8, computed from the texts; classes
 are the connected components of the links.
 
-Buckets are not expanded into pairs. In each round a bucket's pivots are
-compared with all its members of other classes, and classes are joined. Pivots
+Buckets are not expanded into pairs. Shingles that one bucketed text alone
+holds cannot be shared, so with u of its n shingles alone, two texts share at
+most o = min(n - u, n' - u') and their similarity is at most o / (n + n' - o).
+This exact bound settles most pairs unseen. In each round a bucket's pivots
+(the first one the member with the least of its own) are compared with all its
+members of other classes within the bound, and classes are joined. Later pivots
 are taken outside the bucket's largest class; the last round takes all that are
 left. After it, of any two members of different classes one has been compared
-with the other, so no link between different classes is missed, and groups that
-hang together cost one comparison per member and not per pair.
+with the other or the bound rules them out, so no link is missed, and groups
+that hang together cost one comparison per member and not per pair.
 
 Cases: rows without doc_id or text form no class (class_id is their doc_id);
 empty and wordless texts are only grouped with equal ones; texts of 1 to 4
@@ -176,6 +180,25 @@ def verified(docs: DataFrame, pairs: DataFrame, n_pairs: int, threshold: float)
     return both.mapInArrow(check, "a long, b long").distinct()
 
 
+def alone(docs: DataFrame, reps: DataFrame, n_reps: int) -> DataFrame:
+    """(rep, own): the weight of the shingles that no other of the given texts has; texts without any are left out."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").filter(F.col("text").isNotNull())
+    texts = texts.join(F.broadcast(reps) if n_reps <= BROADCAST_ROWS else reps, "rep").select("rep", "text")
+
+    def make(batches):
+        for batch in batches:
+            reps, texts = np.asarray(batch.column(0)), [t.encode() for t in batch.column(1).to_pylist()]
+            for i, j in _slices(texts):
+                words, counts = bytehash.words_of(texts[i:j])
+                text, shingle, weight = bag(words, counts)
+                yield pa.RecordBatch.from_arrays([pa.array(reps[i:j][text]), pa.array(shingle.view(np.int64)), pa.array(weight)],
+                                                 names=["rep", "shingle", "weight"])
+
+    held = texts.mapInArrow(make, "rep long, shingle long, weight long")
+    once = held.groupBy("shingle").agg(F.min("rep").alias("rep"), F.max("rep").alias("last"), F.min("weight").alias("weight"))
+    return once.filter("rep = last").groupBy("rep").agg(F.sum("weight").alias("own"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of the component of every node of the edges (u, v).
 
@@ -207,7 +230,11 @@ def classes(docs: DataFrame, threshold: float = MIN_SIMILARITY, bands: int = BAN
     entries = nodes.select("rep", "n", F.posexplode("bands").alias("band", "hash"))
     many = entries.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size")
     members = stored(entries.join(many, ["band", "hash"]), "near-members")
-    labels = _linked(docs, members, threshold)
+    reps = stored(members.select("rep").distinct(), "near-reps")
+    own = stored(alone(docs, reps, reps.count()), "near-own")
+    members = members.join(own, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0))).filter(
+        F.col("n") - F.col("own") >= F.lit(threshold) * F.col("n"))  # the others link to nothing
+    labels = _linked(docs, stored(members, "near-members"), threshold)
     rep = sigs.join(nodes.select("t1", "t2", "rep"), ["t1", "t2"]).select("doc_id", "rep")
     if labels is not None:
         rep = rep.join(labels, F.col("rep") == F.col("node"), "left").select(
@@ -224,7 +251,7 @@ def _linked(docs: DataFrame, members: DataFrame, threshold: float) -> DataFrame
     for i, pivots in enumerate(PIVOTS):
         cls = members.withColumn("cls", F.col("rep")) if labels is None else members.join(
             labels, F.col("rep") == F.col("node"), "left").select(
-            "band", "hash", "rep", "n", F.coalesce("root", "rep").alias("cls"))
+            "band", "hash", "rep", "n", "own", F.coalesce("root", "rep").alias("cls"))
         if labels is not None:
             cls = stored(cls, "near-classes")
         # the largest class of every bucket that has several
@@ -233,18 +260,23 @@ def _linked(docs: DataFrame, members: DataFrame, threshold: float) -> DataFrame
             F.max_by("cls", F.struct("c", F.negative("cls"))).alias("main"), F.count(F.lit(1)).alias("k"),
             F.sum("c").alias("size"), F.max("c").alias("top")).filter("k > 1")
         if i == 0:
-            chosen = cls.groupBy("band", "hash").agg(F.min_by(F.struct("rep", "n", "cls"), "rep").alias("p")).select("band", "hash", "p.*")
+            least = F.struct(F.col("own") / F.col("n"), F.col("rep"))
+            chosen = cls.groupBy("band", "hash").agg(
+                F.min_by(F.struct("rep", "n", "own", "cls"), least).alias("p"), F.count(F.lit(1)).alias("k")).filter(
+                "k > 1").select("band", "hash", "p.*")
         else:
             left = cls.join(open_, ["band", "hash"]).filter("cls <> main").join(done, ["band", "hash", "rep"], "left_anti")
             if pivots is not None:  # an expected number of pivots, by hash; the last round takes the rest
                 draw = F.pmod(F.xxhash64("band", "hash", "rep"), F.lit(1 << 30)) / F.lit(float(1 << 30))
                 left = left.filter(draw < pivots / (F.col("size") - F.col("top")))
-            chosen = left.select("band", "hash", "rep", "n", "cls")
+            chosen = left.select("band", "hash", "rep", "n", "own", "cls")
         chosen = stored(chosen, "near-pivots")
-        p = chosen.select("band", "hash", F.col("rep").alias("p_rep"), F.col("n").alias("p_n"), F.col("cls").alias("p_cls"))
+        p = chosen.select("band", "hash", F.col("rep").alias("p_rep"), F.col("n").alias("p_n"),
+                          F.col("own").alias("p_own"), F.col("cls").alias("p_cls"))
+        shared = F.least(F.col("n") - F.col("own"), F.col("p_n") - F.col("p_own"))
         pairs = cls.join(p, ["band", "hash"]).filter(
             (F.col("rep") != F.col("p_rep")) & (F.col("cls") != F.col("p_cls"))
-            & (F.least("n", "p_n") >= F.lit(threshold) * F.greatest("n", "p_n"))).select(  # similarity is at most n / p_n
+            & (shared >= F.lit(threshold) * (F.col("n") + F.col("p_n") - shared))).select(
             F.least("rep", "p_rep").alias("a"), F.greatest("rep", "p_rep").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")

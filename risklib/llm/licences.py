@@ -1,7 +1,7 @@
 """Operator 6: licence scans by sentence rules.
 
 A text is cut into sentences in two views: every line on its own, and lines
-joined (for sentences that wrap). Each sentence is normalised (lower case, one
+joined (for sentences that wrap; end marks and blank lines bound them). Each sentence is normalised (lower case, one
 space between words, punctuation other than inner dots removed) and mapped to
 the identifier of a known licence sentence. The sequence of identifiers is then
 matched against ordered rules, most specific first; a matched part is consumed,

@@ -163,7 +163,7 @@ def test_raking_edges(spark):
     ("Some text.\nLicensed under the Apache License, Version 2.0.\nMore text", ["Apache-2.0"], "known"),
     ("Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with"
      " the License.\nYou may obtain a copy of the License at", ["Apache-2.0"], "known"),
-    ("words | words\nThis work is licensed under the GNU General Public License,\nversion 3.\nwords", ["GPL-3.0-only"], "known"),
+    ("Words | words.\nThis work is licensed under the GNU General Public License,\nversion 3.\nwords", ["GPL-3.0-only"], "known"),
     ("All rights reserved. Redistribution and use in source and binary forms, with or without modification, are permitted"
      " provided that the following conditions are met: Redistributions of source code must retain the above copyright notice,"
      " this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright"
