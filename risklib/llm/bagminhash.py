@@ -234,6 +234,7 @@ def classes(docs: DataFrame, threshold: float = MIN_SIMILARITY, bands: int = BAN
     own = stored(alone(docs, reps, reps.count()), "near-own")
     members = members.join(own, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0))).filter(
         F.col("n") - F.col("own") >= F.lit(threshold) * F.col("n"))  # the others link to nothing
+    members = members.join(nodes.select("rep", "bands"), "rep")
     labels = _linked(docs, stored(members, "near-members"), threshold)
     rep = sigs.join(nodes.select("t1", "t2", "rep"), ["t1", "t2"]).select("doc_id", "rep")
     if labels is not None:
@@ -251,7 +252,7 @@ def _linked(docs: DataFrame, members: DataFrame, threshold: float) -> DataFrame
     for i, pivots in enumerate(PIVOTS):
         cls = members.withColumn("cls", F.col("rep")) if labels is None else members.join(
             labels, F.col("rep") == F.col("node"), "left").select(
-            "band", "hash", "rep", "n", "own", F.coalesce("root", "rep").alias("cls"))
+            "band", "hash", "rep", "n", "own", "bands", F.coalesce("root", "rep").alias("cls"))
         if labels is not None:
             cls = stored(cls, "near-classes")
         # the largest class of every bucket that has several
@@ -273,9 +274,13 @@ def _linked(docs: DataFrame, members: DataFrame, threshold: float) -> DataFrame
         chosen = stored(chosen, "near-pivots")
         p = chosen.select("band", "hash", F.col("rep").alias("p_rep"), F.col("n").alias("p_n"),
                           F.col("own").alias("p_own"), F.col("cls").alias("p_cls"))
+        where = chosen.groupBy(F.col("rep").alias("w_rep")).agg(F.collect_list(F.struct("band", "hash")).alias("at"))  # BANDS at most
+        p = p.join(where, F.col("p_rep") == F.col("w_rep"))
+        # a pair that meets in several of the pivot's buckets is made in the first of them
+        earlier = F.exists("at", lambda x: (x["band"] < F.col("band")) & (F.get(F.col("bands"), x["band"]) == x["hash"]))
         shared = F.least(F.col("n") - F.col("own"), F.col("p_n") - F.col("p_own"))
         pairs = cls.join(p, ["band", "hash"]).filter(
-            (F.col("rep") != F.col("p_rep")) & (F.col("cls") != F.col("p_cls"))
+            (F.col("rep") != F.col("p_rep")) & (F.col("cls") != F.col("p_cls")) & ~earlier
             & (shared >= F.lit(threshold) * (F.col("n") + F.col("p_n") - shared))).select(
             F.least("rep", "p_rep").alias("a"), F.greatest("rep", "p_rep").alias("b")).distinct()
         if tested is not None:
