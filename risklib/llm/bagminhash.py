@@ -19,7 +19,8 @@ are the connected components of the links.
 Buckets are not expanded into pairs. Shingles that one bucketed text alone
 holds cannot be shared, so with u of its n shingles alone, two texts share at
 most o = min(n - u, n' - u') and their similarity is at most o / (n + n' - o).
-This exact bound settles most pairs unseen. In each round a bucket's pivots
+This exact bound settles most pairs unseen, and so does the triangle inequality
+with the distances to the bucket's first pivot. In each round a bucket's pivots
 (the first one the member with the least of its own) are compared with all its
 members of other classes within the bound, and classes are joined. Later pivots
 are taken outside the bucket's largest class; the last round takes all that are
@@ -45,8 +46,8 @@ from risklib.llm import bytehash
 from risklib.llm.common import stored
 
 SHINGLE_WORDS, MIN_SIMILARITY = 5, 0.8
-BANDS, ROWS = 20, 4
-SLICE_CHARS = 1_500_000
+BANDS, ROWS = 28, 5  # a pair of similarity 0.8 shares a bucket but for 15 in a million
+SLICE_CHARS, SLICE_TEXTS = 1_500_000, 2000
 PIVOTS = (1, 16, None)  # pivots per bucket and round; None: all that are left
 BROADCAST_ROWS = 1_000_000
 GAMMA = 0x9E3779B97F4A7C15
@@ -111,7 +112,7 @@ def _slices(texts):
     i = 0
     while i < len(texts):
         j, chars = i, 0
-        while j < len(texts) and (j == i or chars + len(texts[j]) <= SLICE_CHARS):
+        while j < len(texts) and (j == i or chars + len(texts[j]) <= SLICE_CHARS and j - i < SLICE_TEXTS):
             chars += len(texts[j])
             j += 1
         yield i, j
@@ -159,8 +160,8 @@ def jaccard(a: str, b: str) -> float:
     return low / high if high else 0.0
 
 
-def verified(docs: DataFrame, pairs: DataFrame, n_pairs: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose texts are similar enough."""
+def verified(docs: DataFrame, pairs: DataFrame, n_pairs: int) -> DataFrame:
+    """The similarity of the texts of the pairs (a, b) of doc_ids; the largest, where a doc_id has several texts."""
     small = n_pairs <= BROADCAST_ROWS
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter(F.col("text").isNotNull())
 
@@ -170,14 +171,11 @@ def verified(docs: DataFrame, pairs: DataFrame, n_pairs: int, threshold: float)
 
     def check(batches):
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            ok = [i for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()))
-                  if jaccard(x, y) >= threshold]
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in ok], pa.int64()), pa.array([b[i] for i in ok], pa.int64())],
-                                             names=["a", "b"])
+            sim = [jaccard(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sim, pa.float64())], names=["a", "b", "sim"])
 
     both = side("a").join(side("b"), ["a", "b"]).select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(check, "a long, b long").distinct()
+    return both.mapInArrow(check, "a long, b long, sim double").groupBy("a", "b").agg(F.max("sim").alias("sim"))
 
 
 def alone(docs: DataFrame, reps: DataFrame, n_reps: int) -> DataFrame:
@@ -248,7 +246,7 @@ def classes(docs: DataFrame, threshold: float = MIN_SIMILARITY, bands: int = BAN
 
 def _linked(docs: DataFrame, members: DataFrame, threshold: float) -> DataFrame | None:
     """(node, root) of all nodes with a link, after the rounds of pivots."""
-    labels = done = tested = None
+    labels = done = tested = far = None
     for i, pivots in enumerate(PIVOTS):
         cls = members.withColumn("cls", F.col("rep")) if labels is None else members.join(
             labels, F.col("rep") == F.col("node"), "left").select(
@@ -277,10 +275,16 @@ def _linked(docs: DataFrame, members: DataFrame, threshold: float) -> DataFrame
         where = chosen.groupBy(F.col("rep").alias("w_rep")).agg(F.collect_list(F.struct("band", "hash")).alias("at"))  # BANDS at most
         p = p.join(where, F.col("p_rep") == F.col("w_rep"))
         # a pair that meets in several of the pivot's buckets is made in the first of them
+        # distances to the bucket's first pivot: 1 - similarity is a metric, so a link's two differ by 1 - threshold at most
+        near = F.lit(True)
+        if far is not None:
+            cls = cls.join(far, ["band", "hash", "rep"], "left")
+            p = p.join(far.select("band", "hash", F.col("rep").alias("p_rep"), F.col("sim").alias("p_sim")), ["band", "hash", "p_rep"], "left")
+            near = F.coalesce(F.abs(F.col("sim") - F.col("p_sim")) <= F.lit(1 - threshold + 1e-9), F.lit(True))
         earlier = F.exists("at", lambda x: (x["band"] < F.col("band")) & (F.get(F.col("bands"), x["band"]) == x["hash"]))
         shared = F.least(F.col("n") - F.col("own"), F.col("p_n") - F.col("p_own"))
         pairs = cls.join(p, ["band", "hash"]).filter(
-            (F.col("rep") != F.col("p_rep")) & (F.col("cls") != F.col("p_cls")) & ~earlier
+            (F.col("rep") != F.col("p_rep")) & (F.col("cls") != F.col("p_cls")) & ~earlier & near
             & (shared >= F.lit(threshold) * (F.col("n") + F.col("p_n") - shared))).select(
             F.least("rep", "p_rep").alias("a"), F.greatest("rep", "p_rep").alias("b")).distinct()
         if tested is not None:
@@ -290,7 +294,13 @@ def _linked(docs: DataFrame, members: DataFrame, threshold: float) -> DataFrame
         tested = pairs if tested is None else tested.unionByName(pairs)
         n_pairs = pairs.count()
         if n_pairs:
-            links = stored(verified(docs, pairs, n_pairs, threshold), "near-links").select(F.col("a").alias("u"), F.col("b").alias("v"))
+            sims = stored(verified(docs, pairs, n_pairs), "near-similarities")
+            links = sims.filter(F.col("sim") >= threshold).select(F.col("a").alias("u"), F.col("b").alias("v"))
+            if i == 0:
+                pivot = chosen.select("band", "hash", F.col("rep").alias("p_rep"))
+                pair = members.select("band", "hash", "rep").join(pivot, ["band", "hash"])
+                far = stored(pair.select("band", "hash", "rep", F.least("rep", "p_rep").alias("a"), F.greatest("rep", "p_rep").alias("b")
+                                         ).join(sims, ["a", "b"]).select("band", "hash", "rep", "sim"), "near-first-pivot")
             if labels is not None:
                 links = links.unionByName(labels.select(F.col("node").alias("u"), F.col("root").alias("v")))
             labels = components(links)
