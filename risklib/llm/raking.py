@@ -86,7 +86,7 @@ def sampling(docs: DataFrame, rate: float = RATE, sweeps: int = SWEEPS,
     ``rate`` is the share of the largest calibrated sample to draw (1: the cell
     that must grow most is kept whole).
     """
-    rows = cells_of(docs)
+    rows = stored(cells_of(docs), "cell-rows")  # narrow; the texts are read once
     cells = stored(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("n")), "cells")
     targets = targets or {m: tempered(cells, m) for m in MARGINS}
     fit = rake(cells, targets, sweeps).withColumn("ratio", F.col("fitted") / F.col("n"))
