@@ -39,7 +39,7 @@ from risklib.llm import bytehash
 RADIUS, MIN_SIMILARITY, GRID, ITEM_BLOCK = 7, 0.8, 1.2, 4096
 BLOCKS, BLOCK_BITS = 4, 16
 LONGEST = 120  # words of a window; an item of more enters with windows of this size
-SLICE_WORDS = 60_000
+SLICE_WORDS, SLICE_CHARS = 60_000, 750_000
 ONES = np.uint64(0x0101010101010101)
 HIGH = np.uint64(0x8080808080808080)
 
@@ -153,7 +153,20 @@ def similarity(window: dict[int, int], item: dict[int, int], weight: dict[int, f
 
 def scan_texts(texts: list[str | None], items: dict) -> list[tuple[int, int, int, int, float]]:
     """(text, item, first word, words, similarity) of the best place of every matching (text, item)."""
-    words, counts = bytehash.words_of([(t or "").lower().encode() for t in texts])
+    out, i = [], 0
+    texts = [t or "" for t in texts]
+    while i < len(texts):
+        j, chars = i, 0
+        while j < len(texts) and (j == i or chars + len(texts[j]) <= SLICE_CHARS):
+            chars += len(texts[j])
+            j += 1
+        out += [(i + d, *rest) for d, *rest in _scan_slice(texts[i:j], items)]
+        i = j
+    return out
+
+
+def _scan_slice(texts: list[str], items: dict) -> list[tuple[int, int, int, int, float]]:
+    words, counts = bytehash.words_of([t.lower().encode() for t in texts])
     ends = np.cumsum(counts)
     begins = ends - counts
     chain = np.repeat(np.arange(len(counts)), counts)
