@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from risklib.schema import string_columns as _string_columns
 from risklib.ml.models import (create_model, permutation_importance, soft_vote, hard_vote, stacking,  # noqa: F401
                                train_model, tune_all_models, tune_hyperparameters)
 from risklib.ml.pipeline import create_preprocessing_pipeline, prepare_data  # noqa: F401
@@ -62,7 +63,7 @@ def encode_categorical_features(df: DataFrame, encoding_method: str = "label", c
     if encoding_method == "label":
         return _P.label_encode(df, cols)
     if encoding_method == "onehot":
-        for c in cols or []:
+        for c in cols or _string_columns(df):
             df = _P.one_hot(df, c)
         return df
     if encoding_method == "target":

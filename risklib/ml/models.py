@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,7 +45,9 @@ def _spark_params(model_type: str, params: dict | None, n_rows: int | None = Non
     p = dict(params or {})
     out: dict = {}
     if model_type == "logistic":
-        if "C" in p and n_rows:
+        if "C" in p:
+            if not n_rows:
+                raise ValueError("C needs n_rows: regParam = 1 / (C * n_rows)")
             out["regParam"] = 1.0 / (float(p["C"]) * n_rows)
         if p.get("penalty") == "l1":
             out["elasticNetParam"] = 1.0
@@ -94,6 +96,8 @@ def create_model(model_type: str, params: dict | None = None, n_rows: int | None
 
 def train_model(train: DataFrame, model_type: str, params: dict | None = None, **kw) -> tuple[Model, float]:
     """MOD2: fit and wall time (seconds, measured on the driver)."""
+    if model_type == "logistic" and "C" in (params or {}) and not kw.get("n_rows"):
+        kw["n_rows"] = train.count()
     est = create_model(model_type, params, **kw)
     t0 = time.time()
     m = est.fit(train)
@@ -124,31 +128,56 @@ def tune_hyperparameters(train: DataFrame, model_type: str, grid: dict | None =
                          n_iter: int = RANDOM_SEARCH_DRAWS, parallelism: int = 4, n_rows: int | None = None):
     """MOD3: CrossValidator over the fold column (stratified folds from ``kfold``), metric areaUnderROC.
 
-    Parameter dicts map to Spark params; combos mapping to the same Spark
-    params are evaluated once. Returns (best model, DataFrame of param/score).
+    Parameter dicts map to Spark params and a weight setting (``class_weight``
+    "balanced", or ``scale_pos_weight`` s); each setting is cross-validated
+    with its own weight column. Combos that map to the same Spark params and
+    weights are evaluated once; parameters without a Spark equivalent
+    (``solver``, ``min_samples_split``) are named in ``ignored``. Returns (best
+    model, DataFrame of params, ignored, roc_auc).
     """
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
     combos = param_grid(model_type, grid, n_iter)
-    est = create_model(model_type, None, n_rows, weight="weight" if "weight" in train.columns else None)
-    maps, seen, labels = [], set(), []
+    if n_rows is None and any("C" in c for c in combos):
+        n_rows = train.count()
+    groups: dict[tuple, list[dict]] = {}
+    ignored = set()
     for c in combos:
+        ignored |= {k for k in c if k in ("solver", "min_samples_split")}
         sp = _spark_params(model_type, c, n_rows)
-        key = tuple(sorted(sp.items()))
-        if key in seen:
-            continue
-        seen.add(key)
-        maps.append({est.getParam(k): v for k, v in sp.items()})
-        labels.append(str(dict(key)))
-    if not maps:
-        maps = ParamGridBuilder().build()
-        labels = ["{}"]
-    ev = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction", metricName="areaUnderROC")
-    cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=ev, foldCol=fold_col,
-                        parallelism=parallelism, seed=SEED)
-    cvm = cv.fit(train)
-    spark = train.sparkSession
-    res = spark.createDataFrame(list(zip(labels, [float(x) for x in cvm.avgMetrics])), "params string, roc_auc double")
-    return cvm.bestModel, res
+        have = groups.setdefault((c.get("class_weight"), float(c.get("scale_pos_weight", 1))), [])
+        if sp not in have:
+            have.append(sp)
+    rows, best, best_auc = [], None, None
+    n_folds = train.agg(F.max(fold_col)).first()[0] + 1
+    for (balanced, scale), sps in groups.items():
+        weighted = balanced == "balanced" or scale != 1
+        data = weighted_rows(train, balanced, scale) if weighted else train
+        est = create_model(model_type, {"class_weight": "balanced"} if weighted else None, n_rows,
+                           weight=WEIGHT if weighted else None)
+        ev = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction", metricName="areaUnderROC")
+        maps = [{est.getParam(k): v for k, v in sp.items()} for sp in sps]
+        cvm = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=ev, foldCol=fold_col,
+                             numFolds=n_folds, parallelism=parallelism, seed=SEED).fit(data)
+        note = {"class_weight": balanced} if balanced else {"scale_pos_weight": scale} if scale != 1 else {}
+        for sp, auc in zip(sps, cvm.avgMetrics):
+            rows.append((str({**dict(sorted(sp.items())), **note}), ",".join(sorted(ignored)), float(auc)))
+        if best_auc is None or max(cvm.avgMetrics) > best_auc:
+            best, best_auc = cvm.bestModel, max(cvm.avgMetrics)
+    return best, train.sparkSession.createDataFrame(rows, "params string, ignored string, roc_auc double")
+
+
+WEIGHT = "_tuning_weight"
+
+
+def weighted_rows(train: DataFrame, balanced: str | None, scale: float) -> DataFrame:
+    """``train`` with the weight column of a setting: balanced n / (2 n_c), times ``scale`` for the positive class."""
+    w = F.when(F.col("label") == 1, F.lit(float(scale))).otherwise(F.lit(1.0))
+    if balanced == "balanced":
+        n = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # one per class
+        total = sum(n.values())
+        for y, c in n.items():
+            w = F.when(F.col("label") == y, w * F.lit(total / (2.0 * c))).otherwise(w)
+    return train.withColumn(WEIGHT, w)
 
 
 # ---------------------------------------------------------------- MOD4/MOD5

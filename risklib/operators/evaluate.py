@@ -130,8 +130,10 @@ def pr_points(df: DataFrame, group_cols: Sequence[str] = (), y: str = Y, p: str
 
 # ---------------------------------------------------------------- EVA8
 def calibration(df: DataFrame, n_bins: int = 10, group_cols: Sequence[str] = (), y: str = Y, p: str = P) -> DataFrame:
-    """Right-closed uniform bins; empty bins absent. Scores are rounded to 6 dp before binning."""
-    b = F.greatest(F.ceil(F.round(F.col(p) * n_bins, 6)) - 1, F.lit(0)).cast("int")
+    """Right-closed uniform bins (edges compared as doubles, no rounding); empty bins absent."""
+    k = F.ceil(F.col(p) * n_bins) - 1
+    k = F.when(F.col(p) <= k / n_bins, k - 1).when(F.col(p) > (k + 1) / n_bins, k + 1).otherwise(k)
+    b = F.greatest(k, F.lit(0)).cast("int")
     return (df.groupBy(*group_cols, b.alias("bin"))
               .agg(F.avg(p).alias("mean_predicted"), F.avg(F.col(y).cast("double")).alias("fraction_positive"),
                    F.count(F.lit(1)).alias("count")))
@@ -141,7 +143,9 @@ def calibration(df: DataFrame, n_bins: int = 10, group_cols: Sequence[str] = (),
 def threshold_sweep(df: DataFrame, group_cols: Sequence[str] = (), y: str = Y, p: str = P, steps: int = 100) -> DataFrame:
     """Metrics at thresholds k/steps, k = 1..steps-1, from one histogram + reverse cumulative sum."""
     g = list(group_cols)
-    idx = F.least(F.greatest(F.floor(F.round(F.col(p) * steps, 6)), F.lit(0)), F.lit(steps)).cast("int")
+    k = F.floor(F.col(p) * steps)  # the last threshold k / steps that the score reaches, compared as doubles
+    k = F.when(F.col(p) < k / steps, k - 1).when(F.col(p) >= (k + 1) / steps, k + 1).otherwise(k)
+    idx = F.least(F.greatest(k, F.lit(0)), F.lit(steps)).cast("int")
     yy = F.col(y).cast("long")
     h = df.groupBy(*g, idx.alias("k")).agg(F.sum(yy).alias("pos"), F.sum(1 - yy).alias("neg"))
     grid = (h.select(*g).distinct() if g else h.sparkSession.range(1).select())
@@ -258,6 +262,9 @@ def psi(df: DataFrame, features: Sequence[str], split, bins: int = 10, eps: floa
     for f in features:
         x = F.col(f).cast("double")
         edges = df.where(~is_cur).agg(F.percentile(x, F.array(*[F.lit(q) for q in qs]))).first()[0]
+        if edges is None or any(e is None for e in edges):  # no reference rows: nothing to compare with
+            out.append(df.agg(F.lit(None).cast("double").alias("psi")).select(F.lit(f).alias("feature"), "psi"))
+            continue
         b = sum(F.when(x > F.lit(edges[i]), 1).otherwise(0) for i in range(len(qs)))
         g = (df.where(x.isNotNull()).groupBy(b.alias("bin"))
                .agg(F.sum(F.when(~is_cur, 1).otherwise(0)).alias("_r"), F.sum(F.when(is_cur, 1).otherwise(0)).alias("_c")))

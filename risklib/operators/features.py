@@ -182,7 +182,7 @@ def _with_context(df: DataFrame, **kw) -> tuple[DataFrame, bool]:
 
 # ---------------------------------------------------------------- AGG5/WIN1/WIN2
 def customer_behavior_features(df: DataFrame) -> DataFrame:
-    if not _has(df, CARD):
+    if not _has(df, CARD, AMOUNT, TS):
         return df
     df, own = _with_context(df)
     p = f"{CTX_PREFIX}"

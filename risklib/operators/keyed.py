@@ -60,7 +60,7 @@ def sequence_stage(df: DataFrame, keys: Sequence[str], ts_col: str, id_col: str,
     bucket_us = bucket_hours * HOUR_US
     max_back = max([-lo for lo, _ in ranges.values()] + [0])
     if max_back > bucket_us:
-        bucket_us = max_back
+        raise ValueError("bucket_hours is shorter than the longest look-back; use range_counts_probe")
     us = F.unix_micros(F.col(ts_col))
     base = df.withColumns({"_us": us, "_b": F.floor(us / F.lit(bucket_us)), "_own": F.lit(True)})
     prev_fields = [F.col(c) for c in prev_cols] + [F.col("_us")]
@@ -133,7 +133,7 @@ def hash_rank(df: DataFrame, part_cols: Sequence[str], key_col: str, seed: int =
     reproducible in other engines.
     """
     part = list(part_cols)
-    h = F.md5(F.concat(F.col(key_col).cast("string"), F.lit(str(seed))))
+    h = F.md5(F.concat(F.coalesce(F.col(key_col).cast("string"), F.lit("null")), F.lit(str(seed))))
     d = (df.withColumn("_h", h)
            .withColumn("_hb", F.floor(F.conv(F.substring("_h", 1, 6), 16, 10).cast("long") * buckets / F.lit(1 << 24)).cast("int")))
     bc = d.groupBy(*part, "_hb").agg(F.count(F.lit(1)).alias("_bc"))
@@ -141,8 +141,8 @@ def hash_rank(df: DataFrame, part_cols: Sequence[str], key_col: str, seed: int =
     bc = bc.select(*part, "_hb", F.coalesce(F.sum("_bc").over(wb), F.lit(0)).alias("_off"))
     wr = Window.partitionBy(*part, "_hb").orderBy("_h", key_col)
     r = d.withColumn("_rn", F.row_number().over(wr))
-    # bc has at most (#partitions of ``part``) x buckets rows: a proven bound, so it is broadcast
-    return (r.join(F.broadcast(bc), part + ["_hb"], "inner")
+    # null-safe: rows with a null class are a class of their own and are kept
+    return (attach_stats(r, bc, part + ["_hb"], null_safe=True)
              .withColumn("hash_rank", F.col("_off") + F.col("_rn") - 1)
              .drop("_h", "_hb", "_rn", "_off"))
 

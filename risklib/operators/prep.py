@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from risklib.operators.keyed import hash_rank
+from risklib.operators.keyed import attach_stats, hash_rank
 from risklib.schema import LABEL, numeric_columns, string_columns
 
 
@@ -28,7 +28,7 @@ def label_encode(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
         before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row per prefix
         pc = pc.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
         code = F.col("_off") + F.row_number().over(Window.partitionBy("_p").orderBy("_v")) - 1
-        vocab = vocab.join(F.broadcast(pc), "_p").select("_v", code.cast("int").alias("_code"))
+        vocab = vocab.join(pc, "_p").select("_v", code.cast("int").alias("_code"))
         df = df.withColumn("_v", v).join(vocab, "_v", "left").drop("_v", c).withColumnRenamed("_code", c)
     return df
 
@@ -83,49 +83,57 @@ def standard_scale(df: DataFrame, cols: Sequence[str] | None = None, target: str
 
 # ---------------------------------------------------------------- SPL1/SPL2
 def stratified_split(df: DataFrame, key: str, label: str = LABEL, test_size: float = 0.2, seed: int = 42) -> DataFrame:
-    """Adds ``is_test``: per class, the first round(n_c * test_size) rows by md5(key || seed)."""
+    """Adds ``is_test``: per class, the first round(n_c * test_size) rows by md5(key || seed).
+
+    Rows without a label belong to no class: they are kept, with a null ``is_test``.
+    """
     r = hash_rank(df, [label], key, seed)
     n = r.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    r = r.join(F.broadcast(n), label)  # one row per class
+    r = attach_stats(r, n, [label], null_safe=True)
     ntest = F.round(F.col("_n") * F.lit(test_size)).cast("long")
-    return r.withColumn("is_test", (F.col("hash_rank") < ntest).cast("int")).drop("_n", "hash_rank")
+    is_test = F.when(F.col(label).isNotNull(), (F.col("hash_rank") < ntest).cast("int"))
+    return r.withColumn("is_test", is_test).drop("_n", "hash_rank")
 
 
 def kfold(df: DataFrame, key: str, k: int = 5, label: str | None = LABEL, seed: int = 42) -> DataFrame:
-    """Adds ``fold`` in [0, k): rank by md5 within the class (stratified) modulo k."""
+    """Adds ``fold`` in [0, k): rank by md5 within the class (stratified) modulo k; null without a label."""
     r = hash_rank(df, [label] if label else [], key, seed)
-    return r.withColumn("fold", (F.col("hash_rank") % k).cast("int")).drop("hash_rank")
+    fold = (F.col("hash_rank") % k).cast("int")
+    return r.withColumn("fold", F.when(F.col(label).isNotNull(), fold) if label else fold).drop("hash_rank")
 
 
 # ---------------------------------------------------------------- BAL3/BAL4/BAL5
 def _class_counts(df: DataFrame, label: str):
     c = df.agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg")).first()
     pos, neg = c["pos"] or 0, c["neg"] or 0
-    return F.lit(1 if pos <= neg else 0), F.lit(min(pos, neg)), F.lit(max(pos, neg))
+    return 1 if pos <= neg else 0, min(pos, neg), max(pos, neg)
 
 
 def random_oversample(df: DataFrame, key: str, label: str = LABEL, seed: int = 42) -> DataFrame:
     """Minority rows repeated to exact parity: floor(n_maj / n_min) full copies plus the
-    first (n_maj mod n_min) rows by hash. Adds ``copy`` (0 = original row)."""
+    first (n_maj mod n_min) rows by hash. Adds ``copy`` (0 = original row). Rows without a
+    label are kept once; with one class only there is nothing to repeat."""
     minority, n_min, n_maj = _class_counts(df, label)
-    reps = F.floor(n_maj / n_min).cast("int")
-    rem = n_maj - reps * n_min
+    if n_min == 0:
+        return df.withColumn("copy", F.lit(0))
+    reps, rem = n_maj // n_min, n_maj % n_min
     r = hash_rank(df.where(F.col(label) == minority), [], key, seed)
-    copies = F.when(F.col("hash_rank") < rem, reps).otherwise(reps - 1)
+    copies = F.when(F.col("hash_rank") < rem, F.lit(reps)).otherwise(F.lit(reps - 1))
     mino = r.withColumn("copy", F.explode(F.sequence(F.lit(0), copies))).drop("hash_rank")
-    maj = df.where(F.col(label) != minority).withColumn("copy", F.lit(0))
-    return maj.unionByName(mino)
+    rest = df.where(~F.col(label).eqNullSafe(F.lit(minority))).withColumn("copy", F.lit(0))
+    return rest.unionByName(mino)
 
 
 def random_undersample(df: DataFrame, key: str, label: str = LABEL, seed: int = 42) -> DataFrame:
-    """Majority rows with hash rank < n_min (exact parity), all minority rows."""
+    """Majority rows with hash rank < n_min (exact parity), all minority rows and all rows without a label."""
     minority, n_min, _ = _class_counts(df, label)
     r = hash_rank(df.where(F.col(label) != minority), [], key, seed)
-    return df.where(F.col(label) == minority).unionByName(r.where(F.col("hash_rank") < n_min).drop("hash_rank"))
+    rest = df.where(F.col(label).isNull() | (F.col(label) == minority))
+    return rest.unionByName(r.where(F.col("hash_rank") < n_min).drop("hash_rank"))
 
 
 def class_weights(df: DataFrame, label: str = LABEL, out: str = "weight") -> DataFrame:
-    """'balanced' weights n / (2 * n_c) as a column (for ``weightCol``)."""
-    n = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
+    """'balanced' weights n / (2 * n_c) as a column (for ``weightCol``), n the labelled rows; null without a label."""
+    n = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
     n = n.withColumn("_w", F.sum("_nc").over(Window.partitionBy()) / (F.lit(2.0) * F.col("_nc")))  # one row per class
-    return df.join(F.broadcast(n.select(label, F.col("_w").alias(out))), label)
+    return attach_stats(df, n.select(label, F.col("_w").alias(out)), [label])

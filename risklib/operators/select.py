@@ -38,21 +38,28 @@ def correlated_to_drop(df: DataFrame, cols: Sequence[str], threshold: float = 0.
 
 # ---------------------------------------------------------------- SEL3
 def anova_f(df: DataFrame, cols: Sequence[str], label: str = LABEL, k: int | None = None) -> DataFrame:
-    """One-way ANOVA F per feature from per-class count / sum / sum of squares."""
-    aggs = [F.count(F.lit(1)).alias("_n")]
+    """One-way ANOVA F per feature from per-class counts (of the feature's own non-null rows), means and
+    population variances, which keep their digits where sums of squares would cancel."""
+    aggs = []
     for c in cols:
         x = F.col(c).cast("double")
-        aggs += [F.sum(x).alias(f"{c}__s"), F.sum(x * x).alias(f"{c}__q")]
-    g = df.groupBy(label).agg(*aggs)
-    tot = g.agg(F.sum("_n").alias("_N"), F.count(F.lit(1)).alias("_K"),
-                *[F.sum(f"{c}__s").alias(f"{c}__S") for c in cols], *[F.sum(f"{c}__q").alias(f"{c}__Q") for c in cols],
-                *[F.sum(F.col(f"{c}__s") * F.col(f"{c}__s") / F.col("_n")).alias(f"{c}__B") for c in cols])
+        aggs += [F.count(x).alias(f"{c}__n"), F.avg(x).alias(f"{c}__m"), F.var_pop(x).alias(f"{c}__v")]
+    g = df.where(F.col(label).isNotNull()).groupBy(label).agg(*aggs)
+    w = Window.partitionBy()  # one row per class
+    for c in cols:
+        n, m = F.col(f"{c}__n"), F.col(f"{c}__m")
+        g = g.withColumn(f"{c}__g", F.sum(n * m).over(w) / F.sum(n).over(w))
+    one = []
+    for c in cols:
+        n = F.col(f"{c}__n")
+        one += [F.sum(n).alias(f"{c}__N"), F.sum((n > 0).cast("int")).alias(f"{c}__K"),
+                F.sum(n * F.pow(F.col(f"{c}__m") - F.col(f"{c}__g"), 2)).alias(f"{c}__B"), F.sum(n * F.col(f"{c}__v")).alias(f"{c}__W")]
+    tot = g.agg(*one)
     rows = []
     for c in cols:
-        ss_tot = F.col(f"{c}__Q") - F.col(f"{c}__S") * F.col(f"{c}__S") / F.col("_N")
-        ss_b = F.col(f"{c}__B") - F.col(f"{c}__S") * F.col(f"{c}__S") / F.col("_N")
-        ss_w = ss_tot - ss_b
-        f = F.try_divide(ss_b / (F.col("_K") - 1), ss_w / (F.col("_N") - F.col("_K")))
+        n_classes = F.col(f"{c}__K")
+        f = F.try_divide(F.try_divide(F.col(f"{c}__B"), n_classes - 1),
+                         F.try_divide(F.col(f"{c}__W"), F.col(f"{c}__N") - n_classes))
         rows.append(F.struct(F.lit(c).alias("feature"), f.alias("score")))
     out = tot.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
     return _rank(out, k)

@@ -207,8 +207,8 @@ def eva16_compare_models(spark, sf):
 @reg("top4_best_model", _CMP_SQL + "SELECT model AS best_model, roc_auc FROM cmp ORDER BY coalesce(roc_auc, 0) DESC, model LIMIT 1")
 def top4_best_model(spark, sf):
     c = EV_.compare_models(scored_models(spark, sf))
-    return rounded(c.agg(F.max_by("model", F.struct(F.coalesce("roc_auc", F.lit(0.0)), F.lit(0) - F.lit(0))).alias("best_model"),
-                         F.max_by("roc_auc", F.struct(F.coalesce("roc_auc", F.lit(0.0)))).alias("roc_auc")))
+    best = F.struct(-F.coalesce("roc_auc", F.lit(0.0)), "model")  # ties go to the first name
+    return rounded(c.agg(F.min_by("model", best).alias("best_model"), F.min_by("roc_auc", best).alias("roc_auc")))
 
 
 # ---------------------------------------------------------------- EVA17

@@ -81,7 +81,7 @@ def cln7_ml_preprocessing(spark, sf):
 @reg("mod2_train_logistic")
 def mod2_train_logistic(spark, sf):
     tr, te = _prepared(spark, sf)
-    m, _ = M.train_model(tr, "logistic", {"C": 1.0}, n_rows=None)
+    m, _ = M.train_model(tr, "logistic", {"C": 1.0})
     return rounded(M.score(m, te, keep=["transaction_id", "label"]))
 
 
@@ -110,9 +110,9 @@ def eva18_evaluation_bundle(spark, sf):
 @reg("mod3_tune_logistic")
 def mod3_tune_logistic(spark, sf):
     tr, _ = _prepared(spark, sf)
-    tr = PR.kfold(tr, "transaction_id", 3, label="label")
-    grid = {"C": [0.01, 1], "penalty": ["l1", "l2"]}
-    _, res = M.tune_hyperparameters(tr, "logistic", grid, n_rows=10000)
+    tr = PR.kfold(tr, "transaction_id", 5, label="label")
+    grid = {"C": [0.01, 1], "penalty": ["l1", "l2"], "class_weight": [None, "balanced"]}
+    _, res = M.tune_hyperparameters(tr, "logistic", grid)
     return rounded(res)
 
 

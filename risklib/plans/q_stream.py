@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from risklib.plans.common import rounded
 from risklib.plans.sqlviews import EV
-from risklib.sources.tables import tx_events
+from risklib.sources.tables import read_table, tx_events
 from risklib.streaming import ops as S
 
 Q, SQL = {}, {}
@@ -75,7 +75,9 @@ SELECT transaction_id, card_number, coalesce((us - pu) / 60000000.0, 99999.0) AS
   amount - pa AS amount_diff, CASE WHEN nb > 0 THEN CAST(sb AS DOUBLE) / 100.0 / nb END AS history_mean_amount,
   c24 AS tx_count_24h FROM s""")
 def str4_stateful_card_features(spark, sf):
-    p = S.run_to_parquet(S.stateful_card_features(S.event_stream(spark, sf)), "str4")
+    """Replayed one day per micro-batch, so the state carries over many batches."""
+    src = S.replay_by_day(spark, read_table(spark, sf, "events"), "str4-days")
+    p = S.run_to_parquet(S.stateful_card_features(S.event_stream(spark, src, None, files_per_batch=1)), "str4")
     return spark.read.parquet(p)
 
 
@@ -101,6 +103,12 @@ def str6_dedup_replay(spark, sf):
     return spark.read.parquet(p)
 
 
-@reg("str7_late_data_report")
+@reg("str7_late_data_report", """WITH p AS (SELECT 1 AS run, ts FROM events WHERE ts >= TIMESTAMP '2024-01-16'
+  UNION ALL SELECT 2, ts FROM events WHERE ts < TIMESTAMP '2024-01-16'),
+m AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM p WHERE run = 1)
+SELECT CAST(run AS INTEGER) AS run, count(*) AS input_rows,
+  CAST(sum(CASE WHEN run = 2 AND ts < (SELECT mark FROM m) THEN 1 ELSE 0 END) AS BIGINT) AS late_rows,
+  CAST(sum(CASE WHEN run = 2 AND ts < (SELECT mark FROM m) THEN 0 ELSE 1 END) AS BIGINT) AS on_time_rows
+FROM p GROUP BY run""")
 def str7_late_data_report(spark, sf):
     return S.late_data_report(spark, sf)

@@ -3,7 +3,7 @@
 TX_EVENTS = """tx_events AS (
   SELECT event_id AS transaction_id, user_id AS card_number, value AS amount,
          ts AS transaction_ts, event_type AS merchant_category,
-         TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) % 10 AS mcc,
+         TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS mcc,
          CAST(event_type = 'error' AS INTEGER) AS fraud_indicator
   FROM events)"""
 
@@ -27,7 +27,7 @@ TX_LINES = """tx_lines AS (
   ON l.l_suppkey = sn.s_suppkey)"""
 
 SCORE_A = ("ROUND(1.0 / (1.0 + exp(-((ln(1 + greatest(amount, 0.0)) - 4.0) * 1.2 "
-           "+ (mcc - 4.5) / 4.5 * 0.3))), 6)")
+           "+ (mcc - 49.5) / 49.5 * 0.3))), 6)")
 SCORE_B = ("ROUND(least(0.99, 0.05 + 0.15 * (CAST(amount > 300 AS INTEGER) "
            "+ CAST(hour(transaction_ts) < 5 AS INTEGER) + CAST(hour(transaction_ts) > 22 AS INTEGER)) "
            "+ fmod(amount, 7) / 100.0), 6)")

@@ -16,7 +16,7 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    # needed by the stateful stream operator (transformWithStateInPandas)
+    # needed by the stateful stream operator (applyInPandasWithState)
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
@@ -52,10 +52,12 @@ def checkpoint_root(spark: SparkSession) -> str:
     from the session. Only when it is unset (local tests) do we create one.
     """
     sc = spark.sparkContext
-    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not d:
         d = _LOCAL_DIRS.get(id(sc))
     if not d:
+        if not sc.master.startswith("local"):  # local-cluster runs on this machine too
+            raise RuntimeError("set spark.checkpoint.dir (or setCheckpointDir) to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="risklib-ckpt-")
         _LOCAL_DIRS[id(sc)] = d
     if sc.getCheckpointDir() is None:

@@ -21,7 +21,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def tx_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events -> transactions (time-of-day, velocity, streaming, scoring).
 
-    card = user_id, amount = value, category = event_type, mcc = props.k mod 10,
+    card = user_id, amount = value, category = event_type, mcc = props.k,
     label = (event_type = 'error'). ``ts`` is timestamp_ntz; it is cast to a
     session-zone timestamp (UTC) so that unix_micros and watermarks work.
     """
@@ -32,7 +32,7 @@ def tx_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("value").alias("amount"),
         F.col("ts").cast("timestamp").alias("transaction_ts"),
         F.col("event_type").alias("merchant_category"),
-        (F.get_json_object("props", "$.k").try_cast("int") % 10).alias("mcc"),
+        F.get_json_object("props", "$.k").try_cast("int").alias("mcc"),
         (F.col("event_type") == "error").cast("int").alias("fraud_indicator"),
     )
 
@@ -100,7 +100,7 @@ def tx_lines(spark: SparkSession, sf_dir: str, with_location: bool = True) -> Da
 
 # Fixed scoring rule used to build the deterministic ``scored`` evaluation input.
 def _score_a(amount: Column, mcc: Column) -> Column:
-    z = (F.log1p(F.greatest(amount, F.lit(0.0))) - F.lit(4.0)) * F.lit(1.2) + (mcc - F.lit(4.5)) / F.lit(4.5) * F.lit(0.3)
+    z = (F.log1p(F.greatest(amount, F.lit(0.0))) - F.lit(4.0)) * F.lit(1.2) + (mcc - F.lit(49.5)) / F.lit(49.5) * F.lit(0.3)
     return F.round(F.lit(1.0) / (F.lit(1.0) + F.exp(-z)), 6)
 
 

@@ -24,9 +24,12 @@ EVENTS_SCHEMA = T.StructType([
 ])
 
 
-def event_stream(spark: SparkSession, path: str, file_glob: str | None = "events.parquet") -> DataFrame:
+def event_stream(spark: SparkSession, path: str, file_glob: str | None = "events.parquet",
+                 files_per_batch: int | None = None) -> DataFrame:
     """STR source: events parquet as a stream, mapped to the transaction columns."""
     r = spark.readStream.schema(EVENTS_SCHEMA)
+    if files_per_batch:
+        r = r.option("maxFilesPerTrigger", files_per_batch)
     if file_glob:
         r = r.option("pathGlobFilter", file_glob)
     ev = r.parquet(path)
@@ -34,7 +37,7 @@ def event_stream(spark: SparkSession, path: str, file_glob: str | None = "events
         F.col("event_id").alias("transaction_id"), F.col("user_id").alias("card_number"),
         F.col("value").alias("amount"), F.col("ts").cast("timestamp").alias("transaction_ts"),
         F.col("event_type").alias("merchant_category"),
-        (F.get_json_object("props", "$.k").try_cast("int") % 10).alias("mcc"),
+        F.get_json_object("props", "$.k").try_cast("int").alias("mcc"),
         (F.col("event_type") == "error").cast("int").alias("fraud_indicator"))
 
 
@@ -105,15 +108,20 @@ DAY_US = 86_400_000_000
 def _card_state_fn(key, pdfs, state):
     """Per card: rows of the micro-batch in (time, id) order continue the card's state.
 
-    The state keeps the last time/amount, running count/sum and the event
-    times of the last 24 h (bounded by the card's 24 h volume). Event-time
-    timeout drops the state once the watermark passes last time + 24 h.
+    The state keeps the largest time seen with its amount, the running count
+    and sum, and the event times of the 24 h before that time. The timeout
+    (watermark past last time + 24 h) empties only the list of times: count,
+    sum, last time and amount live as long as the card. A row that arrives
+    behind the last time gets no negative gap: its previous row is unknown to
+    the state unless it is in the same batch, so its gap and difference are
+    null, and it does not move the last time back.
     """
     import numpy as np
     import pandas as pd
 
     if state.hasTimedOut:
-        state.remove()
+        last_us, last_amount, n, total, _ = state.get
+        state.update((last_us, last_amount, n, total, []))
         return
     pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["_us", "transaction_id"], kind="mergesort")
     if state.exists:
@@ -123,9 +131,15 @@ def _card_state_fn(key, pdfs, state):
         last_us, last_amount, n, total, recent = None, None, 0, 0.0, np.zeros(0, dtype="int64")
     us = pdf["_us"].to_numpy(dtype="int64")
     amt = pdf["amount"].to_numpy(dtype="float64")
-    prev_us = np.concatenate([[last_us if last_us is not None else np.nan], us[:-1]]).astype("float64")
-    prev_amt = np.concatenate([[last_amount if last_amount is not None else np.nan], amt[:-1]])
-    minutes = np.where(np.isnan(prev_us), 99999.0, (us - prev_us) / 60_000_000.0)
+    prev_us = np.concatenate([[np.nan], us[:-1]]).astype("float64")
+    prev_amt = np.concatenate([[np.nan], amt[:-1]])
+    late = np.zeros(len(us), dtype=bool)
+    if last_us is not None:
+        late = us < last_us
+        first = int(late.sum())  # rows are in time order: the first row that is not late follows the state's last row
+        if first < len(us):
+            prev_us[first], prev_amt[first] = last_us, last_amount
+    minutes = np.where(np.isnan(prev_us), np.where(late, np.nan, 99999.0), (us - prev_us) / 60_000_000.0)
     cents = np.round(amt * 100).astype("int64")   # money in whole cents: exact running sums
     cnt_before = n + np.arange(len(us))
     sum_before = int(total) + np.concatenate([[0], np.cumsum(cents)[:-1]])
@@ -135,16 +149,20 @@ def _card_state_fn(key, pdfs, state):
     out = pd.DataFrame({"transaction_id": pdf["transaction_id"].to_numpy(), "card_number": key[0],
                         "minutes_since_last": minutes, "amount_diff": amt - prev_amt,
                         "history_mean_amount": hist_mean, "tx_count_24h": c24.astype("int64")})
-    new_last = int(us[-1])
-    keep = all_us[all_us >= new_last - DAY_US]
-    state.update((new_last, float(amt[-1]), int(n + len(us)), float(int(total) + int(cents.sum())), keep.tolist()))
-    state.setTimeoutTimestamp(new_last // 1000 + DAY_US // 1000)
+    if last_us is None or int(us[-1]) >= last_us:
+        last_us, last_amount = int(us[-1]), float(amt[-1])
+    keep = all_us[all_us >= last_us - DAY_US]
+    state.update((last_us, last_amount, int(n + len(us)), float(int(total) + int(cents.sum())), keep.tolist()))
+    expire = last_us // 1000 + DAY_US // 1000
+    if expire > state.getCurrentWatermarkMs():
+        state.setTimeoutTimestamp(expire)
     yield out
 
 
 def stateful_card_features(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Per arriving row: minutes since the card's previous row, amount difference, mean of earlier
-    amounts and rows in [t - 24 h, t]. Equals the batch WIN3/WIN1/AGG24/WIN5 values on in-order input."""
+    amounts and rows in [t - 24 h, t]. Equals the batch WIN3/WIN1/AGG24/WIN5 values on input that is in
+    order over the micro-batches (of any number); rows within a batch may come in any order."""
     from pyspark.sql.streaming.state import GroupStateTimeout
     s = (stream.withColumn("_us", F.unix_micros("transaction_ts")).withWatermark("transaction_ts", delay)
                .select("transaction_id", "card_number", "amount", "transaction_ts", "_us"))
@@ -173,29 +191,49 @@ def write_alerts(batch: DataFrame, epoch_id: int, out: str) -> None:
 
 
 # ---------------------------------------------------------------- STR7
+def replay_by_day(spark: SparkSession, events: DataFrame, name: str = "replay") -> str:
+    """Write events as one file per day, named and stamped in day order, so a file stream with one file per
+    trigger replays them in order; returns the folder."""
+    base = scratch_path(spark, name)
+    days = [r[0] for r in events.select(F.to_date("ts").alias("d")).distinct().orderBy("d").collect()]  # one per day
+    for d in days:
+        events.where(F.to_date("ts") == F.lit(d)).coalesce(1).write.mode("append").parquet(base)
+    return base
+
+
 def late_data_report(spark: SparkSession, events_dir: str, split_ts: str = "2024-01-16", delay: str = "1 hour") -> DataFrame:
-    """Replay events out of order: rows after ``split_ts`` first, earlier rows as a second batch.
-    The second batch is behind the watermark and dropped; the progress metrics report how many."""
+    """Replay events out of order: rows after ``split_ts`` first, earlier rows as a second run.
+
+    A row is late when its time is behind the watermark the stream had reached
+    before its micro-batch (largest time of the earlier runs minus ``delay``).
+    Late rows are counted before any aggregation. Returns one row per run:
+    input rows, late rows, and the rows that reached the hourly windows' input.
+    """
     from risklib.sources.tables import read_table
     base = scratch_path(spark, "late")
     src = os.path.join(base, "src")
     ev = read_table(spark, events_dir, "events")
     cut = F.lit(split_ts).cast("timestamp_ntz")
-    ev.where(F.col("ts") >= cut).write.parquet(os.path.join(src, "part1"))
-    stream = spark.readStream.schema(EVENTS_SCHEMA).option("recursiveFileLookup", "true").parquet(src)
-    stream = stream.select(F.col("event_id").alias("transaction_id"), F.col("ts").cast("timestamp").alias("transaction_ts"),
-                           (F.col("event_type") == "error").cast("int").alias("fraud_indicator"),
-                           F.col("value").alias("amount"))
-    agg = window_kpis(stream, "1 hour", delay)
     out = os.path.join(base, "out")
-    rows = []
-    for run in (1, 2):
-        if run == 2:
-            ev.where(F.col("ts") < cut).write.parquet(os.path.join(src, "part2"))
-        q = (agg.writeStream.format("parquet").outputMode("append").option("path", out)
-                .option("checkpointLocation", os.path.join(base, "_ck")).trigger(availableNow=True).start())
+
+    def count(batch: DataFrame, epoch: int) -> None:
+        seen = batch.sparkSession.read.schema(_LATE).option("recursiveFileLookup", "true").parquet(out) if epoch else None
+        top = seen.agg(F.max("max_ts")).first()[0] if seen is not None else None
+        mark = F.lit(top).cast("timestamp") - F.expr(f"INTERVAL {delay}") if top is not None else F.lit(None).cast("timestamp")
+        late = F.coalesce(F.col("transaction_ts") < mark, F.lit(False))
+        (batch.agg(F.lit(epoch).cast("long").alias("batch_id"), F.count(F.lit(1)).alias("input_rows"),
+                   F.sum(late.cast("long")).alias("late_rows"), F.max("transaction_ts").alias("max_ts"))
+              .write.mode("overwrite").parquet(os.path.join(out, f"epoch={epoch}")))
+
+    for part in (ev.where(F.col("ts") >= cut), ev.where(F.col("ts") < cut)):
+        part.write.mode("append").parquet(src)
+        stream = spark.readStream.schema(EVENTS_SCHEMA).parquet(src).select(F.col("ts").cast("timestamp").alias("transaction_ts"))
+        q = (stream.writeStream.foreachBatch(count).option("checkpointLocation", os.path.join(base, "_ck"))
+                   .trigger(availableNow=True).start())
         q.awaitTermination()
-        for p in q.recentProgress:
-            dropped = sum(int(so.get("numRowsDroppedByWatermark", 0)) for so in p["stateOperators"]) if p.get("stateOperators") else 0
-            rows.append((run, int(p["batchId"]), int(p["numInputRows"]), dropped))
-    return spark.createDataFrame(rows, "run int, batch_id long, input_rows long, dropped_by_watermark long")
+    return spark.read.schema(_LATE).option("recursiveFileLookup", "true").parquet(out).select(
+        (F.col("batch_id") + 1).cast("int").alias("run"), "input_rows", "late_rows",
+        (F.col("input_rows") - F.col("late_rows")).alias("on_time_rows"))
+
+
+_LATE = "batch_id long, input_rows long, late_rows long, max_ts timestamp"

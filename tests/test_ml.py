@@ -27,4 +27,6 @@ def test_pca_cumulative_reaches_threshold(spark):
 
 def test_tuning_reports_every_combination(spark):
     t = E.queries()["mod3_tune_logistic"](spark, SF0001).toPandas()
-    assert len(t) == 4 and t.roc_auc.between(0, 1).all()
+    # two values of C, two penalties, with and without class weights
+    assert len(t) == 8 and t.params.nunique() == 8 and t.roc_auc.between(0, 1).all()
+    assert t.params.str.contains("class_weight").sum() == 4

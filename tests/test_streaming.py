@@ -4,7 +4,7 @@ from risklib.streaming import ops as S
 from tests.conftest import SF0001
 
 
-def test_stateful_stream_equals_batch(spark):
+def test_stateful_stream_equals_batch_over_many_batches(spark):
     import __spark_entry__ as E
     import duckdb
     got = E.queries()["str4_stateful_card_features"](spark, SF0001).toPandas()
@@ -15,11 +15,57 @@ def test_stateful_stream_equals_batch(spark):
     assert len(m) == len(ref) == len(got)
     assert (m.tx_count_24h == m.tx_count_24h_r).all()
     assert ((m.minutes_since_last - m.minutes_since_last_r).abs() < 1e-6).all()
+    both = m.history_mean_amount.notna()
+    assert (both == m.history_mean_amount_r.notna()).all()
+    assert ((m.history_mean_amount - m.history_mean_amount_r).abs()[both] < 1e-6).all()
 
 
-def test_late_rows_dropped_and_reported(spark):
-    rep = S.late_data_report(spark, SF0001).toPandas()
-    assert rep[rep.run == 2].dropped_by_watermark.sum() > 0
+class State:
+    """The part of a group state that the card function uses."""
+
+    def __init__(self, value=None, timed_out=False):
+        self.get, self.exists, self.hasTimedOut, self.timeout = value, value is not None, timed_out, None
+
+    def update(self, v):
+        self.get, self.exists = v, True
+
+    def setTimeoutTimestamp(self, t):
+        self.timeout = t
+
+    def getCurrentWatermarkMs(self):
+        return 0
+
+
+def _step(state, rows):
+    import pandas as pd
+    pdf = pd.DataFrame(rows, columns=["transaction_id", "card_number", "amount", "_us"])
+    return next(S._card_state_fn((1,), iter([pdf]), state)).set_index("transaction_id")
+
+
+def test_late_rows_do_not_move_the_state_back():
+    m = 60_000_000
+    state = State()
+    _step(state, [(1, 1, 10.0, 100 * m), (2, 1, 20.0, 110 * m)])
+    late = _step(state, [(3, 1, 5.0, 50 * m)])
+    assert late.minutes_since_last.isna().all() and late.amount_diff.isna().all()
+    assert state.get[0] == 110 * m and state.get[1] == 20.0 and state.get[2] == 3
+    after = _step(state, [(4, 1, 1.0, 60 * m), (5, 1, 30.0, 115 * m)])
+    assert after.loc[5, "minutes_since_last"] == 5 and after.loc[5, "amount_diff"] == 10
+
+
+def test_timeout_empties_only_the_recent_times():
+    state = State((7, 1.0, 4, 1000.0, [5, 7]), timed_out=True)
+    list(S._card_state_fn((1,), iter([]), state))
+    assert state.get == (7, 1.0, 4, 1000.0, [])
+
+
+def test_late_rows_are_counted_before_aggregation(spark):
+    rep = {r["run"]: r for r in S.late_data_report(spark, SF0001).collect()}
+    ev = spark.read.parquet(f"{SF0001}/events.parquet")
+    top = ev.agg(F.max("ts") - F.expr("INTERVAL 1 HOUR")).first()[0]
+    early = ev.where("ts < timestamp_ntz'2024-01-16'")
+    assert rep[1]["late_rows"] == 0 and rep[1]["input_rows"] + rep[2]["input_rows"] == ev.count()
+    assert rep[2]["late_rows"] == early.where(F.col("ts") < F.lit(top)).count() > 0
 
 
 def test_window_kpis_closed_windows_only(spark):
