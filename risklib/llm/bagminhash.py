@@ -19,8 +19,12 @@ are the connected components of the links.
 Buckets are not expanded into pairs. Shingles that one bucketed text alone
 holds cannot be shared, so with u of its n shingles alone, two texts share at
 most o = min(n - u, n' - u') and their similarity is at most o / (n + n' - o).
-This exact bound settles most pairs unseen, and so does the triangle inequality
-with the distances to the bucket's first pivot. In each round a bucket's pivots
+A text's sketch has a bit for every class of shingle hashes that it holds: d
+bits that differ stand for at least d shingles that only one of two texts has,
+so their similarity is at most (n + n' - d) / (n + n' + d). These exact bounds
+settle most pairs without their texts, and so does the triangle inequality with
+the distances to the bucket's first pivot. (The pairs that they settle still
+meet in the bucket's join, as rows that it does not return.) In each round a bucket's pivots
 (the first one the member with the least of its own) are compared with all its
 members of other classes within the bound, and classes are joined. Later pivots
 are taken outside the bucket's largest class; the last round takes all that are
@@ -47,6 +51,7 @@ from risklib.llm.common import stored
 
 SHINGLE_WORDS, MIN_SIMILARITY = 5, 0.8
 BANDS, ROWS = 28, 5  # a pair of similarity 0.8 shares a bucket but for 15 in a million
+SKETCH_WORDS = 16  # 1,024 bits a text
 SLICE_CHARS, SLICE_TEXTS = 1_500_000, 2000
 PIVOTS = (1, 16, None)  # pivots per bucket and round; None: all that are left
 BROADCAST_ROWS = 1_000_000
@@ -108,6 +113,15 @@ def band_hashes(h: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
+def sketches(text: np.ndarray, shingle: np.ndarray, n_texts: int, words: int = SKETCH_WORDS) -> np.ndarray:
+    """Per text the set of (shingle hash modulo 64 * words), as bits."""
+    out = np.zeros(n_texts * words, np.uint64)
+    bit = shingle % np.uint64(64 * words)
+    at = text * words + (bit >> np.uint64(6)).astype(np.int64)
+    np.bitwise_or.at(out, at, np.uint64(1) << (bit & np.uint64(63)))
+    return out.reshape(n_texts, words)
+
+
 def _slices(texts):
     i = 0
     while i < len(texts):
@@ -119,15 +133,15 @@ def _slices(texts):
         i = j
 
 
-SIGNED = "doc_id long, t1 long, t2 long, n long, bands array<long>"
+SIGNED = "doc_id long, t1 long, t2 long, n long, bands array<long>, sketch array<long>"
 
 
 def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Per row: the text's 128-bit hash, its number of shingles and its band hashes (empty without words)."""
+    """Per row: the text's 128-bit hash, its number of shingles, its band hashes (empty without words) and its sketch."""
     def make(batches):
         for batch in batches:
             texts = [t.encode() for t in batch.column(3).to_pylist()]
-            n, out = [], []
+            n, out, bits = [], [], []
             for i, j in _slices(texts):
                 words, counts = bytehash.words_of(texts[i:j])
                 text, shingle, weight = bag(words, counts)
@@ -135,9 +149,11 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
                 b = band_hashes(signatures(text, shingle, weight, j - i, bands * rows), bands, rows).view(np.int64)
                 n += total.tolist()
                 out += [x if t else [] for x, t in zip(b.tolist(), total.tolist())]
+                bits += sketches(text, shingle, j - i).view(np.int64).tolist()
+            lists = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(n, pa.int64()), pa.array(out, pa.list_(pa.int64()))],
-                names=["doc_id", "t1", "t2", "n", "bands"])
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(n, pa.int64()), pa.array(out, lists), pa.array(bits, lists)],
+                names=["doc_id", "t1", "t2", "n", "bands", "sketch"])
 
     return _texts(docs).mapInArrow(make, SIGNED)
 
@@ -223,7 +239,8 @@ def components(edges: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, threshold: float = MIN_SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, class_id of every row of ``docs`` (doc_id, text)."""
     sigs = stored(signed(docs, bands, rows), "near-signatures")
-    nodes = sigs.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    nodes = sigs.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"),
+                                         F.first("sketch").alias("sketch"))
     nodes = stored(nodes, "near-nodes")
     entries = nodes.select("rep", "n", F.posexplode("bands").alias("band", "hash"))
     many = entries.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size")
@@ -232,7 +249,7 @@ def classes(docs: DataFrame, threshold: float = MIN_SIMILARITY, bands: int = BAN
     own = stored(alone(docs, reps, reps.count()), "near-own")
     members = members.join(own, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0))).filter(
         F.col("n") - F.col("own") >= F.lit(threshold) * F.col("n"))  # the others link to nothing
-    members = members.join(nodes.select("rep", "bands"), "rep")
+    members = members.join(nodes.select("rep", "bands", "sketch"), "rep")
     labels = _linked(docs, stored(members, "near-members"), threshold)
     rep = sigs.join(nodes.select("t1", "t2", "rep"), ["t1", "t2"]).select("doc_id", "rep")
     if labels is not None:
@@ -250,7 +267,7 @@ def _linked(docs: DataFrame, members: DataFrame, threshold: float) -> DataFrame
     for i, pivots in enumerate(PIVOTS):
         cls = members.withColumn("cls", F.col("rep")) if labels is None else members.join(
             labels, F.col("rep") == F.col("node"), "left").select(
-            "band", "hash", "rep", "n", "own", "bands", F.coalesce("root", "rep").alias("cls"))
+            "band", "hash", "rep", "n", "own", "bands", "sketch", F.coalesce("root", "rep").alias("cls"))
         if labels is not None:
             cls = stored(cls, "near-classes")
         # the largest class of every bucket that has several
@@ -261,17 +278,17 @@ def _linked(docs: DataFrame, members: DataFrame, threshold: float) -> DataFrame
         if i == 0:
             least = F.struct(F.col("own") / F.col("n"), F.col("rep"))
             chosen = cls.groupBy("band", "hash").agg(
-                F.min_by(F.struct("rep", "n", "own", "cls"), least).alias("p"), F.count(F.lit(1)).alias("k")).filter(
+                F.min_by(F.struct("rep", "n", "own", "sketch", "cls"), least).alias("p"), F.count(F.lit(1)).alias("k")).filter(
                 "k > 1").select("band", "hash", "p.*")
         else:
             left = cls.join(open_, ["band", "hash"]).filter("cls <> main").join(done, ["band", "hash", "rep"], "left_anti")
             if pivots is not None:  # an expected number of pivots, by hash; the last round takes the rest
                 draw = F.pmod(F.xxhash64("band", "hash", "rep"), F.lit(1 << 30)) / F.lit(float(1 << 30))
                 left = left.filter(draw < pivots / (F.col("size") - F.col("top")))
-            chosen = left.select("band", "hash", "rep", "n", "own", "cls")
+            chosen = left.select("band", "hash", "rep", "n", "own", "sketch", "cls")
         chosen = stored(chosen, "near-pivots")
         p = chosen.select("band", "hash", F.col("rep").alias("p_rep"), F.col("n").alias("p_n"),
-                          F.col("own").alias("p_own"), F.col("cls").alias("p_cls"))
+                          F.col("own").alias("p_own"), F.col("sketch").alias("p_sketch"), F.col("cls").alias("p_cls"))
         where = chosen.groupBy(F.col("rep").alias("w_rep")).agg(F.collect_list(F.struct("band", "hash")).alias("at"))  # BANDS at most
         p = p.join(where, F.col("p_rep") == F.col("w_rep"))
         # a pair that meets in several of the pivot's buckets is made in the first of them
@@ -283,9 +300,11 @@ def _linked(docs: DataFrame, members: DataFrame, threshold: float) -> DataFrame
             near = F.coalesce(F.abs(F.col("sim") - F.col("p_sim")) <= F.lit(1 - threshold + 1e-9), F.lit(True))
         earlier = F.exists("at", lambda x: (x["band"] < F.col("band")) & (F.get(F.col("bands"), x["band"]) == x["hash"]))
         shared = F.least(F.col("n") - F.col("own"), F.col("p_n") - F.col("p_own"))
+        differ = sum((F.bit_count(F.get("sketch", F.lit(w)).bitwiseXOR(F.get("p_sketch", F.lit(w)))) for w in range(SKETCH_WORDS)), F.lit(0))
+        total = F.col("n") + F.col("p_n")
         pairs = cls.join(p, ["band", "hash"]).filter(
             (F.col("rep") != F.col("p_rep")) & (F.col("cls") != F.col("p_cls")) & ~earlier & near
-            & (shared >= F.lit(threshold) * (F.col("n") + F.col("p_n") - shared))).select(
+            & (shared >= F.lit(threshold) * (total - shared)) & (total - differ >= F.lit(threshold) * (total + differ))).select(
             F.least("rep", "p_rep").alias("a"), F.greatest("rep", "p_rep").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")

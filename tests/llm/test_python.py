@@ -166,6 +166,23 @@ def test_signatures_estimate_weighted_similarity():
     assert abs((h[0] == h[1]).mean() - true) < 0.03
 
 
+def test_sketches_never_rule_out_a_link():
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    for n in (3, 40, 200, 3000):
+        a = [rng.choice(words) for _ in range(n)]
+        for p in (0.0, 0.01, 0.1, 0.5, 1.0):
+            b = [rng.choice(words) if rng.random() < p else w for w in a]
+            pair = [" ".join(a), " ".join(b)]
+            text, shingle, weight = bagminhash.bag(*bytehash.words_of([t.encode() for t in pair]))
+            bits = bagminhash.sketches(text, shingle, 2)
+            differ = int(np.bitwise_count(bits[0] ^ bits[1]).sum())
+            total = int(weight.sum())
+            assert bagminhash.jaccard(*pair) <= (total - differ) / (total + differ) + 1e-12
+    none = bagminhash.sketches(np.zeros(0, np.int64), np.zeros(0, np.uint64), 2)
+    assert none.shape == (2, bagminhash.SKETCH_WORDS) and not none.any()
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(20)] + [(100, j) for j in range(101, 130)] + [(205, 203), (203, 201)]
     out = {r["node"]: r["root"] for r in bagminhash.components(spark.createDataFrame(edges, "u long, v long")).collect()}
