@@ -9,6 +9,7 @@ from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringInd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from risklib.functions.fitted import most_frequent
 from risklib.operators import prep as PR
 from risklib.schema import LABEL
 
@@ -35,10 +36,10 @@ def create_preprocessing_pipeline(categorical: Sequence[str], numerical: Sequenc
 
 
 def _fill_values(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> dict:
-    """Fitted fill values (one aggregate over the training rows; one small row to the driver)."""
+    """Fitted fill values (medians in one aggregate, most frequent values in one grouped count)."""
     fills = [F.median(F.col(c).cast("double")).alias(f"n{i}") for i, c in enumerate(numeric)]
-    fills += [F.mode(F.col(c), True).alias(f"s{i}") for i, c in enumerate(categorical)]
-    return train.agg(*fills).first().asDict() if fills else {}
+    top = most_frequent(train, categorical)
+    return (train.agg(*fills).first().asDict() if fills else {}) | {f"s{i}": top[c] for i, c in enumerate(categorical)}
 
 
 def prepare_data(df: DataFrame, key: str, numeric: Sequence[str], categorical: Sequence[str] = (),

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from risklib.functions.exprs import cut, flag, period_of_day_b, weekday
-from risklib.functions.fitted import fit_row, lit
+from risklib.functions.fitted import fit_row, lit, most_frequent
 from risklib.operators.features import AMOUNT_EDGES_5, AMOUNT_LABELS_5, resolve_timestamp
-from risklib.schema import AMOUNT, LABEL, TS, numeric_columns, string_columns
+from risklib.schema import AMOUNT, CARD, ID, LABEL, TS, numeric_columns, string_columns
 
 
 def drop_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -22,32 +22,35 @@ def impute(df: DataFrame, numeric: Sequence[str] | None = None, strings: Sequenc
            exclude: Sequence[str] = ()) -> DataFrame:
     """CLN2/CLN3: exact median for numeric columns, most frequent value (ties -> smallest) for strings.
 
-    All fill values come from ONE aggregate (one scalar subquery), so the
-    table is scanned once for statistics, whatever the column count.
+    The medians come from one aggregate, the most frequent values from one
+    grouped count: two scans for statistics, whatever the column count.
     """
     numeric = [c for c in (numeric if numeric is not None else numeric_columns(df)) if c not in exclude]
     strings = [c for c in (strings if strings is not None else string_columns(df)) if c not in exclude]
     if not numeric and not strings:
         return df
     fills = [F.median(F.col(c)).alias(f"n{i}") for i, c in enumerate(numeric)]
-    fills += [F.mode(F.col(c), True).alias(f"s{i}") for i, c in enumerate(strings)]
-    one = fit_row(df, *fills)
+    one = fit_row(df, *fills) if fills else {}
+    top = most_frequent(df, strings)
     types = dict(df.dtypes)
     out = []
     for c in df.columns:
         if c in numeric:
             out.append(F.coalesce(F.col(c), F.lit(one[f"n{numeric.index(c)}"]).cast(types[c])).alias(c))
         elif c in strings:
-            out.append(F.coalesce(F.col(c), F.lit(one[f"s{strings.index(c)}"]).cast("string")).alias(c))
+            out.append(F.coalesce(F.col(c), F.lit(top[c]).cast("string")).alias(c))
         else:
             out.append(F.col(c))
     return df.select(*out)
 
 
 def clean_data(df: DataFrame, drop: Sequence[str] = (), target: str = LABEL) -> DataFrame:
-    """CLN1 + CLN2 + CLN3 + CLN4: drop, impute, combine date/time into ``transaction_ts``."""
+    """CLN1 + CLN2 + CLN3 + CLN4: drop, impute, combine date/time into ``transaction_ts``.
+
+    Transaction and card ids are never imputed: a made-up id would join rows that do not belong together.
+    """
     df = drop_columns(df, drop)
-    df = impute(df, exclude=[target])
+    df = impute(df, exclude=[target, ID, CARD])
     return resolve_timestamp(df)
 
 
