@@ -15,8 +15,10 @@ over row-level data.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,6 +70,14 @@ def classification_metrics(df: DataFrame, threshold: float = 0.5, group_cols: Se
 
 
 # ---------------------------------------------------------------- score table + prefix sums
+def score_ranges(df: DataFrame, p: str = P, buckets: int = 1024) -> list[float]:
+    """Increasing range edges that follow the scores: a range between two of them holds about 1/buckets of the
+    rows (one sketch pass; at most ``buckets`` numbers reach the driver)."""
+    at = [i / buckets for i in range(1, buckets)]
+    edges = df.agg(F.percentile_approx(F.col(p).cast("double"), at, 10 * buckets).alias("e")).first()["e"] or []
+    return [-math.inf, *sorted({e for e in edges if math.isfinite(e)}), math.inf]
+
+
 def score_table(df: DataFrame, group_cols: Sequence[str] = (), y: str = Y, p: str = P,
                 buckets: int = 1024) -> DataFrame:
     """Distinct (group, score) with pos/neg counts and exclusive cumulative counts below the score."""
@@ -76,8 +86,9 @@ def score_table(df: DataFrame, group_cols: Sequence[str] = (), y: str = Y, p: st
         return score_table(df.withColumn("_g", F.lit(0)), ["_g"], y, p, buckets).drop("_g")
     s = (df.where(F.col(p).isNotNull()).groupBy(*g, F.col(p).alias("score"))
            .agg(F.sum(F.col(y).cast("long")).alias("pos"), F.sum(1 - F.col(y).cast("long")).alias("neg")))
-    b = F.least(F.greatest(F.floor(F.col("score") * buckets), F.lit(0)), F.lit(buckets - 1)).cast("int")
-    s = s.withColumn("_bk", b)
+    edges = score_ranges(df, p, buckets)
+    s = (Bucketizer(splits=edges, inputCol="score", outputCol="_bk", handleInvalid="keep").transform(s)
+         if len(edges) > 2 else s.withColumn("_bk", F.lit(0.0)))
     bt = s.groupBy(*g, "_bk").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
     wb = Window.partitionBy(*g).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     wg = Window.partitionBy(*g)  # bucket table: at most ``buckets`` rows per group
