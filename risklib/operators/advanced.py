@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from risklib.functions.exprs import cut, flag, period_of_day_a, PERIOD_LABELS_PT, weekday
 from risklib.operators.features import resolve_timestamp
-from risklib.operators.keyed import HOUR_US, attach_stats, range_counts_probe, sequence_stage
+from risklib.operators.keyed import (HOUR_US, ROWS_PER_PART, attach_stats, fits_time_buckets, range_counts_probe,
+                                     sequence_stage)
 from risklib.schema import AMOUNT, CARD, ID, TS
 
 # Weights and thresholds of the composite scores.
@@ -39,7 +40,8 @@ def _has(df, *cols):
 
 # ---------------------------------------------------------------- WIN6/WIN7/JN6
 def transaction_velocity_features(df: DataFrame, time_windows=(1, 6, 24), key_columns=(CARD,),
-                                  bucket_hours: float = 168, method: str = "context") -> DataFrame:
+                                  bucket_hours: float = 168, method: str = "auto",
+                                  rows_per_part: int = ROWS_PER_PART) -> DataFrame:
     """tx_count_{w}h = rows of the same key in [t - w h, t) (self and ties excluded),
     high_velocity_{w}h = count > global 95th percentile of that count.
 
@@ -47,12 +49,19 @@ def transaction_velocity_features(df: DataFrame, time_windows=(1, 6, 24), key_co
     shuffle (buckets at least as long as the longest window). method "probe":
     probe rows and prefix sums, buckets of any length (for keys so hot that
     one look-back period of them exceeds a task); see keyed.range_counts_probe.
+    method "volume": the same with hot keys cut by their number of rows.
+    "auto", the default, takes "volume" when a (key, bucket) holds more than
+    ``rows_per_part`` rows and "context" otherwise.
     """
     df = resolve_timestamp(df)
     if TS not in df.columns:
         return df
     ranges = {f"tx_count_{w}h": (-int(w * HOUR_US), -1) for w in time_windows}
-    if method == "probe":
+    if method == "auto":
+        method = "context" if fits_time_buckets(df, key_columns, TS, bucket_hours, rows_per_part) else "volume"
+    if method == "volume":
+        out = range_counts_probe(df, list(key_columns), TS, ID, ranges, rows_per_part=rows_per_part)
+    elif method == "probe":
         out = range_counts_probe(df, list(key_columns), TS, ID, ranges, bucket_hours=bucket_hours)
     else:
         out = sequence_stage(df, list(key_columns), TS, ID, ranges=ranges, bucket_hours=bucket_hours)
@@ -153,7 +162,8 @@ def fraud_detection_score(df: DataFrame, weights: dict | None = None) -> DataFra
 
 
 # ---------------------------------------------------------------- FE2
-def create_all_advanced_features(df: DataFrame, bucket_hours: int = 168) -> DataFrame:
+def create_all_advanced_features(df: DataFrame, bucket_hours: int = 168,
+                                 rows_per_part: int = ROWS_PER_PART) -> DataFrame:
     """velocity -> behaviour -> temporal patterns -> score.
 
     The row table is shuffled twice: once by (card, time bucket) for the
@@ -161,10 +171,10 @@ def create_all_advanced_features(df: DataFrame, bucket_hours: int = 168) -> Data
     """
     df = resolve_timestamp(df)
     if not all(c in df.columns for c in (CARD, TS, AMOUNT)):
-        df = transaction_velocity_features(df, bucket_hours=bucket_hours)
+        df = transaction_velocity_features(df, bucket_hours=bucket_hours, rows_per_part=rows_per_part)
         return fraud_detection_score(temporal_pattern_features(behavioral_pattern_features(df)))
     profile = card_profile(df)            # from the input rows, not from the windowed output
-    df = transaction_velocity_features(df, bucket_hours=bucket_hours)
+    df = transaction_velocity_features(df, bucket_hours=bucket_hours, rows_per_part=rows_per_part)
     df = attach_stats(df, profile, [CARD])
     df = behavioral_pattern_features(df)
     df = temporal_pattern_features(df)

@@ -262,10 +262,10 @@ def hash_sample(df: DataFrame, key: str, fraction: float, seed: int = 42) -> Dat
 
 # ---------------------------------------------------------------- AGG24
 def customer_history(df: DataFrame, key: str = "card_number", ts: str = TS, id_col: str = "transaction_id",
-                     value: str = AMOUNT, bucket_hours: int = 168) -> DataFrame:
+                     value: str = AMOUNT, bucket_hours: int = 168, rows_per_part: int | None = None) -> DataFrame:
     """Mean of the card's earlier amounts, ratio of the amount to it, days per earlier transaction."""
-    from risklib.operators.keyed import running_history
-    h = running_history(df, [key], ts, id_col, value, bucket_hours)
+    from risklib.operators.keyed import ROWS_PER_PART, running_history
+    h = running_history(df, [key], ts, id_col, value, bucket_hours, rows_per_part or ROWS_PER_PART)
     mean = safe_div(F.col("prior_sum_cents").cast("double") / F.lit(100.0), F.col("prior_values"))
     days = (F.col("_us") - F.col("first_us")) / F.lit(86_400_000_000.0)
     return (h.withColumn("history_mean_amount", mean)

@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from risklib.functions.exprs import cut, cyclic_distance, flag, period_of_day_a, safe_div, weekday
-from risklib.operators.keyed import HOUR_US, attach_stats, range_counts_probe, sequence_stage
+from risklib.operators.keyed import (HOUR_US, ROWS_PER_PART, attach_stats, fits_time_buckets, range_counts_probe,
+                                     sequence_stage)
 from risklib.schema import AMOUNT, CARD, ID, LABEL, PAYMENT_COLUMNS, TS
 
 # Band edges and labels.
@@ -136,14 +137,17 @@ def location_features(df: DataFrame, city: str = "merchant_city", state: str = "
 
 # ---------------------------------------------------------------- card context
 def add_card_context(df: DataFrame, windows_excl_hours=(), bucket_hours: float = 168,
-                     method: str = "context") -> DataFrame:
+                     method: str = "auto", rows_per_part: int = ROWS_PER_PART) -> DataFrame:
     """Previous row, 24 h inclusive count, [t-w, t) counts and card stats, in one pass.
 
     Adds columns prefixed ``_ctx_``; later feature functions reuse them.
     ``method="probe"`` computes the range counts with probe rows
     (``keyed.range_counts_probe``) and the previous row with context-free
     buckets, so ``bucket_hours`` may be shorter than the 24 h look-back
-    (for cards too hot for one look-back period per task).
+    (for cards too hot for one look-back period per task). "volume" cuts
+    hot cards by their number of rows; "auto", the default, takes it when a
+    (card, time bucket) holds more than ``rows_per_part`` rows and
+    "context" otherwise.
     """
     if not _has(df, CARD) or f"{CTX_PREFIX}cnt" in df.columns:
         return df
@@ -154,14 +158,21 @@ def add_card_context(df: DataFrame, windows_excl_hours=(), bucket_hours: float =
         aggs += [F.avg(AMOUNT).alias(f"{CTX_PREFIX}avg_amount"),
                  F.stddev_samp(AMOUNT).alias(f"{CTX_PREFIX}sd_amount")]
     if TS in df.columns:
-        aggs += [F.avg(F.hour(TS)).alias(f"{CTX_PREFIX}avg_hour")]
+        aggs += [F.avg(F.hour(TS)).alias(f"{CTX_PREFIX}avg_hour"), F.count(TS).alias(f"{CTX_PREFIX}timed")]
+    if ID in df.columns:
+        aggs += [F.min(ID).alias(f"{CTX_PREFIX}min_id")]
     stats = df.groupBy(CARD).agg(*aggs)
     if TS in df.columns and ID in df.columns:
         ranges = {f"{CTX_PREFIX}cnt24_incl": (-24 * HOUR_US, 0)}
         for w in windows_excl_hours:
             ranges[f"{CTX_PREFIX}cnt_{w}h"] = (-int(w * HOUR_US), -1)
         prev_cols = [AMOUNT] if AMOUNT in df.columns else []
-        if method == "probe":
+        if method == "auto":
+            method = "context" if fits_time_buckets(df, [CARD], TS, bucket_hours, rows_per_part) else "volume"
+        if method == "volume":
+            df = range_counts_probe(df, [CARD], TS, ID, ranges, rows_per_part=rows_per_part)
+            df = sequence_stage(df, [CARD], TS, ID, prev_cols=prev_cols, rows_per_part=rows_per_part)
+        elif method == "probe":
             df = range_counts_probe(df, [CARD], TS, ID, ranges, bucket_hours=bucket_hours)
             df = sequence_stage(df, [CARD], TS, ID, prev_cols=prev_cols, ranges={}, bucket_hours=bucket_hours)
         else:
@@ -182,15 +193,17 @@ def _with_context(df: DataFrame, **kw) -> tuple[DataFrame, bool]:
 
 # ---------------------------------------------------------------- AGG5/WIN1/WIN2
 def customer_behavior_features(df: DataFrame) -> DataFrame:
-    if not _has(df, CARD, AMOUNT, TS):
+    if not _has(df, CARD, AMOUNT, TS, ID):
         return df
     df, own = _with_context(df)
     p = f"{CTX_PREFIX}"
+    # rows without a time sort after all others of the card
+    leads = F.col(f"{p}us").isNotNull() | ((F.col(f"{p}timed") == 0) & (F.col(ID) == F.col(f"{p}min_id")))
     df = df.withColumns({"customer_transaction_count": F.col(f"{p}cnt"),
                          "customer_avg_amount": F.col(f"{p}avg_amount"),
                          "amount_deviation_from_avg": safe_div(AMOUNT, f"{p}avg_amount"),
                          "amount_diff_last_transaction": F.col(AMOUNT) - F.col(f"{p}prev.{AMOUNT}"),
-                         "is_first_transaction": F.col(f"{p}prev").isNull().cast("int")})
+                         "is_first_transaction": flag(F.col(f"{p}prev").isNull() & leads)})
     return drop_context(df) if own else df
 
 
@@ -254,7 +267,7 @@ def payment_method_features(df: DataFrame, columns=PAYMENT_COLUMNS) -> DataFrame
 # ---------------------------------------------------------------- WIN3/WIN4/WIN5
 def velocity_features(df: DataFrame) -> DataFrame:
     df = resolve_timestamp(df)
-    if not _has(df, CARD, TS):
+    if not _has(df, CARD, TS, ID):
         return df
     df, own = _with_context(df)
     p = CTX_PREFIX
@@ -271,12 +284,12 @@ def fraud_pattern_features(df: DataFrame) -> DataFrame:
         return df
     df, own = _with_context(df)
     p = CTX_PREFIX
-    if AMOUNT in df.columns:
+    if _has(df, AMOUNT, TS, ID):
         prev = F.col(f"{p}prev.{AMOUNT}")
         ratio = safe_div(AMOUNT, prev)
         df = df.withColumns({"amount_ratio_to_previous": ratio,
                              "high_amount_increase": flag((ratio > 5) | ((prev == 0) & (F.col(AMOUNT) > 0)))})
-    if "hour_of_day" in df.columns:
+    if _has(df, "hour_of_day", TS):
         d = cyclic_distance("hour_of_day", f"{p}avg_hour")
         df = df.withColumn("unusual_hour_for_customer", flag(d > 6))
     return drop_context(df) if own else df
@@ -284,7 +297,7 @@ def fraud_pattern_features(df: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- FE1
 def create_all_features(df: DataFrame, bucket_hours: float = 168, materialize: bool = True,
-                        method: str = "context") -> DataFrame:
+                        method: str = "auto", rows_per_part: int = ROWS_PER_PART) -> DataFrame:
     """temporal -> amount -> location -> customer -> merchant -> payment -> velocity -> pattern.
 
     The input feeds about a dozen branches (location, merchant and card
@@ -298,7 +311,7 @@ def create_all_features(df: DataFrame, bucket_hours: float = 168, materialize: b
     df = temporal_features(df)
     df = amount_features(df)
     df = location_features(df)
-    df = add_card_context(df, bucket_hours=bucket_hours, method=method)
+    df = add_card_context(df, bucket_hours=bucket_hours, method=method, rows_per_part=rows_per_part)
     df = customer_behavior_features(df)
     df = merchant_features(df)
     df = payment_method_features(df)

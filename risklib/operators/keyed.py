@@ -14,16 +14,24 @@ Two plan shapes, both safe when one key holds a large share of the rows:
   rows, so range counts stay exact; the previous row of a bucket's first
   row comes from the last row of the previous non-empty bucket (a small
   per-(key, bucket) aggregate). Buckets bound the work per task by time.
+
+* A key whose fullest time bucket holds more than ``ROWS_PER_PART`` rows is
+  cut by row volume instead (``cut_by_volume``): a quantile sketch of the
+  key's times gives the edges, so a card with most of its rows in one hour
+  is spread over as many parts as its rows need.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOUR_US = 3_600_000_000
+ROWS_PER_PART = 1_000_000  # rows of one key that a window takes in one group
+UNTIMED_GROUPS = 4096      # rows without a time are spread by id; they have no neighbours
 
 
 def group_stats(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column]) -> DataFrame:
@@ -45,24 +53,67 @@ def attach_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str], null_safe
     return df.join(r, cond, "left").drop(*ren.values())
 
 
+def _spread_untimed(bucket: Column, id_col: str) -> Column:
+    return F.coalesce(bucket.cast("long"), F.lit(-(1 << 40)) - F.pmod(F.xxhash64(id_col), F.lit(UNTIMED_GROUPS)))
+
+
+def fits_time_buckets(df: DataFrame, keys: Sequence[str], ts_col: str, bucket_hours: float,
+                      rows_per_part: int = ROWS_PER_PART) -> bool:
+    """Does the fullest (key, time bucket) hold at most ``rows_per_part`` rows? One narrow aggregate."""
+    b = F.floor(F.unix_micros(F.col(ts_col)) / F.lit(int(bucket_hours * HOUR_US)))
+    n = df.where(F.col(ts_col).isNotNull()).groupBy(*keys, b.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    return (n.agg(F.max("_n")).first()[0] or 0) <= rows_per_part
+
+
+def cut_by_volume(u: DataFrame, keys: Sequence[str], pos: str, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+    """Add ``_b``: the part of the key's ``pos`` axis a row lies in, of about ``rows_per_part`` rows each.
+
+    Keys with fewer rows are one part (0). For the others a quantile sketch per key gives the inner
+    edges, and a row's part is the number of edges below its ``pos``. Parts rise with ``pos`` and equal
+    ``pos`` share a part, so rows of a single instant are never cut. Null ``pos`` has a null part.
+    """
+    keys = list(keys)
+    timed = u.where(F.col(pos).isNotNull()).select(*keys, pos)
+    hot = timed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_part)
+    most = hot.agg(F.max("_n")).first()[0]
+    if most is None:
+        return u.withColumn("_b", F.when(F.col(pos).isNotNull(), F.lit(0).cast("long")))
+    parts = math.ceil(most / rows_per_part)
+    at = [i / parts for i in range(1, parts)]
+    edges = (attach_stats(timed, hot, keys, null_safe=True).where(F.col("_n").isNotNull())
+             .groupBy(*keys).agg(F.percentile_approx(pos, at, 10 * parts).alias("_edges")))
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(parts.bit_length()))])
+    below = F.aggregate(steps, F.lit(0), lambda i, step: F.when(
+        F.try_element_at(F.col("_edges"), i + step) < F.col(pos), i + step).otherwise(i))
+    return (attach_stats(u, edges, keys, null_safe=True)
+            .withColumn("_b", F.when(F.col(pos).isNotNull(), below.cast("long"))).drop("_edges"))
+
+
 def sequence_stage(df: DataFrame, keys: Sequence[str], ts_col: str, id_col: str,
                    prev_cols: Sequence[str] = (), ranges: dict[str, tuple[int, int]] | None = None,
-                   bucket_hours: int = 168) -> DataFrame:
+                   bucket_hours: int = 168, rows_per_part: int | None = None) -> DataFrame:
     """Add ``_prev`` (struct of the previous row's ``prev_cols`` and ``_us``) and range counts.
 
     ``ranges`` maps an output column to a frame (lo_us, hi_us) relative to
     the row's event time, e.g. (-24h, 0) for [t-24h, t] or (-1h, -1) for
     [t-1h, t). Rows with a null time get a null ``_prev`` and count 0.
-    Ordering of the previous row is (event time, id).
+    Ordering of the previous row is (event time, id). With ``rows_per_part``
+    the rows are cut by volume instead of time; ranges then come from
+    ``range_counts_probe``.
     """
     ranges = dict(ranges or {})
     keys = list(keys)
-    bucket_us = bucket_hours * HOUR_US
+    bucket_us = int(bucket_hours * HOUR_US)
+    if rows_per_part is not None and ranges:
+        raise ValueError("rows cut by volume hold no look-back rows; use range_counts_probe for ranges")
     max_back = max([-lo for lo, _ in ranges.values()] + [0])
     if max_back > bucket_us:
         raise ValueError("bucket_hours is shorter than the longest look-back; use range_counts_probe")
     us = F.unix_micros(F.col(ts_col))
-    base = df.withColumns({"_us": us, "_b": F.floor(us / F.lit(bucket_us)), "_own": F.lit(True)})
+    base = df.withColumns({"_us": us, "_own": F.lit(True)})
+    base = (cut_by_volume(base, keys, "_us", rows_per_part) if rows_per_part is not None
+            else base.withColumn("_b", F.floor(us / F.lit(bucket_us))))
+    base = base.withColumn("_b", _spread_untimed(F.col("_b"), id_col))
     prev_fields = [F.col(c) for c in prev_cols] + [F.col("_us")]
     ctx_cols = list(dict.fromkeys(keys + [id_col, "_us", "_b"] + list(prev_cols)))
     u = base
@@ -81,24 +132,28 @@ def sequence_stage(df: DataFrame, keys: Sequence[str], ts_col: str, id_col: str,
     last = (base.where(F.col("_us").isNotNull()).groupBy(*part)
                 .agg(F.max_by(F.struct(*prev_fields), F.struct("_us", id_col)).alias("_last")))
     carry = last.select(*part, F.lag("_last").over(Window.partitionBy(*keys).orderBy("_b")).alias("_carry"))
-    out = out.join(carry, on=part, how="left")
+    out = attach_stats(out, carry, part, null_safe=True)
     prev = F.when(F.col("_us").isNotNull(), F.coalesce("_lag", "_carry"))
     return out.withColumn("_prev", prev).drop("_lag", "_carry", "_own", "_b")
 
 
 def running_history(df: DataFrame, keys: Sequence[str], ts_col: str, id_col: str, value_col: str,
-                    bucket_hours: int = 168) -> DataFrame:
+                    bucket_hours: int = 168, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
     """Per row: count and sum of ``value_col`` over the key's earlier rows, and the key's first time.
 
     Earlier = smaller (time, id). Within a (key, time bucket) a running
     window adds rows of the bucket; the totals of all earlier buckets come
     from a per-(key, bucket) aggregate (small) with a cumulative sum over
-    buckets, so no task holds more than one bucket of one key.
+    buckets, so no task holds more than one bucket of one key. When a time
+    bucket holds more than ``rows_per_part`` rows, buckets are cut by volume.
     """
     keys = list(keys)
-    bucket_us = bucket_hours * HOUR_US
-    base = (df.withColumn("_us", F.unix_micros(F.col(ts_col)))
-              .withColumn("_b", F.floor(F.col("_us") / F.lit(bucket_us))))
+    base = df.withColumn("_us", F.unix_micros(F.col(ts_col)))
+    if fits_time_buckets(df, keys, ts_col, bucket_hours, rows_per_part):
+        base = base.withColumn("_b", F.floor(F.col("_us") / F.lit(int(bucket_hours * HOUR_US))))
+    else:
+        base = cut_by_volume(base, keys, "_us", rows_per_part)
+    base = base.withColumn("_b", _spread_untimed(F.col("_b"), id_col))
     part = keys + ["_b"]
     # money is summed in whole cents (exact, order-independent; any engine gives the same bits)
     cents = F.round(F.col(value_col) * 100).cast("long")
@@ -115,7 +170,7 @@ def running_history(df: DataFrame, keys: Sequence[str], ts_col: str, id_col: str
     out = (base.withColumn("_rc", F.coalesce(F.count(F.lit(1)).over(wr), F.lit(0)))
                .withColumn("_rs", F.coalesce(F.sum(cents).over(wr), F.lit(0)))
                .withColumn("_rv", F.coalesce(F.count(F.col(value_col)).over(wr), F.lit(0))))
-    out = out.join(bt, part, "left")
+    out = attach_stats(out, bt, part, null_safe=True)
     return (out.withColumn("prior_count", F.when(F.col("_us").isNotNull(), F.col("_oc") + F.col("_rc")))
                .withColumn("prior_sum_cents", F.when(F.col("_us").isNotNull(), F.col("_os") + F.col("_rs")))
                .withColumn("prior_values", F.when(F.col("_us").isNotNull(), F.col("_ov") + F.col("_rv")))
@@ -148,7 +203,8 @@ def hash_rank(df: DataFrame, part_cols: Sequence[str], key_col: str, seed: int =
 
 
 def range_counts_probe(df: DataFrame, keys: Sequence[str], ts_col: str, id_col: str,
-                       ranges: dict[str, tuple[int, int]], bucket_hours: float = 1.0) -> DataFrame:
+                       ranges: dict[str, tuple[int, int]], bucket_hours: float = 1.0,
+                       rows_per_part: int | None = None) -> DataFrame:
     """Exact per-row counts of the key's rows in [t + lo, t + hi] (microsecond offsets), without context rows.
 
     count = C(t + hi) - C(t + lo - 1), where C(x) = rows of the key with time <= x.
@@ -160,6 +216,8 @@ def range_counts_probe(df: DataFrame, keys: Sequence[str], ts_col: str, id_col:
     can be as short as wanted (default 1 h), so a card with a third of all
     rows is spread over as many tasks as it has active hours. Probe results
     are pivoted per row id and joined back; ``id_col`` must be unique.
+    With ``rows_per_part`` rows and probes are cut by volume instead, which
+    bounds every part however the times lie.
     """
     keys = list(keys)
     bucket_us = int(bucket_hours * HOUR_US)
@@ -169,14 +227,16 @@ def range_counts_probe(df: DataFrame, keys: Sequence[str], ts_col: str, id_col:
               .withColumns({"_kind": F.lit(0), "_o": F.lit(None).cast("long")}))
     probes = (real.select(*keys, id_col, "_pos", F.explode(F.array(*[F.lit(o).cast("long") for o in offs])).alias("_o"))
                   .withColumns({"_pos": F.col("_pos") + F.col("_o"), "_kind": F.lit(1)}))
-    u = real.unionByName(probes).withColumn("_b", F.floor(F.col("_pos") / F.lit(bucket_us)))
+    u = real.unionByName(probes)
+    u = (cut_by_volume(u, keys, "_pos", rows_per_part) if rows_per_part is not None
+         else u.withColumn("_b", F.floor(F.col("_pos") / F.lit(bucket_us))))
     is_row = F.when(F.col("_kind") == 0, 1).otherwise(0)
     w = Window.partitionBy(*keys, "_b").orderBy("_pos", "_kind").rowsBetween(Window.unboundedPreceding, 0)
     u = u.withColumn("_inb", F.sum(is_row).over(w))
     bt = u.groupBy(*keys, "_b").agg(F.sum(is_row).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     bt = bt.select(*keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_pre"))
-    pr = (u.where(F.col("_kind") == 1).join(bt, keys + ["_b"])
+    pr = (attach_stats(u.where(F.col("_kind") == 1), bt, keys + ["_b"], null_safe=True)
            .select(id_col, "_o", (F.col("_pre") + F.col("_inb")).alias("_cle")))
     res = pr.groupBy(id_col).agg(*[F.max(F.when(F.col("_o") == o, F.col("_cle"))).alias(f"_c{i}")
                                    for i, o in enumerate(offs)])
