@@ -31,6 +31,7 @@ LOCATION_FALLBACK_EDGES = [0, 0.01, 0.05, 0.10, 1.0]
 QUARTILES = [0.0, 0.25, 0.5, 0.75, 1.0]
 NO_PREVIOUS_MINUTES = 99999
 QUICK_MINUTES = 30
+HOME_COUNTRY = "USA"
 
 CTX_PREFIX = "_ctx_"
 
@@ -217,7 +218,7 @@ def merchant_features(df: DataFrame, merchant: str = "merchant_id") -> DataFrame
         aggs.append(F.avg(AMOUNT).alias("merchant_avg_amount"))
     if LABEL in df.columns:
         aggs.append(F.avg(LABEL).alias("merchant_fraud_rate"))
-    st = df.groupBy(merchant).agg(*aggs)
+    st = df.where(F.col(merchant).isNotNull()).groupBy(merchant).agg(*aggs)  # rows without a merchant have no rate
     if LABEL in df.columns:
         r = F.least(F.greatest(F.col("merchant_fraud_rate"), F.lit(0.0)), F.lit(1.0))
         st = st.withColumn("_rc", r)
@@ -242,7 +243,7 @@ def merchant_features(df: DataFrame, merchant: str = "merchant_id") -> DataFrame
 
 
 # ---------------------------------------------------------------- AGG4/SCL12/SCL13/JN4
-def payment_method_features(df: DataFrame, columns=PAYMENT_COLUMNS) -> DataFrame:
+def payment_method_features(df: DataFrame, columns=PAYMENT_COLUMNS, home_country: str = HOME_COUNTRY) -> DataFrame:
     """Fraud rate per value of each payment column, from one GROUPING SETS aggregate."""
     columns = list(columns)
     if not _has(df, *columns):
@@ -260,7 +261,7 @@ def payment_method_features(df: DataFrame, columns=PAYMENT_COLUMNS) -> DataFrame
             t = t.where(F.col(c).isNotNull())
             df = attach_stats(df, t, [c])
     if "issuer_country" in df.columns:
-        df = df.withColumn("is_international", flag(~F.col("issuer_country").eqNullSafe(F.lit("USA"))))
+        df = df.withColumn("is_international", flag(~F.col("issuer_country").eqNullSafe(F.lit(home_country))))
     return df
 
 
@@ -297,7 +298,8 @@ def fraud_pattern_features(df: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- FE1
 def create_all_features(df: DataFrame, bucket_hours: float = 168, materialize: bool = True,
-                        method: str = "auto", rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+                        method: str = "auto", rows_per_part: int = ROWS_PER_PART,
+                        home_country: str = HOME_COUNTRY) -> DataFrame:
     """temporal -> amount -> location -> customer -> merchant -> payment -> velocity -> pattern.
 
     The input feeds about a dozen branches (location, merchant and card
@@ -314,7 +316,7 @@ def create_all_features(df: DataFrame, bucket_hours: float = 168, materialize: b
     df = add_card_context(df, bucket_hours=bucket_hours, method=method, rows_per_part=rows_per_part)
     df = customer_behavior_features(df)
     df = merchant_features(df)
-    df = payment_method_features(df)
+    df = payment_method_features(df, home_country=home_country)
     df = velocity_features(df)
     df = fraud_pattern_features(df)
     return drop_context(df)

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from risklib.operators import advanced as A
 from risklib.operators import features as FT
 from risklib.plans.common import r6, rounded
-from risklib.plans.sqlviews import EV, LINES, ORD
-from risklib.sources.tables import tx_events, tx_lines, tx_orders
+from risklib.plans.sqlviews import EV, LINES, ORD, ORD_FULL
+from risklib.schema import PAYMENT_COLUMNS
+from risklib.sources.tables import tx_events, tx_lines, tx_orders, tx_orders_full
 
 Q, SQL = {}, {}
+HOME = "NATION_0"   # the home country of the tables' customers
 
 
 def reg(name, sql=None):
@@ -165,15 +167,17 @@ def agg1_location_features(spark, sf):
 
 
 # --------------------------------------------------------------------------- AGG3/WIN10 (merchant)
-@reg("agg3_merchant_features", LINES + """, g AS (SELECT merchant_id, count(*) AS cnt, avg(amount) AS a,
-   avg(fraud_indicator) AS r FROM tx_lines GROUP BY merchant_id),
-rows_ AS (SELECT t.merchant_id, t.amount, g.cnt, g.a, g.r, least(greatest(g.r, 0.0), 1.0) AS rc
-   FROM tx_lines t JOIN g ON t.merchant_id = g.merchant_id),
-e AS (SELECT quantile_cont(rc, [0, 0.25, 0.5, 0.75, 1]) AS e, quantile_cont(rc, 0.5) AS med,
-   count(DISTINCT rc) AS u FROM rows_)
-SELECT merchant_id, ROUND(amount, 6) AS amount, CAST(cnt AS BIGINT) AS merchant_transaction_count,
+def _merchant_sql(src: str) -> str:
+    """Per row of ``src``: merchant count, mean, rate and risk category (``merchant_rows``)."""
+    return f""", mg AS (SELECT merchant_id, count(*) AS cnt, avg(amount) AS a,
+   avg(fraud_indicator) AS r FROM {src} GROUP BY merchant_id),
+mr AS (SELECT t.*, g.cnt, g.a, g.r, least(greatest(g.r, 0.0), 1.0) AS rc
+   FROM {src} t LEFT JOIN mg g ON t.merchant_id = g.merchant_id),
+me AS (SELECT quantile_cont(rc, [0, 0.25, 0.5, 0.75, 1]) AS e, quantile_cont(rc, 0.5) AS med,
+   count(DISTINCT rc) AS u FROM mr WHERE merchant_id IS NOT NULL),
+merchant_rows AS (SELECT mr.* EXCLUDE (cnt, a, r, rc), CAST(cnt AS BIGINT) AS merchant_transaction_count,
   ROUND(a, 6) AS merchant_avg_amount, ROUND(r, 6) AS merchant_fraud_rate,
-  CASE WHEN u >= 4 THEN
+  CASE WHEN merchant_id IS NULL THEN NULL WHEN u >= 4 THEN
      CASE WHEN e[1] < e[2] AND e[2] < e[3] AND e[3] < e[4] AND e[4] < e[5] THEN
        CASE WHEN rc >= e[1] AND rc <= e[2] THEN 'low_risk' WHEN rc > e[2] AND rc <= e[3] THEN 'medium_low_risk'
             WHEN rc > e[3] AND rc <= e[4] THEN 'medium_high_risk' WHEN rc > e[4] AND rc <= e[5] THEN 'high_risk' END
@@ -182,7 +186,15 @@ SELECT merchant_id, ROUND(amount, 6) AS amount, CAST(cnt AS BIGINT) AS merchant_
   WHEN u <= 2 THEN CASE WHEN rc <= med THEN 'low_risk' ELSE 'high_risk' END
   ELSE CASE WHEN rc <= med * 0.5 THEN 'low_risk' WHEN rc <= med * 1.5 THEN 'medium_risk' ELSE 'high_risk' END
   END AS merchant_risk_category
-FROM rows_, e""")
+FROM mr, me)"""
+
+
+MERCHANT_COLS = ["merchant_transaction_count", "merchant_avg_amount", "merchant_fraud_rate", "merchant_risk_category"]
+
+
+@reg("agg3_merchant_features", LINES + _merchant_sql("tx_lines") + """
+SELECT merchant_id, ROUND(amount, 6) AS amount, merchant_transaction_count, merchant_avg_amount, merchant_fraud_rate,
+  merchant_risk_category FROM merchant_rows""")
 def agg3_merchant_features(spark, sf):
     df = tx_lines(spark, sf, with_location=False)
     out = FT.merchant_features(df).select("merchant_id", "amount", "merchant_transaction_count",
@@ -191,13 +203,24 @@ def agg3_merchant_features(spark, sf):
 
 
 # --------------------------------------------------------------------------- AGG4/JN4/SCL12/SCL13
-@reg("agg4_payment_features", ORD + """, p AS (SELECT payment_method, avg(fraud_indicator) AS r FROM tx_orders GROUP BY 1),
-b AS (SELECT issuer_bank, avg(fraud_indicator) AS r FROM tx_orders GROUP BY 1)
-SELECT t.transaction_id, ROUND(p.r, 6) AS payment_method_fraud_rate, ROUND(b.r, 6) AS issuer_bank_fraud_rate
-FROM tx_orders t LEFT JOIN p ON t.payment_method = p.payment_method LEFT JOIN b ON t.issuer_bank = b.issuer_bank""")
+def _payment_sql(src: str) -> str:
+    """Per row of ``src``: the rate of each payment value, the combination and the foreign flag (``payment_rows``)."""
+    rates = ", ".join(f"ROUND(r_{c}.r, 6) AS {c}_fraud_rate" for c in PAYMENT_COLUMNS)
+    joins = "\n".join(f"LEFT JOIN (SELECT {c}, avg(fraud_indicator) AS r FROM {src} GROUP BY 1) r_{c} ON t.{c} = r_{c}.{c}"
+                      for c in PAYMENT_COLUMNS)
+    return f""", payment_rows AS (SELECT t.transaction_id, {rates},
+  t.payment_method || '_' || t.capture_method AS payment_capture_combo,
+  CAST(t.issuer_country IS DISTINCT FROM '{HOME}' AS INTEGER) AS is_international
+FROM {src} t {joins})"""
+
+
+PAYMENT_COLS = [f"{c}_fraud_rate" for c in PAYMENT_COLUMNS] + ["payment_capture_combo", "is_international"]
+
+
+@reg("agg4_payment_features", ORD_FULL.rstrip() + _payment_sql("tx_orders_full") + " SELECT * FROM payment_rows")
 def agg4_payment_features(spark, sf):
-    df = FT.payment_method_features(tx_orders(spark, sf), columns=["payment_method", "issuer_bank"])
-    return rounded(df.select("transaction_id", "payment_method_fraud_rate", "issuer_bank_fraud_rate"))
+    df = FT.payment_method_features(tx_orders_full(spark, sf), home_country=HOME)
+    return rounded(df.select("transaction_id", *PAYMENT_COLS))
 
 
 # --------------------------------------------------------------------------- AGG10/AGG6/JN3/SCO1
@@ -309,7 +332,7 @@ def sco3_fraud_risk_score(spark, sf):
         "transaction_id", "fraud_risk_score", "risk_category"))
 
 
-# --------------------------------------------------------------------------- FE1 (on tx_orders)
+# --------------------------------------------------------------------------- FE1 (on tx_orders_full)
 def _seq_ctes(src: str) -> str:
     return f""", v AS (SELECT *, epoch_us(transaction_ts) AS us FROM {src}),
 s AS (SELECT transaction_id, amount, card_number, transaction_ts, us,
@@ -324,8 +347,9 @@ s AS (SELECT transaction_id, amount, card_number, transaction_ts, us,
   FROM v)"""
 
 
-_FE1_SQL = (ORD.rstrip() + ",\n" + _loc_sql("merchant_city", 5, "city_fraud_rate") + ",\n"
-            + _loc_sql("merchant_state", 10, "state_fraud_rate") + _seq_ctes("tx_orders") + """
+_FE1_SQL = (ORD_FULL.rstrip() + ",\n" + _loc_sql("merchant_city", 5, "city_fraud_rate") + ",\n"
+            + _loc_sql("merchant_state", 10, "state_fraud_rate") + _seq_ctes("tx_orders")
+            + _merchant_sql("tx_orders_full") + _payment_sql("tx_orders_full") + """
 SELECT s.transaction_id, CAST(hour(s.transaction_ts) AS INTEGER) AS hour_of_day,
   CAST(isodow(s.transaction_ts) - 1 AS INTEGER) AS day_of_week, CAST(isodow(s.transaction_ts) >= 6 AS INTEGER) AS is_weekend,
   CAST(month(s.transaction_ts) AS INTEGER) AS month, CAST(day(s.transaction_ts) AS INTEGER) AS day_of_month,
@@ -349,8 +373,12 @@ SELECT s.transaction_id, CAST(hour(s.transaction_ts) AS INTEGER) AS hour_of_day,
   CAST(coalesce(CASE WHEN s.prev_amount <> 0 THEN s.amount / s.prev_amount END > 5
        OR (s.prev_amount = 0 AND s.amount > 0), false) AS INTEGER) AS high_amount_increase,
   CAST(least(abs(hour(s.transaction_ts) - s.card_avg_hour), 24 - abs(hour(s.transaction_ts) - s.card_avg_hour)) > 6
-       AS INTEGER) AS unusual_hour_for_customer
-FROM s JOIN city_fraud_rate_cat c ON s.transaction_id = c.transaction_id
+       AS INTEGER) AS unusual_hour_for_customer,
+  m.merchant_transaction_count, m.merchant_avg_amount, m.merchant_fraud_rate, m.merchant_risk_category,
+  p.* EXCLUDE (transaction_id)
+FROM s JOIN merchant_rows m ON s.transaction_id = m.transaction_id
+       JOIN payment_rows p ON s.transaction_id = p.transaction_id
+       JOIN city_fraud_rate_cat c ON s.transaction_id = c.transaction_id
        JOIN state_fraud_rate_cat st ON s.transaction_id = st.transaction_id""")
 
 FE1_COLS = ["transaction_id", "hour_of_day", "day_of_week", "is_weekend", "month", "day_of_month", "period_of_day",
@@ -359,9 +387,9 @@ FE1_COLS = ["transaction_id", "hour_of_day", "day_of_week", "is_weekend", "month
             "customer_avg_amount", "amount_deviation_from_avg", "amount_diff_last_transaction",
             "is_first_transaction", "time_since_last_transaction", "is_quick_transaction",
             "transaction_count_last_24h", "amount_ratio_to_previous", "high_amount_increase",
-            "unusual_hour_for_customer"]
+            "unusual_hour_for_customer", *MERCHANT_COLS, *PAYMENT_COLS]
 
 
 @reg("fe1_all_features", _FE1_SQL)
 def fe1_all_features(spark, sf):
-    return rounded(FT.create_all_features(tx_orders(spark, sf)).select(*FE1_COLS))
+    return rounded(FT.create_all_features(tx_orders_full(spark, sf), home_country=HOME).select(*FE1_COLS))

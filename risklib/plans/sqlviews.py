@@ -18,6 +18,14 @@ TX_ORDERS = """tx_orders AS (
                     JOIN region r ON n.n_regionkey = r.r_regionkey) cu
   ON o.o_custkey = cu.c_custkey)"""
 
+TX_ORDERS_FULL = """tx_orders_full AS (
+  SELECT o.*, l.l_suppkey AS merchant_id, l.l_linestatus AS capture_method, p.p_brand AS card_brand,
+         o.merchant_city AS issuer_country
+  FROM tx_orders o LEFT JOIN (
+    SELECT l_orderkey, l_suppkey, l_partkey, l_linestatus FROM lineitem
+    QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey, l_linestatus) = 1) l
+  ON o.transaction_id = l.l_orderkey LEFT JOIN part p ON l.l_partkey = p.p_partkey)"""
+
 TX_LINES = """tx_lines AS (
   SELECT l.l_suppkey AS merchant_id, l.l_extendedprice AS amount, l.l_shipdate AS transaction_ts,
          sn.n_name AS merchant_city, l.l_linestatus AS capture_method,
@@ -51,6 +59,7 @@ def with_(*ctes: str) -> str:
 
 EV = with_(TX_EVENTS)
 ORD = with_(TX_ORDERS)
+ORD_FULL = with_(TX_ORDERS, TX_ORDERS_FULL)
 LINES = with_(TX_LINES)
 SC = with_(TX_EVENTS, SCORED)
 SCM = with_(TX_EVENTS, SCORED_MODELS)

@@ -74,6 +74,24 @@ def tx_orders(spark: SparkSession, sf_dir: str, with_location: bool = True) -> D
     )
 
 
+def tx_orders_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tx_orders with a merchant and all five payment columns.
+
+    merchant = supplier, capture method = line status and card brand = part brand of the order's first
+    line (least line number, then supplier, part and status, as line numbers repeat); issuer country =
+    the customer's nation. The first lines are one partial aggregate on the order key; orders without
+    lines keep nulls. part grows with the data and is left to the planner.
+    """
+    first = read_table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        F.min(F.struct("l_linenumber", "l_suppkey", "l_partkey", "l_linestatus")).alias("line"))
+    brands = read_table(spark, sf_dir, "part").select(F.col("p_partkey"), F.col("p_brand").alias("card_brand"))
+    o = tx_orders(spark, sf_dir)
+    return (o.join(first, o.transaction_id == first.l_orderkey, "left")
+             .join(brands, F.col("line.l_partkey") == F.col("p_partkey"), "left")
+             .select(o["*"], F.col("line.l_suppkey").alias("merchant_id"), F.col("line.l_linestatus").alias("capture_method"),
+                     "card_brand", F.col("merchant_city").alias("issuer_country")))
+
+
 def tx_lines(spark: SparkSession, sf_dir: str, with_location: bool = True) -> DataFrame:
     """lineitem x supplier x nation -> merchant-level rows (group operators only).
 
