@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from risklib.functions.exprs import cut, flag, period_of_day_b, weekday
 from risklib.functions.fitted import fit_row, lit, most_frequent
 from risklib.operators.features import AMOUNT_EDGES_5, AMOUNT_LABELS_5, resolve_timestamp
+from risklib.operators.quantiles import fit_quantiles
 from risklib.schema import AMOUNT, CARD, ID, LABEL, TS, numeric_columns, string_columns
 
 
@@ -22,21 +23,19 @@ def impute(df: DataFrame, numeric: Sequence[str] | None = None, strings: Sequenc
            exclude: Sequence[str] = ()) -> DataFrame:
     """CLN2/CLN3: exact median for numeric columns, most frequent value (ties -> smallest) for strings.
 
-    The medians come from one aggregate, the most frequent values from one
-    grouped count: two scans for statistics, whatever the column count.
+    Medians and most frequent values come from grouped counts of the values, whatever the column count.
     """
     numeric = [c for c in (numeric if numeric is not None else numeric_columns(df)) if c not in exclude]
     strings = [c for c in (strings if strings is not None else string_columns(df)) if c not in exclude]
     if not numeric and not strings:
         return df
-    fills = [F.median(F.col(c)).alias(f"n{i}") for i, c in enumerate(numeric)]
-    one = fit_row(df, *fills) if fills else {}
+    medians = fit_quantiles(df, numeric, [0.5])
     top = most_frequent(df, strings)
     types = dict(df.dtypes)
     out = []
     for c in df.columns:
         if c in numeric:
-            out.append(F.coalesce(F.col(c), F.lit(one[f"n{numeric.index(c)}"]).cast(types[c])).alias(c))
+            out.append(F.coalesce(F.col(c), F.lit((medians[c] or [None])[0]).cast(types[c])).alias(c))
         elif c in strings:
             out.append(F.coalesce(F.col(c), F.lit(top[c]).cast("string")).alias(c))
         else:

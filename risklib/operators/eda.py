@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from risklib.functions.exprs import safe_div, weekday
 from risklib.functions.fitted import fit_row, lit
+from risklib.operators.quantiles import quantile_table
 from risklib.schema import AMOUNT, LABEL, TS, numeric_columns
 
 # Day names in weekday order (Monday = 0).
@@ -29,28 +30,24 @@ def _stack(cols: Sequence[str], name_col: str, value_col: str, value_type: str =
 def describe(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
     """count / mean / std (sample) / min / 25% / 50% / 75% / max per numeric column, long form."""
     cols = list(cols or numeric_columns(df))
+    probs = [0.25, 0.5, 0.75]
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
-        q = (F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if exact
-             else F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 100000))
-        aggs.append(F.struct(F.count(x).cast("double").alias("count"), F.avg(x).alias("mean"),
-                             F.stddev_samp(x).alias("std"), F.min(x).alias("min"), q.alias("q"),
-                             F.max(x).alias("max")).alias(c))
+        st = [F.count(x).cast("double").alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
+              F.min(x).alias("min"), F.max(x).alias("max")]
+        if not exact:
+            st.append(F.percentile_approx(x, F.array(*[F.lit(p) for p in probs]), 100000).alias("q"))
+        aggs.append(F.struct(*st).alias(c))
     one = df.agg(*aggs)
     long = one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("s")) for c in cols])).alias("r"))
-    s = F.col("r.s")
-    return long.select(F.col("r.column").alias("column"),
-                       F.explode(F.array(
-                           F.struct(F.lit("count").alias("stat"), s["count"].alias("value")),
-                           F.struct(F.lit("mean").alias("stat"), s["mean"].alias("value")),
-                           F.struct(F.lit("std").alias("stat"), s["std"].alias("value")),
-                           F.struct(F.lit("min").alias("stat"), s["min"].alias("value")),
-                           F.struct(F.lit("25%").alias("stat"), s["q"][0].alias("value")),
-                           F.struct(F.lit("50%").alias("stat"), s["q"][1].alias("value")),
-                           F.struct(F.lit("75%").alias("stat"), s["q"][2].alias("value")),
-                           F.struct(F.lit("max").alias("stat"), s["max"].alias("value")))).alias("x")
-                       ).select("column", "x.stat", "x.value")
+    s = long.select("r.column", "r.s.*")
+    if exact:
+        s = s.join(quantile_table(df, cols, probs), "column", "left")
+    stats = {"count": F.col("count"), "mean": F.col("mean"), "std": F.col("std"), "min": F.col("min"),
+             "25%": F.col("q")[0], "50%": F.col("q")[1], "75%": F.col("q")[2], "max": F.col("max")}
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("stat"), v.alias("value")) for k, v in stats.items()]))
+    return s.select("column", rows.alias("x")).select("column", "x.stat", "x.value")
 
 
 # ---------------------------------------------------------------- AGG13
@@ -159,7 +156,7 @@ def histogram(df: DataFrame, col: str, bins: int = 20, by: str | None = LABEL) -
 # ---------------------------------------------------------------- AGG21
 def box_stats(df: DataFrame, col: str, by: str = LABEL) -> DataFrame:
     x = F.col(col).cast("double")
-    q = df.groupBy(by).agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = quantile_table(df, [col], [0.25, 0.5, 0.75], [by])
     q = q.select(by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     j = df.select(by, x.alias("_x")).join(q, by)
     iqr = F.col("q3") - F.col("q1")

@@ -7,7 +7,7 @@ per-segment evaluation is one grouped plan instead of a driver loop.
 Curve statistics (AUC, average precision, ROC/PR points) need cumulative
 sums over the score order. They are computed from the table of distinct
 (group, score) rows with a two-level prefix sum: scores are cut into
-``buckets`` fixed ranges of [0, 1]; bucket totals (bounded size) give the
+``buckets`` ranges that follow the scores; bucket totals (bounded size) give the
 offset of each bucket, and a window partitioned by (group, bucket) adds
 the running sum inside the bucket. No window runs without a partition key
 over row-level data.
@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from risklib.functions.exprs import safe_div
+from risklib.operators.quantiles import bin_of, fit_quantiles
 
 Y, P = "true_label", "fraud_probability"
 # Business costs.
@@ -268,23 +269,16 @@ def psi(df: DataFrame, features: Sequence[str], split, bins: int = 10, eps: floa
     """Population stability per feature: decile edges from the reference period (before ``split``),
     right-closed bins, PSI = sum (cur - ref) * ln(cur / ref) with shares floored at eps."""
     qs = [i / bins for i in range(1, bins)]
-    is_cur = split
-    out = []
-    for f in features:
-        x = F.col(f).cast("double")
-        edges = df.where(~is_cur).agg(F.percentile(x, F.array(*[F.lit(q) for q in qs]))).first()[0]
-        if edges is None or any(e is None for e in edges):  # no reference rows: nothing to compare with
-            out.append(df.agg(F.lit(None).cast("double").alias("psi")).select(F.lit(f).alias("feature"), "psi"))
-            continue
-        b = sum(F.when(x > F.lit(edges[i]), 1).otherwise(0) for i in range(len(qs)))
-        g = (df.where(x.isNotNull()).groupBy(b.alias("bin"))
-               .agg(F.sum(F.when(~is_cur, 1).otherwise(0)).alias("_r"), F.sum(F.when(is_cur, 1).otherwise(0)).alias("_c")))
-        wa = Window.partitionBy()  # g has at most ``bins`` rows
-        ref = F.greatest(F.col("_r") / F.sum("_r").over(wa), F.lit(eps))
-        cur = F.greatest(F.col("_c") / F.sum("_c").over(wa), F.lit(eps))
-        terms = g.select(((cur - ref) * F.log(cur / ref)).alias("t"))
-        out.append(terms.agg(F.sum("t").alias("psi")).select(F.lit(f).alias("feature"), "psi"))
-    res = out[0]
-    for o in out[1:]:
-        res = res.unionByName(o)
-    return res
+    edges = fit_quantiles(df.where(~split), features, qs)
+    cells = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), bin_of(F.col(f).cast("double"), edges[f]).alias("bin"))
+                                for f in features]))
+    g = (df.select(split.alias("_cur"), cells.alias("_c")).select("_cur", "_c.*").where("bin IS NOT NULL")
+           .groupBy("feature", "bin").agg(F.sum(F.when(~F.col("_cur"), 1).otherwise(0)).alias("_r"),
+                                          F.sum(F.when(F.col("_cur"), 1).otherwise(0)).alias("_c")))
+    wf = Window.partitionBy("feature")  # at most ``bins`` rows of a feature
+    ref = F.greatest(F.col("_r") / F.sum("_r").over(wf), F.lit(eps))
+    cur = F.greatest(F.col("_c") / F.sum("_c").over(wf), F.lit(eps))
+    terms = g.select("feature", ((cur - ref) * F.log(cur / ref)).alias("t"))
+    one = terms.agg(*[F.sum(F.when(F.col("feature") == f, F.col("t"))).alias(f"p{i}") for i, f in enumerate(features)])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"p{i}").alias("psi"))
+                                          for i, f in enumerate(features)])).alias("x")).select("x.*")

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from risklib.functions.fitted import fit_row
 from risklib.operators.eda import correlation_long
+from risklib.operators.quantiles import bin_of, fit_quantiles
 from risklib.schema import LABEL
 
 
@@ -90,19 +90,16 @@ def chi2(df: DataFrame, cols: Sequence[str], label: str = LABEL, k: int | None =
 def mutual_information(df: DataFrame, cols: Sequence[str], label: str = LABEL, bins: int = 10, k: int | None = None) -> DataFrame:
     """MI (nats) between each feature cut at its deciles (right-closed) and the class."""
     qs = [i / bins for i in range(1, bins)]
-    edges = fit_row(df, *[F.percentile(F.col(c).cast("double"), F.array(*[F.lit(q) for q in qs])).alias(c)
-                          for c in cols])
-    outs = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        b = sum(F.when(x > F.lit(edges[c][i]), 1).otherwise(0) for i in range(len(qs)))
-        j = df.where(x.isNotNull()).groupBy(b.alias("b"), F.col(label).alias("y")).agg(F.count(F.lit(1)).alias("n"))
-        wb, wy, wa = Window.partitionBy("b"), Window.partitionBy("y"), Window.partitionBy()
-        j = (j.withColumn("pb", F.sum("n").over(wb)).withColumn("py", F.sum("n").over(wy))
-              .withColumn("n_all", F.sum("n").over(wa)))
-        term = (F.col("n") / F.col("n_all")) * F.log(F.col("n") * F.col("n_all") / (F.col("pb") * F.col("py")))
-        outs.append(j.agg(F.sum(term).alias("score")).select(F.lit(c).alias("feature"), "score"))
-    res = outs[0]
-    for o in outs[1:]:
-        res = res.unionByName(o)
+    edges = fit_quantiles(df, cols, qs)
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), bin_of(F.col(c).cast("double"), edges[c]).alias("b"))
+                                for c in cols]))
+    j = (df.select(F.col(label).alias("y"), cells.alias("_c")).select("y", "_c.*").where("b IS NOT NULL")
+           .groupBy("feature", "b", "y").agg(F.count(F.lit(1)).alias("n")))
+    of = Window.partitionBy  # at most features x bins x classes rows
+    total = F.sum("n").over(of("feature"))
+    term = (F.col("n") / total) * F.log(F.col("n") * total / (F.sum("n").over(of("feature", "b")) * F.sum("n").over(of("feature", "y"))))
+    t = j.withColumn("t", term)
+    one = t.agg(*[F.sum(F.when(F.col("feature") == c, F.col("t"))).alias(f"s{i}") for i, c in enumerate(cols)])
+    res = one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"s{i}").alias("score"))
+                                         for i, c in enumerate(cols)])).alias("x")).select("x.*")
     return _rank(res, k)
