@@ -104,6 +104,34 @@ def train_model(train: DataFrame, model_type: str, params: dict | None = None, *
     return m, time.time() - t0
 
 
+def train_all_models(train: DataFrame, types: Sequence[str] = MODEL_TYPES, params: dict | None = None,
+                     weight: str | None = None) -> dict[str, Model]:
+    """MOD6: one fitted model per type; types that map to the same Spark estimator and settings share one fit."""
+    n_rows = train.count()  # C -> regParam = 1 / (C * n)
+    fitted: dict = {}
+    out = {}
+    for t in types:
+        p = (params or {}).get(t)
+        est = create_model(t, p, n_rows, weight=weight)
+        same = (type(est), str(sorted(_spark_params(t, p, n_rows).items())), weight if weight and uses_weights(p) else None)
+        if same not in fitted:
+            fitted[same] = est.fit(train)
+        out[t] = fitted[same]
+    return out
+
+
+def score_all(models: dict[str, Model], df: DataFrame, keep: Sequence[str] = (), ensemble: str | None = None,
+              weights: dict[str, float] | None = None) -> DataFrame:
+    """One probability column per model (and their weighted mean, ``ensemble``), all from one pass over the rows."""
+    d = df
+    for name, m in models.items():
+        d = positive_probability(m.transform(d), out=name).drop("rawPrediction", "probability", "prediction")
+    if ensemble is not None:
+        w = weights or dict.fromkeys(models, 1.0)
+        d = d.withColumn(ensemble, sum(F.col(n) * float(w[n]) for n in models) / F.lit(float(sum(w[n] for n in models))))
+    return d.select(*keep, *models, *([ensemble] if ensemble is not None else []))
+
+
 def positive_probability(df: DataFrame, col: str = "probability", out: str = "fraud_probability") -> DataFrame:
     return df.withColumn(out, vector_to_array(F.col(col))[1])
 
@@ -214,6 +242,14 @@ def stacking(base_scores: DataFrame, key: str, label: str, members: Sequence[str
     return meta, out.select(key, label, fold_col, *members, "stacked_probability")
 
 
+def score_stack(members: dict[str, Model], meta: Model, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Stacked probability of new rows: scores of the members, fitted on all training rows, through the meta model."""
+    from pyspark.ml.feature import VectorAssembler
+    va = VectorAssembler(inputCols=list(members), outputCol="meta_features", handleInvalid="keep")
+    s = meta.transform(va.transform(score_all(members, df, keep)))
+    return positive_probability(s, out="stacked_probability").select(*keep, *members, "stacked_probability")
+
+
 def out_of_fold_scores(df: DataFrame, model_type: str, key: str, k: int, params: dict | None = None,
                        fold_col: str = "fold", out: str | None = None) -> DataFrame:
     """Scores of each row from a model fitted on the other folds (k fits, each one Spark job)."""
@@ -229,15 +265,20 @@ def out_of_fold_scores(df: DataFrame, model_type: str, key: str, k: int, params:
 
 
 # ---------------------------------------------------------------- EVA19
+def linear_contributions(df: DataFrame, coefs: dict[str, float], key: str) -> DataFrame:
+    """Contribution coef * (x - mean) of every column in ``coefs``, long form per row."""
+    means = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(coefs)]).first()
+    rows = F.array(*[F.struct(F.lit(c).alias("feature"), (F.lit(float(b)) * (F.col(c) - F.lit(means[f"m{i}"]).cast("double"))).alias(
+        "contribution")) for i, (c, b) in enumerate(coefs.items())])
+    return df.select(key, F.explode(rows).alias("x")).select(key, "x.feature", "x.contribution")
+
+
 def linear_attribution(model, df: DataFrame, feature_names: Sequence[str], key: str,
                        features: str = "features") -> DataFrame:
     """Closed-form attribution of a linear model: coef_j * (x_j - mean_j), long form per row."""
-    coefs = [float(c) for c in model.coefficients.toArray()]
+    coefs = dict(zip(feature_names, model.coefficients.toArray()))
     arr = vector_to_array(F.col(features))
-    means = df.agg(*[F.avg(arr[i]).alias(f"m{i}") for i in range(len(coefs))]).first()
-    rows = F.array(*[F.struct(F.lit(n).alias("feature"), (F.lit(coefs[i]) * (arr[i] - F.lit(means[f"m{i}"]))).alias("contribution"))
-                     for i, n in enumerate(feature_names)])
-    return df.select(key, F.explode(rows).alias("x")).select(key, "x.feature", "x.contribution")
+    return linear_contributions(df.select(key, *[arr[i].alias(n) for i, n in enumerate(feature_names)]), coefs, key)
 
 
 def permutation_importance(model, df: DataFrame, feature_names: Sequence[str], key: str,

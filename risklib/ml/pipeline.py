@@ -3,43 +3,90 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from risklib.functions.fitted import most_frequent
 from risklib.operators import prep as PR
+from risklib.operators.quantiles import fit_quantiles
 from risklib.schema import LABEL
 
 
-def create_preprocessing_pipeline(categorical: Sequence[str], numerical: Sequence[str], out: str = "features") -> Pipeline:
-    """CLN7: median imputation, index + one-hot (unknown/null -> own slot), assemble, standardise.
+@dataclass(frozen=True)
+class Preprocessing:
+    """CLN7, fitted: fill values, population mean and sd of the numeric columns, levels of the categorical ones."""
 
-    Spark's Imputer median is approximate unless relativeError=0 (set here);
-    StandardScaler divides by the sample sd (the reference uses population sd).
+    numerical: Sequence[str]
+    categorical: Sequence[str]
+    out: str
+    medians: dict
+    frequent: dict
+    moments: dict
+    levels: dict
+
+    @property
+    def names(self) -> list[str]:
+        """Names of the places of the feature vector."""
+        return [*self.numerical, *[f"{c}_{v}" for c in self.categorical for v in self.levels[c]]]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        cells = []
+        for c in self.numerical:
+            mean, sd = self.moments[c]
+            x = F.coalesce(F.col(c).cast("double"), F.lit(self.medians[c]).cast("double"))
+            cells.append(F.coalesce((x - F.lit(mean).cast("double")) / F.lit(sd or 1.0), F.lit(0.0)))
+        for c in self.categorical:
+            v = F.coalesce(F.col(c).cast("string"), F.lit(self.frequent[c]).cast("string"))
+            cells += [F.when(v == level, 1.0).otherwise(0.0) for level in self.levels[c]]
+        return df.withColumn(self.out, array_to_vector(F.array(*cells)))
+
+
+@dataclass(frozen=True)
+class PreprocessingPipeline:
+    categorical: Sequence[str]
+    numerical: Sequence[str]
+    out: str
+    max_levels: int
+
+    def fit(self, df: DataFrame) -> Preprocessing:
+        num, cat = list(self.numerical), list(self.categorical)
+        medians = _medians(df, num)
+        frequent = most_frequent(df, cat)
+        filled = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(medians[c]).cast("double")).alias(c) for c in num])
+        st = filled.agg(F.count(F.lit(1)), *[F.avg(c).alias(f"m_{c}") for c in num],
+                        *[F.stddev_pop(c).alias(f"s_{c}") for c in num]).first() if num else {}
+        levels = {}
+        for c in cat:
+            found = df.select(F.col(c).cast("string").alias("v")).where("v IS NOT NULL").distinct().limit(self.max_levels + 1)
+            levels[c] = sorted(r["v"] for r in found.collect())
+            if len(levels[c]) > self.max_levels:
+                raise ValueError(f"{c} has more than {self.max_levels} levels; use label or target encoding")
+        return Preprocessing(num, cat, self.out, medians, frequent, {c: (st[f"m_{c}"], st[f"s_{c}"]) for c in num}, levels)
+
+
+def create_preprocessing_pipeline(categorical: Sequence[str], numerical: Sequence[str], out: str = "features",
+                                  max_levels: int = 1000) -> PreprocessingPipeline:
+    """CLN7: median fill and population z-score of the numeric columns, most frequent fill and one-hot of the others.
+
+    The one-hot places follow the sorted levels and are not scaled; an unseen level has none of them set.
+    A column with more than ``max_levels`` levels raises.
     """
-    cat, num = list(categorical), list(numerical)
-    stages = []
-    if num:
-        stages.append(Imputer(strategy="median", inputCols=num, outputCols=[f"{c}__imp" for c in num], relativeError=0.0))
-    if cat:
-        stages.append(StringIndexer(inputCols=cat, outputCols=[f"{c}__idx" for c in cat], handleInvalid="keep",
-                                    stringOrderType="alphabetAsc"))
-        stages.append(OneHotEncoder(inputCols=[f"{c}__idx" for c in cat], outputCols=[f"{c}__ohe" for c in cat],
-                                    dropLast=False, handleInvalid="keep"))
-    stages.append(VectorAssembler(inputCols=[f"{c}__imp" for c in num] + [f"{c}__ohe" for c in cat],
-                                  outputCol=f"{out}__raw", handleInvalid="keep"))
-    stages.append(StandardScaler(inputCol=f"{out}__raw", outputCol=out, withMean=True, withStd=True))
-    return Pipeline(stages=stages)
+    return PreprocessingPipeline(tuple(categorical), tuple(numerical), out, max_levels)
+
+
+def _medians(df: DataFrame, cols: Sequence[str]) -> dict:
+    return {c: q[0] if q else None for c, q in fit_quantiles(df, cols, [0.5]).items()}
 
 
 def _fill_values(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> dict:
-    """Fitted fill values (medians in one aggregate, most frequent values in one grouped count)."""
-    fills = [F.median(F.col(c).cast("double")).alias(f"n{i}") for i, c in enumerate(numeric)]
-    top = most_frequent(train, categorical)
-    return (train.agg(*fills).first().asDict() if fills else {}) | {f"s{i}": top[c] for i, c in enumerate(categorical)}
+    """Fitted fill values: exact medians and most frequent values, from grouped counts."""
+    medians, top = _medians(train, numeric), most_frequent(train, categorical)
+    return {f"n{i}": medians[c] for i, c in enumerate(numeric)} | {f"s{i}": top[c] for i, c in enumerate(categorical)}
 
 
 def prepare_data(df: DataFrame, key: str, numeric: Sequence[str], categorical: Sequence[str] = (),

@@ -310,6 +310,7 @@ SELECT transaction_id, CAST(tx_count_1h AS BIGINT) AS tx_count_1h, CAST(tx_count
        WHEN fraud_risk_score > 50 AND fraud_risk_score <= 75 THEN 'alto' WHEN fraud_risk_score > 75 AND fraud_risk_score <= 100 THEN 'muito_alto' END AS risk_category
 FROM s""")
 
+FE2_ROWS_SQL = _FE2_SQL.rsplit("SELECT transaction_id, CAST(tx_count_1h", 1)[0]  # ends with the unrounded rows ``s``
 FE2_COLS = ["transaction_id", "tx_count_1h", "tx_count_6h", "tx_count_24h", "high_velocity_1h", "high_velocity_6h",
             "high_velocity_24h", "amount_zscore", "unusual_amount", "mcc_frequency", "unusual_mcc",
             "behavior_risk_score", "hour", "day", "day_of_week", "is_weekend", "period_of_day", "hour_frequency",
@@ -322,8 +323,7 @@ def fe2_advanced_features(spark, sf):
     return rounded(A.create_all_advanced_features(tx_events(spark, sf)).select(*FE2_COLS))
 
 
-@reg("sco3_fraud_risk_score", EV + _body(_FE2_SQL).rsplit("SELECT transaction_id, CAST(tx_count_1h", 1)[0]
-     + """SELECT transaction_id, ROUND(fraud_risk_score, 6) AS fraud_risk_score,
+@reg("sco3_fraud_risk_score", FE2_ROWS_SQL + """SELECT transaction_id, ROUND(fraud_risk_score, 6) AS fraud_risk_score,
   CASE WHEN fraud_risk_score >= 0 AND fraud_risk_score <= 25 THEN 'baixo' WHEN fraud_risk_score > 25 AND fraud_risk_score <= 50 THEN 'medio'
        WHEN fraud_risk_score > 50 AND fraud_risk_score <= 75 THEN 'alto' WHEN fraud_risk_score > 75 AND fraud_risk_score <= 100 THEN 'muito_alto' END AS risk_category
 FROM s""")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from risklib.ml import models as M
@@ -16,6 +16,9 @@ from risklib.operators import evaluate as EV_
 from risklib.operators import prep as PR
 from risklib.operators import select as SE
 from risklib.plans.common import rounded
+from risklib.plans.q_eval import SQL as EVAL_SQL
+from risklib.plans.q_features import FE2_ROWS_SQL
+from risklib.plans.q_prep import SPLIT_SQL
 from risklib.plans.sqlviews import EV, SCM
 from risklib.session import checkpoint_root, scratch_path
 from risklib.sources.files import read_transactions_csv
@@ -51,30 +54,53 @@ def _prepared(spark, sf, balance=None):
     return tr.checkpoint(), te.checkpoint()
 
 
-def _long_scores(models: dict, test):
-    parts = [M.score(m, test, keep=["transaction_id", "label"]).select(
-        F.lit(name).alias("model"), "transaction_id", F.col("label").cast("int").alias("true_label"), "fraud_probability")
-        for name, m in models.items()]
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    return u
+def _long_scores(wide, models):
+    """One row per model and transaction from a table with one score column per model."""
+    cells = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("fraud_probability")) for m in models]))
+    return wide.select("transaction_id", F.col("label").cast("int").alias("true_label"), cells.alias("_s")).select(
+        "_s.model", "transaction_id", "true_label", "_s.fraud_probability")
 
 
 # ---------------------------------------------------------------- PRP1/CLN7
-@reg("prp1_prepare_data")
+def _each(template: str, cols=ML_FEATURES) -> str:
+    return ", ".join(template.replace("@", c) for c in cols)
+
+
+_PREPARED_SQL = (FE2_ROWS_SQL.rstrip() + SPLIT_SQL + f""", y AS (SELECT {_each('CAST(x.@ AS DOUBLE) AS @')}, sp.*
+  FROM split sp JOIN (SELECT s.*, t.amount, t.mcc FROM s JOIN tx_events t ON s.transaction_id = t.transaction_id) x
+    ON sp.transaction_id = x.transaction_id),
+md AS (SELECT {_each('quantile_cont(@, 0.5) AS @')} FROM y WHERE is_test = 0),
+z AS (SELECT y.transaction_id, y.fraud_indicator, y.is_test, {_each('coalesce(y.@, md.@) AS @')} FROM y, md),
+scale AS (SELECT {_each('avg(@) AS m_@, stddev_pop(@) AS s_@')} FROM z WHERE is_test = 0)
+""")
+
+
+@reg("prp1_prepare_data", _PREPARED_SQL + f"""SELECT transaction_id, CAST(fraud_indicator AS DOUBLE) AS label,
+  CASE is_test WHEN 1 THEN 'test' ELSE 'train' END AS split,
+  {_each('ROUND((@ - m_@) / CASE WHEN s_@ > 0 THEN s_@ ELSE 1 END, 6) AS @')} FROM z, scale""")
 def prp1_prepare_data(spark, sf):
     tr, te = _prepared(spark, sf)
     u = tr.withColumn("split", F.lit("train")).unionByName(te.withColumn("split", F.lit("test")))
-    return u.select("transaction_id", "label", "split", vector_to_array("features").alias("features"))
+    x = vector_to_array("features")
+    return rounded(u.select("transaction_id", "label", "split", *[x[i].alias(c) for i, c in enumerate(ML_FEATURES)]))
+
 
+_CLN7 = ["amount", "mcc", "hour"]
 
-@reg("cln7_ml_preprocessing")
+
+@reg("cln7_ml_preprocessing", EV + f""", t AS (SELECT transaction_id, amount, mcc, hour(transaction_ts) AS hour,
+  CASE WHEN amount > 100 THEN 'high' ELSE 'low' END AS amount_band FROM tx_events),
+md AS (SELECT {_each('quantile_cont(@, 0.5) AS @', _CLN7)} FROM t),
+f AS (SELECT t.transaction_id, t.amount_band, {_each('coalesce(t.@, md.@) AS @', _CLN7)} FROM t, md),
+st AS (SELECT {_each('avg(@) AS m_@, stddev_pop(@) AS s_@', _CLN7)} FROM f)
+SELECT transaction_id, {_each('ROUND((@ - m_@) / CASE WHEN s_@ > 0 THEN s_@ ELSE 1 END, 6) AS @', _CLN7)},
+  CAST(amount_band = 'high' AS DOUBLE) AS amount_band_high, CAST(amount_band = 'low' AS DOUBLE) AS amount_band_low FROM f, st""")
 def cln7_ml_preprocessing(spark, sf):
     t = tx_events(spark, sf).select("transaction_id", "amount", "mcc", F.hour("transaction_ts").alias("hour"),
                                     F.when(F.col("amount") > 100, "high").otherwise("low").alias("amount_band"))
-    pm = PL.create_preprocessing_pipeline(["amount_band"], ["amount", "mcc", "hour"]).fit(t)
-    return pm.transform(t).select("transaction_id", vector_to_array("features").alias("features"))
+    pm = PL.create_preprocessing_pipeline(["amount_band"], _CLN7).fit(t)
+    x = vector_to_array("features")
+    return rounded(pm.transform(t).select("transaction_id", *[x[i].alias(n) for i, n in enumerate(pm.names)]))
 
 
 # ---------------------------------------------------------------- MOD1/MOD2/EVA18
@@ -87,10 +113,11 @@ def mod2_train_logistic(spark, sf):
 
 @reg("mod6_train_all_models")
 def mod6_train_all_models(spark, sf):
+    """All model types and the ensemble of their mean probability, compared on the test rows."""
     tr, te = _prepared(spark, sf)
-    models = {t: M.train_model(tr, t, {"n_estimators": 20, "max_depth": 5} if t != "logistic" else None)[0]
-              for t in ("logistic", "random_forest", "gradient_boosting")}
-    return rounded(EV_.compare_models(_long_scores(models, te)))
+    models = M.train_all_models(tr)
+    wide = M.score_all(models, te, ["transaction_id", "label"], ensemble="ensemble")
+    return rounded(EV_.compare_models(_long_scores(wide, [*models, "ensemble"])))
 
 
 @reg("eva18_evaluation_bundle")
@@ -116,16 +143,25 @@ def mod3_tune_logistic(spark, sf):
     return rounded(res)
 
 
+@reg("mod7_tune_all_models")
+def mod7_tune_all_models(spark, sf):
+    """Each type tuned on five folds over a small grid and registered; the default grids are DEFAULT_PARAM_GRIDS."""
+    tr, _ = _prepared(spark, sf)
+    tr = PR.kfold(tr, "transaction_id", 5, label="label").checkpoint()
+    grids = {"logistic": {"C": [0.01, 1]}, "random_forest": {"max_depth": [5, 10]}, "gradient_boosting": {"max_depth": [3, 5]}}
+    res = M.tune_all_models(tr, ModelRegistry(spark, scratch_path(spark, "tuned")), list(grids), grids, features=ML_FEATURES)
+    return rounded(res.drop("model_id"))
+
+
 @reg("reg_registry_roundtrip")
 def reg_registry_roundtrip(spark, sf):
     tr, te = _prepared(spark, sf)
     reg_ = ModelRegistry(spark, scratch_path(spark, "registry"))
     ids = []
     for t in ("logistic", "random_forest"):
-        m, secs = M.train_model(tr, t, {"n_estimators": 20} if t != "logistic" else None)
+        m, _ = M.train_model(tr, t)
         r = EV_.ranking_metrics(M.score(m, te, keep=["label"]).withColumnRenamed("label", "true_label")).first()
-        ids.append(reg_.register_model(m, f"{t}_model", t, {"roc_auc": r["roc_auc"], "train_seconds": secs},
-                                       ML_FEATURES, {"seed": 42}, "trained on tx_events features"))
+        ids.append(reg_.register_model(m, f"{t}_model", t, {"roc_auc": r["roc_auc"]}, ML_FEATURES, {"seed": 42}, "trained on tx_events features"))
     loaded = reg_.load_model(ids[0])
     assert loaded is not None
     reg_.delete_model(ids[1])
@@ -133,6 +169,24 @@ def reg_registry_roundtrip(spark, sf):
     return reg_.list_models().withColumn("is_best", (F.col("id") == F.lit(best["id"])).cast("int")).drop("timestamp", "id")
 
 
+@reg("reg3_best_of_given_scores", f"""SELECT model AS name, 'logistic' AS type, accuracy AS metric_accuracy,
+  roc_auc AS metric_roc_auc, CAST(roc_auc = max(roc_auc) OVER () AS INTEGER) AS is_best
+FROM ({EVAL_SQL['eva16_compare_models']})""")
+def reg3_best_of_given_scores(spark, sf):
+    """REG1, REG3-REG5 on the metrics of given scores: register each, delete a third entry, list, best by metric."""
+    t = tx_events(spark, sf).select(array_to_vector(F.array("amount")).alias("features"),
+                                    F.col("fraud_indicator").cast("double").alias("label")).where("amount IS NOT NULL")
+    m, _ = M.train_model(t, "logistic")
+    reg_ = ModelRegistry(spark, scratch_path(spark, "registry"))
+    for r in EV_.compare_models(scored_models(spark, sf)).collect():  # one row per model
+        reg_.register_model(m, r["model"], "logistic", {"accuracy": r["accuracy"], "roc_auc": r["roc_auc"]})
+    gone = reg_.register_model(m, "withdrawn", "logistic", {"accuracy": 1.0, "roc_auc": 1.0})
+    assert reg_.delete_model(gone) and not reg_.delete_model(gone)
+    best = reg_.get_best_model("roc_auc").first()["id"]
+    return rounded(reg_.list_models().select("name", "type", "metric_accuracy", "metric_roc_auc",
+                                             (F.col("id") == best).cast("int").alias("is_best")))
+
+
 # ---------------------------------------------------------------- MOD4 (on given scores: SQL-checkable)
 @reg("mod4_soft_voting", SCM + """SELECT transaction_id,
   ROUND(sum(fraud_probability * CASE model WHEN 'amount_mcc' THEN 0.6 ELSE 0.4 END) / sum(CASE model WHEN 'amount_mcc' THEN 0.6 ELSE 0.4 END), 6)
@@ -152,13 +206,15 @@ def mod4_hard_voting(spark, sf):
 # ---------------------------------------------------------------- MOD5
 @reg("mod5_stacking")
 def mod5_stacking(spark, sf):
-    tr, _ = _prepared(spark, sf)
-    tr = PR.kfold(tr, "transaction_id", 3, label="label")
-    lr = M.out_of_fold_scores(tr, "logistic", "transaction_id", 3)
-    rf = M.out_of_fold_scores(tr, "random_forest", "transaction_id", 3, {"n_estimators": 20})
-    base = tr.select("transaction_id", "label", "fold").join(lr, "transaction_id").join(rf, "transaction_id")
-    _, out = M.stacking(base, "transaction_id", "label", ["logistic", "random_forest"])
-    return rounded(out)
+    """Meta model on out-of-fold scores of the training rows; the test rows are scored by the refitted members."""
+    tr, te = _prepared(spark, sf)
+    tr = PR.kfold(tr, "transaction_id", 5, label="label").checkpoint()
+    types = ["logistic", "random_forest"]
+    base = tr.select("transaction_id", "label", "fold")
+    for t in types:
+        base = base.join(M.out_of_fold_scores(tr, t, "transaction_id", 5), "transaction_id")
+    meta, _ = M.stacking(base, "transaction_id", "label", types)
+    return rounded(M.score_stack(M.train_all_models(tr, types), meta, te, ["transaction_id", "label"]))
 
 
 # ---------------------------------------------------------------- SEL6/SEL7/SEL8/SEL9
@@ -204,6 +260,17 @@ def eva19_linear_attribution(spark, sf):
     return rounded(M.linear_attribution(m, te, ML_FEATURES, "transaction_id"))
 
 
+_COEFS = {"amount": 0.004, "mcc": -0.02, "hour": 0.11}
+
+
+@reg("eva19_attribution_given_coefficients", EV + ", t AS (SELECT transaction_id, amount, mcc, hour(transaction_ts) AS hour FROM tx_events) "
+     + " UNION ALL ".join(f"SELECT transaction_id, '{c}' AS feature, ROUND({b} * ({c} - avg({c}) OVER ()), 6) AS contribution FROM t"
+                          for c, b in _COEFS.items()))
+def eva19_attribution_given_coefficients(spark, sf):
+    t = tx_events(spark, sf).select("transaction_id", "amount", "mcc", F.hour("transaction_ts").alias("hour"))
+    return rounded(M.linear_contributions(t, _COEFS, "transaction_id"))
+
+
 # ---------------------------------------------------------------- SRC1/SNK1/SNK2/SNK4
 @reg("src1_csv_roundtrip", EV + """SELECT CAST(transaction_id AS VARCHAR) AS transaction_id, CAST(card_number AS VARCHAR) AS card_number,
   amount, merchant_category, fraud_indicator FROM tx_events""")
@@ -236,7 +303,7 @@ def snk2_export_suspicious_csv(spark, sf):
                                                      "fraud_indicator")
 
 
-@reg("snk4_save_load_model")
+@reg("snk4_save_load_model", EV + SPLIT_SQL + " SELECT transaction_id, 1 AS same FROM split WHERE is_test = 1")
 def snk4_save_load_model(spark, sf):
     from pyspark.ml.classification import LogisticRegressionModel
     tr, te = _prepared(spark, sf)
@@ -246,7 +313,7 @@ def snk4_save_load_model(spark, sf):
     back = LogisticRegressionModel.load(path)
     a = M.score(m, te, out="p_saved", keep=["transaction_id"])
     b = M.score(back, te, out="p_loaded", keep=["transaction_id"])
-    return rounded(a.join(b, "transaction_id").withColumn("same", (F.col("p_saved") == F.col("p_loaded")).cast("int")))
+    return a.join(b, "transaction_id").select("transaction_id", (F.col("p_saved") == F.col("p_loaded")).cast("int").alias("same"))
 
 
 @reg("eva19_permutation_importance")

@@ -88,9 +88,12 @@ def sca1_standard_scale(spark, sf):
 
 
 # ---------------------------------------------------------------- SPL1/SPL2
-@reg("spl1_stratified_split", EV + f""", r AS (SELECT transaction_id, fraud_indicator, {_FOLD} AS rk,
-   count(*) OVER (PARTITION BY fraud_indicator) AS n FROM tx_events)
-SELECT transaction_id, fraud_indicator, CAST(rk < round(n * 0.2) AS INTEGER) AS is_test FROM r""")
+SPLIT_SQL = f""", r AS (SELECT transaction_id, fraud_indicator, {_FOLD} AS rk,
+   count(*) OVER (PARTITION BY fraud_indicator) AS n FROM tx_events),
+split AS (SELECT transaction_id, fraud_indicator, CAST(rk < round(n * 0.2) AS INTEGER) AS is_test FROM r)"""
+
+
+@reg("spl1_stratified_split", EV + SPLIT_SQL + " SELECT * FROM split")
 def spl1_stratified_split(spark, sf):
     t = tx_events(spark, sf).select("transaction_id", "fraud_indicator")
     return PR.stratified_split(t, "transaction_id", test_size=0.2)

@@ -7,7 +7,7 @@ import __spark_entry__ as E
 from risklib.sources.tables import TABLES
 from tests.conftest import SF0001
 
-SLOW = {"mod3_tune_logistic", "sel7_rfe_cv", "mod5_stacking"}
+SLOW = {"mod3_tune_logistic", "sel7_rfe_cv", "mod5_stacking", "mod7_tune_all_models"}
 
 
 def test_entry_runs(spark):

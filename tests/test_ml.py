@@ -1,8 +1,13 @@
 """ML layer smoke + invariants on sf0.001: registry round trip, voting, tuning table, PCA variance."""
 
+import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
+from risklib.ml import models as M
+from risklib.ml.pipeline import create_preprocessing_pipeline
+from risklib.operators import prep as PR
 from tests.conftest import SF0001
 
 
@@ -30,3 +35,49 @@ def test_tuning_reports_every_combination(spark):
     # two values of C, two penalties, with and without class weights
     assert len(t) == 8 and t.params.nunique() == 8 and t.roc_auc.between(0, 1).all()
     assert t.params.str.contains("class_weight").sum() == 4
+
+
+def _rows(spark):
+    r = [(i, float(i % 7), float((i * 5) % 11), float(i % 7 > 3)) for i in range(200)]
+    df = spark.createDataFrame(r, "id long, a double, b double, label double")
+    return df.select("id", array_to_vector(F.array("a", "b")).alias("features"), "label")
+
+
+def test_ensemble_is_the_weighted_mean_and_equal_settings_are_fitted_once(spark):
+    models = M.train_all_models(_rows(spark), ["logistic", "xgboost", "lightgbm"])
+    assert list(models) == ["logistic", "xgboost", "lightgbm"] and models["xgboost"] is models["lightgbm"]
+    s = M.score_all(models, _rows(spark), ["id"], "mix", {"logistic": 3, "xgboost": 1, "lightgbm": 0})
+    assert s.columns == ["id", "logistic", "xgboost", "lightgbm", "mix"]
+    assert s.where(F.abs(F.col("mix") - (F.col("logistic") * 3 + F.col("xgboost")) / 4) > 1e-12).count() == 0
+
+
+def test_weights_and_c_change_the_model(spark):
+    df = _rows(spark).withColumn("w", F.when(F.col("label") == 1, 5.0).otherwise(1.0))
+    plain = M.train_all_models(df, ["logistic"], {"logistic": {"C": 100.0}})["logistic"]
+    strict = M.train_all_models(df, ["logistic"], {"logistic": {"C": 0.001}})["logistic"]
+    weighted = M.train_all_models(df, ["logistic"], {"logistic": {"C": 100.0, "class_weight": "balanced"}}, weight="w")["logistic"]
+    assert abs(strict.coefficients[0]) < abs(plain.coefficients[0])
+    assert weighted.intercept != plain.intercept
+
+
+def test_stack_scores_unseen_rows(spark):
+    df = PR.kfold(_rows(spark), "id", 4, label="label")
+    base = df.select("id", "label", "fold").join(M.out_of_fold_scores(df, "logistic", "id", 4), "id")
+    meta, _ = M.stacking(base, "id", "label", ["logistic"])
+    new = _rows(spark).withColumn("id", F.col("id") + 1000)
+    out = M.score_stack(M.train_all_models(df, ["logistic"]), meta, new, ["id"])
+    assert out.count() == 200 and out.where("stacked_probability NOT BETWEEN 0 AND 1").count() == 0
+
+
+def test_preprocessing_fills_scales_numbers_only_and_ignores_unseen_levels(spark):
+    schema = "id long, x double, g string"
+    train = spark.createDataFrame([(1, 1.0, "a"), (2, None, "b"), (3, 3.0, None), (4, 8.0, "b")], schema)
+    fitted = create_preprocessing_pipeline(["g"], ["x"]).fit(train)
+    assert fitted.names == ["x", "g_a", "g_b"]
+    new = spark.createDataFrame([(1, 3.0, "c"), (2, None, None)], schema)
+    got = {r.id: list(r.features) for r in fitted.transform(new).collect()}
+    sd = (((1 - 3.75) ** 2 + 2 * 0.75 ** 2 + 4.25 ** 2) / 4) ** 0.5     # filled: 1, 3, 3, 8
+    assert got[1][1:] == [0.0, 0.0] and abs(got[1][0] - (3 - 3.75) / sd) < 1e-12
+    assert got[2][1:] == [0.0, 1.0] and got[2][0] == got[1][0]
+    with pytest.raises(ValueError):
+        create_preprocessing_pipeline(["g"], [], max_levels=1).fit(train)
