@@ -117,14 +117,16 @@ def _qcut4_or_fixed(rate_col: str, stats: DataFrame) -> "F.Column":
 
 
 def location_features(df: DataFrame, city: str = "merchant_city", state: str = "merchant_state",
-                      city_min: int = 5, state_min: int = 10) -> DataFrame:
+                      city_min: int = 5, state_min: int = 10, rows: DataFrame | None = None) -> DataFrame:
+    """Fraud rate and risk band of city and state; ``rows``: where the rates are taken from (default ``df``)."""
     if not _has(df, city, state):
         return df
+    rows = df if rows is None else rows
     if LABEL in df.columns:
-        global_mean = df.agg(F.avg(LABEL)).first()[0]
-        cs = _rate_table(df, city, city_min, "city_fraud_rate", global_mean)
+        global_mean = rows.agg(F.avg(LABEL)).first()[0]
+        cs = _rate_table(rows, city, city_min, "city_fraud_rate", global_mean)
         cs = cs.withColumn("city_risk_category", _qcut4_or_fixed("city_fraud_rate", cs)).drop("_rows")
-        ss = _rate_table(df, state, state_min, "state_fraud_rate", global_mean)
+        ss = _rate_table(rows, state, state_min, "state_fraud_rate", global_mean)
         ss = ss.withColumn("state_risk_category", _qcut4_or_fixed("state_fraud_rate", ss)).drop("_rows")
         df = attach_stats(attach_stats(df, cs, [city], null_safe=True), ss, [state], null_safe=True)
     if _has(df, "customer_zip", "merchant_zip"):
@@ -209,16 +211,17 @@ def customer_behavior_features(df: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- AGG3/WIN10
-def merchant_features(df: DataFrame, merchant: str = "merchant_id") -> DataFrame:
+def merchant_features(df: DataFrame, merchant: str = "merchant_id", rows: DataFrame | None = None) -> DataFrame:
     if merchant not in df.columns:
         return df
+    rows = df if rows is None else rows
     aggs = [F.count(ID).alias("merchant_transaction_count") if ID in df.columns
             else F.count(F.lit(1)).alias("merchant_transaction_count"), F.count(F.lit(1)).alias("_rows")]
     if AMOUNT in df.columns:
         aggs.append(F.avg(AMOUNT).alias("merchant_avg_amount"))
     if LABEL in df.columns:
         aggs.append(F.avg(LABEL).alias("merchant_fraud_rate"))
-    st = df.where(F.col(merchant).isNotNull()).groupBy(merchant).agg(*aggs)  # rows without a merchant have no rate
+    st = rows.where(F.col(merchant).isNotNull()).groupBy(merchant).agg(*aggs)  # rows without a merchant have no rate
     if LABEL in df.columns:
         r = F.least(F.greatest(F.col("merchant_fraud_rate"), F.lit(0.0)), F.lit(1.0))
         st = st.withColumn("_rc", r)
@@ -243,23 +246,20 @@ def merchant_features(df: DataFrame, merchant: str = "merchant_id") -> DataFrame
 
 
 # ---------------------------------------------------------------- AGG4/SCL12/SCL13/JN4
-def payment_method_features(df: DataFrame, columns=PAYMENT_COLUMNS, home_country: str = HOME_COUNTRY) -> DataFrame:
-    """Fraud rate per value of each payment column, from one GROUPING SETS aggregate."""
+def payment_method_features(df: DataFrame, columns=PAYMENT_COLUMNS, home_country: str = HOME_COUNTRY,
+                            rows: DataFrame | None = None) -> DataFrame:
+    """Fraud rate per value of each payment column: one grouped aggregate of two columns each."""
     columns = list(columns)
     if not _has(df, *columns):
         return df
+    rows = df if rows is None else rows
     if _has(df, "payment_method", "capture_method"):
         # concat is null when either part is null
         df = df.withColumn("payment_capture_combo", F.concat("payment_method", F.lit("_"), "capture_method"))
     if LABEL in df.columns:
-        gs = df.groupingSets([[c] for c in columns], *columns).agg(
-            F.avg(LABEL).alias("_rate"), F.grouping_id().alias("_gid"))
-        n = len(columns)
-        for i, c in enumerate(columns):
-            gid = (1 << n) - 1 - (1 << (n - 1 - i))
-            t = gs.where(F.col("_gid") == gid).select(c, F.col("_rate").alias(f"{c}_fraud_rate"))
-            t = t.where(F.col(c).isNotNull())
-            df = attach_stats(df, t, [c])
+        for c in columns:
+            rates = rows.where(F.col(c).isNotNull()).groupBy(c).agg(F.avg(LABEL).alias(f"{c}_fraud_rate"))
+            df = attach_stats(df, rates, [c])
     if "issuer_country" in df.columns:
         df = df.withColumn("is_international", flag(~F.col("issuer_country").eqNullSafe(F.lit(home_country))))
     return df
@@ -312,11 +312,12 @@ def create_all_features(df: DataFrame, bucket_hours: float = 168, materialize: b
         df = write_and_read(df, "fe1-input")
     df = temporal_features(df)
     df = amount_features(df)
-    df = location_features(df)
+    rows = df  # the statistics of every stage come from these narrow rows, not from the joined ones
     df = add_card_context(df, bucket_hours=bucket_hours, method=method, rows_per_part=rows_per_part)
+    df = location_features(df, rows=rows)
     df = customer_behavior_features(df)
-    df = merchant_features(df)
-    df = payment_method_features(df, home_country=home_country)
+    df = merchant_features(df, rows=rows)
+    df = payment_method_features(df, home_country=home_country, rows=rows)
     df = velocity_features(df)
     df = fraud_pattern_features(df)
     return drop_context(df)
