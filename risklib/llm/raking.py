@@ -2,12 +2,20 @@
 
 Documents are counted into (source, language, topic) cells of token weight. A
 sweep scales the cells so that the source, then the language, then the topic
-sums meet their targets; sweeps repeat on the cell table, which has one row per
-combination of categories however many documents there are. The fitted over the
-observed weight of a cell is its ratio, and the sampling probability of every
-document of the cell is ratio x rate, with one rate for all such that no
-probability exceeds 1: expected token sums then meet the targets. A document is
-kept when the draw from its key falls below its probability, so runs agree.
+sums meet their targets; sweeps repeat until the marginals are met to
+``TOLERANCE``. The cell table has one row per combination of categories however
+many documents there are; its codes and weights are fitted on the driver.
+
+The fitted over the observed weight of a cell is its ratio, and the sampling
+probability of every document of the cell is min(1, ratio x rate). The rate is
+such that the cells held at 1 have at most ``WHOLE`` of all tokens, so that a
+few rare documents do not decide how much of the rest is kept. Where cells are
+held at 1, the others are raked again for the same sample size: a category
+whose target exceeds what it holds is kept whole and the targets of the others
+of its margin grow in proportion. ``residual`` gives the largest difference
+between expected and wanted share of any category that is left. A
+document is kept when the draw from its key falls below its probability, so
+runs agree.
 
 Cases: null categories are a category of their own; a null or empty text has
 weight 0 and topic ``empty`` and, like every weightless cell, probability 0;
@@ -18,13 +26,19 @@ columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from risklib.llm.common import WS_CLASS, key_text, let, stored, unit_draw
 
 MARGINS = ("source", "lang", "topic")
 SWEEPS, TEMPER, RATE = 12, 0.85, 1.0
+#: Largest difference of shares at which the marginals count as met; looks at it, each after SWEEPS sweeps.
+TOLERANCE, LOOKS = 1e-9, 200
+#: Largest share of all tokens in the cells that are kept whole.
+WHOLE = 0.01
 
 
 def n_words(text: Column) -> Column:
@@ -56,43 +70,109 @@ def tempered(cells: DataFrame, margin: str, temper: float = TEMPER) -> DataFrame
     return w.select(margin, F.pow("w", F.lit(temper)).alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS, per_write: int = 4) -> DataFrame:
-    """``cells`` (the margins, n) with ``fitted`` weights whose sums meet the target shares of the total."""
-    total = Window.partitionBy(F.lit(0))  # over cells, one row per combination of categories
-    fit = cells.filter(F.col("n") > 0)
-    for m, t in targets.items():
-        t = t.select(F.col(m), F.col("target").cast("double").alias(f"t_{m}")).filter(F.col(f"t_{m}") > 0)
-        fit = fit.join(t, m)
-    fit = fit.withColumn("all_n", F.sum("n").over(total).cast("double"))
-    for m in targets:  # shares among the categories that are present
-        first = F.row_number().over(Window.partitionBy(m).orderBy(*targets)) == 1
-        fit = fit.withColumn("first_of", first)
-        fit = fit.withColumn(f"t_{m}", F.col(f"t_{m}") / F.sum(F.when(F.col("first_of"), F.col(f"t_{m}"))).over(total)
-                             * F.col("all_n")).drop("first_of")
-    fit = fit.withColumn("fitted", F.col("n").cast("double"))
-    for i in range(sweeps):
+class Cells:
+    """The cells that have weight and targets, as codes per margin, with the target shares among the categories present."""
+
+    def __init__(self, cells: DataFrame, targets: dict[str, DataFrame]):
+        self.margins = list(targets)
+        rows = cells.filter(F.col("n") > 0)
+        for m, t in targets.items():
+            t = t.select(F.col(m), F.col("target").cast("double").alias(f"__t_{m}"))
+            rows = rows.join(t.filter(F.col(f"__t_{m}") > 0), m)
+        self.table = rows.select(*targets, "n", *[f"__t_{m}" for m in targets]).orderBy(*targets).toArrow()
+        self.n = self.table["n"].to_numpy().astype(np.float64)
+        self.codes, self.shares = [], []
         for m in targets:
-            fit = fit.withColumn("fitted", F.col("fitted") * F.col(f"t_{m}")
-                                 / F.sum("fitted").over(Window.partitionBy(m)))
-        if (i + 1) % per_write == 0:
-            fit = stored(fit, "raked-cells")
-    return fit.select(*targets, "n", "fitted")
+            codes = self.table[m].combine_chunks().dictionary_encode()
+            share = np.zeros(len(codes.dictionary))
+            share[codes.indices.to_numpy()] = self.table[f"__t_{m}"].to_numpy()
+            self.codes.append(codes.indices.to_numpy())
+            self.shares.append(share / share.sum() if len(share) else share)
+
+    def sums(self, weight: np.ndarray):
+        return [np.bincount(c, weight, len(s)) for c, s in zip(self.codes, self.shares)]
+
+    def residual(self, weight: np.ndarray) -> float:
+        """The largest difference between a category's share of ``weight`` and its target."""
+        total = weight.sum()
+        return max((float(np.abs(w / total - s).max()) for w, s in zip(self.sums(weight), self.shares)), default=0.0) if total else 0.0
+
+    def fitted(self, sweeps: int) -> np.ndarray:
+        fit = self.n.copy()
+        for _ in range(LOOKS if len(fit) else 0):
+            for _ in range(sweeps):
+                for c, s in zip(self.codes, self.shares):
+                    fit *= (s * self.n.sum() / np.bincount(c, fit, len(s)))[c]
+            if self.residual(fit) <= TOLERANCE:
+                break
+        return fit
+
+    def probabilities(self, fit: np.ndarray, rate: float, sweeps: int) -> np.ndarray:
+        """min(1, ratio x rate), the cells below 1 raked again for what those at 1 leave of the targets."""
+        if not len(fit):
+            return fit
+        ratio = fit / self.n
+        down = np.argsort(-ratio, kind="stable")
+        top = ratio[down[np.searchsorted(np.cumsum(self.n[down]), WHOLE * self.n.sum(), "right")]]
+        p = ratio / top * rate
+        if p.max() <= 1:
+            return p
+        size = min(1.0, rate / top) * self.n.sum()
+        targets = [_within(s * size, held) for s, held in zip(self.shares, self.sums(self.n))]
+        p = np.minimum(p, 1)
+        for _ in range(LOOKS):
+            before = p
+            for _ in range(sweeps):
+                for c, t in zip(self.codes, targets):
+                    whole = p >= 1
+                    left = t - np.bincount(c, self.n * whole, len(t))
+                    free = np.bincount(c, self.n * p * ~whole, len(t))
+                    scale = np.where((free > 0) & (left > 0), left / np.where(free > 0, free, 1), 1)
+                    p = np.minimum(np.where(whole, 1, p * scale[c]), 1)
+            if np.abs(p - before).max() <= TOLERANCE:
+                break
+        return p
+
+    def frame(self, spark, **columns: np.ndarray) -> DataFrame:
+        out = self.table.select([*self.margins, "n"])
+        for name, values in columns.items():
+            out = out.append_column(name, pa.array(values, pa.float64()))
+        return spark.createDataFrame(out)
+
+
+def _within(wanted: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """``wanted`` bounded by ``held``, what is cut off dealt to the others in proportion."""
+    total, full = wanted.sum(), np.zeros(len(wanted), bool)
+    while True:
+        free = wanted[~full].sum()
+        out = np.where(full, held, wanted * ((total - held[full].sum()) / free if free else 1))
+        more = ~full & (out > held)
+        if not more.any():
+            return out
+        full |= more
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS) -> DataFrame:
+    """``cells`` (the margins, n) with ``fitted`` weights whose sums meet the target shares of the total."""
+    c = Cells(cells, targets)
+    return c.frame(cells.sparkSession, fitted=c.fitted(sweeps))
 
 
 def sampling(docs: DataFrame, rate: float = RATE, sweeps: int = SWEEPS,
              targets: dict[str, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
-    """The narrow rows of ``docs`` and the cells with their probability ``p``.
+    """The narrow rows of ``docs`` and the cells with their probability ``p`` and the ``residual`` of all.
 
-    ``rate`` is the share of the largest calibrated sample to draw (1: the cell
-    that must grow most is kept whole).
+    ``rate`` is the share of the largest calibrated sample to draw (1: the cells
+    that must grow most, up to ``WHOLE`` of the tokens, and the next are kept whole).
     """
     rows = stored(cells_of(docs), "cell-rows")  # narrow; the texts are read once
     cells = stored(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("n")), "cells")
     targets = targets or {m: tempered(cells, m) for m in MARGINS}
-    fit = rake(cells, targets, sweeps).withColumn("ratio", F.col("fitted") / F.col("n"))
-    top = F.max("ratio").over(Window.partitionBy(F.lit(0)))
-    return rows, stored(fit.select(*MARGINS, "fitted", F.least(F.lit(1.0), F.col("ratio") / top * rate).alias("p")),
-                        "cell-probabilities")
+    c = Cells(cells, targets)
+    fit = c.fitted(sweeps)
+    p = c.probabilities(fit, rate, sweeps)
+    found = c.frame(docs.sparkSession, fitted=fit, p=p, residual=np.full(len(p), c.residual(c.n * p)))
+    return rows, stored(found.select(*targets, "fitted", "p", "residual"), "cell-probabilities")
 
 
 def mix_documents(docs: DataFrame, rate: float = RATE, sweeps: int = SWEEPS,
@@ -100,7 +180,7 @@ def mix_documents(docs: DataFrame, rate: float = RATE, sweeps: int = SWEEPS,
     """doc_id, source, lang, topic, n_tokens, p, kept for every row of ``docs``."""
     rows, cells = sampling(docs, rate, sweeps, targets)
     p = F.coalesce(F.col("p"), F.lit(0.0))
-    return rows.join(cells.drop("fitted"), list(MARGINS), "left").select(
+    return rows.join(cells.drop("fitted", "residual"), list(MARGINS), "left").select(
         "doc_id", *MARGINS, "n_tokens", F.round(p, 6).alias("p"), (sample_draw() < p).alias("kept"))
 
 

@@ -148,6 +148,30 @@ def test_raking_meets_the_targets(spark):
     assert raking.mix_documents(docs).count() == 240
 
 
+def test_one_rare_row_barely_changes_the_kept_share(spark):
+    docs = fx.documents(spark, 240)
+    rare = docs.union(spark.createDataFrame([(9000, "just twelve words that no other row of this table has at all", None, "src0", 1)],
+                                            fx.SCHEMA))
+    share, residual = [], []
+    for d in (docs, rare):
+        out = raking.mix_documents(d).toPandas()
+        share.append(out.p.sum() / len(out))
+        residual.append(raking.sampling(d)[1].first()["residual"])
+    assert out[out.doc_id == 9000].p.item() == 1
+    assert abs(share[0] - share[1]) < 0.01
+    assert residual[0] < 1e-9 and residual[1] < 0.002
+
+
+def test_targets_of_sparse_cells_are_met(spark):
+    cells = [("a", "x", 1000), ("a", "y", 1), ("b", "y", 1000), ("b", "z", 1), ("c", "z", 1000), ("c", "x", 1)]
+    cells = spark.createDataFrame(cells, "source string, lang string, n long")
+    want = {"source": {"a": 0.34, "b": 0.33, "c": 0.33}, "lang": {"x": 0.32, "y": 0.34, "z": 0.34}}
+    fit = raking.rake(cells, {m: spark.createDataFrame(list(t.items()), f"{m} string, target double") for m, t in want.items()}).toPandas()
+    for m, t in want.items():
+        got = fit.groupby(m).fitted.sum() / fit.fitted.sum()
+        assert all(abs(got[k] - v) < 1e-6 for k, v in t.items())
+
+
 def test_raking_edges(spark):
     docs = fx.awkward(spark)
     out = raking.mix_documents(fx.with_clashes(docs)).collect()
