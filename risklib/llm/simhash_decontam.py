@@ -1,8 +1,10 @@
 """Operator 8: benchmark decontamination by SimHash windows and multi-index Hamming blocks.
 
-Benchmark items are grouped into window sizes (a grid of ratio ``GRID``, so a
-window has the size of its items to within that ratio). An item enters with the
-64-bit SimHash of its first and of its last window of that size. Every document
+Benchmark items are grouped into window sizes on a grid of ratio ``GRID``. An
+item enters with the 64-bit SimHashes of windows spread over its whole length:
+of half its size, of ``LONGEST`` / 2 words at most, at least three and so many
+that every word is in one, so that edits anywhere leave some of them alone
+(items of less than ``HALVED`` words: of its own size, first and last). Every document
 is slid over word by word with windows of every size; a window's SimHash comes
 from prefix sums of packed 8-bit counters, a handful of operations per word.
 
@@ -38,7 +40,8 @@ from risklib.llm import bytehash
 
 RADIUS, MIN_SIMILARITY, GRID, ITEM_BLOCK = 7, 0.8, 1.2, 4096
 BLOCKS, BLOCK_BITS = 4, 16
-LONGEST = 120  # words of a window; an item of more enters with windows of this size
+LONGEST = 120  # an item of more words enters with windows of half of this, the more the longer it is
+HALVED = 9  # words from which an item can lose a shingle and still match
 SLICE_WORDS, SLICE_CHARS = 60_000, 750_000
 ONES = np.uint64(0x0101010101010101)
 HIGH = np.uint64(0x8080808080808080)
@@ -65,16 +68,29 @@ def prefix(words: np.ndarray) -> np.ndarray:
     return s
 
 
+def window_words(n: int) -> int:
+    """The wanted size of the windows of an item of ``n`` words."""
+    return n if n < HALVED else min(n, LONGEST) // 2
+
+
 def window_sizes(lengths: list[int]) -> dict[int, int]:
-    """Item length -> window size: the largest grid size that is no longer."""
+    """Wanted size -> window size: the largest grid size that is no longer."""
     out, size = {}, None
-    for n in sorted(set(min(x, LONGEST) for x in lengths if x > 0)):
+    for n in sorted(set(window_words(x) for x in lengths if x > 0)):
         if size is None or n > size * GRID:
             size = n
         out[n] = size
     return out
 
 
+def window_offsets(n: int, size: int) -> list[int]:
+    """First words of the windows of an item of ``n`` words, from its start to its end."""
+    if n < HALVED:
+        return sorted({0, n - size})
+    k = max(3, -(-n // size))
+    return sorted({i * (n - size) // (k - 1) for i in range(k)})
+
+
 def block_index(prints: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each block: (start of every value's list, entries); an entry is listed under every value within RADIUS // BLOCKS bits."""
     near = [0] + [1 << i for i in range(BLOCK_BITS)] if RADIUS // BLOCKS >= 1 else [0]
@@ -127,8 +143,8 @@ def build_items(items: list[tuple[int, str]], weights: dict[int, float] | None =
     for i in range(len(items)):
         n = int(counts[i])
         if n:
-            size = sizes[min(n, LONGEST)]
-            for offset in {0, n - size}:
+            size = sizes[window_words(n)]
+            for offset in window_offsets(n, size):
                 own = words[w_at[i] + offset:w_at[i] + offset + size]
                 groups.setdefault(size, []).append((int(window_hashes(prefix(own), size)[0]), i, offset))
     out = []

@@ -217,6 +217,47 @@ def test_decontamination_finds_planted_items_and_leaves_others(spark):
     assert simhash_decontam.matches(fx.empty(spark), bench).count() == 0
 
 
+def damaged(rng, words, how, similarity=0.8):
+    """A copy with so many words replaced that at least ``similarity`` of the shingles' weighted Jaccard is left."""
+    n = len(words)
+    budget = int((n - 4) * (1 - similarity) / (1 + similarity))
+    out = list(words)
+    if how == "ends":
+        at = [*range(budget // 2), *range(n - (budget - budget // 2), n)]
+    elif how == "scattered":
+        at = rng.sample(range(n), budget // 5)
+    else:
+        first = rng.randrange(n - budget) if budget > 4 else n
+        at = range(first, first + budget - 4)
+    for i in at:
+        out[i] = f"new{rng.randrange(10 ** 9)}"
+    return out
+
+
+def recall(n, how, copies, seed=1):
+    """Share of the damaged copies of items of ``n`` words that are found inside other words."""
+    rng = random.Random(seed)
+    items = [(i, " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(n))) for i in range(copies)]
+    texts = [" ".join([*(f"h{rng.randrange(10 ** 6)}" for _ in range(40)), *damaged(rng, t.split(), how),
+                       *(f"h{rng.randrange(10 ** 6)}" for _ in range(40))]) for _, t in items]
+    found = {(d, i) for d, i, *_ in simhash_decontam.scan_texts(texts, simhash_decontam.build_items(items))}
+    return len(found & {(i, i) for i in range(copies)}) / copies
+
+
+@pytest.mark.parametrize("n", [15, 30, 59, 120, 180, 300, 600])
+@pytest.mark.parametrize("how", ["ends", "scattered", "block"])
+def test_damaged_copies_of_any_length_are_found(n, how):
+    assert recall(n, how, 40) >= 0.95
+
+
+def test_copies_without_the_first_word_are_found():
+    rng = random.Random(3)
+    items = [(i, " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(13 + i % 40))) for i in range(200)]
+    texts = [t.split(" ", 1)[1] + " end" for _, t in items]
+    found = simhash_decontam.scan_texts(texts, simhash_decontam.build_items(items))
+    assert {(d, i) for d, i, *_ in found} == {(i, i) for i in range(200)}
+
+
 def test_item_blocks_give_the_same_matches(spark, monkeypatch):
     rng = random.Random(2)
     items = [(i, fx.prose(rng, "de", 30)) for i in range(7)]
