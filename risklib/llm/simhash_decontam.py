@@ -16,8 +16,11 @@ within the radius are aligned to the whole item and verified: the weighted
 Jaccard similarity of the 5-word shingle multisets, weight ln(1 + items /
 items with the shingle), must reach ``MIN_SIMILARITY``.
 
-Items are taken in blocks of ``ITEM_BLOCK``, one pass over the documents each,
-so what a task holds is bounded however large the benchmark is.
+Items and items per shingle are counted once over the whole benchmark. Items
+are taken in blocks of about ``ITEM_BLOCK``, one pass over the documents each;
+the blocks are prepared in tasks and written, and the verdict on an item does
+not depend on its block. A task holds one block and the weights of the
+shingles that several items share (16 bytes each; all others weigh the same).
 
 Words are lower-cased and cut at white space. Cases: null or empty texts and
 items without words match nothing; items shorter than 5 words are one shingle
@@ -30,13 +33,17 @@ tables give an empty result.
 from __future__ import annotations
 
 import math
+import pickle
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from risklib.llm import bytehash
+from risklib.llm.common import stored
 
 RADIUS, MIN_SIMILARITY, GRID, ITEM_BLOCK = 7, 0.8, 1.2, 4096
 BLOCKS, BLOCK_BITS = 4, 16
@@ -126,18 +133,29 @@ def near_prints(windows: np.ndarray, prints: np.ndarray, index) -> tuple[np.ndar
     return both // len(prints), both % len(prints)
 
 
-def build_items(items: list[tuple[int, str]], weights: dict[int, float] | None = None) -> dict:
-    """The index of one block of items."""
+Weights = tuple[np.ndarray, np.ndarray, float]  # shingles in order, their weights, the weight of all others
+
+
+def shingle_weights(n_items: int, shingles: np.ndarray, held: np.ndarray) -> Weights:
+    """Weights ln(1 + items / items with the shingle), from the shingles that several items hold."""
+    order = np.argsort(shingles)
+    return shingles[order], np.log1p(n_items / held[order]), math.log(1 + max(1, n_items))
+
+
+def weigh(values: np.ndarray, weights: Weights) -> np.ndarray:
+    known, weight, default = weights
+    if not len(known):
+        return np.full(len(values), default)
+    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+    return np.where(known[at] == values, weight[at], default)
+
+
+def prepare_items(items: list[tuple[int, str]]) -> dict:
+    """The fingerprints and shingle bags of one block of items."""
     words, counts = bytehash.words_of([(t or "").lower().encode() for _, t in items])
     shingles, per = bytehash.shingles_of(words, counts)
     w_at, s_at = np.concatenate([[0], np.cumsum(counts)]), np.concatenate([[0], np.cumsum(per)])
-    bags, held = [], {}
-    for i in range(len(items)):
-        values, n = np.unique(shingles[s_at[i]:s_at[i + 1]], return_counts=True)
-        bags.append(dict(zip(values.tolist(), n.tolist())))
-        for v in bags[-1]:
-            held[v] = held.get(v, 0) + 1
-    weights = weights or {v: math.log(1 + len(items) / c) for v, c in held.items()}
+    bags = [np.unique(shingles[s_at[i]:s_at[i + 1]], return_counts=True) for i in range(len(items))]
     sizes = window_sizes(counts.tolist())
     groups: dict[int, list[tuple[int, int, int]]] = {}
     for i in range(len(items)):
@@ -147,24 +165,34 @@ def build_items(items: list[tuple[int, str]], weights: dict[int, float] | None =
             for offset in window_offsets(n, size):
                 own = words[w_at[i] + offset:w_at[i] + offset + size]
                 groups.setdefault(size, []).append((int(window_hashes(prefix(own), size)[0]), i, offset))
-    out = []
-    for size, entries in sorted(groups.items()):
-        prints = np.array([e[0] for e in entries], np.uint64)
-        out.append({"size": size, "prints": prints, "index": block_index(prints),
-                    "item": np.array([e[1] for e in entries]), "offset": np.array([e[2] for e in entries])})
-    return {"groups": out, "ids": [i for i, _ in items], "lengths": counts, "bags": bags, "weights": weights,
-            "default": math.log(1 + max(1, len(items)))}
+    out = [{"size": size, "prints": np.array([e[0] for e in entries], np.uint64), "item": np.array([e[1] for e in entries]),
+            "offset": np.array([e[2] for e in entries])} for size, entries in sorted(groups.items())]
+    return {"groups": out, "ids": [i for i, _ in items], "lengths": counts, "bags": bags}
 
 
-def similarity(window: dict[int, int], item: dict[int, int], weight: dict[int, float], default: float) -> float:
-    """Weighted Jaccard similarity of two shingle multisets."""
-    low = high = 0.0
-    for v, n in item.items():
-        m, w = window.get(v, 0), weight.get(v, default)
-        low += w * min(n, m)
-        high += w * max(n, m)
-    high += sum(weight.get(v, default) * m for v, m in window.items() if v not in item)
-    return low / high if high else 0.0
+def with_index(prepared: dict, weights: Weights) -> dict:
+    groups = [g | {"index": block_index(g["prints"])} for g in prepared["groups"]]
+    return prepared | {"groups": groups, "weights": weights}
+
+
+def build_items(items: list[tuple[int, str]], weights: Weights | None = None) -> dict:
+    """The index of one block of items; ``weights`` are those of the whole benchmark, if it has more items."""
+    prepared = prepare_items(items)
+    if weights is None:
+        held = np.concatenate([np.zeros(0, np.uint64), *[v for v, _ in prepared["bags"]]])
+        weights = shingle_weights(len(items), *np.unique(held, return_counts=True))
+    return with_index(prepared, weights)
+
+
+def similarity(window: tuple[np.ndarray, np.ndarray], item: tuple[np.ndarray, np.ndarray], weights: Weights) -> float:
+    """Weighted Jaccard similarity of two shingle multisets (values in order, counts)."""
+    values, at = np.unique(np.concatenate([window[0], item[0]]), return_inverse=True)
+    n = np.zeros((2, len(values)))
+    n[0, at[:len(window[0])]] = window[1]
+    n[1, at[len(window[0]):]] = item[1]
+    w = weigh(values, weights)
+    high = float(w @ n.max(axis=0))
+    return float(w @ n.min(axis=0)) / high if high else 0.0
 
 
 def scan_texts(texts: list[str | None], items: dict) -> list[tuple[int, int, int, int, float]]:
@@ -208,25 +236,45 @@ def _scan_slice(texts: list[str], items: dict) -> list[tuple[int, int, int, int,
         n = min(int(items["lengths"][item]), int(ends[doc]) - start)
         own = words[start:start + n]
         sh, _ = bytehash.shingles_of(own, np.array([n]))
-        values, c = np.unique(sh, return_counts=True)
-        s = similarity(dict(zip(values.tolist(), c.tolist())), items["bags"][item], items["weights"], items["default"])
+        s = similarity(np.unique(sh, return_counts=True), items["bags"][item], items["weights"])
         if s >= MIN_SIMILARITY and s > best.get((doc, item), (0, 0, 0.0))[2]:
             best[doc, item] = (start - int(begins[doc]), n, s)
     return [(d, i, *v) for (d, i), v in sorted(best.items())]
 
 
 def item_blocks(benchmark: DataFrame):
-    """Lists of at most ITEM_BLOCK (item_id, text), in order of item_id."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(
-        F.col("item_id").isNotNull() & F.col("text").isNotNull())
-    block = []
-    for r in items.orderBy("item_id", "text").toLocalIterator():
-        block.append((r["item_id"], r["text"]))
-        if len(block) == ITEM_BLOCK:
-            yield block
-            block = []
-    if block:
-        yield block
+    """Functions that give the index of one block of items in a task; the driver hands on one prepared block after another."""
+    spark = benchmark.sparkSession
+    items = stored(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(
+        F.col("item_id").isNotNull() & F.col("text").isNotNull()), "benchmark-items")
+    n_items = items.count()
+    if not n_items:
+        return
+    n_blocks = -(-n_items // ITEM_BLOCK)
+
+    def distinct_shingles(batches):
+        for batch in batches:
+            words, counts = bytehash.words_of([t.lower().encode() for t in batch.column(0).to_pylist()])
+            shingles, per = bytehash.shingles_of(words, counts)
+            at = np.concatenate([[0], np.cumsum(per)])
+            own = [np.unique(shingles[at[i]:at[i + 1]]) for i in range(len(per))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64))], names=["shingle"])
+
+    def prepare(frame):
+        rows = sorted(zip(frame["item_id"].tolist(), frame["text"].tolist()))
+        return pd.DataFrame({"block": frame["block"].iloc[:1], "prepared": [pickle.dumps(prepare_items(rows))]})
+
+    common = items.select("text").mapInArrow(distinct_shingles, "shingle long").groupBy("shingle").agg(
+        F.count(F.lit(1)).alias("held")).filter("held > 1").toArrow()
+    weights = spark.sparkContext.broadcast(shingle_weights(
+        n_items, common["shingle"].to_numpy().view(np.uint64), common["held"].to_numpy()))
+    blocks = stored(items.withColumn("block", F.floor(F.rand(11) * n_blocks).cast("int")), "benchmark-blocks")
+    blocks = stored(blocks.groupBy("block").applyInPandas(prepare, "block int, prepared binary"), "benchmark-prepared")
+    for b in range(n_blocks):
+        row = blocks.filter(F.col("block") == b).first()
+        if row is not None:
+            shared = spark.sparkContext.broadcast(bytes(row["prepared"]))
+            yield lambda shared=shared: with_index(pickle.loads(shared.value), weights.value)
 
 
 SCHEMA = "doc_id long, item_id long, first_word long, n_words long, similarity double"
@@ -237,11 +285,10 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").isNotNull())
     out = spark.createDataFrame([], SCHEMA)
-    for block in item_blocks(benchmark):
-        shared = spark.sparkContext.broadcast(build_items(block))  # ITEM_BLOCK items at most
+    for index in item_blocks(benchmark):
 
-        def scan(batches, shared=shared):
-            items = shared.value
+        def scan(batches, index=index):
+            items = index()
             for batch in batches:
                 ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 hits = scan_texts(texts, items)
@@ -257,18 +304,17 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def contaminated(spark, texts_of: DataFrame, benchmark: DataFrame):
     """Column functions text -> has a match, one per block of items."""
-    out = []
-    for block in item_blocks(benchmark):
-        shared = spark.sparkContext.broadcast(build_items(block))
-
+    def hit_of(index):
         @F.pandas_udf("boolean")
-        def hit(texts, shared=shared):
-            import pandas as pd
-            bad = {d for d, *_ in scan_texts([t if isinstance(t, str) else None for t in texts], shared.value)}
-            return pd.Series([i in bad for i in range(len(texts))], dtype="bool")
+        def hit(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            items = index()
+            for texts in batches:
+                bad = {d for d, *_ in scan_texts([t if isinstance(t, str) else None for t in texts], items)}
+                yield pd.Series([i in bad for i in range(len(texts))], dtype="bool")
 
-        out.append(hit)
-    return out
+        return hit
+
+    return [hit_of(index) for index in item_blocks(benchmark)]
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

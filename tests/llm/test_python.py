@@ -267,6 +267,19 @@ def test_item_blocks_give_the_same_matches(spark, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in simhash_decontam.matches(docs, bench).collect()} == {(i, i) for i in range(7)}
 
 
+def test_the_verdict_does_not_depend_on_the_items_block(spark, monkeypatch):
+    rng = random.Random(4)
+    preamble = " ".join(f"p{i}" for i in range(100))
+    items = [(i, preamble + " " + " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(6))) for i in range(40)]
+    bench = spark.createDataFrame(items, BENCH)
+    docs = spark.createDataFrame([(1, preamble, "en", "s", 1), (2, items[7][1], "en", "s", 1)], fx.SCHEMA)
+    found = []
+    for size in (4096, 3, 1):
+        monkeypatch.setattr(simhash_decontam, "ITEM_BLOCK", size)
+        found.append(sorted((r["doc_id"], r["item_id"], round(r["similarity"], 9)) for r in simhash_decontam.matches(docs, bench).collect()))
+    assert found[0] == found[1] == found[2] == [(2, 7, 1.0)]
+
+
 def test_blocks_guarantee_the_radius():
     rng = np.random.default_rng(5)
     prints = rng.integers(0, 1 << 63, 50, dtype=np.uint64)
