@@ -227,8 +227,8 @@ def sel6_model_importance(spark, sf):
 @reg("sel7_rfe_cv")
 def sel7_rfe_cv(spark, sf):
     tr, _ = _prepared(spark, sf)
-    tr = PR.kfold(tr, "transaction_id", 3, label="label")
-    return rounded(MS.rfe_cv(tr, ML_FEATURES, k=3, min_features=9))
+    tr = PR.kfold(tr, "transaction_id", 5, label="label").checkpoint()
+    return rounded(MS.rfe_cv(tr, ML_FEATURES))
 
 
 @reg("sel8_pca")

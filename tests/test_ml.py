@@ -37,6 +37,11 @@ def test_tuning_reports_every_combination(spark):
     assert t.params.str.contains("class_weight").sum() == 4
 
 
+def test_elimination_tries_every_default_size(spark):
+    t = E.queries()["sel7_rfe_cv"](spark, SF0001).toPandas()
+    assert sorted(t.n_features) == [5, 6, 7, 8, 9, 10, 11] and t.roc_auc.between(0, 1).all()
+
+
 def _rows(spark):
     r = [(i, float(i % 7), float((i * 5) % 11), float(i % 7 > 3)) for i in range(200)]
     df = spark.createDataFrame(r, "id long, a double, b double, label double")
