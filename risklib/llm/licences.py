@@ -2,11 +2,11 @@
 
 A text is cut into sentences in two views: every line on its own, and lines
 joined (for sentences that wrap; end marks and blank lines bound them). Each sentence is normalised (lower case, one
-space between words, punctuation other than inner dots removed) and mapped to
-the identifier of a known licence sentence. The sequence of identifiers is then
+space between words, punctuation other than inner dots removed; marks that
+known sentences hold end none) and mapped to the identifier of a known licence sentence. The sequence of identifiers is then
 matched against ordered rules, most specific first; a matched part is consumed,
 so that a general rule does not also fire on it. Licence-like sentences that
-are unknown, or identifiers that no rule takes, make the scan ``unknown``.
+are unknown (in a line, or broken over two), or identifiers that no rule takes, make the scan ``unknown``.
 
 All of it is one projection: known sentences are a fixed set tested by hash,
 nothing is exploded, joined or shuffled.
@@ -61,7 +61,7 @@ SENTENCES = {
     "this program is distributed in the hope that it will be useful but without any warranty without even the implied"
     " warranty of merchantability or fitness for a particular purpose": "GplWarranty",
     "see the gnu general public license for more details": "GplSee",
-    "spdx license identifier gpl 3.0 or later": "SpdxGpl3",
+    "spdx license identifier gpl 3.0 or later": "SpdxGpl3Later",
     "spdx license identifier gpl 3.0 only": "SpdxGpl3",
     "licensed under cc by nc 4.0": "CcByNc4",
     "licensed under cc by 4.0": "CcBy4",
@@ -79,7 +79,7 @@ SENTENCES = {
     " products derived from this software without specific prior written permission": "BsdNames",
     "all rights reserved": "AllRights",
     "this is free and unencumbered software released into the public domain": "Unlicense",
-    "this source code form is subject to the terms of the mozilla public license v. 2.0": "Mpl2Ref",
+    "this source code form is subject to the terms of the mozilla public license v 2.0": "Mpl2Ref",
 }
 
 #: Ordered rules: licence, identifier sequence (each item one identifier; '?' after it: may be absent). Fixed values.
@@ -90,7 +90,7 @@ RULES = (
     ("GPL-2.0-or-later", "Gpl2Grant GplWarranty? GplSee?"),
     ("BSD-3-Clause", "AllRights? BsdGrant BsdSource BsdBinary BsdNames"),
     ("BSD-2-Clause", "AllRights? BsdGrant BsdSource BsdBinary"),
-    ("Apache-2.0", "SpdxApache"), ("MIT", "SpdxMit"), ("GPL-3.0-only", "SpdxGpl3"),
+    ("Apache-2.0", "SpdxApache"), ("MIT", "SpdxMit"), ("GPL-3.0-only", "SpdxGpl3"), ("GPL-3.0-or-later", "SpdxGpl3Later"),
     ("Apache-2.0", "ApacheRef"), ("MIT", "MitRef"), ("MIT", "MitTitle"),
     ("GPL-3.0-only", "Gpl3Ref"), ("GPL-2.0-only", "Gpl2Ref"),
     ("CC-BY-NC-4.0", "CcByNc4"), ("CC-BY-SA-4.0", "CcBySa4"), ("CC-BY-4.0", "CcBy4"),
@@ -100,14 +100,25 @@ RULES = (
 HINTS = r"\b(licensed under|license version|license identifier|hereby granted|redistribution and use)\b"
 
 
+#: Marks after these words are inside known sentences and end none.
+INNER_MARKS = r"\b(license identifier|is free software|software foundation|any warranty|license v) ?[.;:](?=[ \n\u0002])"
+#: A hint whose words are on two lines, joined by JOIN.
+JOIN = "\u0002"
+BROKEN_HINTS = (r"\b(licensed\u0002under|license\u0002version|license\u0002identifier|hereby\u0002granted"
+                r"|redistribution\u0002and[ \u0002]use|redistribution and\u0002use)\b")
+
+
 def sentences(text: Column, wrapped: bool) -> Column:
-    """Normalised sentences; ``wrapped`` joins lines (blank lines still cut)."""
-    t = F.lower(F.coalesce(text, F.lit("")))
+    """Normalised sentences; ``wrapped`` joins lines by JOIN (blank lines still cut)."""
+    t = F.translate(F.lower(F.coalesce(text, F.lit(""))), JOIN, " ")
     if wrapped:
-        t = F.regexp_replace(F.regexp_replace(t, r"\n[ \t\r]*(?=\n)", "\u0001"), r"\n", " ")
+        t = F.regexp_replace(F.regexp_replace(t, r"\n[ \t\r]*(?=\n)", "\u0001"), r"\n", JOIN)
         t = F.translate(t, "\u0001", "\n")
-    t = F.regexp_replace(t, r"[^\p{L}\p{N}\n.!?;:]+", " ")
-    return F.filter(F.split(t, r" ?(?:[.!?;:]+(?=[ \n]|$)|\n)[ .!?;:\n]*"), lambda s: s != "")
+    t = F.regexp_replace(t, r"[^\p{L}\p{N}\n\u0002.!?;:]+", " ")
+    if wrapped:
+        t = F.regexp_replace(t, r" ?\u0002[ \u0002]*", JOIN)
+    t = F.regexp_replace(t, INNER_MARKS, "$1")
+    return F.filter(F.split(t, r"[ \u0002]?(?:[.!?;:]+(?=[ \n\u0002]|$)|\n)[ \u0002.!?;:\n]*"), lambda s: s != "")
 
 
 def known_ids(sents: Column) -> Column:
@@ -138,10 +149,13 @@ def match_rules(ids: Column) -> Column:
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_sentences, sentence_ids, licenses, n_unknown, status for every row of ``docs`` (doc_id, text)."""
-    s = docs.select("doc_id", sentences(F.col("text"), False).alias("lines"), sentences(F.col("text"), True).alias("joined"))
+    s = docs.select("doc_id", sentences(F.col("text"), False).alias("lines"), sentences(F.col("text"), True).alias("broken"))
+    s = s.select("*", F.transform("broken", lambda x: F.translate(x, JOIN, " ")).alias("joined"))
     ids = s.select("doc_id", F.size("lines").cast("long").alias("n_sentences"), known_ids(F.col("lines")).alias("line_ids"),
                    known_ids(F.col("joined")).alias("joined_ids"),
-                   F.size(F.filter("lines", lambda x: x.rlike(HINTS) & ~F.trim(x).isin(*SENTENCES))).cast("long").alias("n_like"))
+                   (F.size(F.filter("lines", lambda x: x.rlike(HINTS) & ~F.trim(x).isin(*SENTENCES)))
+                    + F.size(F.filter("broken", lambda x: x.rlike(BROKEN_HINTS) & ~F.trim(F.translate(x, JOIN, " ")).isin(*SENTENCES)))
+                    ).cast("long").alias("n_like"))
     empty = F.size("line_ids") + F.size("joined_ids") == 0
     none = F.array().cast("array<string>")
     got = ids.select("*", F.when(empty, F.lit(None)).otherwise(match_rules(F.col("line_ids"))).alias("a"),

@@ -202,6 +202,43 @@ def test_licence_rules(spark, text, want, status):
     assert list(r["licenses"]) == want and r["status"] == status
 
 
+#: Sentences whose original wording has marks or signs that normalising removes; the others are as they are listed.
+WORDINGS = {
+    "SpdxApache": ["SPDX-License-Identifier: Apache-2.0"], "SpdxMit": ["// SPDX-License-Identifier: MIT"],
+    "SpdxGpl3": ["SPDX-License-Identifier: GPL-3.0-only"], "SpdxGpl3Later": ["SPDX-License-Identifier: GPL-3.0-or-later"],
+    "Mpl2Ref": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "Gpl3Grant": ["This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public"
+                  " License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later"
+                  " version."],
+    "Gpl2Grant": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public"
+                  " License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later"
+                  " version."],
+    "GplWarranty": ["This program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied"
+                    " warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."],
+}
+
+
+def test_every_known_sentence_is_found_in_its_wording(spark):
+    cases = [(k, t) for k, ts in WORDINGS.items() for t in ts]
+    cases += [(k, s.capitalize() + ".") for s, k in licences.SENTENCES.items()]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, (_, t) in enumerate(cases)], fx.SCHEMA)
+    got = {r["doc_id"]: list(r["sentence_ids"]) for r in licences.scan(docs).collect()}
+    assert [got[i] for i in range(len(cases))] == [[k] for k, _ in cases]
+    assert set(licences.SENTENCES.values()) >= set(WORDINGS)
+
+
+@pytest.mark.parametrize("text, want, status", [
+    ("SPDX-License-Identifier: MIT", ["MIT"], "known"),
+    ("SPDX-License-Identifier: GPL-3.0-or-later\ncode", ["GPL-3.0-or-later"], "known"),
+    ("SPDX-License-Identifier: Foo-1.0", [], "unknown"),
+    ("This file is licensed\n# under the Foo Terms.", [], "unknown"),
+    ("This work is licensed\nunder the GNU General Public License, version 3.", ["GPL-3.0-only"], "known"),
+])
+def test_marks_inside_and_broken_hints(spark, text, want, status):
+    r = licences.scan(spark.createDataFrame([(1, text, "en", "s", 1)], fx.SCHEMA)).first()
+    assert list(r["licenses"]) == want and r["status"] == status
+
+
 def test_licence_edges(spark):
     docs = fx.awkward(spark)
     assert licences.scan(fx.with_clashes(docs)).count() == docs.count()
