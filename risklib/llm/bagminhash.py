@@ -176,14 +176,20 @@ def jaccard(a: str, b: str) -> float:
     return low / high if high else 0.0
 
 
-def verified(docs: DataFrame, pairs: DataFrame, n_pairs: int) -> DataFrame:
-    """The similarity of the texts of the pairs (a, b) of doc_ids; the largest, where a doc_id has several texts."""
+def texts_at(docs: DataFrame, places: DataFrame, small: bool) -> DataFrame:
+    """The text of every row of ``places`` (doc, t1, t2 and others): that of its hash, where a doc_id has several."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").filter(F.col("text").isNotNull())
+    return texts.join(F.broadcast(places) if small else places, "doc").filter(
+        (F.xxhash64("text") == F.col("t1")) & (F.xxhash64(F.lit(7), "text") == F.col("t2")))
+
+
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n_pairs: int) -> DataFrame:
+    """The similarity of the texts of the pairs (a, b) of nodes."""
     small = n_pairs <= BROADCAST_ROWS
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter(F.col("text").isNotNull())
 
     def side(c):
-        p = pairs.select(F.col(c).alias("id"), "a", "b")
-        return texts.join(F.broadcast(p) if small else p, "id").select("a", "b", F.col("text").alias(f"text_{c}"))
+        p = nodes.select(F.col("rep").alias(c), "doc", "t1", "t2").join(pairs, c)
+        return texts_at(docs, p, small).select("a", "b", F.col("text").alias(f"text_{c}"))
 
     def check(batches):
         for batch in batches:
@@ -195,9 +201,8 @@ def verified(docs: DataFrame, pairs: DataFrame, n_pairs: int) -> DataFrame:
 
 
 def alone(docs: DataFrame, reps: DataFrame, n_reps: int) -> DataFrame:
-    """(rep, own): the weight of the shingles that no other of the given texts has; texts without any are left out."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").filter(F.col("text").isNotNull())
-    texts = texts.join(F.broadcast(reps) if n_reps <= BROADCAST_ROWS else reps, "rep").select("rep", "text")
+    """(rep, own): the weight of the shingles that no other of the given nodes' texts has; texts without any are left out."""
+    texts = texts_at(docs, reps, n_reps <= BROADCAST_ROWS).select("rep", "text")
 
     def make(batches):
         for batch in batches:
@@ -239,29 +244,33 @@ def components(edges: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, threshold: float = MIN_SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, class_id of every row of ``docs`` (doc_id, text)."""
     sigs = stored(signed(docs, bands, rows), "near-signatures")
-    nodes = sigs.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"),
+    # a node is a text; its number is not a doc_id, as a doc_id may have several texts
+    nodes = sigs.groupBy("t1", "t2").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("bands").alias("bands"),
                                          F.first("sketch").alias("sketch"))
-    nodes = stored(nodes, "near-nodes")
+    nodes = stored(nodes.withColumn("rep", F.monotonically_increasing_id()), "near-nodes")
     entries = nodes.select("rep", "n", F.posexplode("bands").alias("band", "hash"))
     many = entries.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size")
     members = stored(entries.join(many, ["band", "hash"]), "near-members")
-    reps = stored(members.select("rep").distinct(), "near-reps")
+    reps = stored(members.select("rep").distinct().join(nodes.select("rep", "doc", "t1", "t2"), "rep"), "near-reps")
     own = stored(alone(docs, reps, reps.count()), "near-own")
     members = members.join(own, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0))).filter(
         F.col("n") - F.col("own") >= F.lit(threshold) * F.col("n"))  # the others link to nothing
     members = members.join(nodes.select("rep", "bands", "sketch"), "rep")
-    labels = _linked(docs, stored(members, "near-members"), threshold)
-    rep = sigs.join(nodes.select("t1", "t2", "rep"), ["t1", "t2"]).select("doc_id", "rep")
-    if labels is not None:
-        rep = rep.join(labels, F.col("rep") == F.col("node"), "left").select(
-            "doc_id", F.coalesce("root", "rep").alias("rep"))
+    labels = _linked(docs, nodes, stored(members, "near-members"), threshold)
+    named = nodes.select("t1", "t2", "rep", F.col("doc").alias("name"))
+    if labels is not None:  # a class has the name of its smallest doc_id
+        both = labels.unionByName(labels.select(F.col("root").alias("node"), "root").distinct())
+        both = both.join(nodes.select(F.col("rep").alias("node"), "doc"), "node")
+        least = both.join(both.groupBy("root").agg(F.min("doc").alias("least")), "root").select("node", "least")
+        named = named.join(least, F.col("rep") == F.col("node"), "left").withColumn("name", F.coalesce("least", "name"))
     # a doc_id with several texts has the smallest class of them
-    own = rep.groupBy("doc_id").agg(F.min("rep").alias("class_id"))
+    own = sigs.select("doc_id", "t1", "t2").join(named.select("t1", "t2", "name"), ["t1", "t2"]).groupBy("doc_id").agg(
+        F.min("name").alias("class_id"))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(own, "doc_id", "left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
-def _linked(docs: DataFrame, members: DataFrame, threshold: float) -> DataFrame | None:
+def _linked(docs: DataFrame, nodes: DataFrame, members: DataFrame, threshold: float) -> DataFrame | None:
     """(node, root) of all nodes with a link, after the rounds of pivots."""
     labels = done = tested = far = None
     for i, pivots in enumerate(PIVOTS):
@@ -313,7 +322,7 @@ def _linked(docs: DataFrame, members: DataFrame, threshold: float) -> DataFrame
         tested = pairs if tested is None else tested.unionByName(pairs)
         n_pairs = pairs.count()
         if n_pairs:
-            sims = stored(verified(docs, pairs, n_pairs), "near-similarities")
+            sims = stored(verified(docs, nodes, pairs, n_pairs), "near-similarities")
             links = sims.filter(F.col("sim") >= threshold).select(F.col("a").alias("u"), F.col("b").alias("v"))
             if i == 0:
                 pivot = chosen.select("band", "hash", F.col("rep").alias("p_rep"))

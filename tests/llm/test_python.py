@@ -154,6 +154,16 @@ def test_near_duplicate_classes_match_brute_force(spark):
     assert bagminhash.classes(fx.empty(spark)).count() == 0 and bagminhash.keep_one(fx.empty(spark)).count() == 0
 
 
+def test_a_doc_id_with_two_texts_keeps_the_links_of_each(spark):
+    rng = random.Random(14)
+    a, b = fx.prose(rng, "en", 80).split(), fx.prose(rng, "de", 400).split()
+    near_a, near_b = [*a[:-2], "other", "end"], [*b[:-2], "anderes", "ende"]
+    rows = [(5, a), (5, b), (7, near_a), (3, near_a[1:]), (9, near_b), (11, fx.prose(rng, "fr", 80).split())]
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in rows], fx.SCHEMA)
+    got = {r["doc_id"]: r["class_id"] for r in bagminhash.classes(docs).collect()}
+    assert got == {5: 3, 7: 3, 3: 3, 9: 5, 11: 11}
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = random.Random(6)
     a = {i: rng.choice([1, 1, 2, 5, 17]) for i in range(300)}
