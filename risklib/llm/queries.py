@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, and their SQL where SQL can express them."""
+"""The registered queries of the thirteen operators, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -67,9 +67,29 @@ def op10_line_dedup(spark, sf_dir):
         "doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op11_merkle_manifest(spark, sf_dir):
+    from risklib.llm.merkle_manifest import verified_manifest
+    return verified_manifest(documents(spark, sf_dir))
+
+
+def op12_dac_tokens(spark, sf_dir):
+    import public_tokenizers
+
+    from risklib.llm.dac_tokens import round_trip
+    bounded_batches(spark)
+    return round_trip(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op13_whitening(spark, sf_dir):
+    from risklib.llm.whitening import whiten
+    bounded_batches(spark)
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries():
     return {f.__name__: f for f in (op1_crf_language, op2_quality_rules, op3_bpe_counts, op4_shard_tree, op5_raking,
-                                    op6_licence_rules, op7_bagminhash, op8_simhash_decontamination, op9_lpf_dedup, op10_line_dedup)}
+                                    op6_licence_rules, op7_bagminhash, op8_simhash_decontamination, op9_lpf_dedup, op10_line_dedup,
+                                    op11_merkle_manifest, op12_dac_tokens, op13_whitening)}
 
 
 def oracle_sql():
