@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from risklib.schema import numeric_columns as _numeric_columns
 from risklib.schema import string_columns as _string_columns
 from risklib.ml.models import (create_model, permutation_importance, soft_vote, hard_vote, stacking,  # noqa: F401
                                train_model, tune_all_models, tune_hyperparameters)
@@ -22,8 +23,10 @@ from risklib.operators import advanced as _A
 from risklib.operators import clean as _C
 from risklib.operators import evaluate as _E
 from risklib.operators import features as _F
+from risklib.operators import neighbours as _N
 from risklib.operators import prep as _P
 from risklib.operators import select as _S
+from risklib.operators.keyed import attach_stats
 from risklib.sources import generate_transactions as generate_synthetic_data  # noqa: F401
 from risklib.sources import read_transactions_csv as load_data  # noqa: F401
 
@@ -64,23 +67,27 @@ def encode_categorical_features(df: DataFrame, encoding_method: str = "label", c
         return _P.label_encode(df, cols)
     if encoding_method == "onehot":
         for c in cols or _string_columns(df):
-            df = _P.one_hot(df, c)
+            df = _P.one_hot(df, c, max_levels=_P.MAX_ONE_HOT_LEVELS)
         return df
     if encoding_method == "target":
         raise ValueError("use target_encode_oof(df, col, fold_col) with a fold column from kfold()")
     raise ValueError(f"Unrecognized encoding method: {encoding_method}")
 
 
-def handle_class_imbalance(df: DataFrame, key: str, label: str = "fraud_indicator", method: str = "random") -> DataFrame:
+def handle_class_imbalance(df: DataFrame, key: str, label: str = "fraud_indicator", method: str = "random", cols=None,
+                           seed: int = 42) -> DataFrame:
+    """Balanced rows; ``smote`` and ``adasyn`` take the numeric columns (or ``cols``) as coordinates."""
+    if method == "none":
+        return df
     if method == "random":
-        return _P.random_oversample(df, key, label)
+        return _P.random_oversample(df, key, label, seed)
     if method == "undersample":
-        return _P.random_undersample(df, key, label)
+        return _P.random_undersample(df, key, label, seed)
     if method == "weights":
         return _P.class_weights(df, label)
     if method in ("smote", "adasyn"):
-        raise NotImplementedError(f"{method} is not built (exact kNN would pair rows within dense regions); "
-                                  "use 'random', 'undersample' or 'weights'")
+        cols = list(cols or [c for c in _numeric_columns(df) if c not in (key, label)])
+        return (_N.smote if method == "smote" else _N.adasyn)(df, cols, key, label, seed=seed)
     raise ValueError(f"Unrecognized balancing method: {method}")
 
 
@@ -90,7 +97,7 @@ def calculate_metrics(scored: DataFrame, threshold: float = 0.5, group_cols=())
     m = _E.classification_metrics(scored, threshold, group_cols)
     r = _E.ranking_metrics(scored, group_cols)
     if g:
-        return m.join(r, g)
+        return attach_stats(m, r, g, null_safe=True)
     one = r.first()  # a single row of three metrics
     return m.withColumns({k: F.lit(one[k]).cast("double") for k in ("roc_auc", "average_precision", "brier_score")})
 
@@ -100,11 +107,13 @@ def remove_highly_correlated_features(df: DataFrame, cols, threshold: float = 0.
     return df.select(*[c for c in df.columns if c not in cols or c in keep])
 
 
-def select_features_univariate(df: DataFrame, cols, label: str = "fraud_indicator", method: str = "f_classif", k: int = 20):
+def select_features_univariate(df: DataFrame, cols, label: str = "fraud_indicator", method: str = "f_classif", k: int = 20,
+                               key: str | None = None):
+    """``mutual_info`` estimates from nearest neighbours where rows have a ``key``, and from deciles otherwise."""
     if method == "f_classif":
         return _S.anova_f(df, cols, label, k)
     if method == "chi2":
         return _S.chi2(df, cols, label, k)
     if method == "mutual_info":
-        return _S.mutual_information(df, cols, label, k=k)
+        return _S.neighbour_mutual_information(df, cols, key, label, k=k) if key else _S.mutual_information(df, cols, label, k=k)
     raise ValueError(f"Unrecognized method: {method}")

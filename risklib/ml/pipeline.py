@@ -7,12 +7,13 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from risklib.functions.fitted import most_frequent
 from risklib.operators import prep as PR
+from risklib.operators.neighbours import adasyn, smote
 from risklib.operators.quantiles import fit_quantiles
 from risklib.schema import LABEL
 
@@ -94,7 +95,7 @@ def prepare_data(df: DataFrame, key: str, numeric: Sequence[str], categorical: S
                  scale: bool = True, balance: str | None = None) -> tuple[DataFrame, DataFrame]:
     """PRP1: stratified split -> impute / encode / scale fitted on train -> ``features``, ``label``.
 
-    ``balance`` ('random', 'undersample', 'weights') applies to the training rows only.
+    ``balance`` ('random', 'undersample', 'weights', 'smote', 'adasyn') applies to the training rows only.
     """
     numeric, categorical = list(numeric), list(categorical)
     d = PR.stratified_split(df, key, label, test_size, seed)
@@ -134,6 +135,20 @@ def prepare_data(df: DataFrame, key: str, numeric: Sequence[str], categorical: S
         train = PR.random_undersample(train, key, "label")
     elif balance == "weights":
         train = PR.class_weights(train, "label")
+    elif balance in ("smote", "adasyn"):
+        train = between_neighbours(train, key, balance, seed)
     elif balance is not None:
         raise ValueError(f"Unrecognized balancing method: {balance}")
     return train, test
+
+
+def between_neighbours(train: DataFrame, key: str, method: str, seed: int = 42, label: str = "label") -> DataFrame:
+    """BAL1/BAL2 on prepared rows: the coordinates are the places of ``features``."""
+    first = train.first()
+    if first is None:
+        return train
+    names = [f"_x{i}" for i in range(first["features"].size)]
+    x = vector_to_array("features")
+    wide = train.select(key, label, *[x[i].alias(n) for i, n in enumerate(names)])
+    out = (smote if method == "smote" else adasyn)(wide, names, key, label, seed=seed)
+    return out.select(key, label, array_to_vector(F.array(*names)).alias("features"))

@@ -9,11 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from risklib.functions.exprs import safe_div, weekday
 from risklib.functions.fitted import fit_row, lit
+from risklib.operators.keyed import attach_stats
 from risklib.operators.quantiles import quantile_table
 from risklib.schema import AMOUNT, LABEL, TS, numeric_columns
 
@@ -158,7 +161,7 @@ def box_stats(df: DataFrame, col: str, by: str = LABEL) -> DataFrame:
     x = F.col(col).cast("double")
     q = quantile_table(df, [col], [0.25, 0.5, 0.75], [by])
     q = q.select(by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
-    j = df.select(by, x.alias("_x")).join(q, by)
+    j = attach_stats(df.select(by, x.alias("_x")).where("_x IS NOT NULL"), q, [by], null_safe=True)
     iqr = F.col("q3") - F.col("q1")
     lo_f, hi_f = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr
     return j.groupBy(by, "q1", "median", "q3").agg(
@@ -168,10 +171,20 @@ def box_stats(df: DataFrame, col: str, by: str = LABEL) -> DataFrame:
 
 
 # ---------------------------------------------------------------- AGG22/AGG23
+PAIR_COLUMNS = 50  # columns up to which every pair is one aggregate expression
+
+
+def pearson(a: Column, b: Column) -> Column:
+    """Correlation over the rows with both values; null without rows or variance (``corr`` raises there in ANSI mode)."""
+    return F.try_divide(F.covar_pop(a, b), F.sqrt(F.var_pop(F.when(b.isNotNull(), a)) * F.var_pop(F.when(a.isNotNull(), b))))
+
+
 def correlation_long(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Pearson r for every ordered pair (pairwise-complete rows), one aggregate pass."""
+    """Pearson r for every ordered pair (pairwise-complete rows), one aggregate pass; wide tables go by ``correlation_blocks``."""
     cols = list(cols or numeric_columns(df))
-    aggs = [F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{i}_{j}")
+    if len(cols) > PAIR_COLUMNS:
+        return correlation_blocks(df, cols)
+    aggs = [pearson(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{i}_{j}")
             for i, a in enumerate(cols) for j, b in enumerate(cols) if i < j]
     one = df.agg(*aggs) if aggs else None
     pairs = []
@@ -183,9 +196,59 @@ def correlation_long(df: DataFrame, cols: Sequence[str] | None = None) -> DataFr
     return one.select(F.explode(F.array(*pairs)).alias("p")).select("p.col_a", "p.col_b", "p.r")
 
 
+def correlation_blocks(df: DataFrame, cols: Sequence[str], block: int = 1024) -> DataFrame:
+    """Pearson r for every ordered pair (pairwise-complete rows) of any number of columns, from Gram matrices.
+
+    Every task adds up, for a block of columns against all, the products of its rows' values, squares and presence flags (nulls
+    count as 0, their flags as absent): rows, sums, sums of squares and products of the pairs where both are there. The
+    tasks' shares are added by column, and r is computed in that column's row. Values are taken about their column mean. A pair
+    without rows or without variance has a null r. The plan has one array per column, not one expression per pair.
+    """
+    cols = list(cols)
+    d = len(cols)
+    xs = [F.col(f"`{c}`").cast("double") for c in cols]
+    one = df.agg(F.array(*[F.avg(F.when(~F.isnan(x), x)) for x in xs]).alias("m")).first()
+    mean = np.array([0.0 if m is None else m for m in one["m"]])
+    names = pa.array(cols)
+    rows = df.select(F.array(*xs).alias("x"))
+    out = None
+    for at in range(0, d, block):
+        mine = np.arange(at, min(at + block, d))
+
+        def share(batches, mine=mine):
+            total = np.zeros((6, len(mine), d))
+            for b in batches:
+                x = np.asarray(b.column(0).flatten().fill_null(np.nan)).reshape(-1, d)
+                there = (~np.isnan(x)).astype(float)
+                v = np.where(np.isnan(x), 0.0, x - mean)
+                v2 = v * v
+                a, a2, ta = v[:, mine], v2[:, mine], there[:, mine]
+                for i, (l, r) in enumerate(((ta, there), (a, there), (ta, v), (a2, there), (ta, v2), (a, v))):
+                    total[i] += l.T @ r
+            yield pa.record_batch({"a": pa.array(mine.astype(np.int64)), "t": pa.array(
+                list(total.transpose(1, 0, 2).reshape(len(mine), -1)), pa.list_(pa.float64()))})
+
+        def add(key, table):
+            shares = np.asarray(table.column("t").combine_chunks().flatten()).reshape(-1, 6 * d)
+            n, sa, sb, qa, qb, ab = shares[np.lexsort(shares.T[::-1])].sum(axis=0).reshape(6, d)
+            with np.errstate(all="ignore"):
+                va, vb = qa - sa * sa / n, qb - sb * sb / n
+                r = (ab - sa * sb / n) / np.sqrt(va * vb)
+            # what rounding leaves of a constant column is no variance
+            r[~((va > 1e-13 * qa) & (vb > 1e-13 * qb))] = np.nan
+            i = key[0].as_py()
+            other = np.arange(d) != i
+            return pa.table({"col_a": names.take(pa.array(np.full(d - 1, i))), "col_b": names.filter(pa.array(other)),
+                             "r": pa.array(r[other], from_pandas=True)})
+
+        part = rows.mapInArrow(share, "a long, t array<double>").groupBy("a").applyInArrow(add, "col_a string, col_b string, r double")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def target_correlation(df: DataFrame, target: str = LABEL, cols: Sequence[str] | None = None, top: int | None = None) -> DataFrame:
     cols = [c for c in (cols or numeric_columns(df)) if c != target]
-    one = df.agg(*[F.corr(F.col(c).cast("double"), F.col(target).cast("double")).alias(c) for c in cols])
+    one = df.agg(*[pearson(F.col(c).cast("double"), F.col(target).cast("double")).alias(c) for c in cols])
     long = one.select(F.expr(_stack(cols, "feature", "r")))
     ranked = long.withColumn("rank", F.row_number().over(
         Window.orderBy(F.desc_nulls_last(F.abs("r")), F.asc("feature"))))

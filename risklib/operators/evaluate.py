@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from risklib.functions.exprs import safe_div
+from risklib.operators.keyed import attach_stats
 from risklib.operators.quantiles import bin_of, fit_quantiles
 
 Y, P = "true_label", "fraud_probability"
@@ -97,7 +98,7 @@ def score_table(df: DataFrame, group_cols: Sequence[str] = (), y: str = Y, p: st
                    F.coalesce(F.sum("_bn").over(wb), F.lit(0)).alias("_on"),
                    F.sum("_bp").over(wg).alias("P"), F.sum("_bn").over(wg).alias("N"))
     wi = Window.partitionBy(*g, "_bk").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    s = s.join(bt, g + ["_bk"])
+    s = attach_stats(s, bt, [*g, "_bk"], null_safe=True)  # a null group is one of its own
     return (s.withColumn("pos_below", F.col("_op") + F.coalesce(F.sum("pos").over(wi), F.lit(0)))
              .withColumn("neg_below", F.col("_on") + F.coalesce(F.sum("neg").over(wi), F.lit(0)))
              .drop("_bk", "_op", "_on"))
@@ -162,7 +163,7 @@ def threshold_sweep(df: DataFrame, group_cols: Sequence[str] = (), y: str = Y, p
     h = df.groupBy(*g, idx.alias("k")).agg(F.sum(yy).alias("pos"), F.sum(1 - yy).alias("neg"))
     grid = (h.select(*g).distinct() if g else h.sparkSession.range(1).select())
     grid = grid.select(*g, F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("k"))
-    full = grid.join(h, g + ["k"], "left").na.fill(0, ["pos", "neg"])
+    full = attach_stats(grid, h, [*g, "k"], null_safe=True).na.fill(0, ["pos", "neg"])
     w = Window.partitionBy(*g).orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
     wt = Window.partitionBy(*g)
     c = (full.withColumn("tp", F.sum("pos").over(w)).withColumn("fp", F.sum("neg").over(w))
@@ -202,8 +203,8 @@ def min_cost_threshold(sweep: DataFrame, group_cols: Sequence[str] = (), cost_fn
 def normalized_confusion(df: DataFrame, threshold: float = 0.5, y: str = Y, p: str = P) -> DataFrame:
     pred = (F.col(p) >= threshold).cast("int")
     c = df.groupBy(F.col(y).alias("true_label"), pred.alias("predicted")).agg(F.count(F.lit(1)).alias("count"))
-    tot = c.groupBy("true_label").agg(F.sum("count").alias("_t"))
-    return c.join(tot, "true_label").withColumn("share", F.col("count") / F.col("_t")).drop("_t")
+    of_label = Window.partitionBy("true_label")  # at most three rows; unlabelled rows are a line of their own
+    return c.withColumn("share", F.col("count") / F.sum("count").over(of_label))
 
 
 def metric_table(df: DataFrame, threshold: float = 0.5, y: str = Y, p: str = P) -> DataFrame:
@@ -243,14 +244,19 @@ def compare_models(scored_long: DataFrame, model_col: str = "model", threshold:
     m = classification_metrics(scored_long, threshold, [model_col]).select(
         model_col, "accuracy", "precision", "recall", "f1")
     r = ranking_metrics(scored_long, [model_col])
-    return m.join(r, model_col).orderBy(F.desc("roc_auc"), model_col)
+    return attach_stats(m, r, [model_col], null_safe=True).orderBy(F.desc("roc_auc"), model_col)
 
 
 def segment_metrics(df: DataFrame, segment: str, threshold: float = 0.5, y: str = Y, p: str = P) -> DataFrame:
-    base = df.groupBy(segment).agg(F.count(F.lit(1)).alias("count"), F.avg(F.col(y).cast("double")).alias("fraud_rate"))
-    m = classification_metrics(df, threshold, [segment], y, p).select(segment, "accuracy", "precision", "recall", "f1")
+    """Rows, fraud rate, threshold metrics and AUC per segment; rows without a segment are a segment of their own."""
+    pred, yy = (F.col(p) >= threshold).cast("long"), F.col(y).cast("long")
+    one = df.groupBy(segment).agg(  # counts and rates from the same pass
+        F.count(F.lit(1)).alias("count"), F.avg(F.col(y).cast("double")).alias("fraud_rate"),
+        F.sum(pred * yy).alias("tp"), F.sum(pred * (1 - yy)).alias("fp"),
+        F.sum((1 - pred) * (1 - yy)).alias("tn"), F.sum((1 - pred) * yy).alias("fn"))
+    m = metrics_from_counts(one).select(segment, "count", "fraud_rate", "accuracy", "precision", "recall", "f1")
     r = ranking_metrics(df, [segment], y, p).select(segment, "roc_auc")
-    return base.join(m, segment).join(r, segment, "left").orderBy(F.desc("count"), segment)
+    return attach_stats(m, r, [segment], null_safe=True).orderBy(F.desc("count"), segment)
 
 
 # ---------------------------------------------------------------- EVA20

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from risklib.functions.exprs import cut, cyclic_distance, flag, period_of_day_a, safe_div, weekday
 from risklib.operators.keyed import (HOUR_US, ROWS_PER_PART, attach_stats, fits_time_buckets, range_counts_probe,
-                                     sequence_stage)
+                                     sequence_stage, stats_once, written)
+from risklib.operators.quantiles import weighted_quantiles
 from risklib.schema import AMOUNT, CARD, ID, LABEL, PAYMENT_COLUMNS, TS
 
 # Band edges and labels.
@@ -90,18 +91,21 @@ def temporal_features(df: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- AGG1/AGG2/WIN10/WIN11
-def _rate_table(df: DataFrame, key: str, min_count: int, rate_name: str, global_mean: float | None) -> DataFrame:
-    """Per-key rate of the label (groups under ``min_count`` labelled rows -> global mean)."""
-    st = df.groupBy(key).agg(F.avg(LABEL).alias("_r"), F.count(LABEL).alias("_n"),
-                             F.count(F.lit(1)).alias("_rows"))
-    rate = F.when(F.col(key).isNotNull() & (F.col("_n") >= min_count), F.col("_r"))
-    return st.select(key, "_rows", F.coalesce(rate, F.lit(global_mean).cast("double")).alias(rate_name))
+def rate_stats(rows: DataFrame, columns) -> dict[str, DataFrame]:
+    """Per column: (value, _s: fraud rows, _n: labelled rows, _rows: rows) of every value, from one pass over the rows."""
+    return stats_once(rows, columns, [F.sum(F.col(LABEL).cast("long")).alias("_s"), F.count(LABEL).alias("_n"),
+                                      F.count(F.lit(1)).alias("_rows")], "rates")
+
+
+def _rate_table(stats: DataFrame, key: str, min_count: int, rate_name: str, global_mean) -> DataFrame:
+    """Per key: the rate where it has ``min_count`` labelled rows, the global one elsewhere; and the key's rows."""
+    rate = F.when(F.col(key).isNotNull() & (F.col("_n") >= min_count), F.col("_s") / F.col("_n"))
+    return stats.select(key, "_rows", F.coalesce(rate, F.lit(global_mean).cast("double")).alias(rate_name))
 
 
 def _quartile_edges(stats: DataFrame, rate_col: str) -> list:
-    """Row-weighted quartile edges of a per-group rate (one small aggregate over the group table)."""
-    row = stats.agg(F.percentile(rate_col, F.array(*[F.lit(q) for q in QUARTILES]), F.col("_rows")).alias("e")).first()
-    return list(row["e"]) if row and row["e"] is not None else [None] * 5
+    """Row-weighted quartile edges of a per-group rate."""
+    return weighted_quantiles(stats, rate_col, "_rows", QUARTILES) or [None] * 5
 
 
 def _qcut4_or_fixed(rate_col: str, stats: DataFrame) -> "F.Column":
@@ -117,16 +121,17 @@ def _qcut4_or_fixed(rate_col: str, stats: DataFrame) -> "F.Column":
 
 
 def location_features(df: DataFrame, city: str = "merchant_city", state: str = "merchant_state",
-                      city_min: int = 5, state_min: int = 10, rows: DataFrame | None = None) -> DataFrame:
-    """Fraud rate and risk band of city and state; ``rows``: where the rates are taken from (default ``df``)."""
+                      city_min: int = 5, state_min: int = 10, rates: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Fraud rate and risk band of city and state; ``rates``: from ``rate_stats`` (default: of ``df``)."""
     if not _has(df, city, state):
         return df
-    rows = df if rows is None else rows
     if LABEL in df.columns:
-        global_mean = rows.agg(F.avg(LABEL)).first()[0]
-        cs = _rate_table(rows, city, city_min, "city_fraud_rate", global_mean)
+        rates = rates or rate_stats(df, [city, state])
+        total = rates[state].agg(F.sum("_s").alias("s"), F.sum("_n").alias("n")).first()
+        global_mean = total["s"] / total["n"] if total["n"] else None
+        cs = _rate_table(rates[city], city, city_min, "city_fraud_rate", global_mean)
         cs = cs.withColumn("city_risk_category", _qcut4_or_fixed("city_fraud_rate", cs)).drop("_rows")
-        ss = _rate_table(rows, state, state_min, "state_fraud_rate", global_mean)
+        ss = _rate_table(rates[state], state, state_min, "state_fraud_rate", global_mean)
         ss = ss.withColumn("state_risk_category", _qcut4_or_fixed("state_fraud_rate", ss)).drop("_rows")
         df = attach_stats(attach_stats(df, cs, [city], null_safe=True), ss, [state], null_safe=True)
     if _has(df, "customer_zip", "merchant_zip"):
@@ -226,10 +231,9 @@ def merchant_features(df: DataFrame, merchant: str = "merchant_id", rows: DataFr
         r = F.least(F.greatest(F.col("merchant_fraud_rate"), F.lit(0.0)), F.lit(1.0))
         st = st.withColumn("_rc", r)
         # fitted once from the per-merchant table: row-weighted quartiles, median, distinct rates
-        one = st.agg(F.percentile("_rc", F.array(*[F.lit(q) for q in QUARTILES]), F.col("_rows")).alias("e"),
-                     F.percentile("_rc", F.lit(0.5), F.col("_rows")).alias("med"),
-                     F.count_distinct("_rc").alias("u")).first()
-        e, med, n_unique = list(one["e"] or [None] * 5), one["med"], one["u"]
+        st = written(st, "merchant-rates")
+        e = weighted_quantiles(st, "_rc", "_rows", QUARTILES) or [None] * 5
+        med, n_unique = e[2], st.agg(F.count_distinct("_rc")).first()[0]
         x = F.col("_rc")
         m = F.lit(med).cast("double")
         ladder = (F.when(x <= m / 2, "low_risk").when(x <= m, "medium_low_risk")
@@ -247,19 +251,19 @@ def merchant_features(df: DataFrame, merchant: str = "merchant_id", rows: DataFr
 
 # ---------------------------------------------------------------- AGG4/SCL12/SCL13/JN4
 def payment_method_features(df: DataFrame, columns=PAYMENT_COLUMNS, home_country: str = HOME_COUNTRY,
-                            rows: DataFrame | None = None) -> DataFrame:
-    """Fraud rate per value of each payment column: one grouped aggregate of two columns each."""
+                            rates: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Fraud rate per value of each payment column, all from one pass; ``rates``: from ``rate_stats`` (default: of ``df``)."""
     columns = list(columns)
     if not _has(df, *columns):
         return df
-    rows = df if rows is None else rows
     if _has(df, "payment_method", "capture_method"):
         # concat is null when either part is null
         df = df.withColumn("payment_capture_combo", F.concat("payment_method", F.lit("_"), "capture_method"))
     if LABEL in df.columns:
+        rates = rates or rate_stats(df, columns)
         for c in columns:
-            rates = rows.where(F.col(c).isNotNull()).groupBy(c).agg(F.avg(LABEL).alias(f"{c}_fraud_rate"))
-            df = attach_stats(df, rates, [c])
+            r = rates[c].where(F.col(c).isNotNull()).select(c, F.try_divide(F.col("_s"), F.col("_n")).alias(f"{c}_fraud_rate"))
+            df = attach_stats(df, r, [c])
     if "issuer_country" in df.columns:
         df = df.withColumn("is_international", flag(~F.col("issuer_country").eqNullSafe(F.lit(home_country))))
     return df
@@ -313,11 +317,15 @@ def create_all_features(df: DataFrame, bucket_hours: float = 168, materialize: b
     df = temporal_features(df)
     df = amount_features(df)
     rows = df  # the statistics of every stage come from these narrow rows, not from the joined ones
+    places = ["merchant_city", "merchant_state"]
+    payment = list(PAYMENT_COLUMNS)
+    columns = [*(places if _has(df, *places) else []), *(payment if _has(df, *payment) else [])]
+    rates = rate_stats(rows, columns) if columns and LABEL in df.columns else None
     df = add_card_context(df, bucket_hours=bucket_hours, method=method, rows_per_part=rows_per_part)
-    df = location_features(df, rows=rows)
+    df = location_features(df, rates=rates)
     df = customer_behavior_features(df)
     df = merchant_features(df, rows=rows)
-    df = payment_method_features(df, home_country=home_country, rows=rows)
+    df = payment_method_features(df, home_country=home_country, rates=rates)
     df = velocity_features(df)
     df = fraud_pattern_features(df)
     return drop_context(df)

@@ -29,6 +29,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from risklib.session import scratch_path
+
 HOUR_US = 3_600_000_000
 ROWS_PER_PART = 1_000_000  # rows of one key that a window takes in one group
 UNTIMED_GROUPS = 4096      # rows without a time are spread by id; they have no neighbours
@@ -38,6 +40,40 @@ def group_stats(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column]) -> D
     return df.groupBy(*keys).agg(*aggs)
 
 
+def stats_once(df: DataFrame, columns: Sequence[str], aggs: Sequence[Column], name: str = "stats") -> dict[str, DataFrame]:
+    """The aggregates of ``df`` grouped by each of ``columns``, all from one pass (grouping sets), as {column: (column, aggregates)}.
+
+    The group table is written once and each column's groups are read from it.
+    """
+    columns = list(dict.fromkeys(columns))
+    table = written(df.groupingSets([[F.col(c)] for c in columns], *[F.col(c) for c in columns]).agg(F.grouping_id().alias("_set"), *aggs), name)
+    out = {}
+    for i, c in enumerate(columns):
+        others = [o for o in columns if o != c]
+        # grouping_id has a 0 bit for a column that is grouped by, the first column highest
+        mine = ((1 << len(columns)) - 1) & ~(1 << (len(columns) - 1 - i))
+        out[c] = table.where(F.col("_set") == mine).drop("_set", *others)
+    return out
+
+
+def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], weight: str, out: str) -> DataFrame:
+    """Add ``out``, the sum of ``weight`` over a key's rows up to and with the row, in the order of ``order`` (ties in any order).
+
+    A key is spread over range partitions as in ``places_in_order``; the sums of the partitions before are added to a running
+    sum inside the partition.
+    """
+    keys, by = list(keys), [*keys, *order]
+    rows = written(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()), "running")
+    rows = rows.withColumn("_part", F.shiftright("_at", 33))
+    parts = rows.groupBy(*keys, "_part").agg(F.sum(weight).alias("_c"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*keys, "_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*keys, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_inside", F.sum(weight).over(inside))
+    return attach_stats(rows, parts, [*keys, "_part"], null_safe=True).withColumn(
+        out, F.col("_before") + F.col("_inside")).drop("_at", "_part", "_before", "_inside")
+
+
 def attach_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str], null_safe: bool = False) -> DataFrame:
     """Left-join a keyed aggregate onto the rows (one row per key on the right)."""
     if not null_safe:
@@ -53,6 +89,31 @@ def attach_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str], null_safe
     return df.join(r, cond, "left").drop(*ren.values())
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: row numbers stay as they are, and the lineage is cut."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def places_in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "place") -> DataFrame:
+    """Add ``out``, the 0-based place of each row of a key in the order of ``order``, ties in any order.
+
+    Equal to ``row_number() over (partition by keys order by order) - 1``, but a key is
+    spread over as many range partitions as its rows need: rows are range-partitioned and
+    sorted by (keys, order), numbered inside each partition, and moved on by the key's rows
+    in the partitions before (one small row per partition and key that meet).
+    """
+    keys, by = list(keys), [*keys, *order]
+    parts = df.repartitionByRange(*by).sortWithinPartitions(*by) if by else df
+    rows = written(parts.withColumn("_at", F.monotonically_increasing_id()), "in-order").withColumn("_part", F.shiftright("_at", 33))
+    runs = rows.groupBy(*keys, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(*keys, "_part", "_first", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
+    return attach_stats(rows, runs, [*keys, "_part"], null_safe=True).withColumn(
+        out, F.col("_at") - F.col("_first") + F.col("_before")).drop("_at", "_part", "_first", "_before")
+
+
 def _spread_untimed(bucket: Column, id_col: str) -> Column:
     return F.coalesce(bucket.cast("long"), F.lit(-(1 << 40)) - F.pmod(F.xxhash64(id_col), F.lit(UNTIMED_GROUPS)))
 
@@ -178,7 +239,7 @@ def running_history(df: DataFrame, keys: Sequence[str], ts_col: str, id_col: str
 
 
 def hash_rank(df: DataFrame, part_cols: Sequence[str], key_col: str, seed: int = 42,
-              buckets: int = 4096) -> DataFrame:
+              buckets: int = 1 << 16) -> DataFrame:
     """0-based rank of each row inside ``part_cols`` by md5(key || seed), ties by key.
 
     Equivalent to ``row_number() over (partition by part order by md5) - 1``
@@ -214,8 +275,9 @@ def range_counts_probe(df: DataFrame, keys: Sequence[str], ts_col: str, id_col:
     rows of all earlier buckets (a small per-(key, bucket) prefix table)
     gives C at the probe. Because no look-back rows are copied, the bucket
     can be as short as wanted (default 1 h), so a card with a third of all
-    rows is spread over as many tasks as it has active hours. Probe results
-    are pivoted per row id and joined back; ``id_col`` must be unique.
+    rows is spread over as many tasks as it has active hours. The counts
+    depend on (key, time) only, so rows of one key and time are one weighted probe row, and
+    the result is joined back on key and time: ids may repeat or be null.
     With ``rows_per_part`` rows and probes are cut by volume instead, which
     bounds every part however the times lie.
     """
@@ -223,24 +285,23 @@ def range_counts_probe(df: DataFrame, keys: Sequence[str], ts_col: str, id_col:
     bucket_us = int(bucket_hours * HOUR_US)
     offs = sorted({hi for _, hi in ranges.values()} | {lo - 1 for lo, _ in ranges.values()})
     us = F.unix_micros(F.col(ts_col))
-    real = (df.select(*keys, F.col(id_col), us.alias("_pos")).where(F.col("_pos").isNotNull())
-              .withColumns({"_kind": F.lit(0), "_o": F.lit(None).cast("long")}))
-    probes = (real.select(*keys, id_col, "_pos", F.explode(F.array(*[F.lit(o).cast("long") for o in offs])).alias("_o"))
-                  .withColumns({"_pos": F.col("_pos") + F.col("_o"), "_kind": F.lit(1)}))
+    real = (df.select(*keys, us.alias("_pos")).where(F.col("_pos").isNotNull()).groupBy(*keys, "_pos")
+              .agg(F.count(F.lit(1)).alias("_rows")).withColumns({"_kind": F.lit(0), "_o": F.lit(None).cast("long"), "_us": F.col("_pos")}))
+    probes = (real.select(*keys, "_us", F.explode(F.array(*[F.lit(o).cast("long") for o in offs])).alias("_o"))
+                  .withColumns({"_pos": F.col("_us") + F.col("_o"), "_kind": F.lit(1), "_rows": F.lit(0).cast("long")}))
     u = real.unionByName(probes)
     u = (cut_by_volume(u, keys, "_pos", rows_per_part) if rows_per_part is not None
          else u.withColumn("_b", F.floor(F.col("_pos") / F.lit(bucket_us))))
-    is_row = F.when(F.col("_kind") == 0, 1).otherwise(0)
     w = Window.partitionBy(*keys, "_b").orderBy("_pos", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    u = u.withColumn("_inb", F.sum(is_row).over(w))
-    bt = u.groupBy(*keys, "_b").agg(F.sum(is_row).alias("_n"))
+    u = u.withColumn("_inb", F.sum("_rows").over(w))
+    bt = u.groupBy(*keys, "_b").agg(F.sum("_rows").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     bt = bt.select(*keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_pre"))
     pr = (attach_stats(u.where(F.col("_kind") == 1), bt, keys + ["_b"], null_safe=True)
-           .select(id_col, "_o", (F.col("_pre") + F.col("_inb")).alias("_cle")))
-    res = pr.groupBy(id_col).agg(*[F.max(F.when(F.col("_o") == o, F.col("_cle"))).alias(f"_c{i}")
-                                   for i, o in enumerate(offs)])
-    out = df.join(res, id_col, "left")
+           .select(*keys, "_us", "_o", (F.col("_pre") + F.col("_inb")).alias("_cle")))
+    res = pr.groupBy(*keys, "_us").agg(*[F.max(F.when(F.col("_o") == o, F.col("_cle"))).alias(f"_c{i}")
+                                         for i, o in enumerate(offs)])
+    out = attach_stats(df.withColumn("_us", us), res, [*keys, "_us"], null_safe=True).drop("_us")
     idx = {o: i for i, o in enumerate(offs)}
     cols = {name: F.coalesce(F.col(f"_c{idx[hi]}") - F.col(f"_c{idx[lo - 1]}"), F.lit(0)).cast("long")
             for name, (lo, hi) in ranges.items()}

@@ -7,41 +7,41 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from risklib.operators.keyed import attach_stats, hash_rank
+from risklib.operators.keyed import attach_stats, hash_rank, places_in_order
 from risklib.schema import LABEL, numeric_columns, string_columns
 
 
+MAX_ONE_HOT_LEVELS = 1000
+
+
 # ---------------------------------------------------------------- ENC1
 def label_encode(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Lexicographic integer codes; null is the string 'nan' (as astype(str) gives).
 
-    The vocabulary (distinct values) is ranked without a single-partition
-    window: values are bucketed by their first two characters (a prefix
-    keeps the lexicographic order), a small per-prefix count table gives each
-    bucket's offset, and a window per prefix ranks inside it.
+    The vocabulary (distinct values) is ranked by range partitions (``places_in_order``), so ids that
+    share a long prefix are spread like any other values.
     """
     cols = list(cols or string_columns(df))
     for c in cols:
         v = F.coalesce(F.col(c).cast("string"), F.lit("nan"))
-        vocab = df.select(v.alias("_v")).distinct().withColumn("_p", F.substring("_v", 1, 2))
-        pc = vocab.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-        before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row per prefix
-        pc = pc.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-        code = F.col("_off") + F.row_number().over(Window.partitionBy("_p").orderBy("_v")) - 1
-        vocab = vocab.join(pc, "_p").select("_v", code.cast("int").alias("_code"))
+        vocab = places_in_order(df.select(v.alias("_v")).distinct(), [], ["_v"], "_code").select("_v", F.col("_code").cast("int"))
         df = df.withColumn("_v", v).join(vocab, "_v", "left").drop("_v", c).withColumnRenamed("_code", c)
     return df
 
 
 # ---------------------------------------------------------------- ENC2
-def one_hot(df: DataFrame, col: str, values: Sequence | None = None, drop: bool = True) -> DataFrame:
+def one_hot(df: DataFrame, col: str, values: Sequence | None = None, drop: bool = True,
+            max_levels: int = MAX_ONE_HOT_LEVELS) -> DataFrame:
     """One 0/1 column per level (``col_value``); unseen levels give all zeros.
 
     ``values`` fixes the levels at plan time (fit on train, apply anywhere);
-    when absent they are fitted (a distinct query whose size is the cardinality).
+    when absent they are fitted. A column of more than ``max_levels`` levels raises (label or target encode it instead):
+    at most ``max_levels + 1`` values reach the driver, and no plan gets a column per id.
     """
     if values is None:
-        values = sorted(r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().collect())
+        values = sorted(r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().limit(max_levels + 1).collect())
+        if len(values) > max_levels:
+            raise ValueError(f"{col} has more than {max_levels} levels; use label or target encoding")
     out = df
     for v in values:
         out = out.withColumn(f"{col}_{v}", F.coalesce((F.col(col) == F.lit(v)).cast("double"), F.lit(0.0)))

@@ -18,13 +18,15 @@ from risklib.operators.keyed import ROWS_PER_PART, attach_stats, cut_by_volume
 
 
 def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
-                   rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+                   rows_per_part: int = ROWS_PER_PART, weight: str | None = None) -> DataFrame:
     """(column, *by, q): ``q`` holds the linearly interpolated quantiles of the non-null values, in the
-    order of ``probs``. A column without values in a group has no row there."""
+    order of ``probs``. A column without values in a group has no row there. With ``weight`` a row stands
+    for so many equal rows."""
     by, keys = list(by), ["column", *by]
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("v")) for c in cols]))
-    counts = (df.select(*by, cells.alias("_c")).select(*by, "_c.column", "_c.v").where("v IS NOT NULL")
-                .groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("_n")))
+    n = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
+    counts = (df.select(*by, n.alias("_n"), cells.alias("_c")).select(*by, "_n", "_c.column", "_c.v").where("v IS NOT NULL AND _n > 0")
+                .groupBy(*keys, "v").agg(F.sum("_n").alias("_n")))
     c = cut_by_volume(counts, keys, "v", rows_per_part)
     parts = c.groupBy(*keys, "_b").agg(F.sum("_n").alias("_bn"))
     of_key = Window.partitionBy(*keys)  # one row per part
@@ -59,3 +61,13 @@ def bin_of(x: Column, edges: Sequence[float] | None) -> Column:
     if edges is None:
         return F.lit(None).cast("int")
     return F.when(x.isNotNull(), sum(F.when(x > F.lit(e), 1).otherwise(0) for e in edges))
+
+
+def weighted_quantiles(groups: DataFrame, col: str, weight: str, probs: Sequence[float], most: int = 1_000_000) -> list[float] | None:
+    """Row-weighted quantiles of a per-group number. Up to ``most`` groups meet in one aggregate buffer;
+    beyond, the same numbers come from bounded parts. None without values."""
+    if groups.limit(most + 1).count() <= most:
+        row = groups.agg(F.percentile(col, F.array(*[F.lit(p) for p in probs]), F.col(weight)).alias("q")).first()
+    else:
+        row = quantile_table(groups, [col], probs, weight=weight).first()
+    return list(row["q"]) if row and row["q"] is not None else None

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_features", "q_eval", "q_eda", "q_prep", "q_stream", "q_ml"]
+MODULES = ["q_features", "q_eval", "q_eda", "q_prep", "q_neighbours", "q_stream", "q_ml", "q_stages"]
 
 
 def _load():

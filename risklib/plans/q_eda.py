@@ -205,6 +205,12 @@ def agg22_correlation_matrix(spark, sf):
     return rounded(ED.correlation_long(tx_events(spark, sf), _CORR_COLS))
 
 
+@reg("agg22_correlation_blocks", _corr_sql())
+def agg22_correlation_blocks(spark, sf):
+    """The same matrix from Gram matrices of column blocks, two columns a block."""
+    return rounded(ED.correlation_blocks(tx_events(spark, sf), _CORR_COLS, block=2))
+
+
 @reg("agg23_target_correlation_top3", ORD + """, c AS (
   SELECT 'amount' AS feature, corr(amount, CAST(fraud_indicator AS DOUBLE)) AS r FROM tx_orders
   UNION ALL SELECT 'card_number', corr(CAST(card_number AS DOUBLE), CAST(fraud_indicator AS DOUBLE)) FROM tx_orders

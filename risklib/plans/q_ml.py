@@ -7,6 +7,7 @@ import os
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
+from risklib.ml import attribution as AT
 from risklib.ml import models as M
 from risklib.ml import pipeline as PL
 from risklib.ml import selection as MS
@@ -271,6 +272,81 @@ def eva19_attribution_given_coefficients(spark, sf):
     return rounded(M.linear_contributions(t, _COEFS, "transaction_id"))
 
 
+# A score with interactions, the same text in Spark and in SQL.
+_GAME = "0.01 * amount + 0.05 * mcc * hour + CASE WHEN amount > 100 AND hour < 12 THEN 2.0 ELSE 0.0 END"
+
+
+def _game_sql() -> str:
+    """Exact Shapley values over three features and the five first background rows: all coalitions, weighted."""
+    cols = ("amount", "mcc", "hour")
+
+    def value(inside):
+        out = _GAME
+        for c in cols:
+            out = out.replace(c, f"{'x' if c in inside else 'z'}.{c}")
+        return f"({out})"
+
+    rows = []
+    for c in cols:
+        a, b = [o for o in cols if o != c]
+        gain = " + ".join(f"{w} * ({value({c, *s})} - {value(set(s))})" for s, w in
+                          (((), "1.0 / 3"), ((a,), "1.0 / 6"), ((b,), "1.0 / 6"), ((a, b), "1.0 / 3")))
+        rows.append(f"SELECT x.transaction_id, '{c}' AS feature, ROUND(avg({gain}), 6) AS shapley, ROUND(avg({value(set())}), 6) AS base_value, "
+                    f"ROUND(avg({value(set(cols))}), 6) AS prediction FROM t x, z GROUP BY 1")
+    return EV + (""", t AS (SELECT transaction_id, amount, mcc, hour(transaction_ts) AS hour FROM tx_events
+  WHERE amount IS NOT NULL AND mcc IS NOT NULL AND transaction_ts IS NOT NULL),
+z AS (SELECT * FROM t ORDER BY transaction_id LIMIT 5) """ + " UNION ALL ".join(rows))
+
+
+@reg("eva19_shapley_given_score", _game_sql())
+def eva19_shapley_given_score(spark, sf):
+    """All six orders of three features: exact values of a score with interactions."""
+    t = tx_events(spark, sf).select("transaction_id", "amount", "mcc", F.hour("transaction_ts").alias("hour")).dropna()
+    out = AT.shapley_values(t, lambda d: d.withColumn("f", F.expr(_GAME)), ["amount", "mcc", "hour"], "transaction_id",
+                            t.orderBy("transaction_id").limit(5))
+    return rounded(out.drop("std_error"))
+
+
+@reg("eva19_shapley_of_model", EV + SPLIT_SQL + f" SELECT transaction_id, {len(ML_FEATURES)} AS features, 1 AS adds_up FROM split WHERE is_test = 1")
+def eva19_shapley_of_model(spark, sf):
+    """Sampled orders of the features of a boosted model over the test rows: the values add up to the margin less its mean."""
+    tr, te = _prepared(spark, sf)
+    m, _ = M.train_model(tr, "gradient_boosting")
+    x = vector_to_array("features")
+    wide = te.select("transaction_id", *[x[i].alias(c) for i, c in enumerate(ML_FEATURES)])
+    ground = wide.orderBy(F.md5(F.col("transaction_id").cast("string"))).limit(4)
+    out = AT.shapley_values(wide, AT.model_score(m, ML_FEATURES), ML_FEATURES, "transaction_id", ground, permutations=4)
+    own = m.transform(te).select("transaction_id", vector_to_array("rawPrediction")[1].alias("_margin"))
+    off = F.abs(F.sum("shapley") - (F.max("prediction") - F.max("base_value")))
+    return out.groupBy("transaction_id").agg(F.count(F.lit(1)).cast("int").alias("features"), off.alias("_off"), F.max("prediction").alias("_p")).join(
+        own, "transaction_id").select("transaction_id", "features", ((F.col("_off") < 1e-9) & (F.abs(F.col("_p") - F.col("_margin")) < 1e-9)).cast("int").alias("adds_up"))
+
+
+@reg("eva19_tree_attribution", EV + SPLIT_SQL + "".join(
+    f" {u} SELECT '{t}' AS model, transaction_id, {len(ML_FEATURES)} AS features, 1 AS adds_up FROM split WHERE is_test = 1"
+    for u, t in (("", "gradient_boosting"), ("UNION ALL", "random_forest"))))
+def eva19_tree_attribution(spark, sf):
+    """Exact path-dependent values of a boosted model and a forest over the test rows; they add up to the model's own output."""
+    tr, te = _prepared(spark, sf)
+    parts = []
+    for t, col in (("gradient_boosting", "rawPrediction"), ("random_forest", "probability")):
+        m, _ = M.train_model(tr, t)
+        a = AT.tree_attribution(m, te, ML_FEATURES, "transaction_id").groupBy("transaction_id").agg(
+            F.count(F.lit(1)).cast("int").alias("features"), (F.sum("contribution") + F.max("base_value")).alias("_sum"))
+        own = m.transform(te).select("transaction_id", vector_to_array(col)[1].alias("_own"))
+        parts.append(a.join(own, "transaction_id").select(F.lit(t).alias("model"), "transaction_id", "features",
+                                                          (F.abs(F.col("_sum") - F.col("_own")) < 1e-9).cast("int").alias("adds_up")))
+    return parts[0].unionByName(parts[1])
+
+
+@reg("eva19_tree_contributions")
+def eva19_tree_contributions(spark, sf):
+    """The contributions themselves, of the boosted model over the test rows."""
+    tr, te = _prepared(spark, sf)
+    m, _ = M.train_model(tr, "gradient_boosting")
+    return rounded(AT.tree_attribution(m, te, ML_FEATURES, "transaction_id"))
+
+
 # ---------------------------------------------------------------- SRC1/SNK1/SNK2/SNK4
 @reg("src1_csv_roundtrip", EV + """SELECT CAST(transaction_id AS VARCHAR) AS transaction_id, CAST(card_number AS VARCHAR) AS card_number,
   amount, merchant_category, fraud_indicator FROM tx_events""")

@@ -208,3 +208,37 @@ def _mi_sql(c: str) -> str:
 @reg("sel5_mutual_information", _FEAT_SQL + ", sc AS (" + " UNION ALL ".join(_mi_sql(c) for c in FEATS) + ") " + _RANKED)
 def sel5_mutual_information(spark, sf):
     return rounded(SE.mutual_information(_feat(spark, sf), FEATS))
+
+
+def _psi_sql(n: str) -> str:
+    x = f"(CAST({n} AS DOUBLE) + 6)"
+    series = f"ln({x}) - 1 / (2 * {x}) - 1 / (12 * {x} ** 2) + 1 / (120 * {x} ** 4) - 1 / (252 * {x} ** 6) + 1 / (240 * {x} ** 8)"
+    return f"({series} - " + " - ".join(f"1 / (CAST({n} AS DOUBLE) + {i})" for i in range(6)) + ")"
+
+
+_NEAR = 3
+
+
+@reg("sel5_neighbour_mutual_information", _FEAT_SQL + ", long AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, transaction_id, fraud_indicator AS y, CAST({c} AS DOUBLE) AS x0 FROM feat WHERE {c} IS NOT NULL" for c in FEATS) + f"""),
+size AS (SELECT feature, 2e-10 * pow(2, ceil(log2(greatest(1, avg(abs(x0)))))) AS size FROM long GROUP BY 1),
+v AS (SELECT feature, y, x0 + (CAST('0x' || substr(md5(concat_ws('|', transaction_id, feature)), 1, 13) AS BIGINT) / 4503599627370496.0 - 0.5) * size AS x,
+  count(*) AS n FROM long JOIN size USING (feature) GROUP BY ALL),
+s AS (SELECT feature, y, sum(n) AS ny FROM v GROUP BY ALL HAVING sum(n) > 1),
+w AS (SELECT v.*, ny, least({_NEAR}, ny - 1) AS kk, list(struct_pack(x := x, n := n)) OVER (
+  PARTITION BY v.feature, v.y ORDER BY x ROWS BETWEEN {_NEAR} PRECEDING AND {_NEAR} FOLLOWING) AS near FROM v JOIN s USING (feature, y)),
+e AS (SELECT feature, y, x, n, ny, kk, unnest(near) AS q FROM w),
+c AS (SELECT feature, y, x, n, ny, kk, abs(q.x - x) AS d, q.x AS v, CASE WHEN q.x = x THEN q.n - 1 ELSE q.n END AS m FROM e),
+u AS (SELECT *, sum(m) OVER (PARTITION BY feature, y, x ORDER BY d, v) AS upto FROM c WHERE m > 0),
+d AS (SELECT feature, y, x, n, ny, kk, d, v, CASE WHEN v > x THEN v ELSE x + d END AS top, CASE WHEN v < x THEN v ELSE x - d END AS low FROM u
+  WHERE upto >= kk QUALIFY row_number() OVER (PARTITION BY feature, y, x ORDER BY d, v) = 1),
+cum AS (SELECT feature, x, sum(n) OVER (PARTITION BY feature ORDER BY x) AS le, sum(n) OVER (PARTITION BY feature ORDER BY x) - n AS lt
+  FROM (SELECT feature, x, sum(n) AS n FROM v JOIN s USING (feature, y) GROUP BY ALL)),
+hi AS (SELECT d.*, coalesce(a.le, 0) AS below_top FROM d ASOF LEFT JOIN cum a ON a.feature = d.feature AND d.top > a.x),
+lo AS (SELECT hi.*, coalesce(b.le, 0) AS upto_low FROM hi ASOF LEFT JOIN cum b ON b.feature = hi.feature AND hi.low >= b.x),
+m AS (SELECT lo.feature, n, kk, ny, CASE WHEN d = 0 THEN same.le - same.lt ELSE below_top - upto_low END AS m
+  FROM lo JOIN cum same ON same.feature = lo.feature AND same.x = lo.x),
+sc AS (SELECT feature, greatest({_psi_sql('sum(n)')} + sum(n * ({_psi_sql('kk')} - {_psi_sql('ny')} - {_psi_sql('m')})) / sum(n), 0) AS score
+  FROM m GROUP BY 1) """ + _RANKED)
+def sel5_neighbour_mutual_information(spark, sf):
+    return rounded(SE.neighbour_mutual_information(_feat(spark, sf), FEATS, "transaction_id"))

@@ -8,6 +8,7 @@ from risklib.plans.common import rounded
 from risklib.plans.sqlviews import EV
 from risklib.sources.tables import read_table, tx_events
 from risklib.streaming import ops as S
+from risklib.streaming.card_state import card_state_features
 
 Q, SQL = {}, {}
 
@@ -81,6 +82,14 @@ def str4_stateful_card_features(spark, sf):
     return spark.read.parquet(p)
 
 
+@reg("str4_card_state_processor", SQL["str4_stateful_card_features"])
+def str4_card_state_processor(spark, sf):
+    """The same features from value and map states with event-time timers, replayed five days per micro-batch."""
+    src = S.replay_by_day(spark, read_table(spark, sf, "events"), "str4-hours")
+    p = S.run_to_parquet(card_state_features(S.event_stream(spark, src, None, files_per_batch=5)), "str4-processor")
+    return spark.read.parquet(p)
+
+
 @reg("str5_stream_alerts", EV + """, prof AS (SELECT card_number, avg(amount) AS pa FROM tx_events GROUP BY 1),
 r AS (SELECT t.transaction_id, t.amount, CAST(t.amount > 1000 AS INTEGER) + CAST(hour(t.transaction_ts) < 5 OR hour(t.transaction_ts) > 22 AS INTEGER) AS k,
    prof.pa FROM tx_events t LEFT JOIN prof ON t.card_number = prof.card_number)

@@ -191,13 +191,31 @@ def write_alerts(batch: DataFrame, epoch_id: int, out: str) -> None:
 
 
 # ---------------------------------------------------------------- STR7
-def replay_by_day(spark: SparkSession, events: DataFrame, name: str = "replay") -> str:
-    """Write events as one file per day, named and stamped in day order, so a file stream with one file per
-    trigger replays them in order; returns the folder."""
-    base = scratch_path(spark, name)
-    days = [r[0] for r in events.select(F.to_date("ts").alias("d")).distinct().orderBy("d").collect()]  # one per day
+def replay_by_day(spark: SparkSession, events: DataFrame, name: str = "replay", rows_per_file: int = 1_000_000) -> str:
+    """Write events as files in time order, so that a file stream with one file per trigger replays them in
+    order; returns the folder.
+
+    The table is read once, into a copy partitioned by day. Each day is then one file, or several slices of its
+    times where it has more than ``rows_per_file`` rows, so no task writes more than one slice.
+    """
+    base, staged = scratch_path(spark, name), scratch_path(spark, f"{name}-days")
+    rows = events.columns
+    events.withColumn("_d", F.to_date("ts")).repartitionByRange("ts").write.partitionBy("_d").parquet(staged)
+    by_day = spark.read.parquet(staged)
+    days = by_day.groupBy("_d").agg(F.count(F.lit(1)).alias("n")).orderBy("_d").collect()  # one row per day
     for d in days:
-        events.where(F.to_date("ts") == F.lit(d)).coalesce(1).write.mode("append").parquet(base)
+        one = by_day.where(F.col("_d") == F.lit(d["_d"]) if d["_d"] is not None else F.col("_d").isNull())  # reads this day's files only
+        k = -(-d["n"] // rows_per_file)
+        edges = []
+        if k > 1 and d["_d"] is not None:
+            us = F.unix_micros(F.col("ts").cast("timestamp"))
+            edges = sorted(set(one.agg(F.percentile_approx(us, [i / k for i in range(1, k)], 10 * k).alias("e")).first()["e"]))
+        for lo, hi in zip([None, *edges], [*edges, None]):
+            part = one
+            for edge, inside in ((lo, lambda t, e: t > e), (hi, lambda t, e: t <= e)):
+                if edge is not None:
+                    part = part.where(inside(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(edge)))
+            part.select(*rows).coalesce(1).write.mode("append").parquet(base)
     return base
 
 

@@ -73,3 +73,54 @@ def test_window_kpis_closed_windows_only(spark):
     d = spark.read.parquet(p)
     mx = spark.read.parquet(f"{SF0001}/events.parquet").agg(F.max("ts")).first()[0]
     assert d.agg(F.max("window_end")).first()[0].replace(tzinfo=None) <= mx
+
+
+def _events(spark, rows):
+    """(event_id, hours since the first day, card, amount) as the events table."""
+    df = spark.createDataFrame(rows, "event_id long, h double, user_id long, value double")
+    return df.select("event_id", F.expr("cast(timestamp_micros(1704067200000000 + cast(h * 3600000000 as long)) as timestamp_ntz)").alias("ts"),
+                     "user_id", F.lit("view").alias("event_type"), "value", F.lit('{"k": 1}').alias("props"))
+
+
+def _replayed(spark, parts):
+    """The processor's rows by event_id, one micro-batch per list of rows."""
+    from risklib.session import scratch_path
+    from risklib.streaming.card_state import card_state_features
+    src = scratch_path(spark, "t-card-state")
+    for rows in parts:
+        _events(spark, rows).coalesce(1).write.mode("append").parquet(src)
+    p = S.run_to_parquet(card_state_features(S.event_stream(spark, src, None, files_per_batch=1)), "t-card-state")
+    return {r["transaction_id"]: r for r in spark.read.parquet(p).collect()}
+
+
+def test_processor_late_rows_and_expired_hours(spark):
+    got = _replayed(spark, [
+        [(1, 0.0, 7, 10.0), (2, 5.0, 7, 20.0), (3, 5.0, 8, 1.0)],
+        [(4, 23.5, 7, 30.0)], [(5, 23.0, 7, 40.0)], [(6, 24.0, 7, 50.0)], [(7, 80.0, 7, 1.0)], [(8, 100.0, 7, 2.0), (9, 99.0, 7, 3.0)]])
+    assert [got[i]["tx_count_24h"] for i in (1, 2, 3, 4, 5, 6, 7)] == [1, 2, 1, 3, 3, 5, 1]
+    assert got[5]["minutes_since_last"] is None and got[5]["amount_diff"] is None  # behind the last time
+    assert got[6]["minutes_since_last"] == 30 and got[6]["amount_diff"] == 20
+    assert got[1]["minutes_since_last"] == 99999.0 and got[1]["history_mean_amount"] is None
+    assert got[4]["history_mean_amount"] == 15 and got[7]["history_mean_amount"] == 30
+    assert got[9]["tx_count_24h"] == 2 and got[8]["minutes_since_last"] == 60
+
+
+def test_processor_takes_a_card_with_100_000_rows_a_day(spark):
+    import numpy as np
+    rng = np.random.default_rng(1)
+    h = np.sort(rng.uniform(0, 48, 200_000))
+    us = (h * 3600000000).astype(np.int64)
+    rows = list(zip(range(200_000), h.tolist(), [7] * 200_000, [1.0] * 200_000))
+    got = _replayed(spark, [rows[:100_000], rows[100_000:]])
+    want = np.searchsorted(us, us, "right") - np.searchsorted(us, us - 86_400_000_000, "left")
+    assert len(got) == 200_000 and all(got[i]["tx_count_24h"] == want[i] for i in range(0, 200_000, 37))
+
+
+def test_replay_keeps_time_order_over_slices(spark):
+    rows = [(i, i * 0.5, i % 3, 1.0) for i in range(200)]
+    base = S.replay_by_day(spark, _events(spark, rows).repartition(4), "t-replay", rows_per_file=20)
+    files = spark.read.parquet(base).select("event_id", F.input_file_name().alias("f"), F.col("_metadata.file_modification_time").alias("m"))
+    spans = sorted((r["m"], r["lo"], r["hi"], r["n"]) for r in files.groupBy("f").agg(
+        F.min("m").alias("m"), F.min("event_id").alias("lo"), F.max("event_id").alias("hi"), F.count(F.lit(1)).alias("n")).collect())
+    assert sum(s[3] for s in spans) == 200 and len(spans) > 8 and max(s[3] for s in spans) <= 30
+    assert all(a[2] < b[1] for a, b in zip(spans, spans[1:]))
