@@ -4,10 +4,16 @@ Benchmark items are grouped into window sizes on a grid of ratio ``GRID``. An
 item enters with the 64-bit SimHashes of windows spread over its whole length:
 of half its size, of ``LONGEST`` / 2 words at most, at least three and so many
 that every word is in one, so that edits anywhere leave some of them alone
-(items of less than ``HALVED`` words: of its own size, first and last). Every document
-is slid over word by word with windows of every size; a window's SimHash comes
+(items of less than ``HALVED`` words: of its own size, first and last). Documents
+are slid over word by word with windows of every size; a window's SimHash comes
 from prefix sums of packed 8-bit counters, a handful of operations per word.
 
+A place that reaches the similarity shares a shingle with its item. So the words
+of a document are first looked up in a bit table and then in the sorted shingles
+of the benchmark, and windows slide only over words within the longest item's
+length of a shared shingle. This is exact: the windows and aligned items left out share
+no shingle with any item and have similarity 0.
+
 Fingerprints within Hamming radius ``RADIUS`` are found without comparing all:
 they are cut into 4 blocks of 16 bits, and two fingerprints within the radius
 agree in some block to within RADIUS // 4 bits, so an index by block value that
@@ -17,15 +23,16 @@ Jaccard similarity of the 5-word shingle multisets, weight ln(1 + items /
 items with the shingle), must reach ``MIN_SIMILARITY``.
 
 Items and items per shingle are counted once over the whole benchmark. Items
-are taken in blocks of about ``ITEM_BLOCK``, one pass over the documents each;
+are taken in blocks of about ``ITEM_BLOCK``, ``PASS_BLOCKS`` of them in one pass over the documents;
 the blocks are prepared in tasks and written, and the verdict on an item does
-not depend on its block. A task holds one block and the weights of the
+not depend on its block. A task holds the blocks of a pass and the weights of the
 shingles that several items share (16 bytes each; all others weigh the same).
 
 Words are lower-cased and cut at white space. Cases: null or empty texts and
 items without words match nothing; items shorter than 5 words are one shingle
 and must occur whole; repeated items are reported each; of several matching
 places the one with the highest similarity, then the earliest, is reported;
+an item without an item_id counts like any other and is reported with a null;
 repeated document rows are reported each; extra columns are ignored; empty
 tables give an empty result.
 """
@@ -45,8 +52,9 @@ from pyspark.sql import functions as F
 from risklib.llm import bytehash
 from risklib.llm.common import stored
 
-RADIUS, MIN_SIMILARITY, GRID, ITEM_BLOCK = 7, 0.8, 1.2, 4096
-BLOCKS, BLOCK_BITS = 4, 16
+RADIUS, MIN_SIMILARITY, GRID, ITEM_BLOCK, PASS_BLOCKS = 7, 0.8, 1.2, 4096, 4
+TABLE_BITS = 22  # the bit table that words are first looked up in (4 MB)
+BLOCKS, BLOCK_BITS, SHINGLE_WORDS = 4, 16, 5
 LONGEST = 120  # an item of more words enters with windows of half of this, the more the longer it is
 HALVED = 9  # words from which an item can lose a shingle and still match
 SLICE_WORDS, SLICE_CHARS = 60_000, 750_000
@@ -172,7 +180,14 @@ def prepare_items(items: list[tuple[int, str]]) -> dict:
 
 def with_index(prepared: dict, weights: Weights) -> dict:
     groups = [g | {"index": block_index(g["prints"])} for g in prepared["groups"]]
-    return prepared | {"groups": groups, "weights": weights}
+    lengths = prepared["lengths"]
+    shared = {}  # words of a shingle -> the shingles of that many words; items of less than 5 words are one shingle
+    for k in sorted({min(int(n), SHINGLE_WORDS) for n in lengths if n}):
+        values = np.unique(np.concatenate([v for (v, _), n in zip(prepared["bags"], lengths) if min(int(n), SHINGLE_WORDS) == k]))
+        table = np.zeros(1 << TABLE_BITS, bool)
+        table[values >> np.uint64(64 - TABLE_BITS)] = True
+        shared[k] = (table, values)
+    return prepared | {"groups": groups, "weights": weights, "shared": shared, "longest": int(max(lengths, default=0))}
 
 
 def build_items(items: list[tuple[int, str]], weights: Weights | None = None) -> dict:
@@ -195,8 +210,12 @@ def similarity(window: tuple[np.ndarray, np.ndarray], item: tuple[np.ndarray, np
     return float(w @ n.min(axis=0)) / high if high else 0.0
 
 
-def scan_texts(texts: list[str | None], items: dict) -> list[tuple[int, int, int, int, float]]:
-    """(text, item, first word, words, similarity) of the best place of every matching (text, item)."""
+def scan_texts(texts: list[str | None], items: dict | list[dict]) -> list[tuple[int, int, int, int, float]]:
+    """(text, item, first word, words, similarity) of the best place of every matching (text, item).
+
+    With several blocks of items, an item's number counts on through the blocks.
+    """
+    blocks = [items] if isinstance(items, dict) else items
     out, i = [], 0
     texts = [t or "" for t in texts]
     while i < len(texts):
@@ -204,26 +223,58 @@ def scan_texts(texts: list[str | None], items: dict) -> list[tuple[int, int, int
         while j < len(texts) and (j == i or chars + len(texts[j]) <= SLICE_CHARS):
             chars += len(texts[j])
             j += 1
-        out += [(i + d, *rest) for d, *rest in _scan_slice(texts[i:j], items)]
+        words, counts = bytehash.words_of([t.lower().encode() for t in texts[i:j]])
+        sums: dict[int, np.ndarray] = {}
+        before = 0
+        for block in blocks:
+            out += [(i + d, before + item, *rest) for d, item, *rest in _scan_slice(words, counts, sums, block)]
+            before += len(block["ids"])
         i = j
     return out
 
 
-def _scan_slice(texts: list[str], items: dict) -> list[tuple[int, int, int, int, float]]:
-    words, counts = bytehash.words_of([t.lower().encode() for t in texts])
+def shingle_starts(words: np.ndarray, k: int) -> np.ndarray:
+    """The hash of the ``k`` words from every word on, as ``bytehash.shingles_of`` gives it for a shingle or a text of ``k`` words."""
+    n = max(0, len(words) - k + 1)
+    mixed = bytehash.mix(words)
+    total = np.zeros(n, np.uint64)
+    for j in range(k):
+        total += mixed[j:j + n] * bytehash.SHINGLE[j]
+    return bytehash.mix(total)
+
+
+def near_shared(words: np.ndarray, ends: np.ndarray, chain: np.ndarray, sums: dict[int, np.ndarray], items: dict) -> np.ndarray:
+    """Which words lie within the longest item's length of a shingle of an item, in order."""
+    edge = np.zeros(len(words) + 1, np.int64)
+    for k, (table, values) in items["shared"].items():
+        if k not in sums:
+            sums[k] = shingle_starts(words, k)
+        at = np.flatnonzero(table[sums[k] >> np.uint64(64 - TABLE_BITS)])
+        if not len(at):
+            continue
+        at = at[at + k <= ends[chain[at]]]
+        found = np.minimum(np.searchsorted(values, sums[k][at]), len(values) - 1)
+        at = at[values[found] == sums[k][at]]
+        np.add.at(edge, np.maximum(at - items["longest"], 0), 1)
+        np.add.at(edge, np.minimum(at + items["longest"], len(words)), -1)
+    return np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+
+
+def _scan_slice(words: np.ndarray, counts: np.ndarray, starts: dict[int, np.ndarray], items: dict) -> list[tuple[int, int, int, int, float]]:
     ends = np.cumsum(counts)
     begins = ends - counts
     chain = np.repeat(np.arange(len(counts)), counts)
     found: set[tuple[int, int]] = set()
-    for at in range(0, len(words), SLICE_WORDS):
-        piece = words[at:at + SLICE_WORDS + LONGEST]
-        sums = prefix(piece)
+    places = near_shared(words, ends, chain, starts, items)
+    for at in range(0, len(places), SLICE_WORDS):
+        here = places[at:at + SLICE_WORDS + LONGEST]
+        sums = prefix(words[here])
         for g in items["groups"]:
             hashes = window_hashes(sums, g["size"])[:SLICE_WORDS]
             w, e = near_prints(hashes, g["prints"], g["index"])
             if len(w):
-                first = at + w
-                inside = first + g["size"] <= ends[chain[first]]
+                first = here[w]
+                inside = (here[w + g["size"] - 1] == first + g["size"] - 1) & (first + g["size"] <= ends[chain[first]])
                 start, item = (first - g["offset"][e])[inside], g["item"][e][inside]
                 doc = chain[first[inside]]
                 # the whole item, moved into the text where it would stick out
@@ -243,10 +294,10 @@ def _scan_slice(texts: list[str], items: dict) -> list[tuple[int, int, int, int,
 
 
 def item_blocks(benchmark: DataFrame):
-    """Functions that give the index of one block of items in a task; the driver hands on one prepared block after another."""
+    """Functions that give the indexes of one pass's blocks of items in a task; the driver hands on the prepared blocks of one pass at a time."""
     spark = benchmark.sparkSession
     items = stored(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(
-        F.col("item_id").isNotNull() & F.col("text").isNotNull()), "benchmark-items")
+        F.col("text").isNotNull()), "benchmark-items")
     n_items = items.count()
     if not n_items:
         return
@@ -260,21 +311,21 @@ def item_blocks(benchmark: DataFrame):
             own = [np.unique(shingles[at[i]:at[i + 1]]) for i in range(len(per))]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64))], names=["shingle"])
 
-    def prepare(frame):
-        rows = sorted(zip(frame["item_id"].tolist(), frame["text"].tolist()))
-        return pd.DataFrame({"block": frame["block"].iloc[:1], "prepared": [pickle.dumps(prepare_items(rows))]})
+    def prepare(table):
+        rows = sorted(zip(table["item_id"].to_pylist(), table["text"].to_pylist()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        return pa.table({"block": table["block"].slice(0, 1), "prepared": pa.array([pickle.dumps(prepare_items(rows))], pa.binary())})
 
     common = items.select("text").mapInArrow(distinct_shingles, "shingle long").groupBy("shingle").agg(
         F.count(F.lit(1)).alias("held")).filter("held > 1").toArrow()
     weights = spark.sparkContext.broadcast(shingle_weights(
         n_items, common["shingle"].to_numpy().view(np.uint64), common["held"].to_numpy()))
     blocks = stored(items.withColumn("block", F.floor(F.rand(11) * n_blocks).cast("int")), "benchmark-blocks")
-    blocks = stored(blocks.groupBy("block").applyInPandas(prepare, "block int, prepared binary"), "benchmark-prepared")
-    for b in range(n_blocks):
-        row = blocks.filter(F.col("block") == b).first()
-        if row is not None:
-            shared = spark.sparkContext.broadcast(bytes(row["prepared"]))
-            yield lambda shared=shared: with_index(pickle.loads(shared.value), weights.value)
+    blocks = stored(blocks.groupBy("block").applyInArrow(prepare, "block int, prepared binary"), "benchmark-prepared")
+    for b in range(0, n_blocks, PASS_BLOCKS):
+        rows = blocks.filter((F.col("block") >= b) & (F.col("block") < b + PASS_BLOCKS)).orderBy("block").collect()  # the blocks of one pass
+        if rows:
+            shared = spark.sparkContext.broadcast([bytes(r["prepared"]) for r in rows])
+            yield lambda shared=shared: [with_index(pickle.loads(p), weights.value) for p in shared.value]
 
 
 SCHEMA = "doc_id long, item_id long, first_word long, n_words long, similarity double"
@@ -289,12 +340,13 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def scan(batches, index=index):
             items = index()
+            names = [i for block in items for i in block["ids"]]
             for batch in batches:
                 ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 hits = scan_texts(texts, items)
                 cols = list(zip(*hits)) if hits else [()] * 5
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([ids[d] for d in cols[0]], pa.int64()), pa.array([items["ids"][i] for i in cols[1]], pa.int64()),
+                    pa.array([ids[d] for d in cols[0]], pa.int64()), pa.array([names[i] for i in cols[1]], pa.int64()),
                     pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.float64())],
                     names=["doc_id", "item_id", "first_word", "n_words", "similarity"])
 
@@ -303,7 +355,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def contaminated(spark, texts_of: DataFrame, benchmark: DataFrame):
-    """Column functions text -> has a match, one per block of items."""
+    """Column functions text -> has a match, one per pass over the items."""
     def hit_of(index):
         @F.pandas_udf("boolean")
         def hit(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
