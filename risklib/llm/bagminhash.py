@@ -30,7 +30,8 @@ members of other classes within the bound, and classes are joined. Later pivots
 are taken outside the bucket's largest class; the last round takes all that are
 left. After it, of any two members of different classes one has been compared
 with the other or the bound rules them out, so no link is missed, and groups
-that hang together cost one comparison per member and not per pair.
+that hang together cost one comparison per member and not per pair. Rounds end
+as soon as no bucket holds two classes.
 
 Cases: rows without doc_id or text form no class (class_id is their doc_id);
 empty and wordless texts are only grouped with equal ones; texts of 1 to 4
@@ -188,8 +189,8 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n_pairs: int)
     small = n_pairs <= BROADCAST_ROWS
 
     def side(c):
-        p = nodes.select(F.col("rep").alias(c), "doc", "t1", "t2").join(pairs, c)
-        return texts_at(docs, p, small).select("a", "b", F.col("text").alias(f"text_{c}"))
+        p = nodes.select(F.col("rep").alias(c), "doc", "t1", "t2").join(_sized(pairs, n_pairs), c)
+        return texts_at(docs, p, small).select("a", "b", F.col("text").alias(f"text_{c}")).dropDuplicates(["a", "b"])
 
     def check(batches):
         for batch in batches:
@@ -197,7 +198,12 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n_pairs: int)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sim, pa.float64())], names=["a", "b", "sim"])
 
     both = side("a").join(side("b"), ["a", "b"]).select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(check, "a long, b long, sim double").groupBy("a", "b").agg(F.max("sim").alias("sim"))
+    return both.mapInArrow(check, "a long, b long, sim double")
+
+
+def _sized(df: DataFrame, n: int) -> DataFrame:
+    """``df`` of ``n`` counted rows, broadcast where they are few."""
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
 def alone(docs: DataFrame, reps: DataFrame, n_reps: int) -> DataFrame:
@@ -218,51 +224,71 @@ def alone(docs: DataFrame, reps: DataFrame, n_reps: int) -> DataFrame:
     return once.filter("rep = last").groupBy("rep").agg(F.sum("weight").alias("own"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node of the component of every node of the edges (u, v).
+def merged(labels: DataFrame, n: int, links: DataFrame) -> DataFrame:
+    """``labels`` (node, root) of ``n`` nodes after the links (u, v) between nodes have joined their classes.
 
-    Large-star and small-star steps in turn until the edges are stars; each is a
-    minimum per node, combined before the shuffle, and a join on the node.
+    Each turn, every root that meets a smaller one across a link hooks to the
+    smallest, chains of hooks are shortened, and the nodes take the root they lead to.
+    Within two turns every root with a link left hooks or is hooked to, so
+    the number of turns grows with the logarithm of the class size.
     """
-    e = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
-    state = None
     while True:
-        seen = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_003).alias("h")).first()
-        if seen == state or not seen["n"]:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = seen
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stored(large.unionByName(both.filter("v < u").join(low, "u").filter("m = v").select("u", "v")).distinct(), "edges")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        near = large.join(low, "u")
-        small = near.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        at = _sized(labels, n)
+        met = links.join(at.select(F.col("node").alias("u"), F.col("root").alias("ru")), "u").join(
+            at.select(F.col("node").alias("v"), F.col("root").alias("rv")), "v").filter("ru <> rv")
+        hooks = stored(met.groupBy(F.greatest("ru", "rv").alias("r")).agg(F.min(F.least("ru", "rv")).alias("to")), "near-hooks")
+        k = hooks.count()
+        if not k:
+            return labels
+        short = hooks
+        for _ in range(2):  # hooks lead to smaller roots, so there is no circle
+            nxt = short.select(F.col("r").alias("to"), F.col("to").alias("then"))
+            short = short.join(_sized(nxt, k), "to", "left").select("r", F.coalesce("then", "to").alias("to"))
+        labels = stored(labels.join(_sized(short.withColumnRenamed("r", "root"), k), "root", "left").select(
+            "node", F.coalesce("to", "root").alias("root")), "near-labels")
 
 
-def classes(docs: DataFrame, threshold: float = MIN_SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, class_id of every row of ``docs`` (doc_id, text)."""
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root): the smallest node of the component of every node of the edges (u, v) that is not that root itself."""
+    e = stored(edges.filter("u <> v").select("u", "v"), "edges")
+    labels = stored(e.select(F.col("u").alias("node")).unionByName(e.select(F.col("v").alias("node"))).distinct().withColumn(
+        "root", F.col("node")), "near-labels")
+    return merged(labels, labels.count(), e).filter("node <> root")
+
+
+def text_classes(docs: DataFrame, threshold: float = MIN_SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
+    """The signed rows (doc_id, t1, t2 ...), and per text (t1, t2) its smallest doc_id ``doc``, the class's smallest
+    doc_id ``name`` and whether the text is the one that stands for its class (``lead``)."""
     sigs = stored(signed(docs, bands, rows), "near-signatures")
     # a node is a text; its number is not a doc_id, as a doc_id may have several texts
     nodes = sigs.groupBy("t1", "t2").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("bands").alias("bands"),
                                          F.first("sketch").alias("sketch"))
     nodes = stored(nodes.withColumn("rep", F.monotonically_increasing_id()), "near-nodes")
+    named = nodes.select("t1", "t2", "rep", "doc")
     entries = nodes.select("rep", "n", F.posexplode("bands").alias("band", "hash"))
     many = entries.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size")
     members = stored(entries.join(many, ["band", "hash"]), "near-members")
     reps = stored(members.select("rep").distinct().join(nodes.select("rep", "doc", "t1", "t2"), "rep"), "near-reps")
-    own = stored(alone(docs, reps, reps.count()), "near-own")
-    members = members.join(own, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0))).filter(
+    n_reps = reps.count()
+    if not n_reps:
+        return sigs, named.select("t1", "t2", "doc", F.col("doc").alias("name"), F.lit(True).alias("lead"))
+    own = stored(alone(docs, reps, n_reps), "near-own")
+    members = members.join(_sized(own, n_reps), "rep", "left").withColumn("own", F.coalesce("own", F.lit(0))).filter(
         F.col("n") - F.col("own") >= F.lit(threshold) * F.col("n"))  # the others link to nothing
     members = members.join(nodes.select("rep", "bands", "sketch"), "rep")
-    labels = _linked(docs, nodes, stored(members, "near-members"), threshold)
-    named = nodes.select("t1", "t2", "rep", F.col("doc").alias("name"))
-    if labels is not None:  # a class has the name of its smallest doc_id
-        both = labels.unionByName(labels.select(F.col("root").alias("node"), "root").distinct())
-        both = both.join(nodes.select(F.col("rep").alias("node"), "doc"), "node")
-        least = both.join(both.groupBy("root").agg(F.min("doc").alias("least")), "root").select("node", "least")
-        named = named.join(least, F.col("rep") == F.col("node"), "left").withColumn("name", F.coalesce("least", "name"))
+    labels = reps.select(F.col("rep").alias("node"), F.col("rep").alias("root"))
+    labels = _linked(docs, nodes, stored(members, "near-members"), labels, n_reps, threshold)
+    # a class has the name of its smallest doc_id; a text outside all buckets is its own class
+    known = labels.join(_sized(reps.select(F.col("rep").alias("node"), "doc", "t1", "t2"), n_reps), "node")
+    least = known.groupBy("root").agg(F.min(F.struct("doc", "t1", "t2", "node")).alias("least"))
+    known = labels.join(_sized(least, n_reps), "root").select("node", F.col("least.doc").alias("name"), F.col("least.node").alias("first"))
+    return sigs, named.join(_sized(known, n_reps), F.col("rep") == F.col("node"), "left").select(
+        "t1", "t2", "doc", F.coalesce("name", "doc").alias("name"), F.coalesce(F.col("first") == F.col("rep"), F.lit(True)).alias("lead"))
+
+
+def classes(docs: DataFrame, threshold: float = MIN_SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, class_id of every row of ``docs`` (doc_id, text)."""
+    sigs, named = text_classes(docs, threshold, bands, rows)
     # a doc_id with several texts has the smallest class of them
     own = sigs.select("doc_id", "t1", "t2").join(named.select("t1", "t2", "name"), ["t1", "t2"]).groupBy("doc_id").agg(
         F.min("name").alias("class_id"))
@@ -270,42 +296,48 @@ def classes(docs: DataFrame, threshold: float = MIN_SIMILARITY, bands: int = BAN
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
-def _linked(docs: DataFrame, nodes: DataFrame, members: DataFrame, threshold: float) -> DataFrame | None:
-    """(node, root) of all nodes with a link, after the rounds of pivots."""
-    labels = done = tested = far = None
+def _linked(docs: DataFrame, nodes: DataFrame, members: DataFrame, labels: DataFrame, n: int, threshold: float) -> DataFrame:
+    """``labels`` (node, root) of the ``n`` bucketed texts after the rounds of pivots; a round without an open bucket ends them."""
+    done = tested = far = None
+    n_tested = n_far = 0
     for i, pivots in enumerate(PIVOTS):
-        cls = members.withColumn("cls", F.col("rep")) if labels is None else members.join(
-            labels, F.col("rep") == F.col("node"), "left").select(
-            "band", "hash", "rep", "n", "own", "bands", "sketch", F.coalesce("root", "rep").alias("cls"))
-        if labels is not None:
-            cls = stored(cls, "near-classes")
-        # the largest class of every bucket that has several
-        sizes = cls.groupBy("band", "hash", "cls").agg(F.count(F.lit(1)).alias("c"))
-        open_ = sizes.groupBy("band", "hash").agg(
-            F.max_by("cls", F.struct("c", F.negative("cls"))).alias("main"), F.count(F.lit(1)).alias("k"),
-            F.sum("c").alias("size"), F.max("c").alias("top")).filter("k > 1")
+        cls = members.join(_sized(labels, n), F.col("rep") == F.col("node")).select(
+            "band", "hash", "rep", "n", "own", "bands", "sketch", F.col("root").alias("cls"))
         if i == 0:
             least = F.struct(F.col("own") / F.col("n"), F.col("rep"))
-            chosen = cls.groupBy("band", "hash").agg(
-                F.min_by(F.struct("rep", "n", "own", "sketch", "cls"), least).alias("p"), F.count(F.lit(1)).alias("k")).filter(
-                "k > 1").select("band", "hash", "p.*")
+            chosen = members.groupBy("band", "hash").agg(
+                F.min_by(F.struct("rep", "n", "own", "sketch", F.col("rep").alias("cls")), least).alias("p"),
+                F.count(F.lit(1)).alias("k")).filter("k > 1").select("band", "hash", "p.*")
         else:
-            left = cls.join(open_, ["band", "hash"]).filter("cls <> main").join(done, ["band", "hash", "rep"], "left_anti")
+            # the largest class of every bucket that has several
+            sizes = cls.groupBy("band", "hash", "cls").agg(F.count(F.lit(1)).alias("c"))
+            open_ = stored(sizes.groupBy("band", "hash").agg(
+                F.max_by("cls", F.struct("c", F.negative("cls"))).alias("main"), F.count(F.lit(1)).alias("k"),
+                F.sum("c").alias("size"), F.max("c").alias("top")).filter("k > 1"), "near-open")
+            n_open = open_.count()
+            if not n_open:
+                break
+            left = cls.join(_sized(open_, n_open), ["band", "hash"]).filter("cls <> main").join(
+                _sized(done, n_done), ["band", "hash", "rep"], "left_anti")
             if pivots is not None:  # an expected number of pivots, by hash; the last round takes the rest
                 draw = F.pmod(F.xxhash64("band", "hash", "rep"), F.lit(1 << 30)) / F.lit(float(1 << 30))
                 left = left.filter(draw < pivots / (F.col("size") - F.col("top")))
             chosen = left.select("band", "hash", "rep", "n", "own", "sketch", "cls")
         chosen = stored(chosen, "near-pivots")
+        n_chosen = chosen.count()
+        if not n_chosen:
+            continue
         p = chosen.select("band", "hash", F.col("rep").alias("p_rep"), F.col("n").alias("p_n"),
                           F.col("own").alias("p_own"), F.col("sketch").alias("p_sketch"), F.col("cls").alias("p_cls"))
         where = chosen.groupBy(F.col("rep").alias("w_rep")).agg(F.collect_list(F.struct("band", "hash")).alias("at"))  # BANDS at most
-        p = p.join(where, F.col("p_rep") == F.col("w_rep"))
+        p = p.join(_sized(where, n_chosen), F.col("p_rep") == F.col("w_rep"))
         # a pair that meets in several of the pivot's buckets is made in the first of them
         # distances to the bucket's first pivot: 1 - similarity is a metric, so a link's two differ by 1 - threshold at most
         near = F.lit(True)
         if far is not None:
-            cls = cls.join(far, ["band", "hash", "rep"], "left")
-            p = p.join(far.select("band", "hash", F.col("rep").alias("p_rep"), F.col("sim").alias("p_sim")), ["band", "hash", "p_rep"], "left")
+            cls = cls.join(_sized(far, n_far), ["band", "hash", "rep"], "left")
+            p = p.join(_sized(far.select("band", "hash", F.col("rep").alias("p_rep"), F.col("sim").alias("p_sim")), n_far),
+                       ["band", "hash", "p_rep"], "left")
             near = F.coalesce(F.abs(F.col("sim") - F.col("p_sim")) <= F.lit(1 - threshold + 1e-9), F.lit(True))
         earlier = F.exists("at", lambda x: (x["band"] < F.col("band")) & (F.get(F.col("bands"), x["band"]) == x["hash"]))
         shared = F.least(F.col("n") - F.col("own"), F.col("p_n") - F.col("p_own"))
@@ -316,35 +348,44 @@ def _linked(docs: DataFrame, nodes: DataFrame, members: DataFrame, threshold: fl
             & (shared >= F.lit(threshold) * (total - shared)) & (total - differ >= F.lit(threshold) * (total + differ))).select(
             F.least("rep", "p_rep").alias("a"), F.greatest("rep", "p_rep").alias("b")).distinct()
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = pairs.join(_sized(tested, n_tested), ["a", "b"], "left_anti")
         pairs = stored(pairs, "near-pairs")
-        done = chosen.select("band", "hash", "rep") if done is None else done.unionByName(chosen.select("band", "hash", "rep"))
-        tested = pairs if tested is None else tested.unionByName(pairs)
         n_pairs = pairs.count()
+        last = i == len(PIVOTS) - 1
+        if not last:
+            key = chosen.select("band", "hash", "rep")
+            done, n_done = (key, n_chosen) if done is None else (done.unionByName(key), n_done + n_chosen)
+            tested, n_tested = (pairs, n_pairs) if tested is None else (tested.unionByName(pairs), n_tested + n_pairs)
         if n_pairs:
             sims = stored(verified(docs, nodes, pairs, n_pairs), "near-similarities")
-            links = sims.filter(F.col("sim") >= threshold).select(F.col("a").alias("u"), F.col("b").alias("v"))
             if i == 0:
                 pivot = chosen.select("band", "hash", F.col("rep").alias("p_rep"))
-                pair = members.select("band", "hash", "rep").join(pivot, ["band", "hash"])
+                pair = members.select("band", "hash", "rep").join(_sized(pivot, n_chosen), ["band", "hash"])
                 far = stored(pair.select("band", "hash", "rep", F.least("rep", "p_rep").alias("a"), F.greatest("rep", "p_rep").alias("b")
-                                         ).join(sims, ["a", "b"]).select("band", "hash", "rep", "sim"), "near-first-pivot")
-            if labels is not None:
-                links = links.unionByName(labels.select(F.col("node").alias("u"), F.col("root").alias("v")))
-            labels = components(links)
+                                         ).join(_sized(sims, n_pairs), ["a", "b"]).select("band", "hash", "rep", "sim"), "near-first-pivot")
+                n_far = far.count()
+            labels = merged(labels, n, sims.filter(F.col("sim") >= threshold).select(F.col("a").alias("u"), F.col("b").alias("v")))
     return labels
 
 
 def keep_one(docs: DataFrame, threshold: float = MIN_SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` that stand for their class (the smallest doc_id), one for repeated doc_ids; rows without
-    doc_id or text stay. All columns as they were."""
-    found = stored(classes(docs, threshold), "near-classes-of")
-    gone = found.filter(F.col("class_id") != F.col("doc_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    n = gone.count()
-    kept = docs.join(F.broadcast(gone) if n <= BROADCAST_ROWS else gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    twice = found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    if twice.isEmpty():
-        return kept
-    none = kept.filter(F.col("doc_id").isNull())
-    return kept.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(none)
+    """The rows of ``docs`` that stand for their class of texts; rows without doc_id or text stay. All columns as they were.
 
+    A class keeps one row: the smallest doc_id with its text, or the smaller text hash where that doc_id has several
+    texts in the class. So a doc_id with texts of two classes can keep a row of each. Of rows with one doc_id and
+    one text, one stays.
+    """
+    sigs, named = text_classes(docs, threshold)
+    copies = sigs.groupBy("doc_id", "t1", "t2").agg(F.count(F.lit(1)).alias("c"))
+    found = stored(copies.join(named, ["t1", "t2"]).select(
+        "doc_id", "t1", "t2", "c", (F.col("lead") & (F.col("doc_id") == F.col("doc"))).alias("stays")), "near-rows")
+    of_docs = [F.col("doc_id").cast("long").alias("__doc"), F.xxhash64("text").alias("__t1"), F.xxhash64(F.lit(7), "text").alias("__t2")]
+    keyed = docs.select("*", *of_docs)
+    gone = found.filter(~F.col("stays")).select(F.col("doc_id").alias("__doc"), F.col("t1").alias("__t1"), F.col("t2").alias("__t2"))
+    seen = found.agg(F.count_if(~F.col("stays")).alias("gone"), F.count_if(F.col("stays") & (F.col("c") > 1)).alias("twice")).first()
+    on = ["__doc", "__t1", "__t2"]
+    kept = keyed.join(_sized(gone, seen["gone"]), on, "left_anti")
+    if seen["twice"]:
+        whole = F.col("doc_id").isNotNull() & F.col("text").isNotNull()
+        kept = kept.filter(whole).dropDuplicates(on).unionByName(kept.filter(~whole))
+    return kept.select(*[f"`{c}`" for c in docs.columns])
