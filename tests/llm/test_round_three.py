@@ -266,3 +266,32 @@ def test_wide_vectors_have_exact_or_null_deviations(spark):
     want = [int(((n * row - s.astype(object)) ** 2).sum()) for row in x.astype(object)]
     got = {r["vec_id"]: r["deviation"] for r in out}
     assert all(got[i] == (w if w < 1 << 63 else None) for (i, _), w in zip(ok, want))
+
+
+def by_sql(docs, name):
+    """The query's SQL over the rows of ``docs``."""
+    import duckdb
+
+    from risklib.llm.queries import oracle_sql
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    return con.sql(oracle_sql()[name]).to_arrow_table().to_pylist()
+
+
+@pytest.mark.parametrize("n", [3, 90])
+def test_manifest_equals_its_sql(spark, n):
+    docs = fx.documents(spark, n).union(fx.awkward(spark))
+    got = [tuple(r[c] for c in MANIFEST) for r in merkle_manifest.verified_manifest(docs).collect()]
+    assert collections.Counter(got) == collections.Counter(tuple(r[c] for c in MANIFEST) for r in by_sql(docs, "op11_merkle_manifest"))
+
+
+def test_line_dedup_equals_its_sql(spark):
+    from risklib.llm.line_dedup import apply_bitmaps, keep_bitmaps
+    line = "This line of more than forty characters stands in many documents. "
+    docs = fx.documents(spark, 20).select("doc_id", F.concat("text", F.when(F.col("doc_id") % 2 == 0, F.lit(f"\n\t{line.upper()}\r\nend")).otherwise(
+        F.lit(f"\n{line}"))).alias("text"), "lang", "source", "n_chars")
+    docs = docs.union(spark.createDataFrame([(100, None, "en", "s", 1), (101, "", "en", "s", 1), (102, f"{line}\n{line}", "en", "s", 1)], fx.SCHEMA))
+    out = apply_bitmaps(docs, keep_bitmaps(docs)).select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+    cols = ["doc_id", "n_lines", "n_dropped", "kept_sha256"]
+    got = sorted(tuple(r[c] for c in cols) for r in out.collect())
+    assert got == sorted(tuple(r[c] for c in cols) for r in by_sql(docs, "op10_line_dedup")) and any(r[2] for r in got)
