@@ -1,16 +1,17 @@
 """Operator 1: language identification by a linear-chain conditional random field.
 
 Every word of a text gets a language. The emission scores of a word add learned
-weights of its affixes (1 to 3 characters at either end), character bigrams and
-trigrams, its shape, and its entry in a lexicon of frequent training words; a
-learned matrix scores the transitions between the languages of neighbouring
-words. Forward-backward gives the posterior of every word; a document's
+weights of its affixes (1 to 3 characters at either end), the bigrams and
+trigrams of all its characters, its shape, and its entry in a lexicon of frequent
+training words; a learned matrix scores the transitions between the languages of
+neighbouring words, from the pairwise posteriors of forward-backward. Forward-backward gives the posterior of every word; a document's
 language is the one with the largest posterior mass over its words, its score
 the share of that mass, so a code-switched text scores below a plain one.
 
-Training uses a bounded sample: about ``PER_LANG`` documents of each language,
-chosen by the hash of the key, and ``WINDOWS`` windows of ``WINDOW`` words of
-each. Half of the training chains join pieces of two languages, from which the
+Training uses a bounded sample: about ``PER_LANG`` documents of each of the
+``MAX_LANGS`` most frequent languages (ties by name), chosen by the hash of the
+key, and ``WINDOWS`` windows of ``WINDOW`` words of each, cut in the tasks (a word gives its first
+``TRAIN_CHARS`` characters to the sample; predictions use whole words). Half of the training chains join pieces of two languages, from which the
 transitions are learned.
 
 Forward-backward runs on all chains of a batch at once: chains are cut into
@@ -27,50 +28,77 @@ gives an empty result.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from risklib.llm.common import key_text, unit_draw
 
-PER_LANG, WINDOWS, WINDOW, MAX_LANGS = 400, 2, 48, 200
-BUCKETS, HEAD, LEX_MIN = 1 << 16, 14, 3
+PER_LANG, WINDOWS, WINDOW, MAX_LANGS, TRAIN_CHARS = 400, 2, 48, 200, 64
+BUCKETS, LEX_MIN = 1 << 16, 3
 EPOCHS, BATCH, RATE = 4, 32, 0.5
 BLOCK = 32
 SLICE_CHARS = 1_500_000
 STRIP = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~0123456789"
 
 
-def word_features(words: list[str], lexicon: dict[str, int]) -> np.ndarray:
-    """Feature buckets [words, features]; bucket 0 is 'none'."""
+def word_features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(start of every word's features [words + 1], feature buckets): every word has its buckets in a row."""
     low = [w.lower().strip(STRIP) for w in words]
     n = len(low)
     size = np.fromiter(map(len, low), np.int64, n)
-    # first HEAD characters, and the last three for suffixes
-    head = np.array([w[:HEAD] for w in low] or [""], dtype=f"U{HEAD}").view(np.uint32).reshape(max(n, 1), HEAD)[:n].astype(np.uint64)
-    tail = np.array([w[-3:].rjust(3, "\x00") for w in low] or [""], dtype="U3").view(np.uint32).reshape(max(n, 1), 3)[:n].astype(np.uint64)
-    width = np.minimum(size, HEAD)
+    text = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    begin = np.cumsum(size) - size
+    owner = np.repeat(np.arange(n), size)
+    left = size[owner] - (np.arange(len(text)) - begin[owner])  # characters from here to the word's end
 
     def bucket(kind, *chars):
-        h = np.full(n, kind, np.uint64)
+        h = np.full(len(chars[0]), kind, np.uint64)
         for c in chars:
             h = (h ^ c) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
         return (h % np.uint64(BUCKETS - 1)).astype(np.int64) + 1
 
-    out = []
+    whose, found = [], []
+
+    def add(who, values):
+        whose.append(who)
+        found.append(values)
+
     for k in range(3):
-        out.append(np.where(size > k, bucket(11 + k, *[head[:, j] for j in range(k + 1)]), 0))
-        out.append(np.where(size > k, bucket(21 + k, *[tail[:, 2 - j] for j in range(k + 1)]), 0))
-    for j in range(HEAD - 1):
-        out.append(np.where(width > j + 1, bucket(31, head[:, j], head[:, j + 1]), 0))
-    for j in range(HEAD - 2):
-        out.append(np.where(width > j + 2, bucket(41, head[:, j], head[:, j + 1], head[:, j + 2]), 0))
+        long = np.flatnonzero(size > k)
+        add(long, bucket(11 + k, *[text[begin[long] + j] for j in range(k + 1)]))
+        add(long, bucket(21 + k, *[text[begin[long] + size[long] - 1 - j] for j in range(k + 1)]))
+    for kind, k in ((31, 2), (41, 3)):
+        at = np.flatnonzero(left >= k)
+        add(owner[at], bucket(kind, *[text[at + j] for j in range(k)]))
     lex = np.fromiter((lexicon.get(w, 0) for w in low), np.int64, n)
-    out.append(np.where(lex > 0, bucket(51, lex.astype(np.uint64)), 0))
-    out.append(np.where(size > 0, bucket(61, np.minimum(size, 20).astype(np.uint64)), 0))
-    return np.stack(out, axis=1) if n else np.zeros((0, 37), np.int64)
+    known, some = np.flatnonzero(lex), np.flatnonzero(size)
+    add(known, bucket(51, lex[known].astype(np.uint64)))
+    add(some, bucket(61, np.minimum(size[some], 20).astype(np.uint64)))
+    whose, found = np.concatenate(whose), np.concatenate(found)
+    order = np.argsort(whose, kind="stable")
+    return np.concatenate([[0], np.cumsum(np.bincount(whose, minlength=n))]), found[order]
+
+
+def emissions(start: np.ndarray, buckets: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Sum of the weights of every word's features [words, languages]."""
+    owner = np.repeat(np.arange(len(start) - 1), np.diff(start))
+    out = np.empty((len(start) - 1, weights.shape[1]), np.float32)
+    for c in range(weights.shape[1]):
+        out[:, c] = np.bincount(owner, weights[buckets, c], len(start) - 1)
+    return out
+
+
+def of_words(start: np.ndarray, buckets: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The features of the words ``ids``, as ``word_features`` gives them."""
+    n = np.diff(start)[ids]
+    ends = np.cumsum(n)
+    return np.concatenate([[0], ends]), buckets[np.arange(int(n.sum())) - np.repeat(ends - n, n) + np.repeat(start[ids], n)]
 
 
 def has_letter(words: list[str]) -> np.ndarray:
@@ -79,9 +107,23 @@ def has_letter(words: list[str]) -> np.ndarray:
 
 def posteriors(emit: np.ndarray, trans: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Posterior of every word of the concatenated chains; every chain starts from a uniform label."""
-    n, k = emit.shape
-    if n == 0:
+    if not len(emit):
         return emit.copy()
+    forward, backward = forward_backward(emit, trans, lengths)
+    out = forward * backward
+    return out / out.sum(axis=1, keepdims=True)
+
+
+def pair_posteriors(emit: np.ndarray, trans: np.ndarray, forward: np.ndarray, backward: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Posterior [places, label before, label] of the words ``at`` and the words before them in their chains."""
+    psi = np.exp(emit[at] - emit[at].max(axis=1, keepdims=True)).astype(np.float64)
+    pair = forward[at - 1][:, :, None] * np.exp(trans - trans.max())[None] * (psi * backward[at])[:, None, :]
+    return pair / pair.sum(axis=(1, 2), keepdims=True)
+
+
+def forward_backward(emit: np.ndarray, trans: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward vectors (a word's own scores included) and backward vectors (without them), each up to a factor per word."""
+    n, k = emit.shape
     move = np.exp(trans - trans.max()).astype(np.float64)
     psi = np.exp(emit - emit.max(axis=1, keepdims=True)).astype(np.float64)
     blocks = -(-lengths // BLOCK)
@@ -115,7 +157,7 @@ def posteriors(emit: np.ndarray, trans: np.ndarray, lengths: np.ndarray) -> np.n
         cur = last[order[:np.searchsorted(-depth, -j, "left")]] - j
         v = np.einsum("ijk,ik->ij", whole[cur + 1], back[cur + 1])
         back[cur] = v / v.max(axis=1, keepdims=True)
-    alpha, a = np.empty((n_blocks, BLOCK, k)), into
+    alpha, beta, a = np.empty((n_blocks, BLOCK, k)), np.empty((n_blocks, BLOCK, k)), into
     for t in range(BLOCK):
         s = (a @ move) * pad[:, t]
         s /= np.maximum(s.sum(axis=1, keepdims=True), 1e-300)
@@ -123,24 +165,30 @@ def posteriors(emit: np.ndarray, trans: np.ndarray, lengths: np.ndarray) -> np.n
     b = back
     for t in range(BLOCK - 1, -1, -1):
         live = real[:, t, None]
-        alpha[:, t] *= b
+        beta[:, t] = b
         s = (b * pad[:, t]) @ move.T
         s /= np.maximum(s.max(axis=1, keepdims=True), 1e-300)
         b = np.where(live, s, b)
-    out = alpha[row, col]
-    return out / out.sum(axis=1, keepdims=True)
+    return alpha[row, col], beta[row, col]
 
 
-def train(sample: list[tuple[str, str]], langs: list[str], seed: int = 7) -> dict:
-    """Weights from (text, lang) rows: stochastic gradient ascent with per-weight step sizes."""
+def windows_of(text: str) -> list[list[str]]:
+    """At most ``WINDOWS`` windows of ``WINDOW`` words with letters; their places come from the text's checksum."""
+    words = [w[:TRAIN_CHARS] for w in text.split() if any(c.isalpha() for c in w)]
+    if not words:
+        return []
+    draw = np.random.default_rng(zlib.crc32(text.encode("utf-8", "surrogatepass")))
+    places = draw.integers(0, max(1, len(words) - WINDOW + 1), WINDOWS).tolist()
+    return [words[i:i + WINDOW] for i in places]
+
+
+def train(sample: list[tuple[list[list[str]], str]], langs: list[str], seed: int = 7) -> dict:
+    """Weights from (windows, lang) rows: stochastic gradient ascent with per-weight step sizes."""
     rng = np.random.default_rng(seed)
     pieces: dict[int, list[list[str]]] = {i: [] for i in range(len(langs))}
-    for text, lang in sample:
-        words = [w for w in text.split() if any(c.isalpha() for c in w)]
-        for _ in range(WINDOWS):
-            if words:
-                i = int(rng.integers(0, max(1, len(words) - WINDOW + 1)))
-                pieces[langs.index(lang)].append(words[i:i + WINDOW])
+    number = {lang: i for i, lang in enumerate(langs)}
+    for windows, lang in sample:
+        pieces[number[lang]] += windows
     seen: dict[str, int] = {}
     for ws in pieces.values():
         for w in (w for p in ws for w in p):
@@ -160,7 +208,7 @@ def train(sample: list[tuple[str, str]], langs: list[str], seed: int = 7) -> dic
             else:
                 chains.append((p, [i] * len(p)))
     vocab = {w: i for i, w in enumerate(sorted({w for c, _ in chains for w in c}))}
-    feats = word_features(list(vocab), lexicon)
+    start, buckets = word_features(list(vocab), lexicon)
     k = len(langs)
     weights, trans = np.zeros((BUCKETS, k)), np.zeros((k, k))
     sq_w, sq_t = np.full((BUCKETS, k), 1e-3), np.full((k, k), 1e-3)
@@ -169,25 +217,22 @@ def train(sample: list[tuple[str, str]], langs: list[str], seed: int = 7) -> dic
             ids = [np.array([vocab[w] for w in chains[c][0]]) for c in part]
             gold = np.concatenate([chains[c][1] for c in part])
             lengths = np.array([len(x) for x in ids])
-            f = feats[np.concatenate(ids)]
-            weights[0] = 0
-            emit = weights[f].sum(axis=1)
-            post = posteriors(emit, trans, lengths)
-            grad = -post
+            first, flat = of_words(start, buckets, np.concatenate(ids))
+            emit = emissions(first, flat, weights)
+            forward, backward = forward_backward(emit, trans, lengths)
+            post = forward * backward
+            grad = -post / post.sum(axis=1, keepdims=True)
             grad[np.arange(len(gold)), gold] += 1
-            flat = f.ravel()
             used, where = np.unique(flat, return_inverse=True)
-            g = np.stack([np.bincount(where, np.repeat(grad[:, c], f.shape[1]), len(used)) for c in range(k)], axis=1)
+            n_features = np.diff(first)
+            g = np.stack([np.bincount(where, np.repeat(grad[:, c], n_features), len(used)) for c in range(k)], axis=1)
             sq_w[used] += g * g
             weights[used] += RATE * g / np.sqrt(sq_w[used])
             inner = np.ones(len(gold), bool)
             inner[np.concatenate([[0], np.cumsum(lengths)[:-1]])] = False
-            idx = np.flatnonzero(inner)
-            # expected transitions, by the pairwise posteriors of neighbours
-            pair = post[idx - 1][:, :, None] * np.exp(trans)[None] * post[idx][:, None, :]
-            pair /= pair.sum(axis=(1, 2), keepdims=True)
-            gt = -pair.sum(axis=0)
-            np.add.at(gt, (gold[idx - 1], gold[idx]), 1)
+            at = np.flatnonzero(inner)
+            gt = -pair_posteriors(emit, trans, forward, backward, at).sum(axis=0)
+            np.add.at(gt, (gold[at - 1], gold[at]), 1)
             sq_t += gt * gt
             trans += RATE * gt / np.sqrt(sq_t)
     weights[0] = 0
@@ -201,10 +246,7 @@ def label_words(texts: list[str], model: dict):
     flat = [w for ws in words for w in ws]
     codes, uniq = pd.factorize(np.array(flat, dtype=object)) if flat else (np.zeros(0, np.int64), [])
     uniq = list(uniq)
-    f, weights = word_features(uniq, model["lexicon"]), model["weights"]
-    emit = np.zeros((len(uniq), weights.shape[1]), np.float32)
-    for j in range(f.shape[1]):
-        emit += weights[f[:, j]]
+    emit = emissions(*word_features(uniq, model["lexicon"]), model["weights"])
     letters = has_letter(uniq)
     emit[~letters] = 0
     some = lengths > 0
@@ -237,17 +279,22 @@ def predict(texts: list[str | None], model: dict) -> tuple[list[str], list[float
 
 
 def fit(labelled: DataFrame, per_lang: int = PER_LANG) -> dict:
-    """A model from rows (doc_id, text, lang); about ``per_lang`` rows of each language reach the driver."""
+    """A model from rows (doc_id, text, lang); the windows of about ``per_lang`` rows of each language reach the driver."""
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(
-        F.desc("n"), "lang").limit(MAX_LANGS + 1).collect()}
-    if len(counts) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
+        F.desc("n"), "lang").limit(MAX_LANGS).collect()}
     if not counts:
         return {"langs": []}
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_lang / n))])
-    picked = rows.filter(unit_draw(F.lit("crf"), key_text(F.col("doc_id"))) < F.element_at(share, F.col("lang")))
-    sample = sorted((r["text"], r["lang"]) for r in picked.select("text", "lang").collect())
+    picked = rows.filter(unit_draw(F.lit("crf"), key_text(F.col("doc_id"))) < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)))
+
+    def cut(batches):
+        for b in batches:
+            yield pa.record_batch({"windows": pa.array([windows_of(t) for t in b.column(0).to_pylist()], pa.list_(pa.list_(pa.string()))),
+                                   "lang": b.column(1)})
+
+    found = picked.select("text", "lang").mapInArrow(cut, "windows array<array<string>>, lang string").collect()
+    sample = sorted((r["windows"], r["lang"]) for r in found)
     return train(sample, sorted({lang for _, lang in sample})) if sample else {"langs": []}
 
 

@@ -71,6 +71,40 @@ def test_blocked_forward_backward_equals_the_plain_recursion():
         assert np.allclose(crf_language.posteriors(emit, trans, np.array(lengths)), plain_posteriors(emit, trans, lengths))
 
 
+def test_pair_posteriors_equal_enumeration():
+    rng = np.random.default_rng(5)
+    for n, k in ((2, 2), (6, 3), (7, 2)):
+        emit, trans = rng.normal(size=(n, k)), rng.normal(size=(k, k)) * 2
+        want, total = np.zeros((n - 1, k, k)), 0.0
+        for path in itertools.product(range(k), repeat=n):
+            p = np.exp(sum(emit[i, y] for i, y in enumerate(path)) + sum(trans[a, b] for a, b in zip(path, path[1:]))) * np.exp(trans[:, path[0]]).sum()
+            total += p
+            for i in range(1, n):
+                want[i - 1, path[i - 1], path[i]] += p
+        lengths = np.array([n, 3])
+        both = np.concatenate([emit, rng.normal(size=(3, k))])
+        forward, backward = crf_language.forward_backward(both, trans, lengths)
+        assert np.allclose(crf_language.pair_posteriors(both, trans, forward, backward, np.arange(1, n)), want / total)
+
+
+def test_every_character_of_a_word_counts(spark):
+    """Texts without spaces, also with a beginning in another language."""
+    model = crf_language.fit(fx.documents(spark, 240))
+    rng = random.Random(31)
+    glued = [fx.prose(rng, "de", 40).replace(" ", "").replace("\n", "") for _ in range(30)]
+    langs, _ = crf_language.predict(glued + ["thestonehouses" + g for g in glued], model)
+    assert langs.count("de") >= 58
+    start, buckets = crf_language.word_features(["abcdefghij" * 50], {})
+    assert len(buckets) == 6 + 499 + 498 + 1 and start.tolist() == [0, len(buckets)]
+
+
+def test_any_number_of_language_names(spark):
+    docs = fx.documents(spark, 90)
+    rare = spark.createDataFrame([(1000 + i, "zzz qqq xxx", f"rare{i}", "s", 1) for i in range(crf_language.MAX_LANGS + 40)], fx.SCHEMA)
+    model = crf_language.fit(docs.union(rare))
+    assert len(model["langs"]) <= crf_language.MAX_LANGS and {"en", "de", "fr"} <= set(model["langs"])
+
+
 def test_languages_are_found_and_mixed_texts_score_lower(spark):
     docs = fx.documents(spark, 120)
     out = {r["doc_id"]: r for r in crf_language.identify(docs).collect()}
@@ -149,11 +183,50 @@ def test_near_duplicate_classes_match_brute_force(spark):
     assert {r["doc_id"]: r["class_id"] for r in out if r["doc_id"] is not None} == {d: want.get(d, d) for d, _ in rows if d is not None}
     kept = bagminhash.keep_one(docs)
     assert kept.columns == docs.columns
-    ids = [r["doc_id"] for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == sorted({want.get(d, d) for d, _ in rows if d is not None})
+    check_kept(rows, [(r["doc_id"], r["text"]) for r in kept.collect()])
     assert bagminhash.classes(fx.empty(spark)).count() == 0 and bagminhash.keep_one(fx.empty(spark)).count() == 0
 
 
+def check_kept(rows, kept):
+    """One row of every class of texts is kept, with the class's smallest doc_id, and every row without doc_id or text."""
+    whole = lambda r: r[0] is not None and r[1] is not None
+    assert sorted(map(str, (r for r in kept if not whole(r)))) == sorted(map(str, (r for r in rows if not whole(r))))
+    texts = sorted({t for d, t in rows if d is not None and t is not None})
+    of = brute_classes(list(enumerate(texts)))
+    names = {t: of[i] for i, t in enumerate(texts)}
+    least = {}
+    for d, t in filter(whole, rows):
+        least[names[t]] = min(d, least.get(names[t], d))
+    assert sorted((names[t], d) for d, t in filter(whole, kept)) == sorted(least.items())
+
+
+def test_no_text_is_lost_where_a_doc_id_has_several(spark):
+    """The review's rows: unrelated texts under one doc_id, whose copies stand under others."""
+    rng = random.Random(21)
+    a, u, v = (fx.prose(rng, lang, 90) for lang in ("en", "de", "fr"))
+    rows = [(3, a), (5, a), (5, u), (8, v), (8, u + " noch"), (9, v + " encore"), (9, v + " encore"), (8, v), (12, fx.prose(rng, "en", 60)),
+            (12, fx.prose(rng, "de", 60)), (None, a), (3, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k}", k) for k, (i, t) in enumerate(rows)], fx.SCHEMA)
+    kept = bagminhash.keep_one(fx.with_clashes(docs))
+    assert kept.columns == fx.with_clashes(docs).columns
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    check_kept(rows, got)
+    assert sorted(d for d, t in got if d is not None and t is not None) == [3, 5, 8, 12, 12]
+
+
+def test_jobs_end_with_the_open_buckets(spark):
+    """Texts without a duplicate cost no rounds of pivots."""
+    docs = fx.documents(spark, 40, seed=77)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("alone", "texts without duplicates")
+    try:
+        assert bagminhash.classes(docs).filter("class_id <> doc_id").count() == 0
+        jobs = len(tracker.getJobIdsForGroup("alone"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 20
+
+
 def test_a_doc_id_with_two_texts_keeps_the_links_of_each(spark):
     rng = random.Random(14)
     a, b = fx.prose(rng, "en", 80).split(), fx.prose(rng, "de", 400).split()
@@ -227,6 +300,48 @@ def test_decontamination_finds_planted_items_and_leaves_others(spark):
     assert simhash_decontam.matches(fx.empty(spark), bench).count() == 0
 
 
+def test_an_item_without_an_id_counts(spark):
+    rng = random.Random(17)
+    text = fx.prose(rng, "fr", 50)
+    bench = spark.createDataFrame([(None, text), (None, None), (4, fx.prose(rng, "de", 40))], BENCH)
+    docs = spark.createDataFrame([(1, text, "fr", "s", 1), (2, fx.prose(rng, "en", 50), "en", "s", 1)], fx.SCHEMA)
+    assert [(r["doc_id"], r["item_id"]) for r in simhash_decontam.matches(docs, bench).collect()] == [(1, None)]
+    assert [r["doc_id"] for r in simhash_decontam.keep_clean(docs, bench).collect()] == [2]
+
+
+def test_windows_near_shared_shingles_are_all_windows(monkeypatch):
+    """Looking only near shared shingles changes nothing, and nothing found is missing from all places of all items."""
+    rng = random.Random(23)
+    items = [(i, fx.prose(rng, "fr", rng.randint(5, 130)).replace("e", f"e{i}")) for i in range(25)] + [(90, "two words"), (91, "one"), (92, "a b c d")]
+    texts = ["", "one", "two words"]
+    for _ in range(120):
+        host, words = fx.prose(rng, "en", rng.randint(0, 150)).split(), items[rng.randrange(len(items))][1].split()
+        for _ in range(rng.randint(0, len(words) // 12)):
+            words[rng.randrange(len(words))] = "changed"
+        at = rng.randint(0, len(host))
+        texts.append(" ".join(host[:at] + words + host[at:]))
+    index = simhash_decontam.build_items(items)
+    near = simhash_decontam.scan_texts(texts, index)
+    two = [simhash_decontam.build_items(items[:10], index["weights"]), simhash_decontam.build_items(items[10:], index["weights"])]
+    # block by block the window sizes differ, and with them which of several equal places is met
+    assert {(d, i): s for d, i, _, _, s in simhash_decontam.scan_texts(texts, two)} == {(d, i): s for d, i, _, _, s in near}
+    monkeypatch.setattr(simhash_decontam, "near_shared", lambda words, *rest: np.arange(len(words)))
+    assert simhash_decontam.scan_texts(texts, index) == near
+    best = {}
+    for d, t in enumerate(texts):
+        words, counts = bytehash.words_of([t.lower().encode()])
+        for i in range(len(items)):
+            n = min(int(index["lengths"][i]), len(words))
+            for at in range(len(words) - n + 1 if n else 0):
+                sh, _ = bytehash.shingles_of(words[at:at + n], np.array([n]))
+                s = simhash_decontam.similarity(np.unique(sh, return_counts=True), index["bags"][i], index["weights"])
+                if s >= simhash_decontam.MIN_SIMILARITY and s > best.get((d, i), 0.0):
+                    best[d, i] = s
+    found = {(d, i): s for d, i, _, _, s in near}
+    assert set(found) <= set(best) and all(s <= best[p] + 1e-12 for p, s in found.items())
+    assert len(set(best) - set(found)) <= 0.01 * len(best)
+
+
 def damaged(rng, words, how, similarity=0.8):
     """A copy with so many words replaced that at least ``similarity`` of the shingles' weighted Jaccard is left."""
     n = len(words)
