@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from risklib.functions.exprs import cut, flag, period_of_day_a, PERIOD_LABELS_PT, weekday
 from risklib.operators.features import resolve_timestamp
-from risklib.operators.keyed import (HOUR_US, ROWS_PER_PART, attach_stats, fits_time_buckets, range_counts_probe,
-                                     sequence_stage)
+from risklib.operators.keyed import (HOUR_US, ROWS_PER_PART, attach_stats, fits_time_buckets, probe_counts, range_counts_by_time,
+                                     with_range_counts)
 from risklib.schema import AMOUNT, CARD, ID, TS
 
 # Weights and thresholds of the composite scores.
@@ -59,19 +59,20 @@ def transaction_velocity_features(df: DataFrame, time_windows=(1, 6, 24), key_co
     ranges = {f"tx_count_{w}h": (-int(w * HOUR_US), -1) for w in time_windows}
     if method == "auto":
         method = "context" if fits_time_buckets(df, key_columns, TS, bucket_hours, rows_per_part) else "volume"
+    keys = list(key_columns)
     if method == "volume":
-        out = range_counts_probe(df, list(key_columns), TS, ID, ranges, rows_per_part=rows_per_part)
+        counts = probe_counts(df, keys, TS, ranges, rows_per_part=rows_per_part)
     elif method == "probe":
-        out = range_counts_probe(df, list(key_columns), TS, ID, ranges, bucket_hours=bucket_hours)
+        counts = probe_counts(df, keys, TS, ranges, bucket_hours=bucket_hours)
     else:
-        out = sequence_stage(df, list(key_columns), TS, ID, ranges=ranges, bucket_hours=bucket_hours)
-        out = out.drop("_prev", "_us")
-    out = out.withColumns({f"tx_count_{w}h": F.col(f"tx_count_{w}h").cast("long")
-                                               for w in time_windows})
-    # p95 of each count, fitted by one aggregate (column-pruned: only keys, time and the counts are
-    # read) and bound as literals; percentile's buffer is bounded by the number of distinct counts
-    p95 = out.agg(*[F.percentile(f"tx_count_{w}h", VELOCITY_QUANTILE).alias(str(w)) for w in time_windows]).first()
-    return out.withColumns({f"high_velocity_{w}h": flag(F.col(f"tx_count_{w}h") > F.lit(p95[str(w)]))
+        counts = range_counts_by_time(df, keys, TS, ranges, bucket_hours)
+    # p95 of each count over all rows, from one narrow row per key and time; its buffer is bounded by the number of
+    # distinct counts
+    untimed = df.where(F.col(TS).isNull()).agg(*[F.lit(0).cast("long").alias(n) for n in ranges], F.count(F.lit(1)).alias("_rows")).where("_rows > 0")
+    spread = counts.select(*ranges, "_rows").unionByName(untimed.select(*ranges, "_rows"))
+    p95 = spread.agg(*[F.percentile(n, F.lit(VELOCITY_QUANTILE), F.col("_rows")).alias(n) for n in ranges]).first()
+    out = with_range_counts(df, keys, TS, counts, list(ranges))
+    return out.withColumns({f"high_velocity_{w}h": flag(F.col(f"tx_count_{w}h") > F.lit(p95[f"tx_count_{w}h"]))
                             for w in time_windows})
 
 
@@ -82,25 +83,18 @@ def _freq_map(df: DataFrame, key: str, value_col, name: str) -> DataFrame:
                               F.sum("_c").alias(f"{name}_total"))
 
 
-def _hour_dow_maps(df: DataFrame) -> DataFrame:
-    hm = _freq_map(df, CARD, F.hour(TS), "_hour")
-    dm = (df.where(F.col(TS).isNotNull()).groupBy(CARD, weekday(TS).alias("_v"))
-            .agg(F.count(F.lit(1)).alias("_c"))
-            .groupBy(CARD).agg(F.map_from_entries(F.collect_list(F.struct("_v", "_c"))).alias("__dow_map")))
-    return hm.join(dm, CARD, "left")
+def _time_maps() -> list:
+    """Aggregates of a card: its rows by hour and by weekday as maps, and its rows with a time."""
+    def by(value, n):
+        return F.map_from_arrays(F.array(*[F.lit(i) for i in range(n)]), F.array(*[F.count_if(value == i) for i in range(n)]))
+    return [by(F.hour(TS), 24).alias("_hour_map"), F.count(TS).alias("_hour_total"), by(weekday(TS), 7).alias("__dow_map")]
 
 
 def card_profile(df: DataFrame, mcc: str = "mcc") -> DataFrame:
-    """All card-level statistics of FE2 in one card-keyed table (aggregates joined on the same key,
-    so they are co-partitioned): amount mean/sd, MCC / hour / weekday count maps."""
-    st = df.groupBy(CARD).agg(F.avg(AMOUNT).alias("_m"), F.stddev_samp(AMOUNT).alias("_sd"))
-    parts = [st, _hour_dow_maps(df)]
-    if mcc in df.columns:
-        parts.append(_freq_map(df, CARD, F.col(mcc), "_mcc"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(p, CARD, "left")
-    return out
+    """All card-level statistics of FE2 in one card-keyed table: amount mean/sd and hour / weekday counts from one
+    grouped pass, MCC counts (any number of values) from a second on the same key."""
+    st = df.groupBy(CARD).agg(F.avg(AMOUNT).alias("_m"), F.stddev_samp(AMOUNT).alias("_sd"), *_time_maps())
+    return st.join(_freq_map(df, CARD, F.col(mcc), "_mcc"), CARD, "left") if mcc in df.columns else st
 
 
 # ---------------------------------------------------------------- AGG10/AGG6/JN3/SCO1
@@ -130,7 +124,7 @@ def temporal_pattern_features(df: DataFrame) -> DataFrame:
                          "is_weekend": flag(weekday(TS) >= 5), "period_of_day": period_of_day_a(h, PERIOD_LABELS_PT)})
     if CARD in df.columns:
         if "_hour_map" not in df.columns:  # not pre-joined by create_all_advanced_features
-            df = attach_stats(df, _hour_dow_maps(df), [CARD])
+            df = attach_stats(df, df.groupBy(CARD).agg(*_time_maps()), [CARD])
         # the weekday share is divided by the card's hour-count total, as in the reference
         hf = F.try_divide(F.try_element_at("_hour_map", F.col("hour")).cast("double"), F.col("_hour_total"))
         dfq = F.try_divide(F.try_element_at("__dow_map", F.col("day_of_week")).cast("double"), F.col("_hour_total"))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from risklib.functions.exprs import safe_div
-from risklib.operators.keyed import attach_stats
+from risklib.operators.keyed import attach_stats, written
 from risklib.operators.quantiles import bin_of, fit_quantiles
 
 Y, P = "true_label", "fraud_probability"
@@ -86,9 +86,19 @@ def score_table(df: DataFrame, group_cols: Sequence[str] = (), y: str = Y, p: st
     g = list(group_cols)
     if not g:  # a constant group keeps every step a keyed join (no cross join)
         return score_table(df.withColumn("_g", F.lit(0)), ["_g"], y, p, buckets).drop("_g")
-    s = (df.where(F.col(p).isNotNull()).groupBy(*g, F.col(p).alias("score"))
-           .agg(F.sum(F.col(y).cast("long")).alias("pos"), F.sum(1 - F.col(y).cast("long")).alias("neg")))
-    edges = score_ranges(df, p, buckets)
+    return _ranked_scores(score_counts(df, g, y, p), g, buckets)
+
+
+def score_counts(df: DataFrame, group_cols: Sequence[str], y: str = Y, p: str = P) -> DataFrame:
+    """Distinct (group, score) with pos/neg counts, written once: the rows are read here and not again. Rows without a
+    score are a null score."""
+    return written(df.groupBy(*group_cols, F.col(p).alias("score")).agg(
+        F.sum(F.col(y).cast("long")).alias("pos"), F.sum(1 - F.col(y).cast("long")).alias("neg")), "scores")
+
+
+def _ranked_scores(s: DataFrame, g: list[str], buckets: int = 1024) -> DataFrame:
+    s = s.where("score IS NOT NULL")
+    edges = score_ranges(s, "score", buckets)
     s = (Bucketizer(splits=edges, inputCol="score", outputCol="_bk", handleInvalid="keep").transform(s)
          if len(edges) > 2 else s.withColumn("_bk", F.lit(0.0)))
     bt = s.groupBy(*g, "_bk").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
@@ -110,7 +120,10 @@ def ranking_metrics(df: DataFrame, group_cols: Sequence[str] = (), y: str = Y, p
     g = list(group_cols)
     if not g:
         return ranking_metrics(df.withColumn("_g", F.lit(0)), ["_g"], y, p).drop("_g")
-    st = score_table(df, g, y, p)
+    return _ranking(score_table(df, g, y, p), g)
+
+
+def _ranking(st: DataFrame, g: list[str]) -> DataFrame:
     tp = F.col("P") - F.col("pos_below")          # positives with score >= s
     fp = F.col("N") - F.col("neg_below")
     sc = F.col("score")
@@ -241,9 +254,13 @@ def class_report(df: DataFrame, threshold: float = 0.5, y: str = Y, p: str = P)
 
 # ---------------------------------------------------------------- EVA16/EVA17
 def compare_models(scored_long: DataFrame, model_col: str = "model", threshold: float = 0.5) -> DataFrame:
-    m = classification_metrics(scored_long, threshold, [model_col]).select(
-        model_col, "accuracy", "precision", "recall", "f1")
-    r = ranking_metrics(scored_long, [model_col])
+    """Threshold and ranking metrics per model, all from the table of distinct scores: one pass over the rows."""
+    s = score_counts(scored_long, [model_col])
+    hit = F.col("score") >= threshold
+    counts = s.groupBy(model_col).agg(*[F.sum(F.when(c, F.col(n)).otherwise(0)).alias(name) for name, c, n in (
+        ("tp", hit, "pos"), ("fp", hit, "neg"), ("tn", ~hit, "neg"), ("fn", ~hit, "pos"))])
+    m = metrics_from_counts(counts).select(model_col, "accuracy", "precision", "recall", "f1")
+    r = _ranking(_ranked_scores(s, [model_col]), [model_col])
     return attach_stats(m, r, [model_col], null_safe=True).orderBy(F.desc("roc_auc"), model_col)
 
 

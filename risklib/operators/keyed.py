@@ -143,6 +143,7 @@ def cut_by_volume(u: DataFrame, keys: Sequence[str], pos: str, rows_per_part: in
     at = [i / parts for i in range(1, parts)]
     edges = (attach_stats(timed, hot, keys, null_safe=True).where(F.col("_n").isNotNull())
              .groupBy(*keys).agg(F.percentile_approx(pos, at, 10 * parts).alias("_edges")))
+    edges = written(edges, "part-edges")  # a sketch depends on the order of its merges; every reader must see the same parts
     steps = F.array(*[F.lit(1 << k) for k in reversed(range(parts.bit_length()))])
     below = F.aggregate(steps, F.lit(0), lambda i, step: F.when(
         F.try_element_at(F.col("_edges"), i + step) < F.col(pos), i + step).otherwise(i))
@@ -263,10 +264,49 @@ def hash_rank(df: DataFrame, part_cols: Sequence[str], key_col: str, seed: int =
              .drop("_h", "_hb", "_rn", "_off"))
 
 
+def _times(df: DataFrame, keys: Sequence[str], us: Column) -> DataFrame:
+    """(keys, _us, _rows): the distinct times of every key and their rows."""
+    return df.select(*keys, us.alias("_us")).where(F.col("_us").isNotNull()).groupBy(*keys, "_us").agg(F.count(F.lit(1)).alias("_rows"))
+
+
+def with_range_counts(df: DataFrame, keys: Sequence[str], ts_col: str, counts: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The rows with their counts from a table by (keys, _us); rows without a time count 0."""
+    out = attach_stats(df.withColumn("_us", F.unix_micros(F.col(ts_col))), counts.select(*keys, "_us", *names), [*keys, "_us"], null_safe=True)
+    return out.drop("_us").withColumns({n: F.coalesce(F.col(n), F.lit(0)).cast("long") for n in names})
+
+
+def range_counts_by_time(df: DataFrame, keys: Sequence[str], ts_col: str, ranges: dict[str, tuple[int, int]],
+                         bucket_hours: float = 168) -> DataFrame:
+    """(keys, _us, _rows, counts): rows of the key in [t + lo, t + hi] at each of its times, from windows over time buckets.
+
+    Only distinct (key, time) rows take part; those within the longest range before a bucket are copied into it.
+    """
+    keys = list(keys)
+    bucket_us = int(bucket_hours * HOUR_US)
+    back = max(-lo for lo, _ in ranges.values())
+    if back > bucket_us or any(hi > 0 for _, hi in ranges.values()):
+        raise ValueError("bucket_hours is shorter than the longest look-back; use range_counts_probe")
+    base = _times(df, keys, F.unix_micros(F.col(ts_col))).withColumn("_b", F.floor(F.col("_us") / F.lit(bucket_us)))
+    copied = base.where(F.col("_us") >= (F.col("_b") + 1) * F.lit(bucket_us) - F.lit(back)).withColumns(
+        {"_b": F.col("_b") + 1, "_own": F.lit(False)})
+    u = base.withColumn("_own", F.lit(True)).unionByName(copied)
+    at = Window.partitionBy(*keys, "_b").orderBy("_us")
+    return u.withColumns({n: F.coalesce(F.sum("_rows").over(at.rangeBetween(lo, hi)), F.lit(0)) for n, (lo, hi) in ranges.items()}).where(
+        "_own").select(*keys, "_us", "_rows", *ranges)
+
+
 def range_counts_probe(df: DataFrame, keys: Sequence[str], ts_col: str, id_col: str,
                        ranges: dict[str, tuple[int, int]], bucket_hours: float = 1.0,
                        rows_per_part: int | None = None) -> DataFrame:
-    """Exact per-row counts of the key's rows in [t + lo, t + hi] (microsecond offsets), without context rows.
+    """The rows with the counts of ``probe_counts``."""
+    counts = probe_counts(df, keys, ts_col, ranges, bucket_hours, rows_per_part)
+    return with_range_counts(df, keys, ts_col, counts, list(ranges))
+
+
+def probe_counts(df: DataFrame, keys: Sequence[str], ts_col: str, ranges: dict[str, tuple[int, int]], bucket_hours: float = 1.0,
+                 rows_per_part: int | None = None) -> DataFrame:
+    """(keys, _us, _rows, counts): exact counts of the key's rows in [t + lo, t + hi] (microsecond offsets) at each of its
+    times, without context rows.
 
     count = C(t + hi) - C(t + lo - 1), where C(x) = rows of the key with time <= x.
     Each row emits one narrow probe per distinct offset. Probes and rows are
@@ -285,11 +325,11 @@ def range_counts_probe(df: DataFrame, keys: Sequence[str], ts_col: str, id_col:
     bucket_us = int(bucket_hours * HOUR_US)
     offs = sorted({hi for _, hi in ranges.values()} | {lo - 1 for lo, _ in ranges.values()})
     us = F.unix_micros(F.col(ts_col))
-    real = (df.select(*keys, us.alias("_pos")).where(F.col("_pos").isNotNull()).groupBy(*keys, "_pos")
-              .agg(F.count(F.lit(1)).alias("_rows")).withColumns({"_kind": F.lit(0), "_o": F.lit(None).cast("long"), "_us": F.col("_pos")}))
-    probes = (real.select(*keys, "_us", F.explode(F.array(*[F.lit(o).cast("long") for o in offs])).alias("_o"))
-                  .withColumns({"_pos": F.col("_us") + F.col("_o"), "_kind": F.lit(1), "_rows": F.lit(0).cast("long")}))
-    u = real.unionByName(probes)
+    times = _times(df, keys, us)
+    real = times.withColumns({"_pos": F.col("_us"), "_kind": F.lit(0), "_o": F.lit(None).cast("long")})
+    probes = (real.select(*keys, "_us", "_rows", F.explode(F.array(*[F.lit(o).cast("long") for o in offs])).alias("_o"))
+                  .withColumns({"_pos": F.col("_us") + F.col("_o"), "_kind": F.lit(1), "_of": F.col("_rows"), "_rows": F.lit(0).cast("long")}))
+    u = real.withColumn("_of", F.lit(0).cast("long")).unionByName(probes)
     u = (cut_by_volume(u, keys, "_pos", rows_per_part) if rows_per_part is not None
          else u.withColumn("_b", F.floor(F.col("_pos") / F.lit(bucket_us))))
     w = Window.partitionBy(*keys, "_b").orderBy("_pos", "_kind").rowsBetween(Window.unboundedPreceding, 0)
@@ -298,11 +338,9 @@ def range_counts_probe(df: DataFrame, keys: Sequence[str], ts_col: str, id_col:
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     bt = bt.select(*keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_pre"))
     pr = (attach_stats(u.where(F.col("_kind") == 1), bt, keys + ["_b"], null_safe=True)
-           .select(*keys, "_us", "_o", (F.col("_pre") + F.col("_inb")).alias("_cle")))
-    res = pr.groupBy(*keys, "_us").agg(*[F.max(F.when(F.col("_o") == o, F.col("_cle"))).alias(f"_c{i}")
+           .select(*keys, "_us", "_o", "_of", (F.col("_pre") + F.col("_inb")).alias("_cle")))
+    res = pr.groupBy(*keys, "_us").agg(F.max("_of").alias("_rows"), *[F.max(F.when(F.col("_o") == o, F.col("_cle"))).alias(f"_c{i}")
                                          for i, o in enumerate(offs)])
-    out = attach_stats(df.withColumn("_us", us), res, [*keys, "_us"], null_safe=True).drop("_us")
     idx = {o: i for i, o in enumerate(offs)}
-    cols = {name: F.coalesce(F.col(f"_c{idx[hi]}") - F.col(f"_c{idx[lo - 1]}"), F.lit(0)).cast("long")
-            for name, (lo, hi) in ranges.items()}
-    return out.withColumns(cols).drop(*[f"_c{i}" for i in range(len(offs))])
+    return res.select(*keys, "_us", "_rows", *[
+        F.coalesce(F.col(f"_c{idx[hi]}") - F.col(f"_c{idx[lo - 1]}"), F.lit(0)).cast("long").alias(name) for name, (lo, hi) in ranges.items()])
