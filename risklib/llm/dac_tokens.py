@@ -13,8 +13,8 @@ document keys, u8 null flags, u64 ends (ids up to and with each document); then
 per level u64 chunks, the chunks, and but for the last level the bitmap in u64
 words and the u64 rank directory.
 
-Jobs: texts are tokenised where they are read (each distinct piece between
-spaces once per worker, see ``piece_encoder``) and written as narrow rows; those are
+Jobs: texts are tokenised where they are read (each distinct part once per
+worker, see ``text_encoder``) and written as narrow rows; those are
 range-partitioned by document and packed into files of about ``FILE_IDS``
 ids. A document is never split, so a file holds at most that many ids and one
 document more. The files are rows of a Parquet table (part, seq, start in the
@@ -29,6 +29,8 @@ ignored. doc_ids are whole numbers; ids take up to 32 bits.
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import zlib
 
@@ -44,7 +46,7 @@ MAGIC = b"DAC1"
 CHUNK_BITS, BLOCK_BITS = 8, 512
 FILE_IDS = 1 << 18
 END_ID = 1
-MEMO_PIECES, MEMO_CHARS = 300_000, 48
+MEMO_PARTS, MEMO_CHARS = 300_000, 48
 BROADCAST_ROWS = 1_000_000
 
 
@@ -151,81 +153,147 @@ class DacFile:
 
 
 class _Memo(dict):
-    """Ids of pieces as bytes; at most MEMO_PIECES short ones are kept."""
+    """Values by key, computed where missing; at most ``limit`` recent ones twice over: when full, they become the older half, and
+    what is used of that comes back."""
 
-    def __init__(self, encode):
+    def __init__(self, compute, limit: int):
         super().__init__()
-        self.encode = encode
+        self.compute, self.limit, self.older = compute, limit, {}
 
-    def __missing__(self, piece):
-        ids = np.array(self.encode(piece, add_special_tokens=False).ids, "<u4").tobytes() if piece else b""
-        if len(piece) <= MEMO_CHARS:
-            if len(self) >= MEMO_PIECES:
-                self.clear()
-            self[piece] = ids
-        return ids
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.compute(key)
+            if len(key) > MEMO_CHARS:
+                return value
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 def spaces_separate(spec: dict) -> bool:
     """Whether the vocabulary file drops white space before any merge, so that pieces between spaces encode on their own."""
     normal = spec.get("normalizer") or {}
     steps = normal.get("normalizers", [normal])
-    split = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
+    steps_before = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+    split, levels = steps_before[0], steps_before[1:]
     pattern = split.get("pattern", {}).get("Regex", "")
     return (all(s.get("type") in ("NFC", "Lowercase", "Replace") for s in steps)
             and split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert") is True
-            and "\\s" in pattern and pattern.endswith("[^\\s\\p{L}\\p{N}]+")
+            and len(levels) == 1 and levels[0].get("type") == "ByteLevel" and not levels[0].get("add_prefix_space")
+            and not levels[0].get("use_regex") and spec["model"].get("type") == "BPE" and "\\s" in pattern and pattern.endswith("[^\\s\\p{L}\\p{N}]+")
             and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] or "\n" in t["content"]
                         for t in spec.get("added_tokens", [])))
 
 
-def piece_encoder(spec_text: str):
-    """A function from text to the library's ids as little-endian u32 bytes.
+# Characters whose class, case and composed form no Unicode version changes: Latin letters, digits, common signs.
+_LETTERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017f"
+_DIGITS = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+_SIGNS = "!-/:-@\\[-`{-~\u00a1-\u00a9\u00ab-\u00ac\u00ae-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf\u00d7\u00f7\u2013\u2014\u2018-\u201e\u2026\u20ac"
+PLAIN = re.compile(f"[{_LETTERS}{_DIGITS}{_SIGNS} \\t\\n\\x0b\\x0c\\r]*")
+#: The parts that the vocabulary file's pattern cuts a plain text into (fixed value: its alternatives, in their order).
+PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[{_SIGNS}]+")
+PARTS_WITHOUT_QUOTES = re.compile(f"[{_LETTERS}]+|[{_DIGITS}]|[{_SIGNS}]+")
+ODD = "\x00"  # marks a piece that goes to the library as it is; no plain part has it
+
+
+def text_encoder(spec_text: str):
+    """A function from texts to the library's ids as little-endian u32 bytes.
 
     Where the vocabulary file drops white space before merging, a token never
-    spans a space or line end; each distinct piece is then encoded once.
-    Other files get whole texts.
+    spans a space or line end, and plain text falls into the parts of its pattern. Each distinct
+    part goes once per worker through the library's merges. In texts with other characters, or with a special
+    token's beginning, the pieces between spaces that have them go through the whole library.
+    Files that keep white space get whole texts.
     """
-    import json
-
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_str(spec_text)
     library.no_truncation()
     library.no_padding()
-    memo = _Memo(library.encode)
-    if spaces_separate(json.loads(spec_text)):
-        return lambda text: b"".join(map(memo.__getitem__, text.replace("\n", " ").split(" ")))
-    return lambda text: np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def alone(text):
+        return np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    if not spaces_separate(json.loads(spec_text)):
+        return lambda texts: [alone(t) for t in texts]
+    merge = library.model.tokenize
+    # the byte-level stand-ins of the 256 bytes: printable ones stand for themselves
+    plain_bytes = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = (b for b in range(256) if b not in set(plain_bytes))
+    stand_in = {b: chr(b) for b in plain_bytes} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+    def ids_of(part):
+        if part[0] == ODD:
+            return alone(part[1:])
+        if not part.isascii():
+            part = "".join([stand_in[b] for b in part.encode()])
+        got = merge(part)
+        return struct.pack(f"<{len(got)}I", *[t.id for t in got])
+
+    parts = _Memo(ids_of, MEMO_PARTS)
+
+    def plain(text):
+        return "<|" not in text and PLAIN.fullmatch(text) is not None
+
+    def cut(text):
+        low = text.lower()
+        return (PARTS if "'" in low else PARTS_WITHOUT_QUOTES).findall(low)
+
+    def encode(text):
+        if plain(text):
+            return b"".join(map(parts.__getitem__, cut(text)))
+        out = []
+        for piece in text.replace("\n", " ").split(" "):
+            if plain(piece):
+                out += cut(piece)
+            else:
+                out.append(ODD + piece)
+        return b"".join(map(parts.__getitem__, out))
+
+    return lambda texts: [encode(t) for t in texts]
+
+
+def squeeze(ids: np.ndarray, width: int) -> bytes:
+    """Ids for the way between tasks: their byte planes, compressed."""
+    planes = ids.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def expand(data: bytes, n: int, width: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, n * width, codec="zstd"), np.uint8).reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.uint32)
 
 
 def tokenised(docs: DataFrame, vocab_path: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id, sum (checksum), tie and ids (bytes: u16 where the vocabulary fits, else u32) of every row, end id included."""
+    """doc_id, sum (checksum), tie, n, width and ids (squeezed: u16 where the vocabulary fits, else u32) of every row, end id included."""
     with open(vocab_path, encoding="utf-8") as f:
         text = f.read()
     shared = docs.sparkSession.sparkContext.broadcast({"text": text})  # the vocabulary file bounds its size
     from tokenizers import Tokenizer
     size = max([end_id, *Tokenizer.from_str(text).get_vocab(with_added_tokens=True).values()]) + 1
-    narrow = "<u2" if size <= 1 << 16 else "<u4"
+    width = 2 if size <= 1 << 16 else 4
     end = struct.pack("<I", end_id)
-    schema = pa.schema([("doc_id", pa.int64()), ("sum", pa.int64()), ("tie", pa.int64()), ("width", pa.int32()), ("ids", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("sum", pa.int64()), ("tie", pa.int64()), ("n", pa.int64()), ("width", pa.int32()), ("ids", pa.binary())])
 
     def run(batches):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         state = shared.value
         if "encode" not in state:  # one memo per worker, kept from task to task
-            state["encode"] = piece_encoder(state["text"])
+            state["encode"] = text_encoder(state["text"])
         encode = state["encode"]
         for b in batches:
-            ids = [encode(t.as_py() or "") + end for t in b.column("text")]
+            ids = [x + end for x in encode([t or "" for t in b.column("text").to_pylist()])]
             yield pa.record_batch([
                 b.column("doc_id"), pa.array([zlib.crc32(x) for x in ids], pa.int64()), b.column("tie"),
-                pa.array([int(narrow[-1])] * len(ids), pa.int32()),
-                pa.array([np.frombuffer(x, "<u4").astype(narrow).tobytes() for x in ids], pa.binary())], schema=schema)
+                pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([width] * len(ids), pa.int32()),
+                pa.array([squeeze(np.frombuffer(x, "<u4"), width) for x in ids], pa.binary())], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("tie")
-                       ).mapInArrow(run, "doc_id long, sum long, tie long, width int, ids binary")
+                       ).mapInArrow(run, "doc_id long, sum long, tie long, n long, width int, ids binary")
 
 
 def write_files(docs: DataFrame, path: str, vocab_path: str, end_id: int = END_ID, file_ids: int = FILE_IDS) -> None:
@@ -247,20 +315,20 @@ def write_files(docs: DataFrame, path: str, vocab_path: str, end_id: int = END_I
             return out
 
         for b in batches:
-            for key, width, ids, at in zip(b.column("doc_id"), b.column("width"), b.column("ids"), b.column("at")):
-                part = at.as_py()
-                more = np.frombuffer(ids.as_buffer(), "<u2" if width.as_py() == 2 else "<u4")
+            for key, n, width, ids, at in zip(*[b.column(c).to_pylist() for c in ("doc_id", "n", "width", "ids", "at")]):
+                part = at
+                more = expand(ids, n, width)
                 if keys and held + len(more) > file_ids:
                     yield full()
-                keys.append(key.as_py())
-                parts.append(more.astype(np.uint32))
+                keys.append(key)
+                parts.append(more)
                 held += len(more)
         if keys:
             yield full()
 
     rows.repartitionByRange(*order).sortWithinPartitions(*order).select(
-        "doc_id", "width", "ids", F.spark_partition_id().alias("at")).mapInArrow(
-        run, "seq int, start long, n_docs int, n_ids long, payload binary, part int").write.parquet(path)
+        "doc_id", "n", "width", "ids", F.spark_partition_id().alias("at")).mapInArrow(
+        run, "seq int, start long, n_docs int, n_ids long, payload binary, part int").write.option("compression", "zstd").parquet(path)
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
