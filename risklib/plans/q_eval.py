@@ -226,6 +226,13 @@ def eva17_segment_metrics(spark, sf):
     return rounded(EV_.segment_metrics(s, "segment"))
 
 
+@reg("eva17_nullable_segments", SQL["eva17_segment_metrics"].replace("SELECT base.segment,", "SELECT NULLIF(base.segment, 3) AS segment,"))
+def eva17_nullable_segments(spark, sf):
+    """Rows of one weekday without a segment: they are a segment of their own."""
+    s = scored(spark, sf).withColumn("segment", F.nullif(weekday("transaction_ts"), F.lit(3)))
+    return rounded(EV_.segment_metrics(s, "segment"))
+
+
 @reg("eva17_single_class_segments", SC + ", c AS (" + _counts_sql(0.5, "scored", "merchant_category") + "), m AS (SELECT merchant_category, " + _M
      + " FROM c), " + _cum_sql("scored", "merchant_category") + ", r AS (" + _rank_sql("merchant_category") + """),
 base AS (SELECT merchant_category, count(*) AS count, avg(CAST(true_label AS DOUBLE)) AS fraud_rate FROM scored GROUP BY 1)
