@@ -53,8 +53,11 @@ def test_api_names_run(spark):
     sel = api.select_features_univariate(df, ["amount", "card_number"], k=1).collect()
     assert len(sel) == 1
     import pytest
-    with pytest.raises(NotImplementedError):
-        api.handle_class_imbalance(df, "transaction_id", method="smote")
+    few = df.where("fraud_indicator = 0 OR transaction_id < 12")
+    made = api.handle_class_imbalance(few, "transaction_id", method="smote", cols=["amount"])
+    assert {r["count"] for r in made.groupBy("fraud_indicator").count().collect()} == {15}
+    with pytest.raises(ValueError):
+        api.handle_class_imbalance(df, "transaction_id", method="unknown")
 
 
 def test_api_calculate_metrics_one_row(spark):
