@@ -81,7 +81,7 @@ def test_stages_return_the_columns_of_documents(spark, folder):
         assert stage(spark, docs, folder[0]).columns == docs.columns
 
 
-@pytest.mark.parametrize("name", sorted(queries.queries()))
+@pytest.mark.parametrize("name", sorted(set(queries.queries()) - {"op13_whitening"}))
 def test_registered_query_covers_every_document(spark, folder, name):
     path, rows, _ = folder
     out = queries.queries()[name](spark, path)
@@ -92,5 +92,12 @@ def test_registered_query_covers_every_document(spark, folder, name):
         assert ids == sorted(r[0] for r in rows)
 
 
-def test_names_are_those_of_the_ten_operators():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+def test_registered_whitening_covers_every_vector(spark):
+    from tests.conftest import SF0001
+    ids = [r["vec_id"] for r in spark.read.parquet(f"{SF0001}/embeddings.parquet").collect()]
+    out = queries.queries()["op13_whitening"](spark, SF0001).groupBy("vec_id").count().collect()
+    assert sorted(r["vec_id"] for r in out) == sorted(ids) and {r["count"] for r in out} == {16}
+
+
+def test_names_are_those_of_the_thirteen_operators():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
