@@ -61,14 +61,16 @@ def bal1_smote(spark, sf):
 
 def _checked(t, out):
     ends = t.select(F.col("transaction_id").alias("_k"), F.col("fraud_indicator").alias("_y"), *[F.col(c).cast("double").alias(f"_{c}") for c in COORDS])
-    made = out.join(ends.select([F.col(c).alias(f"{c}_a") for c in ends.columns]), F.col("transaction_id") == F.col("_k_a")).join(
-        ends.select([F.col(c).alias(f"{c}_b") for c in ends.columns]), F.col("neighbour") == F.col("_k_b"), "left")
+    based = out.join(ends.select([F.col(c).alias(f"{c}_a") for c in ends.columns]), F.col("transaction_id") == F.col("_k_a"))
+    # only new rows have a neighbour: the others would meet as nulls in one task of the join
+    made = based.where("copy > 0").join(ends.select([F.col(c).alias(f"{c}_b") for c in ends.columns]), F.col("neighbour") == F.col("_k_b"), "left")
     between = (F.col("_k_a") != F.col("_k_b")) & (F.col("_y_a") == F.col("_y_b")) & (F.col("_y_a") == F.col("fraud_indicator"))
     for c in COORDS:
         a, b = F.col(f"_{c}_a"), F.col(f"_{c}_b")
         between = between & (F.abs(F.col(c) - (a + F.col("gap") * (b - a))) < 1e-9)
-    ok = F.when(F.col("copy") == 0, F.lit(1)).otherwise(F.coalesce(between.cast("int"), F.lit(0)))
-    return rounded(made.select("transaction_id", "fraud_indicator", "copy", "gap", ok.alias("on_segment")))
+    columns = ["transaction_id", "fraud_indicator", "copy", "gap"]
+    return rounded(based.where("copy = 0").select(*columns, F.lit(1).alias("on_segment")).unionByName(
+        made.select(*columns, F.coalesce(between.cast("int"), F.lit(0)).alias("on_segment"))))
 
 
 @reg("prp1_smote_training_rows", EV + """, c AS (SELECT fraud_indicator, count(*) - round(count(*) * 0.2) AS n FROM tx_events GROUP BY 1)
