@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from risklib.ml.pipeline import Preprocessing, create_preprocessing_pipeline
 from risklib.operators import neighbours as N
 from risklib.operators import prep as PR
+from risklib.operators.keyed import spread
 from risklib.schema import LABEL
 
 METHODS = ("none", "random", "undersample", "smote", "adasyn")
@@ -113,7 +114,7 @@ class BalancedClassifier(Estimator, MLReadable, MLWritable):
         return rows
 
     def _fit(self, dataset: DataFrame):
-        return self.classifier.fit(self.balanced(dataset.where(F.col("label").isNotNull())))
+        return self.classifier.fit(spread(self.balanced(dataset.where(F.col("label").isNotNull())), self.getOrDefault("keyCol"), "balanced"))
 
     def write(self) -> "_BalancedWriter":
         return _BalancedWriter(self)

@@ -14,6 +14,7 @@ from risklib.operators import distinct as DI
 from risklib.operators import eda as ED
 from risklib.operators import features as FT
 from risklib.operators import prep as PR
+from risklib.operators.keyed import written
 from risklib.plans.common import rounded
 from risklib.plans.sqlviews import EV, ORD, SC
 from risklib.session import scratch_path
@@ -43,7 +44,7 @@ def _raw(t):
 def _fitted(spark, sf, classifier, balance):
     """A pipeline fitted on the training rows, its saved copy, and all rows."""
     rows = _raw(tx_events(spark, sf))
-    train = PR.stratified_split(rows, "transaction_id").where("is_test = 0").drop("is_test")
+    train = written(PR.stratified_split(rows, "transaction_id").where("is_test = 0").drop("is_test"), "pipeline-train")
     model = ST.training_pipeline(classifier, NUMERIC, OTHER, balance).fit(train)
     path = scratch_path(spark, "pipeline-model")
     model.write().overwrite().save(path)
