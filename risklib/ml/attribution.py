@@ -19,6 +19,7 @@ from risklib.session import scratch_path
 
 MAX_BACKGROUND = 100
 SEED = 42
+SETS_AT_ONCE = 64  # sets of features whose rows are built at once
 ALL_PATTERNS = 10  # leaves with at most so many features have the shares of every pattern worked out beforehand
 
 
@@ -34,10 +35,7 @@ def model_score(model: Model, cols: Sequence[str], scale: str = "margin") -> Cal
 
 
 def _walks(n_background: int, d: int, permutations: int, seed: int) -> list[tuple[int, int, list[int]]]:
-    """(pair, background row, order of the features): all orders if they are few enough, else seeded ones and their reverses."""
-    if math.factorial(d) <= permutations:
-        orders = [list(p) for p in itertools.permutations(range(d))]
-        return [(i, z, p) for i, (z, p) in enumerate(itertools.product(range(n_background), orders))]
+    """(pair, background row, order of the features): seeded orders and their reverses."""
     rng = np.random.default_rng(seed)
     out = []
     for z in range(n_background):
@@ -57,8 +55,9 @@ def shapley_values(df: DataFrame, score: Callable[[DataFrame], DataFrame], cols:
     features that are not yet in. Per background row and order, a row becomes one row per prefix; all of them are scored
     in one pass, and the gains are differences of neighbouring prefixes. The gains of a row add up to
     prediction - base_value, the mean score of the background, whatever the orders. With at most
-    ``permutations`` orders in all they are all taken and the values are exact for the background (std_error 0);
-    otherwise orders come with their reverses, and std_error is that of the mean over such pairs.
+    ``permutations`` orders in all they are all taken, each set of features scored once, and the values are exact for the
+    background (std_error 0); otherwise orders come with their reverses, and std_error is that of the mean over such pairs.
+    A pair with a null score counts for nothing.
     """
     cols = list(cols)
     d = len(cols)
@@ -66,43 +65,76 @@ def shapley_values(df: DataFrame, score: Callable[[DataFrame], DataFrame], cols:
     if not 0 < len(ground) <= MAX_BACKGROUND:
         raise ValueError(f"the background needs 1 to {MAX_BACKGROUND} rows")
     z = np.array([[np.nan if v is None else v for v in r] for r in ground], float)
-    walks = _walks(len(ground), d, permutations, seed)
     exact = math.factorial(d) <= permutations
-    place = np.array([np.argsort(p) for _, _, p in walks])
-    added = np.array([[-1, *p] for _, _, p in walks], np.int32)
+    alone = df.sparkSession.createDataFrame([(i, *map(float, r)) for i, r in enumerate(z)], "_z int, " + ", ".join(f"`{c}` double" for c in cols))
+    empty = {r["_z"]: math.nan if r["f"] is None else float(r["f"]) for r in score(alone).select("_z", F.col("f").cast("double")).collect()}
+    steps = _all_sets(empty, d) if exact else _sampled_sets(empty, d, permutations, seed)
+    units = [list(g) for _, g in itertools.groupby(steps, lambda s: s[0])]
+    batches_of = [(u[i:i + SETS_AT_ONCE]) for u in units for i in range(0, len(u), SETS_AT_ONCE)]
     names = [f"_x{i}" for i in range(d)]
     rows = written(df.select(F.col(key), *[F.col(f"`{c}`").cast("double").alias(n) for c, n in zip(cols, names)]).withColumn(
         "_r", F.monotonically_increasing_id()), "shapley-rows")
 
     def prefixes(batches):
-        steps = np.arange(d + 1)
         for b in batches:
             n = b.num_rows
             x = np.stack([np.asarray(b.column(i + 1).cast(pa.float64()).fill_null(np.nan)) for i in range(d)], axis=1)
-            for w, (pair, at, _) in enumerate(walks):
-                inside = place[w][None, :] < steps[:, None]
-                v = np.where(inside[None], x[:, None, :], z[at]).reshape(-1, d)
-                m = n * (d + 1)
+            for sets in batches_of:
+                unit, at, inside, plus, minus, gain, loss, less = (np.array(v) for v in zip(*sets))
+                v = np.where(inside[None], x[:, None, :], z[at][None]).reshape(-1, d)
+                every = lambda a, t: pa.array(np.tile(a.astype(t), n))
                 yield pa.record_batch({
-                    "_r": pa.array(np.repeat(np.asarray(b.column(0)), d + 1)), "_pair": pa.array(np.full(m, pair, np.int32)),
-                    "_w": pa.array(np.full(m, w, np.int32)), "_j": pa.array(np.tile(steps.astype(np.int32), n)),
-                    "_added": pa.array(np.tile(added[w], n)), **{c: pa.array(v[:, i]) for i, c in enumerate(cols)}})
-
-    schema = "_r long, _pair int, _w int, _j int, _added int, " + ", ".join(f"`{c}` double" for c in cols)
-    scored = score(rows.select("_r", *names).mapInArrow(prefixes, schema)).select(
-        "_r", "_pair", "_w", F.struct("_j", "_added", F.col("f").cast("double").alias("f")).alias("_s"))
-    # everything below is keyed by the row: one shuffle; d + 1 prefixes of a walk meet
-    walked = scored.repartition("_r").groupBy("_r", "_pair", "_w").agg(F.sort_array(F.collect_list("_s")).alias("_s"))
-    gains = walked.select("_r", "_pair", F.get("_s", F.lit(0))["f"].alias("_f0"), F.get("_s", F.lit(d))["f"].alias("_fd"), F.explode(F.transform(
-        F.sequence(F.lit(1), F.lit(d)), lambda j: F.struct(F.get("_s", j)["_added"].alias("i"), (
-            F.get("_s", j)["f"] - F.get("_s", j - 1)["f"]).alias("g")))).alias("_g"))
-    pairs = gains.groupBy("_r", "_pair", F.col("_g.i").alias("_i")).agg(
-        F.avg("_g.g").alias("g"), F.avg("_f0").alias("_f0"), F.max("_fd").alias("_fd"))
-    error = F.lit(0.0) if exact else F.coalesce(F.stddev_samp("g") / F.sqrt(F.count(F.lit(1))), F.lit(0.0))
-    values = pairs.groupBy("_r", "_i").agg(F.avg("g").alias("shapley"), error.alias("std_error"), F.avg("_f0").alias("base_value"),
-                                           F.max("_fd").alias("prediction"))
-    feature = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("_i") + 1)
-    return rows.select("_r", key).join(values, "_r").select(key, feature.alias("feature"), "shapley", "std_error", "base_value", "prediction")
+                    "_r": pa.array(np.repeat(np.asarray(b.column(0)), len(sets))), "_unit": every(unit, np.int32), "_plus": every(plus, np.int32),
+                    "_minus": every(minus, np.int32), "_less": every(less, float), "_whole": every(inside.all(axis=1), bool),
+                    **({"_gain": every(gain, float), "_loss": every(loss, float)} if exact else {}),
+                    **{c: pa.array(v[:, i]) for i, c in enumerate(cols)}})
+
+    schema = "_r long, _unit int, _plus int, _minus int, _less double, _whole boolean, " + ("_gain double, _loss double, " if exact else "") + ", ".join(
+        f"`{c}` double" for c in cols)
+    scored = score(rows.select("_r", *names).mapInArrow(prefixes, schema)).withColumn("f", F.col("f").cast("double"))
+
+    def has(which, i):  # in the exact case every set of features, else a single one
+        return F.col(which).bitwiseAND(1 << i) != 0 if exact else F.col(which) == i
+
+    gain, loss = (F.col("_gain"), F.col("_loss")) if exact else (F.lit(0.5), F.lit(0.5))
+    # sums of gains: a row's sets come from one task, so they are combined there and the scored rows are never shuffled
+    sums = [F.sum(F.when(has("_plus", i), gain * (F.col("f") - F.col("_less"))).otherwise(0.0)
+                  + F.when(has("_minus", i), -loss * F.col("f")).otherwise(0.0)).alias(f"_g{i}") for i in range(d)]
+    pairs = scored.groupBy("_r", "_unit").agg(*sums, F.max(F.when(F.col("_whole"), F.col("f"))).alias("_fd"), F.count_if(F.col("f").isNull()).alias("_none"))
+    if exact:  # a single unit
+        values = pairs.select("_r", "_fd", *[F.when(F.col("_none") == 0, F.col(f"_g{i}")).alias(f"_m{i}") for i in range(d)],
+                              *[F.lit(0.0).alias(f"_e{i}") for i in range(d)])
+    else:
+        g = [F.when(F.col("_none") == 0, F.col(f"_g{i}")) for i in range(d)]
+        values = pairs.groupBy("_r").agg(F.max("_fd").alias("_fd"), *[F.avg(c).alias(f"_m{i}") for i, c in enumerate(g)], *[F.coalesce(
+            F.stddev_samp(c) / F.sqrt(F.count(c)), F.lit(0.0)).alias(f"_e{i}") for i, c in enumerate(g)])
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"_m{i}").alias("shapley"), F.col(f"_e{i}").alias("std_error"))
+                                for i, c in enumerate(cols)])).alias("_c")
+    return rows.select("_r", key).join(values, "_r").select(key, cells, F.lit(float(np.mean(list(empty.values())))).alias("base_value"), F.col(
+        "_fd").alias("prediction")).select(key, "_c.*", "base_value", "prediction")
+
+
+def _all_sets(empty: dict[int, float], d: int) -> list[tuple]:
+    """Every set of features once per background row, the whole set once in all, as (unit, background row, inside, features
+    that gain, features that lose, weight of the gains, of the losses, score of the empty set to take off)."""
+    n = len(empty)
+    weight = [math.factorial(k) * math.factorial(d - k - 1) / math.factorial(d) for k in range(d)]
+    out = []
+    for at, s in itertools.product(empty, range(1, (1 << d) - 1)):
+        k = s.bit_count()
+        out.append((0, at, [bool(s >> i & 1) for i in range(d)], s, ~s & ((1 << d) - 1), weight[k - 1] / n, weight[k] / n, empty[at] if k == 1 else 0.0))
+    mean = sum(empty.values()) / n
+    return [*out, (0, 0, [True] * d, (1 << d) - 1, 0, weight[d - 1], 0.0, mean if d == 1 else 0.0)]
+
+
+def _sampled_sets(empty: dict[int, float], d: int, permutations: int, seed: int) -> list[tuple]:
+    """The prefixes of the walks as in ``_all_sets``, a unit being a pair of orders; the empty ones are known scores."""
+    out = []
+    for pair, at, p in _walks(len(empty), d, permutations, seed):
+        place = np.argsort(p)
+        for j in range(1, d + 1):
+            out.append((pair, at, (place < j).tolist(), p[j - 1], p[j] if j < d else -1, 0.5, 0.5, empty[at] if j == 1 else 0.0))
+    return out
 
 
 # ---------------------------------------------------------------- trees

@@ -132,3 +132,15 @@ def test_leaf_shares_beyond_the_table_of_patterns():
     phi = AT.attribute(x, [leaf], {})
     share = np.array([r["share"] for r in leaf["rules"]])
     assert np.allclose(phi.sum(axis=1), 1.5 * (np.prod(x > 0, axis=1) - np.prod(share)))
+
+
+def test_exact_shapley_scores_each_set_of_features_once(spark):
+    rows = spark.range(20).select("id", *[(F.col("id") * (i + 1) % 7).cast("double").alias(c) for i, c in enumerate(("a", "b", "c"))])
+    scored = []
+
+    def score(d):
+        scored.append(d)
+        return d.withColumn("f", F.expr("a * b + c"))
+
+    out = AT.shapley_values(rows, score, ["a", "b", "c"], "id", rows.where("id < 2"), permutations=6)
+    assert out.count() == 60 and scored[-1].count() == 20 * (2 * 6 + 1)  # the whole set once, the empty one on the background alone
