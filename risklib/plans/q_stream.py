@@ -77,16 +77,20 @@ SELECT transaction_id, card_number, coalesce((us - pu) / 60000000.0, 99999.0) AS
   c24 AS tx_count_24h FROM s""")
 def str4_stateful_card_features(spark, sf):
     """Replayed one day per micro-batch, so the state carries over many batches."""
-    src = S.replay_by_day(spark, read_table(spark, sf, "events"), "str4-days")
-    p = S.run_to_parquet(S.stateful_card_features(S.event_stream(spark, src, None, files_per_batch=1)), "str4")
+    events = read_table(spark, sf, "events")
+    src = S.replay_by_day(spark, events, "str4-days")
+    states = S.state_session(spark, events.count())
+    p = S.run_to_parquet(S.stateful_card_features(S.event_stream(states, src, None, files_per_batch=1)), "str4")
     return spark.read.parquet(p)
 
 
 @reg("str4_card_state_processor", SQL["str4_stateful_card_features"])
 def str4_card_state_processor(spark, sf):
     """The same features from value and map states with event-time timers, replayed five days per micro-batch."""
-    src = S.replay_by_day(spark, read_table(spark, sf, "events"), "str4-hours")
-    p = S.run_to_parquet(card_state_features(S.event_stream(spark, src, None, files_per_batch=5)), "str4-processor")
+    events = read_table(spark, sf, "events")
+    src = S.replay_by_day(spark, events, "str4-hours")
+    states = S.state_session(spark, events.count())
+    p = S.run_to_parquet(card_state_features(S.event_stream(states, src, None, files_per_batch=5)), "str4-processor")
     return spark.read.parquet(p)
 
 

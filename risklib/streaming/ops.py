@@ -99,6 +99,19 @@ def run_foreach_batch(df: DataFrame, name: str, fn) -> str:
 
 
 # ---------------------------------------------------------------- STR4
+def state_session(spark: SparkSession, rows: int, rows_per_part: int = 500_000) -> SparkSession:
+    """A session of the same application for a stream with state over about ``rows`` rows in all.
+
+    Every micro-batch opens and commits the state store of every shuffle partition, however few rows it
+    has, so there are as many partitions as cores, and more only where the rows need them.
+    """
+    s = spark.newSession()
+    for k in ("spark.sql.session.timeZone", "spark.sql.streaming.stateStore.providerClass"):
+        s.conf.set(k, spark.conf.get(k))
+    s.conf.set("spark.sql.shuffle.partitions", str(max(spark.sparkContext.defaultParallelism, -(-rows // rows_per_part))))
+    return s
+
+
 STATE_OUT = ("transaction_id long, card_number long, minutes_since_last double, amount_diff double, "
              "history_mean_amount double, tx_count_24h long")
 STATE_SCHEMA = "last_us long, last_amount double, n long, total double, recent array<long>"

@@ -34,3 +34,38 @@ def test_spread_bounds_partitions_and_repeats_itself(spark):
     assert a.rdd.getNumPartitions() == 9 and max(_sizes(a)) < 2_000
     assert a.rdd.glom().map(lambda p: [r["k"] for r in p]).collect() == b.rdd.glom().map(lambda p: [r["k"] for r in p]).collect()
     assert spread(rows.limit(0), "k").count() == 0
+
+
+def _held(spark, **conf):
+    held = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false", **conf}
+    old = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    return old
+
+
+def test_rows_without_a_neighbour_do_not_meet_in_one_task(spark):
+    from risklib.plans.q_neighbours import _checked
+    t = spark.range(8_000).select(F.col("id").alias("transaction_id"), (F.col("id") % 5 == 0).cast("int").alias("fraud_indicator"),
+                                  F.col("id").cast("double").alias("amount"), F.lit(1).alias("mcc"), F.lit(2).alias("hour"))
+    kept = t.select("*", F.lit(0).alias("copy"), F.lit(None).cast("long").alias("neighbour"), F.lit(None).cast("double").alias("gap"))
+    new = kept.where("transaction_id in (0, 5)").withColumns({
+        "copy": F.lit(1), "neighbour": F.lit(10).cast("long"), "gap": F.lit(0.5), "amount": F.when(F.col("transaction_id") == 0, 5.0).otherwise(9.0)})
+    old = _held(spark, **{"spark.sql.autoBroadcastJoinThreshold": "-1"})
+    try:
+        out = _checked(t, kept.unionByName(new)).checkpoint()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert max(_sizes(out)) < 2_000
+    assert sorted((r["transaction_id"], r["on_segment"]) for r in out.where("copy = 1").collect()) == [(0, 1), (5, 0)]
+    assert out.where("copy = 0 and on_segment = 1").count() == 8_000
+
+
+def test_state_streams_have_as_many_parts_as_cores_or_rows_need(spark):
+    from risklib.streaming import ops as S
+    few, many = S.state_session(spark, 10), S.state_session(spark, 10_000, rows_per_part=100)
+    assert int(few.conf.get("spark.sql.shuffle.partitions")) == spark.sparkContext.defaultParallelism
+    assert int(many.conf.get("spark.sql.shuffle.partitions")) == 100
+    assert few.conf.get("spark.sql.session.timeZone") == spark.conf.get("spark.sql.session.timeZone")
+    assert few.conf.get("spark.sql.streaming.stateStore.providerClass") == spark.conf.get("spark.sql.streaming.stateStore.providerClass")
