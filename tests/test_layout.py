@@ -69,3 +69,15 @@ def test_state_streams_have_as_many_parts_as_cores_or_rows_need(spark):
     assert int(many.conf.get("spark.sql.shuffle.partitions")) == 100
     assert few.conf.get("spark.sql.session.timeZone") == spark.conf.get("spark.sql.session.timeZone")
     assert few.conf.get("spark.sql.streaming.stateStore.providerClass") == spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_a_row_is_in_little_more_than_one_group_per_projection(spark):
+    from risklib.operators import neighbours as N
+    placed = spark.range(40_960).select(F.lit(0).alias("p"), F.col("id").alias("place"))
+    groups = N.half_block_groups(placed, 256)
+    assert groups.count() < 1.2 * 40_960
+    # each half block meets the two beside it: all three are in the group of the middle one
+    of = {}
+    for r in groups.select((F.col("place") / 256).cast("int").alias("h"), "g").distinct().collect():
+        of.setdefault(r["h"], set()).add(r["g"])
+    assert all({h // N.HALVES} <= of[h] & of.get(h - 1, {h // N.HALVES}) & of.get(h + 1, {h // N.HALVES}) for h in range(160))

@@ -123,3 +123,35 @@ def test_too_few_minority_rows_are_an_error(spark):
             api.handle_class_imbalance(df, "transaction_id", method=method, cols=["x", "y"])
     even = df.where("transaction_id < 3")
     assert api.handle_class_imbalance(even, "transaction_id", method="smote", cols=["x", "y"]).count() == 2
+
+
+def test_rows_meet_their_half_block_and_the_two_beside_it(spark):
+    """Beyond one group the neighbours along one coordinate are those of the three half blocks, also across the edges of groups."""
+    n, half = 1_200, 16  # five groups
+    v = np.random.default_rng(8).normal(size=(n, 1))
+    got = collections.defaultdict(list)
+    for r in N.nearest_neighbours(frame(spark, v), 5, block=2 * half).orderBy("r", "rank").collect():
+        got[r["r"]].append(r["neighbour"])
+    order = np.argsort(v[:, 0])
+    if v[order[0]] @ np.random.default_rng(N.SEED).normal(size=(1, 1)) > v[order[-1]] @ np.random.default_rng(N.SEED).normal(size=(1, 1)):
+        order = order[::-1]
+    for place, i in enumerate(order):
+        h = place // half
+        near = [j for j in order[max(0, (h - 1) * half):(h + 2) * half] if j != i]
+        assert got[i] == sorted(near, key=lambda j: (abs(v[j, 0] - v[i, 0]), j))[:5]
+
+
+def test_many_copies_of_few_points_are_compared_once(monkeypatch):
+    """Ties go to the earlier row, and only k + 1 copies of a point are candidates."""
+    v = np.repeat(np.round(np.random.default_rng(4).normal(size=(9, 3)), 1), [1, 2, 5, 6, 7, 20, 40, 60, 1], axis=0)
+    v = v[np.random.default_rng(5).permutation(len(v))]
+    ask = np.arange(len(v)) % 3 > 0
+    seen = []
+    cut = N.first_copies
+    monkeypatch.setattr(N, "first_copies", lambda v, k: (seen.append(cut(v, k)), seen[-1])[1])
+    row, col, away = N.nearest_in(v, ask, 5)
+    assert len(seen[0]) == 1 + 2 + 5 + 6 * 5 + 1
+    want = brute(v, 5)
+    for i in np.flatnonzero(ask):
+        assert col[row == i].tolist() == [j for _, j in want[i]]
+        assert np.allclose(away[row == i], [a for a, _ in want[i]])
