@@ -1,7 +1,9 @@
 """ML layer smoke + invariants on sf0.001: registry round trip, voting, tuning table, PCA variance."""
 
+import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
@@ -86,3 +88,18 @@ def test_preprocessing_fills_scales_numbers_only_and_ignores_unseen_levels(spark
     assert got[2][1:] == [0.0, 1.0] and got[2][0] == got[1][0]
     with pytest.raises(ValueError):
         create_preprocessing_pipeline(["g"], [], max_levels=1).fit(train)
+
+
+def test_types_that_share_a_fit_are_scored_once(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, Vectors.dense(float(i % 7), float(i % 3)), float(i % 7 > 3)) for i in range(60)],
+                                 ["transaction_id", "features", "label"])
+    models = M.train_all_models(rows)
+    scored = []
+    for kind in {type(m) for m in models.values()}:
+        whole = kind.transform
+        monkeypatch.setattr(kind, "transform", lambda self, d, whole=whole: (scored.append(type(self)), whole(self, d))[1])
+    out = M.score_all(models, rows, ["transaction_id"], ensemble="mean").collect()
+    assert len(scored) == 3 and len(out) == 60
+    for r in out:
+        assert r["xgboost"] == r["lightgbm"] == r["gradient_boosting"]
+        assert abs(r["mean"] - (r["logistic"] + r["random_forest"] + 3 * r["xgboost"]) / 5) < 1e-12
