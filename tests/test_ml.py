@@ -90,6 +90,25 @@ def test_preprocessing_fills_scales_numbers_only_and_ignores_unseen_levels(spark
         create_preprocessing_pipeline(["g"], [], max_levels=1).fit(train)
 
 
+def test_tuning_equals_cross_validator_and_fits_the_best_once(spark, monkeypatch):
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.tuning import CrossValidator
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(Vectors.dense(x), float(x[0] + e > 0), i % 3) for i, (x, e) in enumerate(
+        zip(rng.normal(size=(300, 2)).tolist(), rng.normal(size=300).tolist()))], ["features", "label", "fold"]).repartition(1).checkpoint()
+    fits = []
+    whole = M.LogisticRegression._fit
+    monkeypatch.setattr(M.LogisticRegression, "_fit", lambda self, d: (fits.append(1), whole(self, d))[1])
+    _, res = M.tune_hyperparameters(rows, "logistic", {"C": [0.001, 1], "class_weight": [None, "balanced"]})
+    assert len(fits) == 3 * 4 + 1  # one refit, not one per weight setting
+    est = M.create_model("logistic")
+    maps = [{est.regParam: 1 / (c * 300)} for c in (0.001, 1)]
+    cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=BinaryClassificationEvaluator(), foldCol="fold", numFolds=3).fit(rows)
+    assert np.allclose([r["roc_auc"] for r in res.collect()][:2], cv.avgMetrics, atol=1e-12)
+    with pytest.raises(ValueError):
+        M.cross_validated(rows.where("fold <> 1"), est, maps, "fold", 3)
+
+
 def test_types_that_share_a_fit_are_scored_once(spark, monkeypatch):
     rows = spark.createDataFrame([(i, Vectors.dense(float(i % 7), float(i % 3)), float(i % 7 > 3)) for i in range(60)],
                                  ["transaction_id", "features", "label"])
