@@ -40,7 +40,7 @@ d AS (SELECT a.vec_id, list_distance(a.v, b.v) AS distance, row_number() OVER (P
   FROM e a JOIN e b ON a.vec_id <> b.vec_id)
 SELECT vec_id, CAST(rank AS INTEGER) AS rank, ROUND(distance, 6) AS distance FROM d WHERE rank <= 5""")
 def bal1_embedding_neighbours(spark, sf):
-    """The 5 nearest vectors of every embedding: exact up to 512 rows, by bounded candidates beyond."""
+    """The 5 nearest vectors of every embedding: exact."""
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
     rows = e.select(F.col("vec_id").alias("r"), F.col("embedding").cast("array<double>").alias("v"), F.lit(True).alias("ask"))
     return rounded(N.nearest_neighbours(rows).select(F.col("r").alias("vec_id"), "rank", "distance"))

@@ -155,3 +155,34 @@ def test_many_copies_of_few_points_are_compared_once(monkeypatch):
     for i in np.flatnonzero(ask):
         assert col[row == i].tolist() == [j for _, j in want[i]]
         assert np.allclose(away[row == i], [a for a, _ in want[i]])
+
+
+def exact(v, ask, k):
+    """The k nearest of every asking row, a row at a time."""
+    out = {}
+    for i in np.flatnonzero(ask):
+        d = np.sqrt(((v - v[i]) ** 2).sum(axis=1))
+        d[i] = np.inf
+        out[int(i)] = np.lexsort((np.arange(len(v)), d))[:k].tolist()
+    return out
+
+
+@pytest.mark.parametrize("cells", [False, True])
+def test_many_coordinates_and_rows_are_exact(spark, monkeypatch, cells):
+    """Far more rows than a block, in one cell and in several that rows at every edge ask."""
+    if cells:
+        monkeypatch.setattr(N, "CELL_ROWS", 300)
+        monkeypatch.setattr(N, "LEAST_CELL", 100)
+    v = np.random.default_rng(11).normal(size=(3_000, 12))
+    got = collections.defaultdict(list)
+    for r in N.nearest_neighbours(frame(spark, v), 5).orderBy("r", "rank").collect():
+        got[r["r"]].append(r["neighbour"])
+    assert got == exact(v, np.ones(len(v), bool), 5)
+
+
+def test_repeated_numbers_and_unusable_vectors(spark):
+    rows = [(1, [0.0, 0.0], True), (1, [0.0, 0.0], True), (2, [1.0, 0.0], True), (3, [4.0, 0.0], False), (None, [0.5, 0.0], True),
+            (5, [float("nan"), 0.0], True), (6, [0.0, float("inf")], True), (7, [0.0, None], True)]
+    out = N.nearest_neighbours(spark.createDataFrame(rows, "r long, v array<double>, ask boolean"), 2)
+    assert sorted((r["r"], r["rank"], r["neighbour"], r["distance"]) for r in out.collect()) == [
+        (1, 1, 1, 0.0), (1, 2, 2, 1.0), (2, 1, 1, 1.0), (2, 2, 3, 3.0)]
