@@ -186,3 +186,18 @@ def test_repeated_numbers_and_unusable_vectors(spark):
     out = N.nearest_neighbours(spark.createDataFrame(rows, "r long, v array<double>, ask boolean"), 2)
     assert sorted((r["r"], r["rank"], r["neighbour"], r["distance"]) for r in out.collect()) == [
         (1, 1, 1, 0.0), (1, 2, 2, 1.0), (2, 1, 1, 1.0), (2, 2, 3, 3.0)]
+
+
+@pytest.mark.parametrize("dims,cells", [(1, False), (3, False), (3, True)])
+def test_majority_neighbours_are_exact_on_many_ties(spark, monkeypatch, dims, cells):
+    """Points on a grid, one of them held by more rows than a block: ties go to the lowest row number, wherever its row lies."""
+    if cells:
+        monkeypatch.setattr(N, "CELL_ROWS", 100)
+        monkeypatch.setattr(N, "LEAST_CELL", 50)
+    rng = np.random.default_rng(12)
+    v = np.round(rng.normal(size=(4_000, dims)) * [3.0, 2.0, 9.0][:dims], 0)
+    v[rng.permutation(4_000)[:900]] = v[0]
+    y = (rng.random(4_000) < 0.25).astype(int)
+    rows = spark.createDataFrame([(i, int(y[i]), [float(c) for c in v[i]]) for i in range(len(v))], "_r long, y int, _v array<double>").repartition(5)
+    got = {r["_r"]: r["_majority"] for r in N.majority_neighbours(rows, "_r", "y", 1).collect()}
+    assert got == {i: int((y[near] == 0).sum()) for i, near in exact(v, y == 1, 5).items()}
