@@ -79,8 +79,9 @@ def str4_stateful_card_features(spark, sf):
     """Replayed one day per micro-batch, so the state carries over many batches."""
     events = read_table(spark, sf, "events")
     src = S.replay_by_day(spark, events, "str4-days")
-    states = S.state_session(spark, events.count())
-    p = S.run_to_parquet(S.stateful_card_features(S.event_stream(states, src, None, files_per_batch=1)), "str4")
+    rows = events.count()
+    states = S.state_session(spark, rows)
+    p = S.run_to_parquet(S.stateful_card_features(S.event_stream(states, src, None, files_per_batch=1), groups=S.card_groups(rows)), "str4")
     return spark.read.parquet(p)
 
 
@@ -89,7 +90,8 @@ def str4_card_state_processor(spark, sf):
     """The same features from value and map states with event-time timers, replayed five days per micro-batch."""
     events = read_table(spark, sf, "events")
     src = S.replay_by_day(spark, events, "str4-hours")
-    states = S.state_session(spark, events.count())
+    rows = events.count()
+    states = S.state_session(spark, rows)
     p = S.run_to_parquet(card_state_features(S.event_stream(states, src, None, files_per_batch=5)), "str4-processor")
     return spark.read.parquet(p)
 

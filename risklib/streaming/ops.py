@@ -114,36 +114,35 @@ def state_session(spark: SparkSession, rows: int, rows_per_part: int = 500_000)
 
 STATE_OUT = ("transaction_id long, card_number long, minutes_since_last double, amount_diff double, "
              "history_mean_amount double, tx_count_24h long")
-STATE_SCHEMA = "last_us long, last_amount double, n long, total double, recent array<long>"
+STATE_SCHEMA = ("cards array<long>, last_us array<long>, last_amount array<double>, n array<long>, total array<double>, "
+                "recent_rows array<long>, recent array<long>")
 DAY_US = 86_400_000_000
+NO_CARD = -(1 << 63)  # stands for a null card: a frame's column of whole numbers stays one
 
 
-def _card_state_fn(key, pdfs, state):
-    """Per card: rows of the micro-batch in (time, id) order continue the card's state.
+def card_groups(rows: int, rows_per_group: int = 50_000, least: int = 64) -> int:
+    """Into how many groups the cards of a stream of about ``rows`` rows in all are dealt: a state's cost is per group and
+    micro-batch, not per card, and a group's state and rows stay small. A stream keeps its number as long as its checkpoint."""
+    return max(least, -(-rows // rows_per_group))
+
+
+def card_group(card, groups: int):
+    """The group of a card, by its hash."""
+    return F.pmod(F.xxhash64(card), F.lit(groups)).cast("long")
+
+
+def _continue_card(us, amt, held):
+    """(minutes, difference, history mean, 24 h count) of one card's rows in (time, id) order, and its next state.
 
     The state keeps the largest time seen with its amount, the running count
-    and sum, and the event times of the 24 h before that time. The timeout
-    (watermark past last time + 24 h) empties only the list of times: count,
-    sum, last time and amount live as long as the card. A row that arrives
+    and sum, and the event times of the 24 h before that time. A row that arrives
     behind the last time gets no negative gap: its previous row is unknown to
     the state unless it is in the same batch, so its gap and difference are
     null, and it does not move the last time back.
     """
     import numpy as np
-    import pandas as pd
 
-    if state.hasTimedOut:
-        last_us, last_amount, n, total, _ = state.get
-        state.update((last_us, last_amount, n, total, []))
-        return
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["_us", "transaction_id"], kind="mergesort")
-    if state.exists:
-        last_us, last_amount, n, total, recent = state.get
-        recent = np.asarray(recent if recent is not None else [], dtype="int64")
-    else:
-        last_us, last_amount, n, total, recent = None, None, 0, 0.0, np.zeros(0, dtype="int64")
-    us = pdf["_us"].to_numpy(dtype="int64")
-    amt = pdf["amount"].to_numpy(dtype="float64")
+    last_us, last_amount, n, total, recent = held if held is not None else (None, None, 0, 0.0, np.zeros(0, dtype="int64"))
     prev_us = np.concatenate([[np.nan], us[:-1]]).astype("float64")
     prev_amt = np.concatenate([[np.nan], amt[:-1]])
     late = np.zeros(len(us), dtype=bool)
@@ -159,28 +158,103 @@ def _card_state_fn(key, pdfs, state):
     hist_mean = np.where(cnt_before > 0, (sum_before.astype("float64") / 100.0) / np.maximum(cnt_before, 1), np.nan)
     all_us = np.sort(np.concatenate([recent, us]))
     c24 = np.searchsorted(all_us, us, side="right") - np.searchsorted(all_us, us - DAY_US, side="left")
-    out = pd.DataFrame({"transaction_id": pdf["transaction_id"].to_numpy(), "card_number": key[0],
-                        "minutes_since_last": minutes, "amount_diff": amt - prev_amt,
-                        "history_mean_amount": hist_mean, "tx_count_24h": c24.astype("int64")})
     if last_us is None or int(us[-1]) >= last_us:
         last_us, last_amount = int(us[-1]), float(amt[-1])
     keep = all_us[all_us >= last_us - DAY_US]
-    state.update((last_us, last_amount, int(n + len(us)), float(int(total) + int(cents.sum())), keep.tolist()))
+    return ((minutes, amt - prev_amt, hist_mean, c24.astype("int64")),
+            (last_us, last_amount, int(n + len(us)), float(int(total) + int(cents.sum())), keep))
+
+
+def _frame_of(pdf, parts):
+    import pandas as pd
+    minutes, diff, mean, c24 = parts
+    return pd.DataFrame({"transaction_id": pdf["transaction_id"].to_numpy(), "card_number": pdf["card_number"].to_numpy(),
+                         "minutes_since_last": minutes, "amount_diff": diff, "history_mean_amount": mean, "tx_count_24h": c24})
+
+
+def _card_state_fn(key, pdfs, state):
+    """A group that is one card, its state (last time and amount, count, sum, times of the last 24 h).
+
+    The timeout (watermark past last time + 24 h) empties only the list of times: count,
+    sum, last time and amount live as long as the card.
+    """
+    import numpy as np
+    import pandas as pd
+
+    if state.hasTimedOut:
+        last_us, last_amount, n, total, _ = state.get
+        state.update((last_us, last_amount, n, total, []))
+        return
+    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["_us", "transaction_id"], kind="mergesort")
+    held = None
+    if state.exists:
+        *rest, recent = state.get
+        held = (*rest, np.asarray(recent if recent is not None else [], dtype="int64"))
+    parts, (last_us, last_amount, n, total, keep) = _continue_card(
+        pdf["_us"].to_numpy(dtype="int64"), pdf["amount"].to_numpy(dtype="float64"), held)
+    state.update((last_us, last_amount, n, total, keep.tolist()))
     expire = last_us // 1000 + DAY_US // 1000
     if expire > state.getCurrentWatermarkMs():
         state.setTimeoutTimestamp(expire)
-    yield out
+    yield _frame_of(pdf, parts).assign(card_number=key[0])
+
+
+def _card_group_fn(key, pdfs, state):
+    """A group of many cards: each card's rows of the micro-batch continue its part of the state (``_continue_card``).
+
+    Times that are 24 h behind the watermark go, whether their card has rows or not; the timeout
+    (watermark past the group's last time + 24 h) empties the lists of all cards.
+    """
+    import numpy as np
+    import pandas as pd
+
+    cards, last_us, last_amount, n, total, recent_rows, recent = (list(x) for x in state.get) if state.exists else ([] for _ in range(7))
+    if state.hasTimedOut:
+        state.update((cards, last_us, last_amount, n, total, [0] * len(cards), []))
+        return
+    place = {c: i for i, c in enumerate(cards)}
+    lists = np.split(np.asarray(recent, dtype="int64"), np.cumsum(recent_rows, dtype="int64")[:-1]) if cards else []
+    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["card_number", "_us", "transaction_id"], kind="mergesort")
+    card, us, amt = pdf["card_number"].to_numpy(dtype="int64"), pdf["_us"].to_numpy(dtype="int64"), pdf["amount"].to_numpy(dtype="float64")
+    starts = np.flatnonzero(np.r_[True, card[1:] != card[:-1]])
+    found = []
+    for s, e in zip(starts, np.r_[starts[1:], len(card)]):
+        c = int(card[s])
+        i = place.get(c)
+        held = None if i is None else (last_us[i], last_amount[i], n[i], total[i], lists[i])
+        parts, (lu, la, cn, ct, keep) = _continue_card(us[s:e], amt[s:e], held)
+        found.append(parts)
+        if i is None:
+            cards.append(c)
+            last_us.append(lu)
+            last_amount.append(la)
+            n.append(cn)
+            total.append(ct)
+            lists.append(keep)
+        else:
+            last_us[i], last_amount[i], n[i], total[i], lists[i] = lu, la, cn, ct, keep
+    mark = state.getCurrentWatermarkMs()
+    every, owner = np.concatenate(lists), np.repeat(np.arange(len(cards)), [len(x) for x in lists])
+    needed = every >= mark * 1000 - DAY_US  # later rows are not behind the watermark
+    state.update((cards, last_us, last_amount, n, total, np.bincount(owner[needed], minlength=len(cards)).tolist(), every[needed].tolist()))
+    expire = max(last_us) // 1000 + DAY_US // 1000
+    if expire > mark:
+        state.setTimeoutTimestamp(expire)
+    yield _frame_of(pdf, [np.concatenate(x) for x in zip(*found)])
 
 
-def stateful_card_features(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
+def stateful_card_features(stream: DataFrame, delay: str = "1 hour", groups: int = 64) -> DataFrame:
     """Per arriving row: minutes since the card's previous row, amount difference, mean of earlier
     amounts and rows in [t - 24 h, t]. Equals the batch WIN3/WIN1/AGG24/WIN5 values on input that is in
-    order over the micro-batches (of any number); rows within a batch may come in any order."""
+    order over the micro-batches (of any number); rows within a batch may come in any order. The cards are
+    dealt over ``groups`` states (``card_groups``)."""
     from pyspark.sql.streaming.state import GroupStateTimeout
     s = (stream.withColumn("_us", F.unix_micros("transaction_ts")).withWatermark("transaction_ts", delay)
-               .select("transaction_id", "card_number", "amount", "transaction_ts", "_us"))
-    return s.groupBy("card_number").applyInPandasWithState(
-        _card_state_fn, STATE_OUT, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+               .select("transaction_id", F.coalesce("card_number", F.lit(NO_CARD)).alias("card_number"), "amount", "transaction_ts", "_us",
+                       card_group(F.col("card_number"), groups).alias("_group")))
+    out = s.groupBy("_group").applyInPandasWithState(
+        _card_group_fn, STATE_OUT, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+    return out.withColumn("card_number", F.nullif("card_number", F.lit(NO_CARD)))
 
 
 # ---------------------------------------------------------------- STR5

@@ -124,3 +124,39 @@ def test_replay_keeps_time_order_over_slices(spark):
         F.min("m").alias("m"), F.min("event_id").alias("lo"), F.max("event_id").alias("hi"), F.count(F.lit(1)).alias("n")).collect())
     assert sum(s[3] for s in spans) == 200 and len(spans) > 8 and max(s[3] for s in spans) <= 30
     assert all(a[2] < b[1] for a, b in zip(spans, spans[1:]))
+
+
+def test_cards_of_a_group_share_one_state_and_keep_their_own_features():
+    """Many cards in one call a micro-batch give each card the rows of a state of its own, late rows and a timeout between included."""
+    import numpy as np
+    import pandas as pd
+    rng = np.random.default_rng(3)
+    group, own, h = State(), {}, 3_600_000_000
+    for b in range(5):
+        if b == 3:
+            group.hasTimedOut = True
+            list(S._card_group_fn((0,), iter([]), group))
+            group.hasTimedOut = False
+        rows = [(b * 1000 + i, int(rng.integers(0, 40)), round(float(rng.uniform(1, 90)), 2), int((b * 12 + rng.uniform(-2, 12) + (30 if b > 2 else 0)) * h))
+                for i in range(200)]
+        pdf = pd.DataFrame(rows, columns=["transaction_id", "card_number", "amount", "_us"])
+        got = pd.concat(S._card_group_fn((0,), iter([pdf[:90], pdf[90:]]), group)).sort_values("transaction_id", ignore_index=True)
+        parts = []
+        for c, one in pdf.groupby("card_number"):
+            parts += list(S._card_state_fn((c,), iter([one]), own.setdefault(c, State())))
+        want = pd.concat(parts).sort_values("transaction_id", ignore_index=True)
+        pd.testing.assert_frame_equal(got, want[got.columns], check_dtype=False)
+    assert sorted(group.get[0]) == sorted(own) and len(group.get[6]) == sum(group.get[5])
+
+
+def test_states_are_as_many_as_groups_of_cards(spark):
+    """500 cards are 8 states, not 500: a state's cost is per micro-batch, however few rows a card has."""
+    from risklib.session import scratch_path
+    src = scratch_path(spark, "t-groups")
+    _events(spark, [(i, i / 50, i % 500, 1.0) for i in range(1_000)]).coalesce(1).write.parquet(src)
+    out = scratch_path(spark, "t-groups-out")
+    q = (S.stateful_card_features(S.event_stream(spark, src, None), groups=8).writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", f"{out}-ck").trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert max(s["numRowsTotal"] for p in q.recentProgress for s in p["stateOperators"]) == 8
+    assert spark.read.parquet(out).count() == 1_000 and S.card_groups(36_000_000) == 720 and S.card_groups(0) == 64
