@@ -92,7 +92,7 @@ def str4_card_state_processor(spark, sf):
     src = S.replay_by_day(spark, events, "str4-hours")
     rows = events.count()
     states = S.state_session(spark, rows)
-    p = S.run_to_parquet(card_state_features(S.event_stream(states, src, None, files_per_batch=5)), "str4-processor")
+    p = S.run_to_parquet(card_state_features(S.event_stream(states, src, None, files_per_batch=5), groups=S.card_groups(rows)), "str4-processor")
     return spark.read.parquet(p)
 
 

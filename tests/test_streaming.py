@@ -160,3 +160,28 @@ def test_states_are_as_many_as_groups_of_cards(spark):
     q.awaitTermination()
     assert max(s["numRowsTotal"] for p in q.recentProgress for s in p["stateOperators"]) == 8
     assert spark.read.parquet(out).count() == 1_000 and S.card_groups(36_000_000) == 720 and S.card_groups(0) == 64
+
+
+def test_processor_features_do_not_depend_on_the_groups_of_cards(spark):
+    """60 cards, unsorted and late rows, whole days without rows: one group or many, and the 24 h counts are exact."""
+    import numpy as np
+    from risklib.session import scratch_path
+    from risklib.streaming.card_state import card_state_features
+    rng = np.random.default_rng(9)
+    src, parts = scratch_path(spark, "t-processor-groups"), []
+    for b, day in enumerate((0, 1, 2, 5)):
+        t = np.round(rng.uniform(24 * day - (0.9 if b else 0), 24 * day + 23, 400), 3)
+        t[0] = 24 * day + 23
+        parts.append([(b * 1000 + i, float(t[i]), int(rng.integers(0, 60)), round(float(rng.uniform(1, 99)), 2)) for i in range(400)])
+        _events(spark, parts[-1]).coalesce(1).write.mode("append").parquet(src)
+    got = []
+    for groups in (1, 16):
+        p = S.run_to_parquet(card_state_features(S.event_stream(spark, src, None, files_per_batch=1), groups=groups), "t-processor-groups")
+        got.append(sorted(spark.read.parquet(p).collect()))
+    assert got[0] == got[1] and len(got[0]) == 1_600
+    us = {r[0]: (r[2], int(r[1] * 3600000000)) for rows in parts for r in rows}
+    for r in got[0]:
+        c, t = us[r["transaction_id"]]
+        batch = r["transaction_id"] // 1000  # rows of later batches had not come yet
+        assert r["card_number"] == c
+        assert r["tx_count_24h"] == sum(c2 == c and t - 86_400_000_000 <= t2 <= t and i // 1000 <= batch for i, (c2, t2) in us.items())
