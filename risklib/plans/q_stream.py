@@ -47,7 +47,8 @@ SELECT card_number, strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start,
   strftime(ws + INTERVAL 24 HOUR, '%Y-%m-%d %H:%M:%S') AS window_end, count(*) AS transactions,
   ROUND(sum(amount), 6) AS total_amount FROM w GROUP BY card_number, ws HAVING ws + INTERVAL 24 HOUR <= {_WM}""")
 def str2_sliding_velocity(spark, sf):
-    p = S.run_to_parquet(S.sliding_velocity(S.event_stream(spark, sf)), "str2")
+    rows = read_table(spark, sf, "events").count()
+    p = S.run_to_parquet(S.sliding_velocity(S.event_stream(S.state_session(spark, rows), sf), groups=S.card_groups(rows)), "str2")
     d = spark.read.parquet(p)
     return rounded(d.withColumn("window_start", _ts("window_start")).withColumn("window_end", _ts("window_end")))
 

@@ -41,6 +41,20 @@ def event_stream(spark: SparkSession, path: str, file_glob: str | None = "events
         (F.col("event_type") == "error").cast("int").alias("fraud_indicator"))
 
 
+NO_CARD = -(1 << 63)  # stands for a null card: a frame's column of whole numbers stays one
+
+
+def card_groups(rows: int, rows_per_group: int = 50_000, least: int = 64) -> int:
+    """Into how many groups the cards of a stream of about ``rows`` rows in all are dealt: a state's cost is per group and
+    micro-batch, not per card, and a group's state and rows stay small. A stream keeps its number as long as its checkpoint."""
+    return max(least, -(-rows // rows_per_group))
+
+
+def card_group(card, groups: int):
+    """The group of a card, by its hash."""
+    return F.pmod(F.xxhash64(card), F.lit(groups)).cast("long")
+
+
 # ---------------------------------------------------------------- STR1
 def window_kpis(stream: DataFrame, window: str = "1 hour", delay: str = "1 hour") -> DataFrame:
     """Tumbling event-time windows: count, fraud count, fraud rate, mean amount (append: closed windows)."""
@@ -53,13 +67,91 @@ def window_kpis(stream: DataFrame, window: str = "1 hour", delay: str = "1 hour"
 
 
 # ---------------------------------------------------------------- STR2
-def sliding_velocity(stream: DataFrame, length: str = "24 hours", slide: str = "1 hour", delay: str = "1 hour") -> DataFrame:
-    """Per card counts in sliding windows (bucketed form of the exact WIN6 counts)."""
-    return (stream.withWatermark("transaction_ts", delay)
-                  .groupBy("card_number", F.window("transaction_ts", length, slide))
-                  .agg(F.count(F.lit(1)).alias("transactions"), F.sum("amount").alias("total_amount"))
-                  .select("card_number", F.col("window.start").alias("window_start"),
-                          F.col("window.end").alias("window_end"), "transactions", "total_amount"))
+SLIDING_OUT = "card_number long, start long, transactions long, amounts long, total_amount double"
+SLIDING_STATE = "done long, cards array<long>, units array<long>, n array<long>, amounts array<long>, total array<double>"
+
+
+def _summed(card, unit, *values):
+    """One row per card and unit of time, in their order, with the sums of the values."""
+    import numpy as np
+    if not len(card):
+        return (card, unit, *values)
+    by = np.lexsort((unit, card))
+    card, unit = card[by], unit[by]
+    first = np.flatnonzero(np.r_[True, (card[1:] != card[:-1]) | (unit[1:] != unit[:-1])])
+    return (card[first], unit[first], *(np.add.reduceat(v[by], first) for v in values))
+
+
+def _sliding_fn(length: int, slide: int, rows_held: int = 200_000):
+    """The state function of a group of cards for windows of ``length`` every ``slide`` microseconds.
+
+    The state holds sums per card and unit of time (the largest that no window's edge cuts) as long as a window with that unit is
+    open, not a row per card and window. A call gives the windows whose ends the watermark has reached since the call before.
+    """
+    import math
+    unit_us = math.gcd(length, slide)
+
+    def call(key, pdfs, state):
+        import numpy as np
+        import pandas as pd
+
+        done, held = None, tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.float64))
+        if state.exists:
+            done, *arrays = state.get
+            held = tuple(np.asarray(x, h.dtype) for x, h in zip(arrays, held))
+        mark = state.getCurrentWatermarkMs() * 1000
+        parts, waiting = [held], 0
+        for pdf in [] if state.hasTimedOut else pdfs:
+            has = pdf["has_amount"].to_numpy(np.int64)
+            parts.append((pdf["card_number"].to_numpy(np.int64), pdf["us"].to_numpy(np.int64) // unit_us, np.ones(len(pdf), np.int64), has,
+                          np.where(has == 1, pdf["amount"].to_numpy(np.float64), 0.0)))
+            waiting += len(pdf)
+            if waiting > rows_held:
+                parts, waiting = [_summed(*(np.concatenate(x) for x in zip(*parts)))], 0
+        card, unit, n, amounts, total = held = _summed(*(np.concatenate(x) for x in zip(*parts)))
+        # every unit is part of the windows from the last that starts at or before it back to the first that ends after it
+        at, last = unit * unit_us, unit * unit_us // slide * slide
+        inside = [np.flatnonzero((at < last - k * slide + length) & (last - k * slide + length <= mark)
+                                 & ((last - k * slide + length > done) if done is not None else True)) for k in range(-(-length // slide))]
+        who = np.concatenate(inside)
+        start = np.concatenate([last[i] - k * slide for k, i in enumerate(inside)])
+        card, start, n, amounts, total = _summed(card[who], start, n[who], amounts[who], total[who])
+        keep = held[1] * unit_us // slide * slide + length > mark
+        state.update((mark if done is None else max(mark, done), *(x[keep].tolist() for x in held)))
+        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + 1)  # called again as soon as the watermark moves
+        for i in range(0, len(card), rows_held):
+            j = slice(i, i + rows_held)
+            yield pd.DataFrame({"card_number": card[j], "start": start[j], "transactions": n[j], "amounts": amounts[j], "total_amount": total[j]})
+
+    return call
+
+
+def _micros(interval: str) -> int:
+    import pandas as pd
+    return pd.Timedelta(interval) // pd.Timedelta(microseconds=1)
+
+
+def sliding_velocity(stream: DataFrame, length: str = "24 hours", slide: str = "1 hour", delay: str = "1 hour", groups: int = 64) -> DataFrame:
+    """Per card counts in sliding windows (bucketed form of the exact WIN6 counts), of closed windows as ``F.window`` gives them.
+
+    A window aggregate holds a state row for every card and open window, each row of the stream in ``length / slide`` of them; here the
+    cards are dealt over ``groups`` states (``card_groups``) of sums per card and slide. A row counts in those of its windows that are
+    still open."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+    whole = _micros(length)
+    # the watermark on the time at which a row's windows are all closed, moved on by as much, is that of the row times; rows behind it go
+    s = (stream.where("transaction_ts IS NOT NULL")
+               .withColumn("_closed", F.timestamp_micros(F.unix_micros("transaction_ts") + F.lit(whole)))
+               .withWatermark("_closed", f"{_micros(delay) + whole} microseconds")
+               .select(F.coalesce("card_number", F.lit(NO_CARD)).alias("card_number"), F.unix_micros("transaction_ts").alias("us"),
+                       F.col("amount").cast("double").alias("amount"), F.col("amount").isNotNull().cast("long").alias("has_amount"), "_closed",
+                       card_group(F.col("card_number"), groups).alias("_group")))
+    out = s.groupBy("_group").applyInPandasWithState(
+        _sliding_fn(whole, _micros(slide)), SLIDING_OUT, SLIDING_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    # a sum that is not a number arrives as null
+    return out.select(F.nullif("card_number", F.lit(NO_CARD)).alias("card_number"), F.timestamp_micros("start").alias("window_start"),
+                      F.timestamp_micros(F.col("start") + F.lit(whole)).alias("window_end"), "transactions",
+                      F.when(F.col("amounts") > 0, F.coalesce("total_amount", F.lit(float("nan")))).alias("total_amount"))
 
 
 # ---------------------------------------------------------------- STR3
@@ -117,18 +209,6 @@ STATE_OUT = ("transaction_id long, card_number long, minutes_since_last double,
 STATE_SCHEMA = ("cards array<long>, last_us array<long>, last_amount array<double>, n array<long>, total array<double>, "
                 "recent_rows array<long>, recent array<long>")
 DAY_US = 86_400_000_000
-NO_CARD = -(1 << 63)  # stands for a null card: a frame's column of whole numbers stays one
-
-
-def card_groups(rows: int, rows_per_group: int = 50_000, least: int = 64) -> int:
-    """Into how many groups the cards of a stream of about ``rows`` rows in all are dealt: a state's cost is per group and
-    micro-batch, not per card, and a group's state and rows stay small. A stream keeps its number as long as its checkpoint."""
-    return max(least, -(-rows // rows_per_group))
-
-
-def card_group(card, groups: int):
-    """The group of a card, by its hash."""
-    return F.pmod(F.xxhash64(card), F.lit(groups)).cast("long")
 
 
 def _continue_card(us, amt, held):

@@ -185,3 +185,46 @@ def test_processor_features_do_not_depend_on_the_groups_of_cards(spark):
         batch = r["transaction_id"] // 1000  # rows of later batches had not come yet
         assert r["card_number"] == c
         assert r["tx_count_24h"] == sum(c2 == c and t - 86_400_000_000 <= t2 <= t and i // 1000 <= batch for i, (c2, t2) in us.items())
+
+
+def _windows(spark, parts, build):
+    """Rows of a window stream, one micro-batch per list of rows, and the largest number of rows its states had."""
+    from risklib.session import scratch_path
+    src, out = scratch_path(spark, "t-sliding"), scratch_path(spark, "t-sliding-out")
+    for rows in parts:
+        _events(spark, rows).coalesce(1).write.mode("append").parquet(src)
+    q = (build(S.event_stream(spark, src, None, files_per_batch=1)).writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", f"{out}-ck").trigger(availableNow=True).start())
+    q.awaitTermination()
+    rows = sorted((tuple(r) for r in spark.read.parquet(out).collect()), key=str)
+    return rows, max(s["numRowsTotal"] for p in q.recentProgress for s in p["stateOperators"])
+
+
+def test_sliding_windows_are_sums_of_slides_and_not_a_state_row_each(spark):
+    """Late rows, null amounts and cards, days without rows and a length that the slide does not divide: as Spark's own windows."""
+    import numpy as np
+    rng = np.random.default_rng(6)
+    parts = []
+    for b, at in enumerate((0, 20, 30, 120)):
+        h = np.round(rng.uniform(at - (5 if b else 0), at + 20, 150), 2)
+        h[0] = at + 20
+        parts.append([(b * 1000 + i, float(h[i]), None if i % 50 == 7 else int(rng.integers(0, 9)), None if i % 6 == 0 else float(rng.integers(1, 99)))
+                      for i in range(150)])
+    for length, slide in (("24 hours", "1 hour"), ("150 minutes", "60 minutes")):
+        def native(stream, length=length, slide=slide):
+            return (stream.withWatermark("transaction_ts", "1 hour").groupBy("card_number", F.window("transaction_ts", length, slide))
+                    .agg(F.count(F.lit(1)).alias("transactions"), F.sum("amount").alias("total_amount"))
+                    .select("card_number", "window.start", "window.end", "transactions", "total_amount"))
+        want, many = _windows(spark, parts, native)
+        got, few = _windows(spark, parts, lambda s, length=length, slide=slide: S.sliding_velocity(s, length, slide, groups=4))
+        assert got == want and len(got) > 100 and few <= 4 < many
+
+
+def test_sums_that_are_not_numbers_stay_in_their_windows(spark):
+    nan = float("nan")
+    got, _ = _windows(spark, [[(1, 0.5, 1, 1.0), (2, 1.5, 1, nan), (3, 3.5, 1, 2.0), (4, 9.0, 2, None), (5, 60.0, 3, 1.0)]],
+                      lambda s: S.sliding_velocity(s, "2 hours", "1 hour"))
+    zero = min(r[1] for r in got)
+    # card 3's windows are open; the sum of amounts that are all null is null
+    assert sorted((r[0], (r[1] - zero).total_seconds() / 3600, r[3], str(r[4])) for r in got) == [
+        (1, 0, 1, "1.0"), (1, 1, 2, "nan"), (1, 2, 1, "nan"), (1, 3, 1, "2.0"), (1, 4, 1, "2.0"), (2, 9, 1, "None"), (2, 10, 1, "None")]
