@@ -201,3 +201,13 @@ def test_majority_neighbours_are_exact_on_many_ties(spark, monkeypatch, dims, ce
     rows = spark.createDataFrame([(i, int(y[i]), [float(c) for c in v[i]]) for i in range(len(v))], "_r long, y int, _v array<double>").repartition(5)
     got = {r["_r"]: r["_majority"] for r in N.majority_neighbours(rows, "_r", "y", 1).collect()}
     assert got == {i: int((y[near] == 0).sum()) for i, near in exact(v, y == 1, 5).items()}
+
+
+@pytest.mark.parametrize("dims", [1, 2])
+def test_copies_count_as_rows_where_they_are_asked_for(spark, dims):
+    rows = [(r, [float(x)] + [0.0] * (dims - 1), True) for r, x in ((1, 0), (1, 0), (2, 1), (2, 1), (3, 1), (4, 5), (5, 7))]
+    def listed(copies):
+        out = N.nearest_neighbours(spark.createDataFrame(rows, "r long, v array<double>, ask boolean"), 3, copies=copies).collect()
+        return {r: [x["neighbour"] for x in sorted(out, key=lambda x: x["rank"]) if x["r"] == r] for r in range(1, 6)}
+    assert listed(True) == {1: [1, 2], 2: [2, 3, 1], 3: [2, 1], 4: [5, 2], 5: [4, 2]}
+    assert listed(False) == {1: [1, 2, 3], 2: [2, 3, 1], 3: [2, 1, 4], 4: [5, 2, 3], 5: [4, 2, 3]}
